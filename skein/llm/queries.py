@@ -1,9 +1,11 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
+from skein.llm.langid import op7_language_id
 from skein.llm.quality import op3_quality_classifier
 from skein.llm.token_blocks import op6_token_blocks
 
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op3_quality_classifier": op3_quality_classifier,
     "op6_token_blocks": op6_token_blocks,
 }
