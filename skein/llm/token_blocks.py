@@ -16,9 +16,11 @@ a reader open any block without decoding those before it.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from skein.llm.common import id_text, shared_dir
 MAGIC = b"SKPFOR1\0"
 BLOCK = 1024
 SEGMENT_IDS = 1 << 17
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 def pack_block(values: np.ndarray, percentile: float = 0.95) -> bytes:
@@ -102,46 +104,74 @@ def read_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray
 
 
 class WordEncoder:
-    """The library's ids of whole texts as little-endian uint32 bytes, with a bounded cache of space-led words.
+    """The library's ids of whole texts as little-endian uint32 bytes, with a bounded cache of words.
 
     A byte-level pre-tokenizer always cuts before a single space that a non-space follows, so the
-    words of such a text are encoded on their own. A text in which any space precedes white space
-    goes to the library whole.
+    words of such a text are encoded on their own; a text in which any space precedes white space
+    goes to the library whole. A new word of plain letters, digits, punctuation and line ends is cut
+    where the pre-tokenizer would cut it, and the library's model encodes the parts; any other word
+    goes through the library's whole chain.
     """
 
     odd = re.compile(r" \s")
+    plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n))+")
+    parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.cache = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [None if self.odd.search(t) else [(w := t.split(" "))[0], *(" " + x for x in w[1:])] for t in texts]
-        whole = iter(self._encode([t for t, w in zip(texts, words) if w is None]))
-        missed = list({x for w in words if w for x in w}.difference(self.cache))
-        found = dict(zip(missed, self._encode(missed)))
-        if len(self.cache) < CACHE_WORDS:
-            self.cache.update(found)
-            found = self.cache
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        # Byte-level alphabets show printable bytes as themselves and the others from U+0100 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.after_space: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str, space: str) -> bytes:
+        """Ids of letters, digits or punctuation that the pre-tokenizer keeps together."""
+        cache = self.after_space if space else self.bare
+        got = cache.get(part)
+        if got is None:
+            text = space + part
+            shown = "\u0120" + part if space and part.isascii() and part != "\n" else text.encode().decode("latin-1").translate(self.alphabet)
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(cache) < CACHE_WORDS:
+                cache[part] = got
+        return got
+
+    def _word(self, word: str, space: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._part(word, space)
+        if self.plain.fullmatch(word) and "<|" not in word:
+            first, *rest = self.parts.findall(word)
+            got = self._part(first, space)
+            for x in rest:
+                got += self.bare.get(x) or self._part(x, "")
         else:
-            found = _Either(found, self.cache)
-        return [next(whole) if w is None else b"".join(map(found.__getitem__, w)) for w in words]
-
+            got = self._whole(space + word)
+        cache = self.after_space if space else self.bare
+        if len(cache) < CACHE_WORDS:
+            cache[word] = got
+        return got
 
-class _Either(dict):
-    """The new words of one batch in front of the cache."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key):
-        return self.second[key]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, get = [], self.after_space.get
+        for text in texts:
+            if self.odd.search(text):
+                out.append(self._whole(text))
+                continue
+            words = text.split(" ")
+            found = list(map(get, words))
+            found[0] = (self.bare.get(words[0]) or self._word(words[0], "")) if words[0] else b""
+            if None in found:
+                found = [self._word(w, " ") if x is None else x for w, x in zip(words, found)]
+            out.append(b"".join(found))
+        return out
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
