@@ -2,9 +2,11 @@
 
 from skein.llm.langid import op7_language_id
 from skein.llm.quality import op3_quality_classifier
+from skein.llm.simhash import op9_simhash
 from skein.llm.token_blocks import op6_token_blocks
 
 QUERIES = {
+    "op9_simhash": op9_simhash,
     "op7_language_id": op7_language_id,
     "op3_quality_classifier": op3_quality_classifier,
     "op6_token_blocks": op6_token_blocks,
