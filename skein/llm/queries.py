@@ -3,10 +3,12 @@
 from skein.llm.decontaminate import op5_decontamination
 from skein.llm.langid import op7_language_id
 from skein.llm.quality import op3_quality_classifier
+from skein.llm.secrets import op10_secrets
 from skein.llm.simhash import op9_simhash
 from skein.llm.token_blocks import op6_token_blocks
 
 QUERIES = {
+    "op10_secrets": op10_secrets,
     "op5_decontamination": op5_decontamination,
     "op9_simhash": op9_simhash,
     "op7_language_id": op7_language_id,
