@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
+from skein.llm.ann import op4_nearest_neighbours
 from skein.llm.decontaminate import op5_decontamination
 from skein.llm.langid import op7_language_id
 from skein.llm.pii import op8_pii
@@ -9,6 +10,7 @@ from skein.llm.simhash import op9_simhash
 from skein.llm.token_blocks import op6_token_blocks
 
 QUERIES = {
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op8_pii": op8_pii,
     "op10_secrets": op10_secrets,
     "op5_decontamination": op5_decontamination,
