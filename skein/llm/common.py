@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession):
+    """Let Spark delete a query's shuffle files when the query ends (a session setting of Spark 4.1, put back after)."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaned_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """Write ``df`` dealt by ``column`` as a bucketed table in the shared folder: joins on it shuffle only their other side."""
+    spark = df.sparkSession
+    name = f"skein_{tag}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _cleaned_shuffles(spark):
+        df.repartition(n, column).write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def id_text(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns an operator reads; extra columns cannot clash with its own names."""
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -5,11 +5,13 @@ from skein.llm.decontaminate import op5_decontamination
 from skein.llm.langid import op7_language_id
 from skein.llm.pii import op8_pii
 from skein.llm.quality import op3_quality_classifier
+from skein.llm.repeats import op1_repeats
 from skein.llm.secrets import op10_secrets
 from skein.llm.simhash import op9_simhash
 from skein.llm.token_blocks import op6_token_blocks
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op8_pii": op8_pii,
     "op10_secrets": op10_secrets,
