@@ -79,6 +79,7 @@ class OrdinalModel:
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.log(np.arange(1, GRADES) / (GRADES - np.arange(1, GRADES))))
+    fitted: bool = False
 
     def at_most(self, scores: np.ndarray) -> np.ndarray:
         """P(grade <= k) for each score and k = 0 .. grades - 2."""
@@ -144,7 +145,7 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, l1: float = L1, min_docs: in
         y, yth = w + (t - 1) / t2 * (w - old_w), th + (t - 1) / t2 * (th - old_th)
         old_w, old_th, t = w, th, t2
     on = w != 0
-    return OrdinalModel(keys[on], (w * scale)[on], th)
+    return OrdinalModel(keys[on], (w * scale)[on], th, True)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -180,6 +181,7 @@ def score_texts(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TA
     given = docs.select(*columns, *([] if "text" in columns else ["text"]))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("keep", T.BooleanType())])
     table = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    least = keep_tail if model.fitted else 0.0
     shared = docs.sparkSession.sparkContext.broadcast((table, model.thresholds))  # as large as the fitted sample allows
 
     def run(batches: Iterator) -> Iterator:
@@ -191,7 +193,7 @@ def score_texts(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TA
             texts = batch.column("text").to_pylist()
             scores = np.array([sum(table[f] for f in features(x, cache) if f in table) for x in texts], float)
             tail = m.tail(scores)
-            made = [batch.column(c) for c in columns] + [pa.array(m.expected_grade(scores)), pa.array(tail), pa.array(tail >= keep_tail)]
+            made = [batch.column(c) for c in columns] + [pa.array(m.expected_grade(scores)), pa.array(tail), pa.array(tail >= least)]
             yield pa.RecordBatch.from_arrays(made, names=[*columns, "expected_grade", "tail_probability", "keep"])
 
     return given.mapInArrow(run, schema)

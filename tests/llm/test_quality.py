@@ -49,7 +49,7 @@ def test_query_and_awkward_rows(spark, tmp_path):
 def test_without_labels_or_documents(spark, tmp_path):
     table(spark, tmp_path, "labels", spark.createDataFrame([], LABELS))
     sf = table(spark, tmp_path, "documents", docs(spark, ["a", None]))
-    assert [r.expected_grade for r in q.op3_quality_classifier(spark, sf).collect()] == pytest.approx([1.0, 1.0])
+    assert [r.expected_grade for r in q.op3_quality_classifier(spark, sf).collect()] == pytest.approx([1.0, 1.0]) and q.op3_quality_classifier(spark, sf).where("keep").count() == 2
     table(spark, tmp_path, "documents", docs(spark, []))
     assert q.op3_quality_classifier(spark, sf).count() == 0
 
