@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from skein.llm.common import bucketed, id_text, read_table, written
 
 LENGTH = 400
 TRIGGER = 16
-SPACING = 64  # mean bytes between triggers
+SPACING = 32  # mean bytes between triggers
 CONTEXT = 96
 
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
@@ -95,42 +96,40 @@ def regions(data: bytes, survivors: set[int], length: int = LENGTH, context: int
     return out
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        got = [context_hashes(d, triggers(d)) if d is not None and len(d) >= LENGTH else np.empty(0, np.int64) for d in pdf.data]
-        yield pd.DataFrame({"did": np.repeat(pdf.did.to_numpy(), [len(g) for g in got]), "h": np.concatenate(got) if got else []}).astype("int64")
-
-
 def _wide(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
 
-def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contexts(spacing: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        got = [context_hashes(d, triggers(d, spacing)) for d in pdf.data]
+        yield pd.DataFrame({"rid": np.repeat(pdf.rid.to_numpy(), [len(g) for g in got]), "h": np.concatenate(got) if got else []}).astype("int64")
+
+
+def _regions(spacing: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows, digests = [], []
-        for did, did2, data, hs in zip(pdf.did, pdf.did2, pdf.data, pdf.hs):
+        for rid, data, hs in zip(pdf.rid, pdf.data, pdf.hs):
             view = memoryview(data)
-            for lo, hi, h in regions(data, set() if hs is None else set(hs)):
-                rows.append((did, did2, lo, hi, h is not None, h or 0))
+            for lo, hi, h in regions(data, set() if hs is None else set(hs), spacing=spacing):
+                rows.append((rid, lo, hi, h is not None, h or 0))
                 digests.append(xxhash.xxh3_128_digest(view[lo : hi + LENGTH]))
-        out = pd.DataFrame(rows, columns=["did", "did2", "lo", "hi", "led", "h"])
+        out = pd.DataFrame(rows, columns=["rid", "lo", "hi", "led", "h"])
         out["f1"], out["f2"] = _wide(digests)
         yield out
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for did, did2, data, todo in zip(pdf.did, pdf.did2, pdf.data, pdf.todo):
+        for rid, data, todo in zip(pdf.rid, pdf.data, pdf.todo):
             view, places, asked, digests = memoryview(data), [], [], []
             for r in todo:
-                if r["did2"] == did2:
-                    places.append(np.arange(r["lo"], r["hi"] + 1))
-                    asked.append(np.full(r["hi"] + 1 - r["lo"], r["asked"]))
-                    digests += [xxhash.xxh3_128_digest(view[x : x + LENGTH]) for x in range(r["lo"], r["hi"] + 1)]
-            if digests:
-                w1, w2 = _wide(digests)
-                yield pd.DataFrame({"did": did, "did2": did2, "x": np.concatenate(places), "asked": np.concatenate(asked), "w1": w1, "w2": w2})
+                places.append(np.arange(r["lo"], r["hi"] + 1))
+                asked.append(np.full(r["hi"] + 1 - r["lo"], r["asked"]))
+                digests += [xxhash.xxh3_128_digest(view[x : x + LENGTH]) for x in range(r["lo"], r["hi"] + 1)]
+            w1, w2 = _wide(digests)
+            yield pd.DataFrame({"rid": rid, "x": np.concatenate(places), "asked": np.concatenate(asked), "w1": w1, "w2": w2})
 
 
 def removed_runs(starts: list[tuple[int, int]], length: int = LENGTH) -> list[list[int]]:
@@ -144,60 +143,55 @@ def removed_runs(starts: list[tuple[int, int]], length: int = LENGTH) -> list[li
     return out
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents (did, did2, doc_id, data) dealt by did, and (did, did2, lo, hi) of their repeated windows."""
+def repeated_windows(docs: DataFrame, spacing: int = SPACING) -> tuple[DataFrame, DataFrame]:
+    """The documents (rid, doc_id, data) as a table dealt by rid, and (rid, lo, hi) of their repeated windows.
+
+    rid numbers the rows; it is fixed when that table is written.
+    """
     text = F.coalesce("text", F.lit(""))
-    keyed = id_text(docs).select(F.xxhash64("doc_id", "text").alias("did"), F.xxhash64(F.lit(7), "text", "doc_id").alias("did2"), "doc_id", text.cast("binary").alias("data"))
-    kept = bucketed(keyed, "did", "documents")
-    found = kept.select("did", "data").where(F.length("data") >= LENGTH).mapInPandas(_contexts, "did long, h long")
-    found = written(found, "contexts")
+    numbered = id_text(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.cast("binary").alias("data"))
+    kept = bucketed(numbered, "rid", "documents")
+    long_enough = kept.select("rid", "data").where(F.length("data") >= LENGTH)
+    found = written(long_enough.mapInPandas(partial(_contexts, spacing), "rid long, h long"), "contexts")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    survivors = written(found.join(often, "h").groupBy("did").agg(F.collect_set("h").alias("hs")), "survivors")
-    long_enough = kept.select("did", "did2", "data").where(F.length("data") >= LENGTH)
-    schema = "did long, did2 long, lo int, hi int, led boolean, h long, f1 long, f2 long"
-    parts = written(long_enough.join(survivors.hint("shuffle_hash"), "did", "left").mapInPandas(_regions, schema), "regions")
+    survivors = written(found.join(often, "h").groupBy("rid").agg(F.collect_set("h").alias("hs")), "survivors")
+    schema = "rid long, lo int, hi int, led boolean, h long, f1 long, f2 long"
+    parts = written(long_enough.join(survivors.hint("shuffle_hash"), "rid", "left").mapInPandas(partial(_regions, spacing), schema), "regions")
     led = parts.where("led")
-    classes = led.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("did", "did2", "lo")).alias("one")).where("n > 1")
-    led = led.join(classes, ["f1", "f2"], "left")
-    done = written(led, "classes")
-    whole = done.where("n is not null").select("did", "did2", "lo", "hi")
-    asked = done.where("n is null").select("did", "did2", "lo", "hi", "h")
-    same = (F.col("one.did") == F.col("did")) & (F.col("one.did2") == F.col("did2")) & (F.col("one.lo") == F.col("lo"))
-    ones = done.where("n is not null").where(same).dropDuplicates(["f1", "f2"])
-    ones = ones.join(asked.select("h").distinct(), "h", "left_semi")
-    todo = (
-        asked.select("did", "did2", "lo", "hi", F.lit(True).alias("asked"))
-        .unionByName(parts.where("not led").select("did", "did2", "lo", "hi", F.lit(True).alias("asked")))
-        .unionByName(ones.select("did", "did2", "lo", "hi", F.lit(False).alias("asked")))
-    )
-    todo = written(todo.groupBy("did").agg(F.collect_list(F.struct("did2", "lo", "hi", "asked")).alias("todo")), "open")
-    schema = "did long, did2 long, x int, asked boolean, w1 long, w2 long"
-    windows = kept.select("did", "did2", "data").join(todo.hint("shuffle_hash"), "did").mapInPandas(_windows, schema)
-    windows = written(windows, "windows")
+    classes = led.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo")).alias("one")).where("n > 1")
+    first = (F.col("one.rid") == F.col("rid")) & (F.col("one.lo") == F.col("lo"))
+    done = written(led.join(classes, ["f1", "f2"], "left").select("rid", "lo", "hi", "h", F.col("n").isNotNull().alias("again"), first.alias("first")), "classes")
+    asked = done.where("not again")
+    ones = done.where("again and first").join(asked.select("h").distinct(), "h", "left_semi")
+    pick = lambda df, flag: df.select("rid", "lo", "hi", F.lit(flag).alias("asked"))
+    todo = pick(asked, True).unionByName(pick(parts.where("not led"), True)).unionByName(pick(ones, False))
+    todo = written(todo.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "asked")).alias("todo")), "open")
+    schema = "rid long, x int, asked boolean, w1 long, w2 long"
+    windows = written(kept.select("rid", "data").join(todo.hint("shuffle_hash"), "rid").mapInPandas(_windows, schema), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    single = windows.where("asked").join(twice, ["w1", "w2"], "left_semi").select("did", "did2", F.col("x").alias("lo"), F.col("x").alias("hi"))
-    return kept, whole.unionByName(single)
+    single = windows.where("asked").join(twice, ["w1", "w2"], "left_semi").select("rid", F.col("x").alias("lo"), F.col("x").alias("hi"))
+    return kept, done.where("again").select("rid", "lo", "hi").unionByName(single)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, spacing: int = SPACING) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans for docs(doc_id, text)."""
-    kept, starts = repeated_windows(docs)
-    by_doc = written(starts.groupBy("did").agg(F.collect_list(F.struct("did2", "lo", "hi")).alias("starts")), "starts")
+    kept, starts = repeated_windows(docs, spacing)
+    by_doc = written(starts.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, did2, data, starts in zip(pdf.doc_id, pdf.did2, pdf.data, pdf.starts):
-                runs = removed_runs([] if starts is None else [(r["lo"], r["hi"]) for r in starts if r["did2"] == did2])
+            for doc, data, starts in zip(pdf.doc_id, pdf.data, pdf.starts):
+                runs = removed_runs([] if starts is None else [(r["lo"], r["hi"]) for r in starts])
                 edges = [0, *(x for r in runs for x in r), len(data)]
-                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                left = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
                 spans = ",".join(f"{a}:{b}" for a, b in runs)
                 rows.append((doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left, spans))
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
             yield out.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans string"
-    return kept.join(by_doc.hint("shuffle_hash"), "did", "left").select("doc_id", "did2", "data", "starts").mapInPandas(run, schema)
+    return kept.join(by_doc.hint("shuffle_hash"), "rid", "left").select("doc_id", "data", "starts").mapInPandas(run, schema)
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:

@@ -65,14 +65,11 @@ def test_query_equals_brute_force(spark, tmp_path, seed):
     assert any(r.n_removed for r in got) and any(r.n_bytes and not r.n_removed for r in got)
 
 
-def test_sparse_triggers_change_nothing(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("spacing", [3, 100, 900])
+def test_other_spacings_change_nothing(spark, spacing):
     texts = made(4)
-    want = brute(texts)
-    sf = table(spark, tmp_path, "documents", docs(spark, texts))
-    monkeypatch.setattr(q.triggers, "__defaults__", (900,))
-    monkeypatch.setattr(q.regions, "__defaults__", (400, 96, 900))
-    got = q.op1_repeats(spark, sf).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == want
+    got = q.remove_repeats(docs(spark, texts).repartition(3), spacing).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts)
 
 
 def test_null_and_repeated_ids(spark, tmp_path):
