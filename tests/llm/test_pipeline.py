@@ -24,7 +24,7 @@ def brute(spark, sf):
     find, encode = pii.Finder(pii.trained()), pieces.Encoder(pieces.PieceTable.load(pieces.model_path()))
     out = {}
     for i, t in zip(d.doc_id, d.text):
-        out[i] = np.frombuffer(encode(pii.redact(t, find([t])[0][1])), "<u4").tolist()
+        out[i] = np.frombuffer(encode([pii.redact(t, find([t])[0][1])])[0], "<u4").tolist()
     return out
 
 
