@@ -49,8 +49,8 @@ def cosine(a: Column, b: Column, digits: int = 4) -> Column:
     n = F.least(F.size(a), F.size(b))
     x, y = F.slice(a, 1, n), F.slice(b, 1, n)
     both = norm(x) * norm(y)
-    raw = F.round(dot(x, y) / F.when(both == 0, None).otherwise(both), digits)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+    raw = F.round(dot(x, y) / both, digits)
+    return F.when(both > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).otherwise(F.lit(0.0))
 
 
 def rotation(d: int) -> np.ndarray:

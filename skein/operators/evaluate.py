@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from skein.functions.text import token_overlap, trim_white
 from skein.sources.clients import ChatClient, ask
@@ -17,7 +18,7 @@ from skein.sources.clients import ChatClient, ask
 PREVIEW, DEMO_CHARS = 160, 500
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_json(texts: pd.Series) -> pd.Series:
     """Whether each text is one JSON value and nothing else (no NaN or Infinity)."""
 
