@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,12 @@ def key_masks() -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache
+def _budgets(start: int) -> list[tuple[np.uint64, int]]:
+    """(mask, most differing bits) of each chain from a start on."""
+    return [(np.uint64(m), BITS * (k + 1) // SEGMENTS) for k, m in enumerate(chain_masks(start))]
+
+
 def _find(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -107,7 +114,7 @@ def _find(parent: np.ndarray, x: int) -> int:
 def linked(a: np.ndarray, b: np.ndarray, start: int, same: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks that pass the chain from ``start`` and the Hamming check."""
     parent, out = np.arange(len(a) + (0 if same else len(b))), []
-    budgets = [(np.uint64(m), BITS * (k + 1) // SEGMENTS) for k, m in enumerate(chain_masks(start))]
+    budgets = _budgets(start)
     for i in range(len(a)):
         rest = b[i + 1 :] if same else b
         x, at = rest ^ a[i], np.arange(i + 1, len(b)) if same else np.arange(len(b)) + len(a)
@@ -125,31 +132,31 @@ def linked(a: np.ndarray, b: np.ndarray, start: int, same: bool) -> list[tuple[i
 
 
 def _compare(masks: list[tuple[int, int]]):
+    cols = ["k", "key", "i", "j", "block", "fp"]
+
+    def forest(g: np.ndarray) -> list[tuple[int, int]]:
+        """Links within one key's block, or between its two blocks; ``g`` holds the columns of its rows."""
+        (k, _, i, j), mine, fps = g[0, :4], g[:, 4], g[:, 5].view(np.uint64)
+        a, b = (fps, fps) if i == j else (fps[mine == i], fps[mine == j])
+        every = g[:, 5] if i == j else np.concatenate([a, b]).view(np.int64)
+        return [(int(every[x]), int(every[y])) for x, y in linked(a, b, masks[k][0], bool(i == j))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def result(group: list[pd.DataFrame]) -> pd.DataFrame:
-            g = pd.concat(group) if len(group) > 1 else group[0]
-            start, block_a, block_b = masks[int(g.k.iloc[0])][0], int(g.i.iloc[0]), int(g.j.iloc[0])
-            fps, mine = g.fp.to_numpy(np.int64).view(np.uint64), g.block.to_numpy()
-            same = block_a == block_b
-            a, b = (fps, fps) if same else (fps[mine == block_a], fps[mine == block_b])
-            every = fps if same else np.concatenate([a, b])
-            found = linked(a, b, start, same)
-            every = every.view(np.int64)
-            return pd.DataFrame({"a": [every[x] for x, _ in found], "b": [every[y] for _, y in found]}, dtype=np.int64)
-
-        # Rows come sorted by key and pair of blocks: a group may go on in the next batch.
-        open_group: list[pd.DataFrame] = []
+        # Rows come sorted by key and pair of blocks; the last group of a batch may go on in the next.
+        rest = np.empty((0, len(cols)), np.int64)
+
+        def result(groups: list[np.ndarray]) -> pd.DataFrame:
+            found = [link for g in groups for link in forest(np.ascontiguousarray(g))]
+            return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
         for pdf in batches:
-            cols = ["k", "key", "i", "j"]
-            change = np.flatnonzero((pdf[cols].to_numpy()[1:] != pdf[cols].to_numpy()[:-1]).any(axis=1)) + 1
-            pieces = [pdf.iloc[lo:hi] for lo, hi in zip([0, *change], [*change, len(pdf)])]
-            for piece in pieces:
-                if open_group and (open_group[0][cols].iloc[0].to_numpy() != piece[cols].iloc[0].to_numpy()).any():
-                    yield result(open_group)
-                    open_group = []
-                open_group.append(piece)
-        if open_group:
-            yield result(open_group)
+            rows = np.concatenate([rest, pdf[cols].to_numpy(np.int64)])
+            cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+            groups = np.split(rows, cuts)
+            rest = groups.pop()
+            yield result(groups)
+        if len(rest):
+            yield result([rest])
 
     return run
 
@@ -164,7 +171,9 @@ def links(distinct: DataFrame) -> DataFrame:
     rows = rows.join(shared, ["k", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = rows.withColumn("other", other).select("k", "key", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = pairs.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j")
+    # A fixed number of parts: comparing costs far more than the few bytes of these rows tell.
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(n, "k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j")
     return dealt.mapInPandas(_compare(masks), "a long, b long").distinct()
 
 
