@@ -48,6 +48,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again: what was made from them stands in tables of its own."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName().startswith("skein-"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
     """Write ``df`` dealt by ``column`` as a bucketed table in the shared folder: joins on it shuffle only their other side."""
     spark = df.sparkSession

@@ -3,17 +3,17 @@
 A window is a string of ``length`` bytes. Every byte covered by a window that also starts anywhere
 else in the corpus is removed. Prefix-free parsing makes this a job on phrases, not on bytes:
 
-* Triggers. Where the rolling hash of ``TRIGGER`` bytes falls under a bound, a phrase ends and the next
-  one begins; the trigger belongs to both, so no phrase suffix that reaches it is a prefix of another.
-  Equal text gets equal phrases, wherever it stands.
+* Triggers. A window's trigger is the place of the least rolling hash among its first ``PLACES`` places (ties: the first).
+  It depends on the window's own bytes only, so equal windows have it at the same place, and every window has
+  one, periodic text included. Phrases run from trigger to trigger and share the trigger's bytes.
 * Parse. A suffix of the corpus is a phrase suffix followed by a suffix of the parse, and the
   corpus order is the order of these pairs. Only the first ``length`` bytes matter here, so both orders are
   kept cut off there: what counts in a suffix array is then which neighbours agree on ``length`` bytes, that is,
   the classes of equal (phrase suffix, following parse) pairs. A class is named by a 128-bit hash of
   its bytes instead of its rank; ranks of unequal classes are never compared.
-* Pruning. The ``CONTEXT`` bytes from a trigger on are its context. All contexts inside a repeated
-  window are repeated themselves, so windows over a context that occurs once need no further look.
-* Dictionary. A region is the set of windows whose first trigger is the same; its bytes are a phrase with
+* Pruning. The ``CONTEXT`` bytes from a trigger on are its context. The contexts of all triggers that lie, with the places that
+  make them triggers, inside a repeated window are repeated, so windows over a context that occurs once need no further look.
+* Dictionary. A region is the run of windows with the same trigger; its bytes are a phrase with
   the parse that follows. If a region's whole bytes occur twice, all its windows repeat, at one go.
 * Combination. The other regions are opened: each window's class is counted, together with those of one
   representative of every repeated region that follows the same context. A repeated window has its like among them.
@@ -22,8 +22,8 @@ Every step is a join or a count on hashes that combine before they shuffle; a ph
 documents share is one row of the count. Nothing is gathered beyond the regions of one document.
 
 Cases: null and empty texts have no window; matches never cross documents; repeated rows are documents of
-their own, so all their windows repeat; null and repeated doc_ids each keep their row; texts without triggers are one
-region whose windows are counted one by one.
+their own, so all their windows repeat; null and repeated doc_ids each keep their row; texts shorter
+than a window keep all their bytes.
 """
 
 from __future__ import annotations
@@ -38,62 +38,70 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bucketed, id_text, read_table, written
+from skein.llm.common import bucketed, discard, id_text, read_table, written
 
 LENGTH = 400
-TRIGGER = 16
-SPACING = 32  # mean bytes between triggers
+GRAM = 16  # bytes of a rolling hash
+PLACES = 64  # places of which the least hash is a trigger
 CONTEXT = 96
+CHUNK = 1 << 24
 
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def triggers(data: bytes, spacing: int = SPACING) -> np.ndarray:
-    """Starts of the 16-byte windows whose rolling hash triggers, ascending."""
-    if len(data) < TRIGGER:
+def triggers(data: bytes, places: int = PLACES) -> np.ndarray:
+    """The trigger of the window at every start that has all ``places`` (a power of two) before the text's end.
+
+    That covers starts beyond the last whole window: what ends a text may stand inside another.
+    """
+    n = len(data) - GRAM - places + 2
+    if n <= 0:
         return np.empty(0, np.int64)
+    if n > CHUNK // 2:  # a place takes 24 bits below: longer texts in parts that overlap
+        step = CHUNK // 2
+        return np.concatenate([triggers(data[lo : lo + step + GRAM + places - 2], places) + lo for lo in range(0, n, step)])
     h = np.frombuffer(data, np.uint8).astype(np.uint64)
     for k in range(4):  # polynomial hashes of 2, 4, 8 and 16 bytes at every place
         h = h[: -(1 << k)] * _B[k] + h[1 << k :]
     h ^= h >> np.uint64(31)
     h *= _MIX
-    return np.flatnonzero(h < np.uint64((1 << 64) // spacing))
-
-
-def context_hashes(data: bytes, at: np.ndarray, context: int = CONTEXT) -> np.ndarray:
-    """64-bit hashes of the contexts that lie wholly inside (others: none); used to prune only."""
-    view, n = memoryview(data), len(data)
-    return np.array([xxhash.xxh3_64_intdigest(view[s : s + context]) for s in at.tolist() if s + context <= n], np.uint64).view(np.int64)
-
-
-def regions(data: bytes, survivors: set[int], length: int = LENGTH, context: int = CONTEXT, spacing: int = SPACING) -> list[tuple[int, int, int | None]]:
-    """(first window, last window, context hash of their first trigger or None) that may hold repeats."""
-    last = len(data) - length
-    if last < 0:
-        return []
-    reach = length - context
-    at = triggers(data, spacing)
-    hashes = context_hashes(data, at, context).tolist()
-    at = at[: len(hashes)].tolist()
-    out, before = [], -1
-    # The first trigger from each one on whose context occurs once; windows over it cannot repeat.
-    bad, nxt = [0] * len(at), len(data) + length
-    for i in range(len(at) - 1, -1, -1):
-        nxt = at[i] if hashes[i] not in survivors else nxt
-        bad[i] = nxt
-    for s, h, b in zip(at, hashes, bad):
-        if before + 1 <= (hi := min(s - reach - 1, last)):  # windows without any trigger
-            out.append((before + 1, hi, None))
-        lo, hi = max(before + 1, s - reach), min(s, last, b - reach - 1)
-        if lo <= hi:
+    # 40 bits of the hash, then the place: the least is the leftmost of equals.
+    h = (h & ~np.uint64(CHUNK - 1)) | np.arange(len(h), dtype=np.uint64)
+    size = 1
+    while size < places:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return (h & np.uint64(CHUNK - 1)).astype(np.int64)
+
+
+def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window of each region, and its trigger."""
+    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1]) if len(at) else np.empty(0, np.int64)
+    return first, at[first]
+
+
+def context_hashes(data: bytes, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the contexts that lie wholly in the text, from the first on; used to prune only."""
+    view, n = memoryview(data), len(data) - CONTEXT
+    return np.array([xxhash.xxh3_64_intdigest(view[s : s + CONTEXT]) for s in at.tolist() if s <= n], np.uint64).view(np.int64)
+
+
+def regions(data: bytes, survivors: set[int], places: int = PLACES) -> list[tuple[int, int, int]]:
+    """(first window, last window, context hash) of the regions, cut to the windows that may repeat."""
+    at = triggers(data, places)
+    first, trigger = runs(at)
+    hashes = context_hashes(data, trigger).tolist()
+    # From a window's start on, regions that begin up to here have their places and contexts inside it.
+    reach = LENGTH - places - CONTEXT
+    out, bad, last = [], len(data) + LENGTH, len(data) - LENGTH
+    ends = [*(first[1:] - 1).tolist(), len(at) - 1][: len(hashes)]
+    for lo, hi, h in zip(first[: len(hashes)].tolist()[::-1], ends[::-1], hashes[::-1]):
+        if h not in survivors:
+            bad = lo
+        elif lo <= (hi := min(hi, last, bad - reach - 1)):
             out.append((lo, hi, h))
-        before = s
-        if s >= last:
-            break
-    if before + 1 <= last:
-        out.append((before + 1, last, None))
-    return out
+    return out[::-1]
 
 
 def _wide(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,21 +109,21 @@ def _wide(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _contexts(spacing: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contexts(places: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        got = [context_hashes(d, triggers(d, spacing)) for d in pdf.data]
+        got = [context_hashes(d, runs(triggers(d, places))[1]) for d in pdf.data]
         yield pd.DataFrame({"rid": np.repeat(pdf.rid.to_numpy(), [len(g) for g in got]), "h": np.concatenate(got) if got else []}).astype("int64")
 
 
-def _regions(spacing: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _regions(places: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows, digests = [], []
         for rid, data, hs in zip(pdf.rid, pdf.data, pdf.hs):
             view = memoryview(data)
-            for lo, hi, h in regions(data, set() if hs is None else set(hs), spacing=spacing):
-                rows.append((rid, lo, hi, h is not None, h or 0))
+            for lo, hi, h in regions(data, set(hs), places):
+                rows.append((rid, lo, hi, h))
                 digests.append(xxhash.xxh3_128_digest(view[lo : hi + LENGTH]))
-        out = pd.DataFrame(rows, columns=["rid", "lo", "hi", "led", "h"])
+        out = pd.DataFrame(rows, columns=["rid", "lo", "hi", "h"])
         out["f1"], out["f2"] = _wide(digests)
         yield out
 
@@ -143,7 +151,7 @@ def removed_runs(starts: list[tuple[int, int]], length: int = LENGTH) -> list[li
     return out
 
 
-def repeated_windows(docs: DataFrame, spacing: int = SPACING) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, places: int = PLACES) -> tuple[DataFrame, DataFrame]:
     """The documents (rid, doc_id, data) as a table dealt by rid, and (rid, lo, hi) of their repeated windows.
 
     rid numbers the rows; it is fixed when that table is written.
@@ -152,30 +160,33 @@ def repeated_windows(docs: DataFrame, spacing: int = SPACING) -> tuple[DataFrame
     numbered = id_text(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.cast("binary").alias("data"))
     kept = bucketed(numbered, "rid", "documents")
     long_enough = kept.select("rid", "data").where(F.length("data") >= LENGTH)
-    found = written(long_enough.mapInPandas(partial(_contexts, spacing), "rid long, h long"), "contexts")
+    found = written(long_enough.mapInPandas(partial(_contexts, places), "rid long, h long"), "contexts")
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     survivors = written(found.join(often, "h").groupBy("rid").agg(F.collect_set("h").alias("hs")), "survivors")
-    schema = "rid long, lo int, hi int, led boolean, h long, f1 long, f2 long"
-    parts = written(long_enough.join(survivors.hint("shuffle_hash"), "rid", "left").mapInPandas(partial(_regions, spacing), schema), "regions")
-    led = parts.where("led")
-    classes = led.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo")).alias("one")).where("n > 1")
+    discard(found)
+    schema = "rid long, lo int, hi int, h long, f1 long, f2 long"
+    parts = written(long_enough.join(survivors.hint("shuffle_hash"), "rid").mapInPandas(partial(_regions, places), schema), "regions")
+    classes = parts.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo")).alias("one")).where("n > 1")
     first = (F.col("one.rid") == F.col("rid")) & (F.col("one.lo") == F.col("lo"))
-    done = written(led.join(classes, ["f1", "f2"], "left").select("rid", "lo", "hi", "h", F.col("n").isNotNull().alias("again"), first.alias("first")), "classes")
+    done = written(parts.join(classes, ["f1", "f2"], "left").select("rid", "lo", "hi", "h", F.col("n").isNotNull().alias("again"), first.alias("first")), "classes")
+    discard(survivors, parts)
     asked = done.where("not again")
     ones = done.where("again and first").join(asked.select("h").distinct(), "h", "left_semi")
     pick = lambda df, flag: df.select("rid", "lo", "hi", F.lit(flag).alias("asked"))
-    todo = pick(asked, True).unionByName(pick(parts.where("not led"), True)).unionByName(pick(ones, False))
+    todo = pick(asked, True).unionByName(pick(ones, False))
     todo = written(todo.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "asked")).alias("todo")), "open")
     schema = "rid long, x int, asked boolean, w1 long, w2 long"
     windows = written(kept.select("rid", "data").join(todo.hint("shuffle_hash"), "rid").mapInPandas(_windows, schema), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     single = windows.where("asked").join(twice, ["w1", "w2"], "left_semi").select("rid", F.col("x").alias("lo"), F.col("x").alias("hi"))
-    return kept, done.where("again").select("rid", "lo", "hi").unionByName(single)
+    starts = written(done.where("again").select("rid", "lo", "hi").unionByName(single), "repeats")
+    discard(done, todo, windows)
+    return kept, starts
 
 
-def remove_repeats(docs: DataFrame, spacing: int = SPACING) -> DataFrame:
+def remove_repeats(docs: DataFrame, places: int = PLACES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans for docs(doc_id, text)."""
-    kept, starts = repeated_windows(docs, spacing)
+    kept, starts = repeated_windows(docs, places)
     by_doc = written(starts.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -65,13 +65,25 @@ def test_query_equals_brute_force(spark, tmp_path, seed):
     assert any(r.n_removed for r in got) and any(r.n_bytes and not r.n_removed for r in got)
 
 
-@pytest.mark.parametrize("spacing", [3, 100, 900])
-def test_other_spacings_change_nothing(spark, spacing):
+@pytest.mark.parametrize("places", [2, 16, 128])
+def test_other_triggers_change_nothing(spark, places):
     texts = made(4)
-    got = q.remove_repeats(docs(spark, texts).repartition(3), spacing).orderBy("doc_id").collect()
+    got = q.remove_repeats(docs(spark, texts).repartition(3), places).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts)
 
 
+def test_triggers_depend_on_the_window_alone(monkeypatch):
+    rng = random.Random(6)
+    for alphabet in ("ab", "abcdefgh ", "a"):
+        s = "".join(rng.choice(alphabet) for _ in range(1500)).encode()
+        at = q.triggers(s)
+        for x in range(0, 1101, 13):
+            assert (at[x : x + 300] - x == q.triggers(s[x : x + 400])[:300]).all()
+    whole = q.triggers(made_long := s * 2 + b"tail" * 30)
+    monkeypatch.setattr(q, "CHUNK", 1 << 11)
+    assert (whole == q.triggers(made_long)).all()
+
+
 def test_null_and_repeated_ids(spark, tmp_path):
     long = "".join(random.Random(5).choice("abcdefgh ") for _ in range(900))
     texts, ids = [long, long, long[100:700], "short", None], [7, 7, None, None, 7]
