@@ -22,6 +22,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from skein.llm.common import id_text, shared_dir
 MAGIC = b"SKPFOR1\0"
 BLOCK = 1024
 SEGMENT_IDS = 1 << 17
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 def pack_block(values: np.ndarray, percentile: float = 0.95) -> bytes:
@@ -174,6 +175,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder; its cache of words lasts from task to task."""
+    return WordEncoder(path)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -186,7 +193,7 @@ def _segments(path: str, end_id: int, percentile: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, part = WordEncoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path), TaskContext.get().partitionId()
         ids, docs, lengths, before, number, held = [], [], [], 0, 0, 0
 
         def segment() -> pd.DataFrame:
