@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import id_text, read_table, written
 from skein.llm.components import components
+from skein.llm.near_copies import first_rows
 
 SHINGLE = 3
 SEED = 42
@@ -194,10 +195,11 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id; null ids are kept, as they stand for no known group."""
-    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    key = docs.columns.index("doc_id")
+    """Pipeline stage: of each group of near copies (``near_copies``: 5-word shingles, similarity 0.8) the document with the
+    smallest doc_id; null ids are kept, as they stand for no known group."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    kept = plain.join(found.withColumnRenamed("doc_id", names[key]), names[key], "left_semi")
-    return kept.unionByName(plain.where(F.col(names[key]).isNull())).toDF(*docs.columns)
+    plain = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    kept = first_rows(plain.select("row", F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    ids = plain.join(kept, "row", "left_semi").select(key).distinct()
+    return plain.join(ids, key, "left_semi").unionByName(plain.where(F.col(key).isNull())).select(*names).toDF(*docs.columns)
