@@ -195,11 +195,12 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (``near_copies``: 5-word shingles, similarity 0.8) the document with the
-    smallest doc_id; null ids are kept, as they stand for no known group."""
+    """Pipeline stage: of each group of near copies (``near_copies``: 5-word shingles, similarity 0.8) one row.
+
+    The row with the smallest doc_id stays, null ids last; of repeated rows one. Groups do not depend on ids.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     kept = first_rows(plain.select("row", F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    ids = plain.join(kept, "row", "left_semi").select(key).distinct()
-    return plain.join(ids, key, "left_semi").unionByName(plain.where(F.col(key).isNull())).select(*names).toDF(*docs.columns)
+    return plain.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)

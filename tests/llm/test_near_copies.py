@@ -57,3 +57,16 @@ def test_stage_equals_brute_force_on_test_table(spark, sf):
     pdf = pd.read_parquet(f"{sf}/documents.parquet")
     got = q.dedup_stage(spark, read_table(spark, sf, "documents"), sf)
     assert sorted(r.doc_id for r in got.collect()) == brute_kept(pdf.doc_id.tolist(), pdf.text.tolist())
+
+
+@pytest.mark.parametrize("shift", [0, 1])
+def test_one_row_of_repeated_rows_and_null_ids(spark, sf, shift):
+    long = " ".join(f"w{i}" for i in range(100))
+    near = long.replace("w50", "other")
+    texts = [long, long, near, "a b", "a b", "a b", "second text of one id", long]
+    ids = [5, 5, None, None, None, 9, 5, None]
+    texts, ids = texts[shift:] + texts[:shift], ids[shift:] + ids[:shift]
+    got = [(r.doc_id, r.text) for r in q.dedup_stage(spark, docs(spark, texts, ids), sf).collect()]
+    assert sorted(got) == [(5, "second text of one id"), (5, long), (9, "a b")]
+    only = q.dedup_stage(spark, docs(spark, ["x y", "x y", None], [None, None, None]), sf).collect()
+    assert sorted(str(r.text) for r in only) == ["None", "x y"]
