@@ -12,7 +12,8 @@ The automaton is built from the benchmark table, whose size is checked: at most
 items are matched in one pass over the documents, in as many passes as it takes.
 
 Cases: null or empty texts and items match nothing; items with equal texts each get their row; equal
-item_ids stay apart by text and the smallest distance counts; repeated documents each get theirs.
+item_ids stay apart by text and the smallest distance counts; items without an id match like any other
+and share the null id; repeated documents each get theirs.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def myers(masks: dict[str, int], m: int, text: str, most: int) -> int:
 class Matcher:
     """The items of one pass: their pieces in an automaton, their masks for verification."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float = ERROR_RATE):
         import ahocorasick
 
         self.items = []
@@ -99,9 +100,9 @@ class Matcher:
         if where:
             self.automaton.make_automaton()
 
-    def __call__(self, raw: str | None) -> dict[int, int]:
+    def __call__(self, raw: str | None) -> dict[int | None, int]:
         """Smallest distance within its budget for each item found in a whole text."""
-        found: dict[int, int] = {}
+        found: dict[int | None, int] = {}
         text = normal(raw)
         if not self.items or not text:
             return found
@@ -129,20 +130,26 @@ class Matcher:
 
 def _batches(benchmark: DataFrame, batch_items: int) -> list[DataFrame]:
     """The items in parts of about ``batch_items``."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
     n = -(-items.count() // batch_items) or 1
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
+def _by_id(row: tuple) -> tuple:
+    """Sorting key of rows that begin with an item_id: null ids last."""
+    return (row[0] is None, row[0] or 0, *row[1:])
+
+
 def _matches(spark, docs: DataFrame, items: DataFrame, error_rate: float) -> DataFrame:
-    shared = spark.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in items.collect()}))  # one batch of items
+    shared = spark.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in items.collect()}, key=_by_id))  # one batch of items
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(shared.value, error_rate)
         for pdf in batches:
-            rows = [(doc, item, d) for doc, text in zip(pdf.doc_id, pdf.text) for item, d in sorted(matcher(text).items())]
+            rows = [(doc, item, d) for doc, text in zip(pdf.doc_id, pdf.text) for item, d in sorted(matcher(text).items(), key=_by_id)]
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance"])
-            yield out.astype({"doc_id": "Int64", "item_id": "int64", "distance": "int32"})
+            out["item_id"] = pd.array([r[1] for r in rows], "Int64")  # exact beside nulls
+            yield out.astype({"doc_id": "Int64", "distance": "int32"})
 
     return docs.mapInPandas(run, "doc_id long, item_id long, distance int")
 
@@ -169,7 +176,7 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names)
     for items in _batches(read_table(spark, sf_dir, "benchmark"), BATCH_ITEMS):
-        shared = spark.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in items.collect()}))
+        shared = spark.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in items.collect()}, key=_by_id))
 
         def run(batches, shared=shared):
             matcher = Matcher(shared.value)

@@ -96,3 +96,14 @@ def test_test_table_holds_its_planted_passages(spark, sf):
     exact = {(i, j) for i, t in zip(d.doc_id, d.text.map(q.normal)) for j, x in zip(b.item_id, b.text.map(q.normal)) if x in t}
     got = {(r.doc_id, r.item_id) for r in q.op5_decontamination(spark, sf).where("distance = 0").collect()}
     assert got == exact
+
+
+def test_items_without_an_id_match(spark, tmp_path):
+    big = 2**53 + 1
+    sf = table(spark, tmp_path, "documents", docs(spark, ["so the hidden question text is here", "clean", "the other item stands here"]))
+    items = [(None, "the hidden question text"), (None, "the hidden question text is"), (None, None), (big, "the other item stands")]
+    table(spark, tmp_path, "benchmark", spark.createDataFrame(items, "item_id long, text string"))
+    got = [tuple(r) for r in q.op5_decontamination(spark, sf).collect()]
+    assert sorted(got) == [(0, None, 0), (2, big, 0)]
+    kept = q.decontamination_stage(spark, read_table(spark, sf, "documents"), sf)
+    assert [r.doc_id for r in kept.collect()] == [1]
