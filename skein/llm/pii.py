@@ -33,6 +33,7 @@ from skein.llm.crf import Crf, train, viterbi
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
 LONGEST = 4096  # tokens; a longer stretch is labelled in parts
+OVERLAP = 512  # tokens that consecutive parts share; a span counts in the part that sees it farther from its edges
 REACH = 48  # characters of its line that a stretch takes in on each side of a hint
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -202,6 +203,18 @@ def _stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in out]
 
 
+def _parts(toks: list[tuple[str, int, int]]) -> Iterator[tuple[list[tuple[str, int, int]], int, int]]:
+    """(tokens, first, stop) of overlapping parts; those from first to before stop are the part's own, each token in one part."""
+    step, lo = LONGEST - OVERLAP, 0
+    while True:
+        part = toks[lo : lo + LONGEST]
+        last = lo + LONGEST >= len(toks)
+        yield part, OVERLAP // 2 if lo else 0, len(part) if last else LONGEST - OVERLAP // 2
+        if last:
+            return
+        lo += step
+
+
 def _trimmed(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     """The part of a span that has the form of its kind, if any."""
     found = text[a:b]
@@ -240,23 +253,24 @@ class Finder:
                 while hi < len(text) and not text[hi - 1].isspace() and not text[hi].isspace() and hi < lo + 4000:
                     hi += 1
                 toks = [(t, a + lo, b + lo) for t, a, b in tokens(text[lo:hi])]
-                jobs += [(i, toks[k : k + LONGEST]) for k in range(0, len(toks), LONGEST)]
+                jobs += [(i, *part) for part in _parts(toks)]
         jobs.sort(key=lambda j: -len(j[1]))
         lo = 0
         while lo < len(jobs):
             part = jobs[lo : lo + max(1, 8 * LONGEST // len(jobs[lo][1]))]
             lo += len(part)
-            lengths = np.array([len(t) for _, t in part])
+            lengths = np.array([len(t) for _, t, _, _ in part])
             padded = np.zeros((len(part), lengths.max(), self.max_features), np.int32)
-            for k, (_, toks) in enumerate(part):
+            for k, (_, toks, _, _) in enumerate(part):
                 padded[k, : len(toks)] = self._rows(toks)
             best = viterbi(self.crf, self.crf.scores(padded), lengths)
-            for (i, toks), labels in zip(part, best):
-                found[i] += self._spans(texts[i], toks, labels)
+            for (i, toks, first, stop), labels in zip(part, best):
+                found[i] += self._spans(texts[i], toks, labels, first, stop)
         return [sorted(set(x), key=lambda s: (KINDS.index(s[0]), s[1], s[2])) for x in found]
 
     @staticmethod
-    def _spans(text: str, toks: list[tuple[str, int, int]], labels: np.ndarray) -> list[tuple[str, int, int]]:
+    def _spans(text: str, toks: list[tuple[str, int, int]], labels: np.ndarray, begin: int, stop: int) -> list[tuple[str, int, int]]:
+        """The spans that begin with one of the tokens ``begin`` .. ``stop`` - 1."""
         out, k = [], 0
         while k < len(toks):
             if labels[k] <= 0:
@@ -267,6 +281,8 @@ class Finder:
             while k < len(toks) and labels[k] == 2 * kind + 2:
                 k += 1
             a, b = toks[first][1], toks[k - 1][2]
+            if not begin <= first < stop:
+                continue
             if place := _trimmed(KINDS[kind], text, a, b):
                 out.append((KINDS[kind], *place))
         return out

@@ -112,3 +112,19 @@ def test_stage(spark, tmp_path, sf):
     assert got[1].text is None and got[2] == d.where("doc_id = 2").first()
     real = read_table(spark, sf, "documents")
     assert q.redaction_stage(spark, real, sf).count() == real.count()
+
+
+def test_spans_across_the_parts_of_a_long_line(monkeypatch):
+    find = q.Finder(q.trained())
+    cut = 0
+    for shift in range(9):  # a cut at each place of the repeated words
+        line = "go " * shift + "".join(f"call 030 555 {1000 + k} or 12 big boxes, " for k in range(700))
+        got = find.more([line])
+        with monkeypatch.context() as m:
+            m.setattr(q, "LONGEST", 10**6)
+            want = find.more([line])
+            m.setattr(q, "LONGEST", 4096)
+            m.setattr(q, "OVERLAP", 0)
+            cut += find.more([line]) != want
+        assert len(q.tokens(line)) > 4096 and len(want[0]) > 100 and got == want
+    assert cut  # without the overlap a span is lost
