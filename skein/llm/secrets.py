@@ -1,9 +1,9 @@
 """Secret scans in DataFrame expressions only.
 
 Base kinds (assign, access, hex) are patterns. The kind ``entropy`` adds strings that look random:
-candidates are runs of at least ``WINDOW`` token characters with both letters and digits; a window
-of ``WINDOW`` characters slides over each, and its Shannon entropy follows from incremental counts:
-with f(n) = n log2 n, the sum S of f over the window's character counts changes by
+candidates are runs of at least ``WINDOW`` token characters with letters and digits, or with letters whose case
+switches as in no word; a window of ``WINDOW`` characters slides over each, and its Shannon entropy follows from
+incremental counts: with f(n) = n log2 n, the sum S of f over the window's character counts changes by
 f(n+1) - f(n) for the character that enters and f(n-1) - f(n) for the one that leaves, where the counts
 are read off the window itself. Entropy = log2 W - S / W. A candidate is a secret if its largest window
 entropy reaches the threshold of its character class and the allow-list does not suppress it.
@@ -13,7 +13,8 @@ that Unicode keeps unassigned; such characters in a text are first changed to a
 split at the marks, and lengths are summed. Positions are code points, ends exclusive.
 
 Cases: null texts count as empty and give the hash of an empty string; repeated rows each get their
-row; candidates that touch a base span are left to it.
+row; candidates that touch a base span are left to it. The work grows with a candidate's length, and no pattern
+recurses on it: a candidate of a million characters is one like others.
 """
 
 from __future__ import annotations
@@ -36,14 +37,16 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
-# Least window entropy, in bits, by character class: hexadecimal digits, one case of letters with digits, both cases.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.4, "base64": 3.8}
-# Strings that are no secrets: universally unique ids, words joined by hyphens or slashes, placeholders.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[A-Za-z]*([-_/=][A-Za-z]+|[-_/=][0-9]+)*[-_/=]?$"
-    r"|(?i:example|placeholder|changeme|xxxx|0123456789|abcdefgh)"
-)
+# Least window entropy, in bits, by character class: hexadecimal digits, one case of letters with digits, both cases with
+# digits, letters of both cases alone.
+THRESHOLDS = {"hex": 3.0, "alnum": 3.4, "base64": 3.8, "letters": 3.9}
+# The allow-list. Whole strings: universally unique ids, and words or numbers joined by the JOINTS. Stretches: placeholders.
+ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+JOINTS = r"[-_/=]"
+PLACEHOLDER = r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh|wJalrXUtnFEMI/K7MDENG"
+# Letters alone look random only if their case switches as in no word: three times one to three capitals and one or two small
+# letters, then a capital.
+SWITCHES = r"(?:[A-Z]{1,3}[a-z]{1,2}){3}[A-Z]"
 
 
 def _pieces(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -71,34 +74,50 @@ def _count(where: Column, what: Column) -> Column:
 
 
 def window_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy of a window of ``s``, by incremental counts; null if ``s`` is shorter."""
+    """The largest Shannon entropy of a window of ``s``, by incremental counts; null if ``s`` is shorter.
+
+    The string is cut into its characters once, and each step sees one window only: the work grows with the length.
+    """
     first = F.substring(s, F.lit(1), F.lit(window))
     chars = F.array_distinct(F.split(first, ""))
     start = F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).otherwise(_f(_count(first, c))))
 
-    def step(a: Column, p: Column) -> Column:
-        # The window that ends at p (from 1): the character at p - window leaves, that at p enters.
-        leaves, enters = F.substring(s, p - window, F.lit(1)), F.substring(s, p, F.lit(1))
-        old, kept = F.substring(s, p - window, F.lit(window)), F.substring(s, p - window + 1, F.lit(window - 1))
-        out, into = _count(old, leaves), _count(kept, enters)
+    def step(a: Column, enters: Column) -> Column:
+        # The window's first character leaves, ``enters`` comes in at its end.
+        leaves, kept = F.substring(a["window"], F.lit(1), F.lit(1)), F.substring(a["window"], F.lit(2), F.lit(window - 1))
+        out, into = _count(a["window"], leaves), _count(kept, enters)
         now = a["sum"] - _f(out) + _f(out - 1) - _f(into) + _f(into + 1)
-        return F.struct(now.alias("sum"), F.least(a["least"], now).alias("least"))
+        return F.struct(now.alias("sum"), F.least(a["least"], now).alias("least"), F.concat(kept, enters).alias("window"))
 
-    ends = F.when(F.length(s) > window, F.sequence(F.lit(window + 1), F.length(s))).otherwise(F.expr("cast(array() as array<int>)"))
-    least = F.aggregate(ends, F.struct(start.alias("sum"), start.alias("least")), step, lambda a: a["least"])
+    later = F.filter(F.split(F.substring(s, F.lit(window + 1), F.length(s)), ""), lambda c: c != "")
+    begin = F.struct(start.alias("sum"), start.alias("least"), first.alias("window"))
+    least = F.aggregate(later, begin, step, lambda a: a["least"])
     return F.when(F.length(s) >= window, F.log2(F.lit(float(window))) - least / window)
 
 
 def looks_random(s: Column) -> Column:
-    """Whether a candidate's class threshold is reached and the allow-list lets it pass."""
-    mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike(ALLOWED)
-    least = (
-        F.when(s.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"])
-        .when(s.rlike("[a-z]") & s.rlike("[A-Z]"), THRESHOLDS["base64"])
-        .otherwise(THRESHOLDS["alnum"])
-    )
-    # Conditions are tried in order: windows slide only over candidates that may count.
-    return F.when(mixed, window_entropy(s) >= least).otherwise(F.lit(False))
+    """Whether some stretch of a candidate without placeholders reaches its class threshold and the allow-list lets it pass.
+
+    A placeholder hides itself only: what stands before and after it is judged on its own.
+    """
+
+    def random(part: Column) -> Column:
+        letters, digits = part.rlike("[A-Za-z]"), part.rlike("[0-9]")
+        mixed = part.rlike("[a-z]") & part.rlike("[A-Z]")
+        least = (
+            F.when(digits & part.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"])
+            .when(digits & mixed, THRESHOLDS["base64"])
+            .when(digits, THRESHOLDS["alnum"])
+            .otherwise(THRESHOLDS["letters"])
+        )
+        # Every word (see ALLOWED) is letters or digits only; one without digits may also be random letters of both cases.
+        words = F.forall(F.split(part, JOINTS), lambda w: w.rlike("^(?:[A-Za-z]*|[0-9]*)$"))
+        single = part.rlike("^[A-Za-z]+$") & mixed & part.rlike(SWITCHES)
+        fit = (F.length(part) >= WINDOW) & letters & ((digits & ~words) | single) & ~part.rlike(ALLOWED)
+        # Conditions are tried in order: windows slide only over parts that may count.
+        return F.when(fit, window_entropy(part) >= least).otherwise(F.lit(False))
+
+    return F.exists(F.split(s, PLACEHOLDER), random)
 
 
 def _key(kind: str, order: int, spans: Column) -> Column:

@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 from collections import Counter
 
 import pandas as pd
@@ -89,3 +91,62 @@ def test_no_python_in_the_plan(spark, sf):
 
 def test_empty_table(spark, tmp_path):
     assert q.op10_secrets(spark, table(spark, tmp_path, "documents", docs(spark, []))).count() == 0
+
+
+def test_very_long_candidates(spark, tmp_path):
+    rng = random.Random(5)
+    base64 = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(1_000_000))
+    texts = ["see " + base64 + " end", "a-1-" * 250_000, "A" * 999_999 + "a", "a===" + "=" * 999_990 + "b", "aB" * 500_000]
+    began = time.perf_counter()
+    rows = q.op10_secrets(spark, table(spark, tmp_path, "documents", docs(spark, texts))).collect()
+    assert time.perf_counter() - began < 120
+    spans = {r.doc_id: r.spans for r in rows}
+    assert spans == {0: "entropy:4:1000004", 1: "", 2: "", 3: "", 4: ""}
+
+
+def made(rng, kind):
+    """A secret of a kind that no base pattern has, or something that only looks long."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word = lambda: pick("abcdefghiklmnoprstuvw", rng.randint(3, 9))
+    if kind == "mixed":
+        return pick(string.ascii_letters + string.digits, rng.randint(24, 44))
+    if kind == "base64":
+        return pick(string.ascii_letters + string.digits + "+/", 40) + "="
+    if kind == "lower":
+        return pick(string.ascii_lowercase + string.digits, rng.randint(24, 40))
+    if kind == "HEX":
+        return pick("0123456789ABCDEF", 40)
+    if kind == "letters":
+        return pick(string.ascii_letters, 40)
+    if kind == "uuid":
+        h = pick("0123456789abcdef", 32)
+        return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+    if kind == "slug":
+        return "-".join(word() for _ in range(5)) + f"-20{pick('0123456789', 2)}"
+    if kind == "path":
+        return "/".join(word().title() for _ in range(5))
+    if kind == "camel":
+        return word() + "".join(word().title() for _ in range(5))
+    if kind == "placeholder":
+        return "your_example_key_" + "x" * 24
+    return "=" * 40
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """Random strings against identifiers, 40 of each kind; none matches a base pattern."""
+    rng = random.Random(6)
+    kinds = {True: ["mixed", "base64", "lower", "HEX", "letters"], False: ["uuid", "slug", "path", "camel", "placeholder", "rule"]}
+    cases = [(secret, kind, made(rng, kind)) for secret, some in kinds.items() for kind in some for _ in range(40)]
+    rows = q.scan(docs(spark, [f"take {x} there" for _, _, x in cases])).collect()
+    got = {r.doc_id: r for r in rows}
+    assert not any(r.n_assign or r.n_access or r.n_hex for r in rows)
+    found = Counter(kind for i, (_, kind, x) in enumerate(cases) if got[i].spans == f"entropy:5:{5 + len(x)}")
+    right, wrong = sum(found[k] for k in kinds[True]), sum(found[k] for k in kinds[False])
+    assert right / (40 * 5) > 0.9 and right / (right + wrong) > 0.95, found
+
+
+def test_a_placeholder_hides_itself_only(spark):
+    key = "q8Zr3LwX0pTn5VbYc7Kd9MfJ2hGs"
+    texts = [f"a /example/{key} b", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", f"xxxx{key}"]
+    got = {r.doc_id: r.n_entropy for r in q.scan(docs(spark, texts)).collect()}
+    assert got == {0: 1, 1: 0, 2: 1}
