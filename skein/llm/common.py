@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +20,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (as in tests on one machine) a temporary folder stands in.
+    Only where that setting is missing on one machine (master ``local``, as in tests) a temporary folder stands in.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+HOT = 20_000  # a key is hot if it has over one in HOT of all rows, so there are fewer than HOT hot keys
+
+
+def counted_join(rows: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` joined ("left", "inner" or "left_semi") with ``counts``, a written table of keys that occur ``n`` times in them.
+
+    Rows of hot keys meet a broadcast of fewer than HOT keys where they are; only the others are dealt by their key.
+    """
+    total = rows.count() if total is None else total
+    hot = F.broadcast(counts.where(F.col("n") > total / HOT))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(counts, keys, how)
+    return cold.unionByName(rows.join(hot, keys, "left_semi" if how == "left_semi" else "inner"))
+
+
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches cut into slices of a few rows, so that a task holds the Python objects of one slice only."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 @contextmanager
 def _cleaned_shuffles(spark: SparkSession):
     """Let Spark delete a query's shuffle files when the query ends (a session setting of Spark 4.1, put back after)."""

@@ -38,14 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bucketed, discard, id_text, read_table, written
+from skein.llm.common import bucketed, counted_join, discard, id_text, read_table, written
 
 LENGTH = 400
 GRAM = 16  # bytes of a rolling hash
 PLACES = 64  # places of which the least hash is a trigger
 CONTEXT = 96
 CHUNK = 1 << 24
-HOT = 20_000  # a key is hot if it has over one in HOT of all rows, so there are fewer than HOT hot keys
 
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -152,16 +151,6 @@ def removed_runs(starts: list[tuple[int, int]], length: int = LENGTH) -> list[li
     return out
 
 
-def _counted(rows: DataFrame, counts: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """``rows`` joined ("left", "inner" or "left_semi") with ``counts``, a written table of keys that occur ``n`` times.
-
-    Rows of hot keys meet a broadcast of fewer than HOT keys where they are; only the others are dealt by their key.
-    """
-    hot = F.broadcast(counts.where(F.col("n") > rows.count() / HOT))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(counts, keys, how)
-    return cold.unionByName(rows.join(hot, keys, "left_semi" if how == "left_semi" else "inner"))
-
-
 def repeated_windows(docs: DataFrame, places: int = PLACES) -> tuple[DataFrame, DataFrame]:
     """The documents (rid, doc_id, data) as a table dealt by rid, and (rid, lo, hi) of their repeated windows.
 
@@ -173,14 +162,14 @@ def repeated_windows(docs: DataFrame, places: int = PLACES) -> tuple[DataFrame,
     long_enough = kept.select("rid", "data").where(F.length("data") >= LENGTH)
     found = written(long_enough.mapInPandas(partial(_contexts, places), "rid long, h long"), "contexts")
     often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    survivors = written(_counted(found, often, ["h"], "left_semi").groupBy("rid").agg(F.collect_set("h").alias("hs")), "survivors")
+    survivors = written(counted_join(found, often, ["h"], "left_semi").groupBy("rid").agg(F.collect_set("h").alias("hs")), "survivors")
     discard(found, often)
     schema = "rid long, lo int, hi int, h long, f1 long, f2 long"
     parts = written(long_enough.join(survivors.hint("shuffle_hash"), "rid").mapInPandas(partial(_regions, places), schema), "regions")
     classes = parts.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo")).alias("one")).where("n > 1")
     classes = written(classes, "named")
     first = (F.col("one.rid") == F.col("rid")) & (F.col("one.lo") == F.col("lo"))
-    done = written(_counted(parts, classes, ["f1", "f2"], "left").select("rid", "lo", "hi", "h", F.col("n").isNotNull().alias("again"), first.alias("first")), "classes")
+    done = written(counted_join(parts, classes, ["f1", "f2"], "left").select("rid", "lo", "hi", "h", F.col("n").isNotNull().alias("again"), first.alias("first")), "classes")
     discard(survivors, parts, classes)
     asked = done.where("not again")
     ones = done.where("again and first").join(asked.select("h").distinct(), "h", "left_semi")
@@ -190,7 +179,7 @@ def repeated_windows(docs: DataFrame, places: int = PLACES) -> tuple[DataFrame,
     schema = "rid long, x int, asked boolean, w1 long, w2 long"
     windows = written(kept.select("rid", "data").join(todo.hint("shuffle_hash"), "rid").mapInPandas(_windows, schema), "windows")
     twice = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    single = _counted(windows.where("asked"), twice, ["w1", "w2"], "left_semi").select("rid", F.col("x").alias("lo"), F.col("x").alias("hi"))
+    single = counted_join(windows.where("asked"), twice, ["w1", "w2"], "left_semi").select("rid", F.col("x").alias("lo"), F.col("x").alias("hi"))
     starts = written(done.where("again").select("rid", "lo", "hi").unionByName(single), "repeats")
     discard(done, todo, windows, twice)
     return kept, starts

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, read_table, written
+from skein.llm.common import counted_join, id_text, read_table, slices, written
 from skein.llm.components import components
 from skein.llm.near_copies import first_rows
 
@@ -71,14 +71,17 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": [_signed(fingerprint(t)) for t in pdf.text]})
+def _fingerprints(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in slices(batches):
+        found = pa.array([_signed(fingerprint(t)) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (as a signed 64-bit number)."""
-    return id_text(docs).mapInPandas(_fingerprints, "doc_id long, fp long")
+    return id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def chain_masks(start: int, segments: int = SEGMENTS) -> list[int]:
@@ -179,13 +182,16 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs(doc_id, text)."""
+    """doc_id, fp, component_id for every row of docs(doc_id, text).
+
+    Rows of a fingerprint that a large share of all rows has (junk, copies) meet its group where they are.
+    """
     marked = written(fingerprints(docs), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "root")
     least = classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    group = classes.join(roots, "fp", "left").join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(group, "fp").select("doc_id", "fp", "component_id")
+    group = classes.join(roots, "fp", "left").join(least, "root", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    return counted_join(marked, written(group, "groups"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import corpus_pipeline
 from skein.llm import decontaminate, pieces, pii, quality, simhash
 from skein.llm.common import read_table
 from tests.llm.fixtures import docs, table
-from tests.llm.test_simhash import brute_fp, brute_groups
+from tests.llm.test_near_copies import brute_kept
 
 
 def brute(spark, sf):
@@ -16,8 +16,7 @@ def brute(spark, sf):
     weights = dict(zip(model.keys.tolist(), model.weights.tolist()))
     scores = np.array([sum(weights.get(f, 0.0) for f in quality.features(t)) for t in d.text])
     d = d[model.tail(scores) >= quality.KEEP_TAIL]
-    groups = brute_groups(d.doc_id.tolist(), [brute_fp(t) for t in d.text])
-    d = d[[groups[i] == i for i in d.doc_id]]
+    d = d[d.doc_id.isin(brute_kept(d.doc_id.tolist(), d.text.tolist()))]
     b = pd.read_parquet(f"{sf}/benchmark.parquet")
     match = decontaminate.Matcher(list(zip(b.item_id, b.text)))
     d = d[[not match(t) for t in d.text]]

@@ -8,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skein.llm import simhash as q
-from skein.llm.common import read_table
 from tests.llm.fixtures import docs, table
 
 
@@ -117,5 +116,13 @@ def test_stage(spark, tmp_path, sf):
     out = q.dedup_stage(spark, d, sf)
     assert out.columns == d.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == [2, 7, None]
-    real = read_table(spark, sf, "documents")
-    assert q.dedup_stage(spark, real, sf).count() == q.op9_simhash(spark, sf).select("component_id").distinct().count()
+
+
+def test_rows_of_a_hot_fingerprint(spark, tmp_path, monkeypatch):
+    from skein.llm import common
+
+    texts = ["same junk again here"] * 60 + [None] * 30 + [f"text number {i} of many others" for i in range(20)]
+    sf = table(spark, tmp_path, "documents", docs(spark, texts))
+    want = sorted(map(str, q.op9_simhash(spark, sf).collect()))
+    monkeypatch.setattr(common, "HOT", 4)  # both large groups are hot
+    assert sorted(map(str, q.op9_simhash(spark, sf).collect())) == want and len(want) == len(texts)
