@@ -25,24 +25,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, read_table
+from skein.llm.common import id_text, read_table, slices
 
 GRADES = 3
 SAMPLE_ROWS = 8000
 MIN_DOCS = 4
 L1 = 5e-4
 KEEP_TAIL = 0.5
-CACHE = 200_000
+CACHE = 100_000  # words of at most CACHE_CHARS characters that a task remembers: about 30 MB
+CACHE_CHARS = 48
 
-_edges = re.compile(r"^[\W_]+|[\W_]+$")
+_inner = re.compile(r"[^\W_]")
 _classes = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(.)\1+"), r"\1")]
 
 
+def _bare(word: str) -> str:
+    """The word without its outer punctuation; each end is scanned once."""
+    first = _inner.search(word)
+    return word[first.start() : len(word) - _inner.search(word[::-1]).start()] if first else ""
+
+
 def _shape(word: str) -> str:
     upper = "A" if word.isupper() and len(word) > 3 else ""
     for rx, to in _classes:
@@ -60,8 +66,8 @@ def features(text: str | None, cache: dict[str, tuple[int, str]] | None = None)
             if word.isalpha():
                 got = (xxhash.xxh64_intdigest("w " + word.lower()), "Aa" if len(word) > 3 and word.isupper() else "a")
             else:
-                got = (xxhash.xxh64_intdigest("w " + _edges.sub("", word.lower())), _shape(word))
-            if len(cache) < CACHE:
+                got = (xxhash.xxh64_intdigest("w " + _bare(word.lower())), _shape(word))
+            if len(cache) < CACHE and len(word) <= CACHE_CHARS:
                 cache[word] = got
         found.add(got[0])
         shapes[got[1]] += times
@@ -155,11 +161,13 @@ def graded(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def _to_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _to_features(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
     cache: dict = {}
-    for pdf in batches:
-        data = [np.fromiter(sorted(features(t, cache)), np.uint64).tobytes() for t in pdf.text]
-        yield pd.DataFrame({"grade": pdf.grade, "data": data})
+    for batch in slices(batches):
+        data = [np.fromiter(sorted(features(t, cache)), np.uint64).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(data, pa.binary())], names=["grade", "data"])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
@@ -167,7 +175,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     # At most sample_rows ids: their size is bounded whatever the tables hold.
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = id_text(docs).join(F.broadcast(sample), "doc_id").select("grade", "text")
-    got = texts.mapInPandas(_to_features, "grade int, data binary").toPandas()
+    got = texts.mapInArrow(_to_features, "grade int, data binary").toPandas()
     order = np.argsort([bytes(x) for x in got.data], kind="stable") if len(got) else []
     got = got.iloc[order]
     return fit([np.frombuffer(x, np.uint64) for x in got.data], got.grade.to_numpy(int))
@@ -189,7 +197,7 @@ def score_texts(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TA
 
         table, thresholds = shared.value
         m, cache = OrdinalModel(thresholds=thresholds), {}
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             scores = np.array([sum(table[f] for f in features(x, cache) if f in table) for x in texts], float)
             tail = m.tail(scores)

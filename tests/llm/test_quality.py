@@ -1,5 +1,10 @@
+import re
+import time
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from skein.llm import quality as q
@@ -74,3 +79,15 @@ def test_stage_keeps_columns(spark, sf):
     d = read_table(spark, sf, "documents")
     out = q.quality_stage(spark, d, sf)
     assert out.columns == d.columns and 0 < out.count() < d.count()
+
+
+def test_long_words_take_linear_time():
+    began = time.perf_counter()
+    q.features("a" + "=" * 1_000_000 + "b " + "x" * 1_000_000 + " " + "a-" * 500_000 + " " + "=" * 1_000_000)
+    assert time.perf_counter() - began < 20
+
+
+@given(st.text(alphabet="a1_=.é中-B", max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_outer_punctuation_goes(word):
+    assert q._bare(word) == re.sub(r"^[\W_]+|[\W_]+$", "", word)
