@@ -8,8 +8,9 @@ the smallest edit distance between the item and any passage there, and hits beyo
 Texts and items are lower-cased, and runs of white space become one blank. The budget is
 ``error_rate`` of the item's normalised length, rounded down.
 
-The automaton is built from the benchmark table, whose size is checked: at most ``batch_items``
-items are matched in one pass over the documents, in as many passes as it takes.
+The automaton is built from the benchmark table, whose size is checked: about ``batch_items`` items and
+``batch_chars`` characters are matched in one pass over the documents, in as many passes as it takes. Each
+row takes what it holds from pass to pass, so their number changes no result.
 
 Cases: null or empty texts and items match nothing; items with equal texts each get their row; equal
 item_ids stay apart by text and the smallest distance counts; items without an id match like any other
@@ -19,16 +20,17 @@ and share the null id; repeated documents each get theirs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 
-import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, read_table
+from skein.llm.common import id_text, read_table, slices
 
 ERROR_RATE = 0.05
 BATCH_ITEMS = 20_000
+BATCH_CHARS = 1_000_000  # of the items of one pass: its automaton takes about 50 bytes for each
 
 
 def normal(text: str | None) -> str:
@@ -128,11 +130,14 @@ class Matcher:
         return found
 
 
-def _batches(benchmark: DataFrame, batch_items: int) -> list[DataFrame]:
-    """The items in parts of about ``batch_items``."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
-    n = -(-items.count() // batch_items) or 1
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+def _passes(benchmark: DataFrame, batch_items: int, batch_chars: int) -> list[Broadcast]:
+    """The items in parts of about ``batch_items`` items and ``batch_chars`` characters, each broadcast on its own."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"]).distinct()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n = max(1, -(-size.n // batch_items), -(-size.chars // batch_chars))
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() for i in range(n))
+    return [spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part), key=_by_id)) for part in parts]
 
 
 def _by_id(row: tuple) -> tuple:
@@ -140,25 +145,40 @@ def _by_id(row: tuple) -> tuple:
     return (row[0] is None, row[0] or 0, *row[1:])
 
 
-def _matches(spark, docs: DataFrame, items: DataFrame, error_rate: float) -> DataFrame:
-    shared = spark.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in items.collect()}, key=_by_id))  # one batch of items
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(shared.value, error_rate)
-        for pdf in batches:
-            rows = [(doc, item, d) for doc, text in zip(pdf.doc_id, pdf.text) for item, d in sorted(matcher(text).items(), key=_by_id)]
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance"])
-            out["item_id"] = pd.array([r[1] for r in rows], "Int64")  # exact beside nulls
-            yield out.astype({"doc_id": "Int64", "distance": "int32"})
-
-    return docs.mapInPandas(run, "doc_id long, item_id long, distance int")
-
+def _pass(items: Broadcast, error_rate: float, last: bool, batches: Iterator) -> Iterator:
+    """Add what one pass finds to each row's list; the smaller distance of an id counts. The last pass lets the texts go."""
+    import pyarrow as pa
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, batch_items: int = BATCH_ITEMS) -> DataFrame:
-    """doc_id, item_id, distance: each benchmark item that a document holds within the item's error budget."""
-    spark, texts = docs.sparkSession, id_text(docs)
-    parts = [_matches(spark, texts, items, error_rate) for items in _batches(benchmark, batch_items)]
-    return reduce(DataFrame.unionByName, parts)
+    matcher = Matcher(items.value, error_rate)
+    for batch in slices(batches):
+        ids, distances, ends = [], [], [0]
+        for text, before in zip(batch.column("text"), batch.column("found").to_pylist()):
+            found = matcher(text.as_py())
+            for old in before:
+                found[old["item_id"]] = min(old["distance"], found.get(old["item_id"], old["distance"]))
+            for item, distance in sorted(found.items(), key=_by_id):
+                ids.append(item)
+                distances.append(distance)
+            ends.append(len(ids))
+        matches = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(distances, pa.int32())], names=["item_id", "distance"])
+        columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "found": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), matches)}
+        if last:
+            del columns["text"]
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, batch_items: int = BATCH_ITEMS, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """doc_id, item_id, distance: each benchmark item that a document holds within the item's error budget.
+
+    A row carries what earlier passes found through the later ones, so the number of passes changes no result.
+    """
+    found = "found array<struct<item_id: long, distance: int>>"
+    rows = id_text(docs).withColumn("found", F.expr("cast(array() as array<struct<item_id: long, distance: int>>)"))
+    passes = _passes(benchmark, batch_items, batch_chars)
+    for i, items in enumerate(passes):
+        last = i == len(passes) - 1
+        rows = rows.mapInArrow(partial(_pass, items, error_rate, last), f"doc_id long, {found}" if last else f"doc_id long, text string, {found}")
+    return rows.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.item_id", "m.distance")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -175,12 +195,11 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names)
-    for items in _batches(read_table(spark, sf_dir, "benchmark"), BATCH_ITEMS):
-        shared = spark.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in items.collect()}, key=_by_id))
+    for items in _passes(read_table(spark, sf_dir, "benchmark"), BATCH_ITEMS, BATCH_CHARS):
 
-        def run(batches, shared=shared):
-            matcher = Matcher(shared.value)
-            for batch in batches:
+        def run(batches, items=items):
+            matcher = Matcher(items.value)
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not matcher(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
         plain = plain.mapInArrow(run, plain.schema)

@@ -350,12 +350,9 @@ def redaction_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches):
         finder = Finder(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            made = []
-            for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
-                made += [None if t is None else redact(t, every) for t, (_, every) in zip(part, finder([t or "" for t in part]))]
+            made = [None if t is None else redact(t, every) for t, (_, every) in zip(texts, finder([t or "" for t in texts]))]
             columns = {n: batch.column(n) for n in names} | {"text": pa.array(made, batch.column("text").type)}
             if "n_chars" in columns:
                 kind = batch.column("n_chars").type

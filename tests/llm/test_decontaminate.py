@@ -107,3 +107,15 @@ def test_items_without_an_id_match(spark, tmp_path):
     assert sorted(got) == [(0, None, 0), (2, big, 0)]
     kept = q.decontamination_stage(spark, read_table(spark, sf, "documents"), sf)
     assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_the_number_of_passes_changes_nothing(spark):
+    items, texts = planted()
+    # Ids with several texts, and the same text under several ids: all must meet across passes.
+    rows = [(k % 3, t) for k, t in enumerate(items)] + [(None, t + " x") for t in items[:4]] + [(7, items[0]), (8, items[0]), (7, items[0] + " y")]
+    d, b = docs(spark, texts + texts[:3], [k % 11 for k in range(len(texts) + 3)]), items_df(spark, rows)
+    want = None
+    for size in ({"batch_items": 100}, {"batch_items": 1}, {"batch_items": 2}, {"batch_chars": 200}):
+        got = sorted(map(str, (tuple(r) for r in q.contaminated(d, b, **size).collect())))
+        want = got if want is None else want
+        assert got == want and len(got) > 10
