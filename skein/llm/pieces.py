@@ -6,26 +6,35 @@ of its substrings that is a piece; the best path has the largest sum of piece sc
 longest last piece, as in the library). Characters without a piece are edges of their own below all scores
 and become byte pieces.
 
-Frequent words go through Spark: their bounded-length substrings are exploded and equi-joined to the piece
-table, edges are grouped by word, and a higher-order ``aggregate`` folds Viterbi over them. They are the most frequent of about
-``sample_rows`` documents, at most ``vocabulary``, so the encoded list has a proven bound and is broadcast. The tasks that encode
-documents look words up in it, and run the same fold themselves for words that are not in it: which words
-are in it changes no result.
+All words go through Spark. The documents are taken in blocks of ``BLOCK_CHARS`` characters, in the order of their
+partition. A block asks for each of its distinct words once (the words of one part of a hash in one row, in order of their
+first occurrence); the parts are dealt, equal words become one row, its bounded-length substrings are exploded and
+equi-joined to the piece table, edges are grouped by word, and a higher-order ``aggregate`` folds Viterbi over them. The ids go
+back to the blocks that asked, by place instead of by word, where they meet the block's texts, and each text is put
+together from its words' ids.
+
+Only words of more than ``WORD_CHARS`` characters (junk without a blank; their trellis would be copied once a character in
+Spark) are folded by the task that holds their document, by the same lattice.
+
+Documents must come from files or a written table: both sides of a block read them in the same order. If they do not,
+the encoding stops with an error.
 
 The scores are those of the model file. Decoding joins pieces and bytes and turns marks into blanks; it gives
 the text back exactly, unless the text itself holds the mark (which then reads as a blank) or code points
 that UTF-8 cannot hold.
 
-Cases: null and empty texts have no ids and decode to the empty text; repeated rows each get their row.
+Cases: null and empty texts have no ids and decode to the empty text; repeated rows each get their row; a text of any
+length is in one block.
 """
 
 from __future__ import annotations
 
 import re
-import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -33,15 +42,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, read_table, written
+from skein.llm.common import id_text, read_table, slices
 
 MARK = "▁"
-VOCABULARY = 100_000
-SAMPLE_ROWS = 5_000
-WORD_CHARS = 24  # longer words are left to the tasks
-CACHE_WORDS = 250_000
-BLOCK_CHARS = 64  # longer words are folded one by one
+WORD_CHARS = 64  # longer words are folded where their document is
+BLOCK_CHARS = 8_000_000  # texts of a block; its distinct words are held by one task
+SALT_BITS = 42  # a word's row lists its places in the blocks of 1,024 partitions; more blocks, more rows
 UNKNOWN_PENALTY = 10.0
+SCHEMA = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -101,70 +109,6 @@ class PieceTable:
             end = start
         return array("I", [i for group in reversed(ids) for i in group]).tobytes()
 
-    def encode_many(self, words: list[str], size: int = 8192) -> list[bytes]:
-        """encode_word for many words at once: the lattice of a block of words as arrays, folded by end position."""
-        out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        lo = 0
-        while lo < len(order) and len(words[order[lo]]) <= BLOCK_CHARS:
-            part = [i for i in order[lo : lo + size] if len(words[i]) <= BLOCK_CHARS]
-            for i, ids in zip(part, self._fold([words[i] for i in part])):
-                out[i] = ids if ids is not None else self.encode_word(words[i])
-            lo += len(part)
-        for i in order[lo:]:
-            out[i] = self.encode_word(words[i])
-        return out
-
-    def _fold(self, words: list[str]) -> list[bytes | None]:
-        """Ids of each word; None where its best path has a character outside ASCII without a piece."""
-        if not hasattr(self, "join"):
-            self.join = _PrefixTable(self.scores)
-        n, most = len(words), len(words[-1])
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        codes = np.array(words, f"<U{most}").view(np.uint32).reshape(n, most)
-        # Explode: substrings by start and length, kept while some piece begins with them; join: their piece, if any.
-        edges, state, start = [], None, None
-        for size in range(1, min(self.longest, most) + 1):
-            ids = np.full((n, most - size + 1), -1, np.int32)
-            if size == 1:
-                at = np.flatnonzero(codes.ravel() >= 0)
-                state = self.join.first(codes.ravel())
-                start = at
-            else:
-                ok = (state > 0) & (start % most + size <= most)
-                start, state = start[ok], state[ok]
-                state = self.join.after(state, codes.ravel()[start + size - 1])
-            piece = self.join.piece[state]
-            ids[start // most, np.minimum(start % most, most - size)] = piece
-            edges.append(ids)
-        single = edges[0]
-        plain = (single < 0) & (codes < 128)
-        score = np.append(self.join.score, -np.inf)
-        best, of, by = np.full((n, most + 1), -np.inf), np.zeros((n, most + 1), np.int16), np.full((n, most + 1), -1, np.int32)
-        best[:, 0] = 0
-        for end in range(1, most + 1):
-            for size in range(min(len(edges), end), 0, -1):
-                ids = edges[size - 1][:, end - size]
-                s = best[:, end - size] + score[ids]
-                if size == 1:
-                    alone = ids < 0
-                    s = np.where(alone, best[:, end - 1] + self.unknown, s)
-                    ids = np.where(plain[:, end - 1], self.byte_zero + codes[:, end - 1].astype(np.int32), ids)
-                better = s > best[:, end]
-                best[better, end], of[better, end], by[better, end] = s[better], end - size, ids[better]
-        rows, at, steps, sizes = np.arange(n), lengths.copy(), [], np.zeros(n, np.int64)
-        while (at > 0).any():
-            live = at > 0
-            steps.append(np.where(live, by[rows, at], -2))
-            sizes += live
-            at = np.where(live, of[rows, at], 0)
-        path = np.stack(steps[::-1], axis=1).astype("<i4")
-        hard = (path == -1).any(axis=1)
-        width = path.shape[1]
-        raw = path.tobytes()
-        # A shorter path stands at the right of its row, after the gaps.
-        return [None if h else raw[4 * (width * (i + 1) - k) : 4 * width * (i + 1)] for i, (h, k) in enumerate(zip(hard.tolist(), sizes.tolist()))]
-
     def byte_ids(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_zero + b for b in char.encode("utf-8", "replace"))
 
@@ -177,154 +121,182 @@ class PieceTable:
         return text[1:] if text.startswith(" ") else text
 
 
-class _PrefixTable:
-    """The pieces' prefixes as states of one array: joins a substring to its piece a character at a time."""
-
-    def __init__(self, scores: dict[str, tuple[int, float]]):
-        chars = sorted({c for p in scores for c in p})
-        self.code = np.zeros(0x110001, np.int32)
-        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.width = len(chars) + 1
-        states = {p: i for i, p in enumerate(sorted({p[:k] for p in scores for k in range(1, len(p) + 1)}), 1)}
-        self.piece = np.full(len(states) + 1, -1, np.int32)
-        for p, (i, _) in scores.items():
-            self.piece[states[p]] = i
-        self.score = np.full(max(i for i, _ in scores.values()) + 1, -np.inf)
-        for i, s in scores.values():
-            self.score[i] = s
-        # state 0: no piece begins so; an edge of the trie is state * width + character.
-        keys = np.array([states.get(p[:-1], 0) * self.width + int(self.code[ord(p[-1])]) for p in states], np.int64)
-        to = np.fromiter(states.values(), np.int32, len(states))
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], to[order]
-        self.initial = np.zeros(self.width, np.int32)
-        for p, i in states.items():
-            if len(p) == 1:
-                self.initial[self.code[ord(p)]] = i
-
-    def first(self, codes: np.ndarray) -> np.ndarray:
-        return self.initial[self.code[codes]]
-
-    def after(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        key = state.astype(np.int64) * self.width + self.code[codes]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], 0)
-
-
 _words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-class Encoder:
-    """Ids of whole texts, as little-endian uint32 bytes."""
-
-    def __init__(self, table: PieceTable, frequent: dict[str, bytes] | None = None):
-        self.table, self.known = table, dict(frequent or {})
-        self.room = len(self.known) + CACHE_WORDS
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        get, split, found = self.known.get, [], []
-        for t in texts:
-            words = t.split(" ") if t else []
-            if "" in words or MARK in t:  # blanks in a row or at an end, or the mark itself: words with their marks
-                words = [w[1:] if w[0] == MARK and MARK not in w[1:] and len(w) > 1 else w for w in _words.findall(MARK + t.replace(" ", MARK))]
-            split.append(words)
-            found.append(list(map(get, words)))
-        missed = list({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None})
-        if missed:
-            # What still holds a mark is a word with all of its marks; others get one in front.
-            new = dict(zip(missed, self.table.encode_many([w if MARK in w else MARK + w for w in missed])))
-            if len(self.known) < self.room:
-                self.known.update(new)
-            found = [[new[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
-        return [b"".join(ids) for ids in found]
-
+def split_words(text: str) -> list[str]:
+    """The words of a text: plain ones without their mark, others (several marks, or marks only) with all of them."""
+    words = text.split(" ") if text else []
+    if "" in words or MARK in text:  # blanks in a row or at an end, or the mark itself
+        words = [w[1:] if w[0] == MARK and MARK not in w[1:] and len(w) > 1 else w for w in _words.findall(MARK + text.replace(" ", MARK))]
+    return words
 
-_held: list = []
 
+def marked(word: str) -> str:
+    """A word of ``split_words`` as the lattice sees it."""
+    return word if MARK in word else MARK + word
 
-def _encoder(shared: Broadcast) -> Encoder:
-    """This worker's encoder for a broadcast model; its cache lasts from task to task."""
-    if not _held or _held[0] is not shared.value:
-        _held[:] = [shared.value, Encoder(*shared.value)]
-    return _held[1]
 
+def _blocks(chars: int, batches: Iterator) -> Iterator[tuple[int, list]]:
+    """(number, Arrow slices) of the blocks of a partition's rows, however these come in batches."""
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
 
-def frequent_words(docs: DataFrame, vocabulary: int = VOCABULARY, chars: int = WORD_CHARS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """word, n: the most frequent blank-separated words of a sample of the documents chosen by hash, ties by word."""
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    words = few.select(F.explode(F.split("text", " ")).alias("word")).where(F.length("word").between(1, chars) & ~F.contains("word", F.lit(MARK)))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary)
-
-
-def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """word, ids for ``words(word)``: the relational lattice. An id below zero stands for minus a code point without a piece."""
+    number, held, room = TaskContext.get().partitionId() << 32, [], chars
+    for batch in batches:
+        lo = 0
+        for i, size in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), 1):
+            room -= size + 16  # a row counts, too
+            if room <= 0:
+                yield number, [*held, batch.slice(lo, i - lo)]
+                number, held, room, lo = number + 1, [], chars, i
+        if lo < batch.num_rows:
+            held.append(batch.slice(lo))
+    if held:
+        yield number, held
+
+
+def _by_part(texts: Iterator[str | None], n: int) -> tuple[list[list[str]], list[str]]:
+    """The distinct words of some texts by part, in order of their first occurrence, and those that are too long."""
+    words: dict[str, None] = {}
+    for t in texts:
+        if t:
+            words.update(dict.fromkeys(split_words(t)))
+    parts, long = [[] for _ in range(n)], []
+    crc = zlib.crc32
+    for w in words:
+        if len(w) > WORD_CHARS:
+            long.append(w)
+        else:
+            parts[crc(w.encode("utf-8", "replace")) % n].append(w)
+    return parts, long
+
+
+def _asked(n: int, chars: int, batches: Iterator) -> Iterator:
+    """part, block, words (blank-separated) for each block and part."""
+    import pyarrow as pa
+
+    for block, held in _blocks(chars, batches):
+        parts, _ = _by_part((t for s in slices(held) for t in s.column("text").to_pylist()), n)
+        rows = [(p, " ".join(words)) for p, words in enumerate(parts) if words]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([w for _, w in rows], pa.string())], names=["part", "block", "words"])
+
+
+def _packed(chars: int, batches: Iterator) -> Iterator:
+    """block, data: a block's rows as one compressed Arrow stream."""
+    import pyarrow as pa
+
+    for block, held in _blocks(chars, batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+
+
+def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
+    """part, payload, ids for ``words(id, part, word, payload)``: the relational lattice.
+
+    An id below zero stands for minus a code point without a piece. The payload travels on one edge of its word.
+    """
     spark = words.sparkSession
     rows = [(p, i, float(s)) for p, (i, s) in table.scores.items()]
-    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))  # as large as the model's table
-    marked = words.select("word", F.concat(F.lit(MARK), "word").alias("w")).repartition("word")
-    starts = marked.select("word", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
+    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, piece_id int, score double"))  # as large as the model's table
+    w = F.when(F.contains("word", F.lit(MARK)), F.col("word")).otherwise(F.concat(F.lit(MARK), "word"))
+    whole = words.select("id", "part", w.alias("w"), "payload")
+    starts = whole.select("id", "part", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"), "payload")
+    starts = starts.withColumn("payload", F.when(F.col("i") == 1, F.col("payload")))
     sizes = F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("w") - F.col("i") + 1))
-    spans = starts.select("word", "w", "i", F.explode(sizes).alias("l")).select("word", "i", "l", F.expr("substring(w, i, l)").alias("piece"))
-    edges = spans.join(pieces, "piece", "left").where("id is not null or l = 1")
-    # The rows of a word are still together: grouping them needs no further shuffle.
+    spans = starts.select("id", "part", "w", "i", F.explode(sizes).alias("l"), "payload")
+    spans = spans.select("id", "part", "i", "l", F.expr("substring(w, i, l)").alias("piece"), F.when(F.col("l") == 1, F.col("payload")).alias("payload"))
+    edges = spans.join(pieces, "piece", "left").where("piece_id is not null or l = 1")
     edge = F.struct(
         (F.col("i") + F.col("l")).alias("to"),
         F.col("i").alias("of"),
         F.coalesce("score", F.lit(table.unknown)).alias("score"),
-        F.coalesce("id", -F.ascii("piece")).alias("id"),
+        F.coalesce("piece_id", -F.ascii("piece")).alias("id"),
     )
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # Viterbi: node k + 1 of the trellis from the edges that end there; ties keep the earlier start.
-    viterbi = """
-      aggregate(sequence(2, length(word) + 2),
-        array(named_struct('s', 0D, 'of', 0, 'id', 0)),
-        (t, k) -> concat(t, array(aggregate(
-          filter(edges, e -> e.to = k),
-          named_struct('s', cast(null as double), 'of', 0, 'id', 0),
-          (b, e) -> if(b.s is null or element_at(t, e.of).s + e.score > b.s,
-                       named_struct('s', element_at(t, e.of).s + e.score, 'of', e.of, 'id', e.id), b)))))
+    # Rows of a word are still in one task, dealt by part: grouping them needs no further shuffle.
+    lattice = edges.groupBy("id", "part").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("payload", ignorenulls=True).alias("payload"))
+    # Viterbi over the edges by their end: ``t`` holds the nodes behind, ``b`` the best way to the one at hand, and every node has an
+    # edge, that of its last character. Ties keep the earlier start.
+    node = "named_struct('s', 0D, 'of', 0, 'id', 0)"
+    cost = "if(e.of > size(a.t), a.b.s, element_at(a.t, e.of).s) + e.score"
+    viterbi = f"""
+      aggregate(edges, named_struct('t', slice(array({node}), 1, 0), 'b', {node}),
+        (a, e) -> if(e.to > size(a.t) + 1,
+          named_struct('t', concat(a.t, array(a.b)), 'b', named_struct('s', {cost}, 'of', e.of, 'id', e.id)),
+          if({cost} > a.b.s, named_struct('t', a.t, 'b', named_struct('s', {cost}, 'of', e.of, 'id', e.id)), a)),
+        a -> concat(a.t, array(a.b)))
     """
     path = """
-      aggregate(sequence(length(word) + 2, 2, -1),
-        named_struct('at', length(word) + 2, 'ids', cast(array() as array<int>)),
+      aggregate(sequence(size(trellis), 2, -1),
+        named_struct('at', size(trellis), 'ids', cast(array() as array<int>)),
         (p, k) -> if(k = p.at, named_struct('at', element_at(trellis, k).of, 'ids', concat(array(element_at(trellis, k).id), p.ids)), p),
         p -> p.ids)
     """
-    return lattice.select("word", F.expr(viterbi).alias("trellis")).select("word", F.expr(path).alias("ids"))
-
-
-def frequent_ids(docs: DataFrame, table: PieceTable, vocabulary: int = VOCABULARY) -> dict[str, bytes]:
-    """The encoded frequent words: at most ``vocabulary`` of at most WORD_CHARS characters."""
-    words = written(frequent_words(docs, vocabulary), "words")
-    found = {}
-    for word, ids in encode_words(words.select("word"), table).toPandas().itertuples(index=False):
-        flat = [j for i in ids for j in ((i,) if i >= 0 else table.byte_ids(chr(-i)))]
-        found[word] = struct.pack(f"<{len(flat)}I", *flat)
-    return found
-
-
-def encode(docs: DataFrame, path: str | None = None, vocabulary: int = VOCABULARY, check: bool = True) -> DataFrame:
+    return lattice.select("part", "payload", F.expr(viterbi).alias("trellis")).select("part", "payload", F.expr(path).alias("ids"))
+
+
+def word_ids(docs: DataFrame, table: PieceTable, chars: int = BLOCK_CHARS) -> DataFrame:
+    """block, part, sizes, ids: the encoded words that each block of ``docs(text)`` asked for, in the order of its words."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = docs.select("text").mapInArrow(partial(_asked, n, chars), "part int, block long, words string").repartition(n, "part")
+    places = asked.select("part", "block", F.posexplode(F.split("words", " ")).alias("pos", "word"))
+    salt = F.shiftright("block", SALT_BITS)
+    words = places.groupBy("word", "part", salt.alias("salt")).agg(F.collect_list(F.struct("block", "pos")).alias("payload"))
+    found = best_paths(words.withColumn("id", F.monotonically_increasing_id()), table)
+    back = found.select("part", F.explode("payload").alias("p"), "ids").select("p.block", "part", F.struct("p.pos", "ids").alias("x"))
+    rows = back.groupBy("block", "part").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return rows.select("block", "part", F.transform("xs", lambda x: F.size(x["ids"])).alias("sizes"), F.flatten(F.transform("xs", lambda x: x["ids"])).alias("ids"))
+
+
+def _known(table: PieceTable, parts: list[list[str]], long: list[str], answers) -> dict[str, bytes]:
+    """Little-endian uint32 ids of a block's words, from the answers to what it asked."""
+    known = {w: table.encode_word(marked(w)) for w in long}
+    for part, sizes, ids in zip(answers.column("part").to_pylist(), answers.column("sizes"), answers.column("ids")):
+        words, ends, flat = parts[part], np.cumsum(sizes.values.to_numpy()), ids.values.to_numpy()
+        if len(words) != len(ends):
+            raise RuntimeError("a block's texts came in another order than its words; write the documents to a table first")
+        raw, at = flat.astype("<i4").tobytes(), [0, *(4 * ends).tolist()]
+        known.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:])]))
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), side="right")).tolist():  # code points without a piece
+            one = flat[at[k] // 4 : at[k + 1] // 4].tolist()
+            known[words[k]] = array("I", [j for i in one for j in ((i,) if i >= 0 else table.byte_ids(chr(-i)))]).tobytes()
+        parts[part] = []
+    if any(parts):
+        raise RuntimeError("some words of a block have no ids; write the documents to a table first")
+    return known
+
+
+def _encoded(shared: Broadcast, n: int, check: bool, packed, answers):
+    """One block: its texts from the ids of its words."""
+    import pyarrow as pa
+
+    table = shared.value
+    rows = pa.ipc.open_stream(packed.column("data")[0].as_buffer()).read_all()
+    held = [s for b in rows.to_batches() for s in slices([b])]
+    parts, long = _by_part((t for s in held for t in s.column("text").to_pylist()), n)
+    known, made = _known(table, parts, long, answers), []
+    for part in held:
+        texts = [t or "" for t in part.column("text").to_pylist()]
+        found = [b"".join(map(known.__getitem__, split_words(t))) for t in texts]
+        sizes = np.array([len(b) // 4 for b in found], np.int32)
+        values = pa.array(np.frombuffer(b"".join(found), "<i4"))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+        same = [table.decode(np.frombuffer(b, "<i4")) == t for b, t in zip(found, texts)] if check else [None] * len(texts)
+        made.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]))
+    return pa.Table.from_batches(made)
+
+
+def encode(docs: DataFrame, path: str | None = None, check: bool = True, chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and round_trip, whether the ids decode to the text, for docs(doc_id, text)."""
     spark, table, rows = docs.sparkSession, PieceTable.load(path or model_path()), id_text(docs)
-    shared = spark.sparkContext.broadcast((table, frequent_ids(rows, table, vocabulary)))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        encode = _encoder(shared)
-        table = encode.table
-        for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                made = encode(texts)
-                sizes = np.array([len(b) // 4 for b in made], np.int32)
-                values = np.frombuffer(b"".join(made), "<u4").astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
-                same = [table.decode(np.frombuffer(b, "<u4")) == t for b, t in zip(made, texts)] if check else [None] * len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    shared = spark.sparkContext.broadcast(table)  # as large as the model's table
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.mapInArrow(partial(_packed, chars), "block long, data binary")
+    both = packed.groupBy("block").cogroup(word_ids(rows, table, chars).groupBy("block"))
+    return both.applyInArrow(lambda left, right: _encoded(shared, n, check, left, right), SCHEMA)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:

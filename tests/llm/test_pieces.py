@@ -51,11 +51,9 @@ def test_fold_finds_the_best_path(word):
     assert s == pytest.approx(brute(word), rel=1e-12)
 
 
-@given(st.lists(st.text(alphabet="thering▁éß中🙂\n.A", min_size=1, max_size=20), min_size=1, max_size=30))
-@settings(max_examples=150, deadline=None)
-def test_many_words_at_once(words):
-    words = [q.MARK + w for w in words] + [q.MARK + "th" * 50]
-    assert TABLE.encode_many(words, size=7) == [TABLE.encode_word(w) for w in words]
+def encoded(text):
+    """A text's ids from its words, one at a time."""
+    return [i for w in q.split_words(text or "") for i in ids(TABLE.encode_word(q.marked(w)))]
 
 
 def path_score(word_ids):
@@ -64,12 +62,11 @@ def path_score(word_ids):
 
 def test_same_as_the_library(library, sf):
     """The first of the library's n-best paths; of paths with equal sums it may name another."""
-    e = q.Encoder(TABLE)
     texts = pd.read_parquet(f"{sf}/documents.parquet").text.tolist()
     words = list({w for t in texts for w in t.split() if w})[:6000]
     same = 0
     for w in words:
-        got, want = ids(e([w])[0]), library.nbest_encode_as_ids(w, 2)[0]
+        got, want = encoded(w), library.nbest_encode_as_ids(w, 2)[0]
         same += got == want
         if not any(TABLE.byte_zero <= i < TABLE.byte_zero + 256 for i in got):
             assert path_score(got) == path_score(want), w
@@ -78,12 +75,29 @@ def test_same_as_the_library(library, sf):
 
 def test_spark_fold_equals_the_tasks_fold(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    words = q.frequent_words(d, 3000).select("word").union(spark.createDataFrame([("é中🙂x",), ("\n",), ("a\nb",), ("ñ",)], "word string")).distinct()
-    got = q.encode_words(words, TABLE).collect()
-    assert len(got) == words.count()
+    words = d.select(q.F.explode(q.F.split("text", " ")).alias("word")).where("length(word) between 1 and 64").distinct()
+    odd = [("é中🙂x",), ("\n",), ("a\nb",), ("ñ",), ("▁▁▁",), ("▁▁a",), ("thering" * 9,)]
+    words = words.union(spark.createDataFrame(odd, "word string")).select(q.F.monotonically_increasing_id().alias("id"), q.F.lit(0).alias("part"), "word", q.F.col("word").alias("payload"))
+    got = q.best_paths(words, TABLE).collect()
+    assert len(got) == words.count() > 5000
     for r in got:
         flat = [j for i in r.ids for j in ((i,) if i >= 0 else TABLE.byte_ids(chr(-i)))]
-        assert flat == ids(TABLE.encode_word(q.MARK + r.word)), r.word
+        assert flat == ids(TABLE.encode_word(q.marked(r.payload))), r.payload
+
+
+def test_no_word_is_missed_by_small_blocks(spark, sf):
+    """Blocks of a few documents, and of one, against each word's own fold: every id comes back to its block."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    for chars in (20_000, 1):
+        got = {r.doc_id: r.ids for r in q.encode(rows, chars=chars).collect()}
+        assert got == {i: encoded(t) for i, t in texts.items()}
+
+
+def test_grouping_by_word_needs_no_shuffle(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = q.word_ids(d, TABLE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_query_and_round_trip(spark, tmp_path):
@@ -92,7 +106,7 @@ def test_query_and_round_trip(spark, tmp_path):
     assert len(got) == len(ODD)
     for i, t in enumerate(ODD):
         assert got[i].n_tokens == len(got[i].ids)
-        assert got[i].ids == ids(q.Encoder(TABLE)([t or ""])[0])
+        assert got[i].ids == encoded(t)
         assert got[i].round_trip == (q.MARK not in (t or ""))
     back = {r.doc_id: r.text for r in q.decode(spark, q.op2_sentencepiece(spark, sf)).collect()}
     assert all(back[i] == (t or "").replace(q.MARK, " ") for i, t in enumerate(ODD))

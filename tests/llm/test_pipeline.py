@@ -3,10 +3,11 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from skein.llm import decontaminate, pieces, pii, quality, simhash
+from skein.llm import decontaminate, pii, quality
 from skein.llm.common import read_table
 from tests.llm.fixtures import docs, table
 from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_pieces import encoded
 
 
 def brute(spark, sf):
@@ -20,10 +21,10 @@ def brute(spark, sf):
     b = pd.read_parquet(f"{sf}/benchmark.parquet")
     match = decontaminate.Matcher(list(zip(b.item_id, b.text)))
     d = d[[not match(t) for t in d.text]]
-    find, encode = pii.Finder(pii.trained()), pieces.Encoder(pieces.PieceTable.load(pieces.model_path()))
+    find = pii.Finder(pii.trained())
     out = {}
     for i, t in zip(d.doc_id, d.text):
-        out[i] = np.frombuffer(encode([pii.redact(t, find([t])[0][1])])[0], "<u4").tolist()
+        out[i] = encoded(pii.redact(t, find([t])[0][1]))
     return out
 
 
