@@ -10,8 +10,8 @@ All words go through Spark. The documents are taken in blocks of ``BLOCK_CHARS``
 partition. A block asks for each of its distinct words once (the words of one part of a hash in one row, in order of their
 first occurrence); the parts are dealt, equal words become one row, its bounded-length substrings are exploded and
 equi-joined to the piece table, edges are grouped by word, and a higher-order ``aggregate`` folds Viterbi over them. The ids go
-back to the blocks that asked, by place instead of by word, where they meet the block's texts, and each text is put
-together from its words' ids.
+back to the blocks that asked, by place instead of by word. They meet the block's texts as numbers of words there, and each
+text is put together from its words' ids. What is decoded from them is compared with the text by a 128-bit digest.
 
 Only words of more than ``WORD_CHARS`` characters (junk without a blank; their trellis would be copied once a character in
 Spark) are folded by the task that holds their document, by the same lattice.
@@ -38,6 +38,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,8 @@ from skein.llm.common import id_text, read_table, slices
 
 MARK = "▁"
 WORD_CHARS = 64  # longer words are folded where their document is
-BLOCK_CHARS = 8_000_000  # texts of a block; its distinct words are held by one task
+BLOCK_CHARS = 16_000_000  # texts of a block; its distinct words are held by one task
+PART_CHARS = 1_000_000  # texts for each part of the words
 SALT_BITS = 42  # a word's row lists its places in the blocks of 1,024 partitions; more blocks, more rows
 UNKNOWN_PENALTY = 10.0
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
@@ -156,20 +159,32 @@ def _blocks(chars: int, batches: Iterator) -> Iterator[tuple[int, list]]:
         yield number, held
 
 
-def _by_part(texts: Iterator[str | None], n: int) -> tuple[list[list[str]], list[str]]:
-    """The distinct words of some texts by part, in order of their first occurrence, and those that are too long."""
-    words: dict[str, None] = {}
-    for t in texts:
-        if t:
-            words.update(dict.fromkeys(split_words(t)))
-    parts, long = [[] for _ in range(n)], []
-    crc = zlib.crc32
-    for w in words:
-        if len(w) > WORD_CHARS:
-            long.append(w)
-        else:
-            parts[crc(w.encode("utf-8", "replace")) % n].append(w)
-    return parts, long
+class _Words:
+    """The distinct words of a block by part, in order of their first occurrence, and the texts as numbers of words.
+
+    Numbers count the words of part 0, then those of part 1 and so on, then those that are too long for Spark.
+    """
+
+    def __init__(self, n: int, held: list):
+        at: dict[str, int] = {}
+        number, rows, self.sizes, self.texts = at.setdefault, [], [], []
+        for part in slices(held):
+            for t in part.column("text").to_pylist():
+                words = split_words(t or "")
+                rows.append(array("i", [number(w, len(at)) for w in words]))
+                self.sizes.append(len(words))
+                self.texts.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")))
+        self.parts: list[list[str]] = [[] for _ in range(n)]
+        self.long, crc, of, place = [], zlib.crc32, [], []
+        for w in at:
+            p = n if len(w) > WORD_CHARS else crc(w.encode("utf-8", "replace")) % n
+            words = self.long if p == n else self.parts[p]
+            of.append(p)
+            place.append(len(words))
+            words.append(w)
+        starts = np.cumsum([0, *map(len, self.parts)])
+        numbers = (starts[of] + place if of else np.empty(0, np.int64)).astype(np.int32)
+        self.flat = numbers[np.frombuffer(b"".join(rows), np.int32)]
 
 
 def _asked(n: int, chars: int, batches: Iterator) -> Iterator:
@@ -177,21 +192,30 @@ def _asked(n: int, chars: int, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for block, held in _blocks(chars, batches):
-        parts, _ = _by_part((t for s in slices(held) for t in s.column("text").to_pylist()), n)
-        rows = [(p, " ".join(words)) for p, words in enumerate(parts) if words]
+        rows = [(p, " ".join(words)) for p, words in enumerate(_Words(n, held).parts) if words]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([w for _, w in rows], pa.string())], names=["part", "block", "words"])
 
 
-def _packed(chars: int, batches: Iterator) -> Iterator:
-    """block, data: a block's rows as one compressed Arrow stream."""
+def _packed(n: int, chars: int, batches: Iterator) -> Iterator:
+    """One row for each block: its ids, the number of words and the digest of each text, the words' numbers, long words.
+
+    Of the numbers, all lowest bytes come first, then all second bytes and so on: they compress better apart.
+    """
     import pyarrow as pa
 
     for block, held in _blocks(chars, batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for part in held:
-                out.write_batch(part)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+        words = _Words(n, held)
+        numbers = np.ascontiguousarray(words.flat.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+        ids = pa.concat_arrays([h.column("doc_id") for h in held])
+        row = [
+            pa.array([block], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            pa.array([np.array(words.sizes, "<i4").tobytes()], pa.binary()),
+            pa.array([b"".join(words.texts)], pa.binary()),
+            pa.array([zstandard.compress(numbers.tobytes())], pa.binary()),
+            pa.array([words.long], pa.list_(pa.string())),
+        ]
+        yield pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "sizes", "texts", "numbers", "long"])
 
 
 def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
@@ -238,54 +262,70 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     return lattice.select("part", "payload", F.expr(viterbi).alias("trellis")).select("part", "payload", F.expr(path).alias("ids"))
 
 
-def word_ids(docs: DataFrame, table: PieceTable, chars: int = BLOCK_CHARS) -> DataFrame:
-    """block, part, sizes, ids: the encoded words that each block of ``docs(text)`` asked for, in the order of its words."""
+def parts_for(docs: DataFrame) -> int:
+    """Parts of the words of ``docs(text)``: small ones that are sorted in memory, of about PART_CHARS characters of text."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = docs.select("text").mapInArrow(partial(_asked, n, chars), "part int, block long, words string").repartition(n, "part")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(n, min(chars // PART_CHARS, 16 * n))
+
+
+def word_ids(docs: DataFrame, table: PieceTable, n: int, chars: int = BLOCK_CHARS) -> DataFrame:
+    """block, part, sizes, ids: the encoded words that each block of ``docs(text)`` asked for, in the order of its words."""
+    asked = docs.select("text").mapInArrow(partial(_asked, n, chars), "part int, block long, words string").repartitionById(n, "part")
     places = asked.select("part", "block", F.posexplode(F.split("words", " ")).alias("pos", "word"))
     salt = F.shiftright("block", SALT_BITS)
     words = places.groupBy("word", "part", salt.alias("salt")).agg(F.collect_list(F.struct("block", "pos")).alias("payload"))
     found = best_paths(words.withColumn("id", F.monotonically_increasing_id()), table)
     back = found.select("part", F.explode("payload").alias("p"), "ids").select("p.block", "part", F.struct("p.pos", "ids").alias("x"))
     rows = back.groupBy("block", "part").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    return rows.select("block", "part", F.transform("xs", lambda x: F.size(x["ids"])).alias("sizes"), F.flatten(F.transform("xs", lambda x: x["ids"])).alias("ids"))
-
-
-def _known(table: PieceTable, parts: list[list[str]], long: list[str], answers) -> dict[str, bytes]:
-    """Little-endian uint32 ids of a block's words, from the answers to what it asked."""
-    known = {w: table.encode_word(marked(w)) for w in long}
-    for part, sizes, ids in zip(answers.column("part").to_pylist(), answers.column("sizes"), answers.column("ids")):
-        words, ends, flat = parts[part], np.cumsum(sizes.values.to_numpy()), ids.values.to_numpy()
-        if len(words) != len(ends):
-            raise RuntimeError("a block's texts came in another order than its words; write the documents to a table first")
-        raw, at = flat.astype("<i4").tobytes(), [0, *(4 * ends).tolist()]
-        known.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:])]))
-        for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), side="right")).tolist():  # code points without a piece
-            one = flat[at[k] // 4 : at[k + 1] // 4].tolist()
-            known[words[k]] = array("I", [j for i in one for j in ((i,) if i >= 0 else table.byte_ids(chr(-i)))]).tobytes()
-        parts[part] = []
-    if any(parts):
-        raise RuntimeError("some words of a block have no ids; write the documents to a table first")
-    return known
-
-
-def _encoded(shared: Broadcast, n: int, check: bool, packed, answers):
-    """One block: its texts from the ids of its words."""
+    return rows.select("block", "part", F.transform("xs", lambda x: F.size(x["ids"]).cast("short")).alias("sizes"), F.flatten(F.transform("xs", lambda x: x["ids"])).alias("ids"))
+
+
+def _answered(table: PieceTable, answers, long: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, ids of each word) in the order of a block's numbers."""
+    rows = sorted(zip(answers.column("part").to_pylist(), answers.column("sizes"), answers.column("ids")), key=lambda r: r[0])
+    extra = [np.frombuffer(table.encode_word(marked(w)), "<i4") for w in long]
+    sizes = np.concatenate([*(r[1].values.to_numpy() for r in rows), np.array([len(x) for x in extra], np.int64)]).astype(np.int64)
+    flat = np.concatenate([*(r[2].values.to_numpy() for r in rows), *extra, np.empty(0, np.int32)]).astype(np.int32)
+    odd = np.flatnonzero(flat < 0)  # code points without a piece become bytes
+    if len(odd):
+        made = [table.byte_ids(chr(-i)) for i in flat[odd].tolist()]
+        times = np.ones(len(flat), np.int64)
+        times[odd] = list(map(len, made))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.bincount(of, times, len(sizes)).astype(np.int64)
+        bare = flat < 0
+        flat = np.repeat(flat, times)
+        flat[np.repeat(bare, times)] = [j for m in made for j in m]
+    return flat, sizes
+
+
+def _encoded(shared: Broadcast, check: bool, packed, answers):
+    """One block: its texts from the ids of its words, with numpy gathers over slices of them."""
     import pyarrow as pa
 
-    table = shared.value
-    rows = pa.ipc.open_stream(packed.column("data")[0].as_buffer()).read_all()
-    held = [s for b in rows.to_batches() for s in slices([b])]
-    parts, long = _by_part((t for s in held for t in s.column("text").to_pylist()), n)
-    known, made = _known(table, parts, long, answers), []
-    for part in held:
-        texts = [t or "" for t in part.column("text").to_pylist()]
-        found = [b"".join(map(known.__getitem__, split_words(t))) for t in texts]
-        sizes = np.array([len(b) // 4 for b in found], np.int32)
-        values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-        same = [table.decode(np.frombuffer(b, "<i4")) == t for b, t in zip(found, texts)] if check else [None] * len(texts)
-        made.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]))
+    table, row = shared.value, {c: packed.column(c)[0] for c in packed.column_names}
+    flat, sizes = _answered(table, answers, row["long"].as_py())
+    begin = np.cumsum(sizes) - sizes
+    raw = zstandard.decompress(row["numbers"].as_py())
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    if len(np.unique(numbers)) != len(sizes):
+        raise RuntimeError("a block's texts and its words came from different rows; write the documents to a table first")
+    words, digests, doc_ids, made, at = np.frombuffer(row["sizes"].as_py(), "<i4"), row["texts"].as_py(), row["doc_ids"].values, [], 0
+    for lo in range(0, len(words), 256):
+        some = words[lo : lo + 256]
+        mine = numbers[at : at + some.sum()]
+        at += len(mine)
+        times = sizes[mine]
+        ends = np.concatenate([[0], np.cumsum(times)])
+        found = flat[np.repeat(begin[mine] - ends[:-1], times) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(some)])]
+        same = [None] * len(some)
+        if check:
+            texts = (table.decode(found[a:b]) for a, b in zip(bounds, bounds[1:]))
+            same = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) == digests[16 * k : 16 * k + 16] for k, t in enumerate(texts, lo)]
+        ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))
+        made.append(pa.RecordBatch.from_arrays([doc_ids.slice(lo, 256), pa.array(np.diff(bounds)), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]))
     return pa.Table.from_batches(made)
 
 
@@ -293,10 +333,10 @@ def encode(docs: DataFrame, path: str | None = None, check: bool = True, chars:
     """doc_id, n_tokens, ids (array of int) and round_trip, whether the ids decode to the text, for docs(doc_id, text)."""
     spark, table, rows = docs.sparkSession, PieceTable.load(path or model_path()), id_text(docs)
     shared = spark.sparkContext.broadcast(table)  # as large as the model's table
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(partial(_packed, chars), "block long, data binary")
-    both = packed.groupBy("block").cogroup(word_ids(rows, table, chars).groupBy("block"))
-    return both.applyInArrow(lambda left, right: _encoded(shared, n, check, left, right), SCHEMA)
+    n = parts_for(rows)
+    packed = rows.mapInArrow(partial(_packed, n, chars), "block long, doc_ids array<long>, sizes binary, texts binary, numbers binary, long array<string>")
+    both = packed.groupBy("block").cogroup(word_ids(rows, table, n, chars).groupBy("block"))
+    return both.applyInArrow(lambda left, right: _encoded(shared, check, left, right), SCHEMA)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:
