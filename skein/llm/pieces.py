@@ -51,6 +51,8 @@ WORD_CHARS = 64  # longer words are folded where their document is
 BLOCK_CHARS = 16_000_000  # texts of a block; its distinct words are held by one task
 PART_CHARS = 1_000_000  # texts for each part of the words
 SALT_BITS = 42  # a word's row lists its places in the blocks of 1,024 partitions; more blocks, more rows
+HEAD = 3  # characters that bound the length of the pieces which begin with them
+SHORT = 1 << 15  # ids of two bytes
 UNKNOWN_PENALTY = 10.0
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
@@ -115,14 +117,23 @@ class PieceTable:
     def byte_ids(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_zero + b for b in char.encode("utf-8", "replace"))
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of a sequence of ids."""
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The pieces and bytes of a sequence of ids, one after the other."""
         if not hasattr(self, "raw"):
             lo = self.byte_zero
             self.raw = [bytes([i - lo]) if lo <= i < lo + 256 else t.encode() for i, t in enumerate(self.texts)]
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))
+
+    @staticmethod
+    def text(joined: bytes) -> str:
+        """The text of decoded bytes: marks become blanks, the first one goes."""
+        text = joined.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of a sequence of ids."""
+        return self.text(self.decode_bytes(ids))
+
 
 _words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -159,6 +170,19 @@ def _blocks(chars: int, batches: Iterator) -> Iterator[tuple[int, list]]:
         yield number, held
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _part(word: str, n: int) -> int:
+    """The part of a word; n for one that is too long for Spark."""
+    return n if len(word) > WORD_CHARS else zlib.crc32(word.encode("utf-8", "replace")) % n
+
+
 class _Words:
     """The distinct words of a block by part, in order of their first occurrence, and the texts as numbers of words.
 
@@ -166,33 +190,40 @@ class _Words:
     """
 
     def __init__(self, n: int, held: list):
-        at: dict[str, int] = {}
-        number, rows, self.sizes, self.texts = at.setdefault, [], [], []
+        at, rows, self.sizes, self.texts = _Numbers(), [], [], []
         for part in slices(held):
             for t in part.column("text").to_pylist():
                 words = split_words(t or "")
-                rows.append(array("i", [number(w, len(at)) for w in words]))
+                rows.append(array("i", map(at.__getitem__, words)))
                 self.sizes.append(len(words))
                 self.texts.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")))
-        self.parts: list[list[str]] = [[] for _ in range(n)]
-        self.long, crc, of, place = [], zlib.crc32, [], []
+        parts, of, place = [0] * (n + 1), [], []
+        self.long = []
         for w in at:
-            p = n if len(w) > WORD_CHARS else crc(w.encode("utf-8", "replace")) % n
-            words = self.long if p == n else self.parts[p]
+            p = _part(w, n)
             of.append(p)
-            place.append(len(words))
-            words.append(w)
-        starts = np.cumsum([0, *map(len, self.parts)])
+            place.append(parts[p])
+            parts[p] += 1
+            if p == n:
+                self.long.append(w)
+        starts = np.cumsum([0, *parts])
         numbers = (starts[of] + place if of else np.empty(0, np.int64)).astype(np.int32)
         self.flat = numbers[np.frombuffer(b"".join(rows), np.int32)]
 
 
 def _asked(n: int, chars: int, batches: Iterator) -> Iterator:
-    """part, block, words (blank-separated) for each block and part."""
+    """part, block, words (blank-separated, in order of their first occurrence) for each block and part."""
     import pyarrow as pa
 
     for block, held in _blocks(chars, batches):
-        rows = [(p, " ".join(words)) for p, words in enumerate(_Words(n, held).parts) if words]
+        words: dict[str, None] = {}
+        for part in slices(held):
+            for t in part.column("text").to_pylist():
+                words.update(dict.fromkeys(split_words(t or "")))
+        parts: list[list[str]] = [[] for _ in range(n + 1)]
+        for w in words:
+            parts[_part(w, n)].append(w)
+        rows = [(p, " ".join(some)) for p, some in enumerate(parts[:n]) if some]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([w for _, w in rows], pa.string())], names=["part", "block", "words"])
 
 
@@ -229,8 +260,15 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     w = F.when(F.contains("word", F.lit(MARK)), F.col("word")).otherwise(F.concat(F.lit(MARK), "word"))
     whole = words.select("id", "part", w.alias("w"), "payload")
     starts = whole.select("id", "part", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"), "payload")
-    starts = starts.withColumn("payload", F.when(F.col("i") == 1, F.col("payload")))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("w") - F.col("i") + 1))
+    starts = starts.withColumn("payload", F.when(F.col("i") == 1, F.col("payload"))).withColumn("head", F.substring("w", F.col("i"), F.lit(HEAD)))
+    # No substring is longer than the longest piece with its first characters.
+    most: dict[str, int] = {}
+    for p in table.scores:
+        if len(p) >= HEAD:
+            most[p[:HEAD]] = max(most.get(p[:HEAD], 0), len(p))
+    heads = F.broadcast(spark.createDataFrame(list(most.items()) or [("", 0)], "head string, most int"))
+    starts = starts.join(heads, "head", "left")
+    sizes = F.sequence(F.lit(1), F.least(F.coalesce("most", F.lit(HEAD - 1)), F.length("w") - F.col("i") + 1))
     spans = starts.select("id", "part", "w", "i", F.explode(sizes).alias("l"), "payload")
     spans = spans.select("id", "part", "i", "l", F.expr("substring(w, i, l)").alias("piece"), F.when(F.col("l") == 1, F.col("payload")).alias("payload"))
     edges = spans.join(pieces, "piece", "left").where("piece_id is not null or l = 1")
@@ -276,7 +314,12 @@ def word_ids(docs: DataFrame, table: PieceTable, n: int, chars: int = BLOCK_CHAR
     salt = F.shiftright("block", SALT_BITS)
     words = places.groupBy("word", "part", salt.alias("salt")).agg(F.collect_list(F.struct("block", "pos")).alias("payload"))
     found = best_paths(words.withColumn("id", F.monotonically_increasing_id()), table)
-    back = found.select("part", F.explode("payload").alias("p"), "ids").select("p.block", "part", F.struct("p.pos", "ids").alias("x"))
+    # Two bytes an id where they do: a code point without a piece takes two numbers below zero then.
+    ids = F.col("ids")
+    if len(table.texts) <= SHORT:
+        pair = lambda i: F.when(i >= 0, F.array(i)).otherwise(F.array(-1 - F.call_function("div", -i, F.lit(SHORT)).cast("int"), -1 - (-i) % SHORT))
+        ids = F.when(F.exists(ids, lambda i: i < 0), F.flatten(F.transform(ids, pair))).otherwise(ids).cast("array<short>")
+    back = found.select(F.explode("payload").alias("p"), ids.alias("ids"), "part").select("p.block", "part", F.struct("p.pos", "ids").alias("x"))
     rows = back.groupBy("block", "part").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return rows.select("block", "part", F.transform("xs", lambda x: F.size(x["ids"]).cast("short")).alias("sizes"), F.flatten(F.transform("xs", lambda x: x["ids"])).alias("ids"))
 
@@ -289,14 +332,18 @@ def _answered(table: PieceTable, answers, long: list[str]) -> tuple[np.ndarray,
     flat = np.concatenate([*(r[2].values.to_numpy() for r in rows), *extra, np.empty(0, np.int32)]).astype(np.int32)
     odd = np.flatnonzero(flat < 0)  # code points without a piece become bytes
     if len(odd):
-        made = [table.byte_ids(chr(-i)) for i in flat[odd].tolist()]
+        codes = -flat[odd].astype(np.int64)
+        if len(table.texts) <= SHORT:
+            codes = (codes[::2] - 1) * SHORT + codes[1::2] - 1
+        made = [table.byte_ids(chr(c)) for c in codes.tolist()]
         times = np.ones(len(flat), np.int64)
-        times[odd] = list(map(len, made))
+        times[odd] = 0
+        times[odd[:: len(odd) // len(made)]] = list(map(len, made))
         of = np.repeat(np.arange(len(sizes)), sizes)
         sizes = np.bincount(of, times, len(sizes)).astype(np.int64)
-        bare = flat < 0
+        bare = np.repeat(flat < 0, times)
         flat = np.repeat(flat, times)
-        flat[np.repeat(bare, times)] = [j for m in made for j in m]
+        flat[bare] = [j for m in made for j in m]
     return flat, sizes
 
 
@@ -306,23 +353,28 @@ def _encoded(shared: Broadcast, check: bool, packed, answers):
 
     table, row = shared.value, {c: packed.column(c)[0] for c in packed.column_names}
     flat, sizes = _answered(table, answers, row["long"].as_py())
-    begin = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
     raw = zstandard.decompress(row["numbers"].as_py())
     numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-    if len(np.unique(numbers)) != len(sizes):
+    if (np.bincount(numbers, minlength=len(sizes)) == 0).any() or (len(numbers) and numbers.max() >= len(sizes)):
         raise RuntimeError("a block's texts and its words came from different rows; write the documents to a table first")
-    words, digests, doc_ids, made, at = np.frombuffer(row["sizes"].as_py(), "<i4"), row["texts"].as_py(), row["doc_ids"].values, [], 0
-    for lo in range(0, len(words), 256):
-        some = words[lo : lo + 256]
+    # No character's bytes are in two words: a text's decoding is that of its words.
+    words = [table.decode_bytes(flat[a:b]) for a, b in zip(begin.tolist(), ends.tolist())] if check else []
+    counts, digests, doc_ids, made, at = np.frombuffer(row["sizes"].as_py(), "<i4"), row["texts"].as_py(), row["doc_ids"].values, [], 0
+    for lo in range(0, len(counts), 256):
+        some = counts[lo : lo + 256]
         mine = numbers[at : at + some.sum()]
         at += len(mine)
         times = sizes[mine]
-        ends = np.concatenate([[0], np.cumsum(times)])
-        found = flat[np.repeat(begin[mine] - ends[:-1], times) + np.arange(ends[-1])]
-        bounds = ends[np.concatenate([[0], np.cumsum(some)])]
+        stops = np.concatenate([[0], np.cumsum(times)])
+        found = flat[np.repeat(begin[mine] - stops[:-1], times) + np.arange(stops[-1])]
+        cuts = np.concatenate([[0], np.cumsum(some)])
+        bounds = stops[cuts]
         same = [None] * len(some)
         if check:
-            texts = (table.decode(found[a:b]) for a, b in zip(bounds, bounds[1:]))
+            said = list(map(words.__getitem__, mine.tolist()))
+            texts = (table.text(b"".join(said[a:b])) for a, b in zip(cuts.tolist(), cuts[1:].tolist()))
             same = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) == digests[16 * k : 16 * k + 16] for k, t in enumerate(texts, lo)]
         ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))
         made.append(pa.RecordBatch.from_arrays([doc_ids.slice(lo, 256), pa.array(np.diff(bounds)), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]))
