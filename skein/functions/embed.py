@@ -7,50 +7,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import embed_tokens, trigrams
-from skein.functions.vector import DIMENSIONS, TRIGRAM_WEIGHT, fnv1a, fnv1a_py
+from skein.functions.vector import DIMENSIONS, TRIGRAM_WEIGHT, fnv1a_py, fnv1a_rows
+from skein.sources.clients import EmbeddingClient
 
 _not_word = re.compile("[^a-z0-9_]+")
-CACHE = 50_000
+LONG = 64  # longer words are hashed one by one
+TEXTS = 128  # texts whose words are hashed together
 
 
 class HashEmbedder:
-    """Embeds texts; ``dtype`` float32 adds up in single precision, float64 in double."""
+    """Embeds texts; ``dtype`` float32 adds up in single precision, float64 in double.
 
-    def __init__(self, dimensions: int = DIMENSIONS, dtype: type = np.float64):
-        self.dimensions, self.dtype, self.cache = dimensions, dtype, {}
-
-    def _word(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        got = self.cache.get(word)
-        if got is None:
-            hashes = [fnv1a_py(word), *(fnv1a_py(word[i : i + 3]) for i in range(len(word) - 2))]
-            signs = np.where(np.array(hashes) > 0, 1.0, -1.0)
-            signs[1:] *= TRIGRAM_WEIGHT
-            got = (np.abs(np.array(hashes)) % self.dimensions, signs)
-            if len(self.cache) < CACHE:
-                self.cache[word] = got
-        return got
+    The distinct words of some texts are hashed together, all their trigrams with them; sums run in the order of the words.
+    """
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The unit vector of a text, components rounded to 6 digits; zeros for a text without words."""
-        words = [w for w in _not_word.split((text or "").lower()) if w]
-        v = np.zeros(self.dimensions, self.dtype)
-        if not words:
-            return v.astype(np.float64)
-        parts = [self._word(w) for w in words]
-        sizes = [len(i) for i, _ in parts]
-        weights = np.repeat(1 / np.sqrt(np.arange(1, len(words) + 1)), sizes)
-        values = np.concatenate([s for _, s in parts]) * weights
+    def __init__(self, dimensions: int = DIMENSIONS, dtype: type = np.float64):
+        self.dimensions, self.dtype = dimensions, dtype
+
+    def _hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, number of hashes of each word): every word's own hash, then those of its trigrams from left to right."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        counts = 1 + np.maximum(sizes - 2, 0)
+        starts, out = np.cumsum(counts) - counts, np.empty(counts.sum(), np.int64)
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            w = words[k]
+            out[starts[k] : starts[k] + counts[k]] = [fnv1a_py(w), *(fnv1a_py(w[i : i + 3]) for i in range(len(w) - 2))]
+        short = np.flatnonzero(sizes <= LONG)
+        if len(short):
+            most = int(sizes[short].max())
+            codes = np.array([words[k] for k in short], f"<U{most}").view(np.uint32).reshape(-1, most).astype(np.uint64)
+            out[starts[short]] = fnv1a_rows(codes, sizes[short])
+            for i in range(most - 2):
+                has = sizes[short] > i + 2
+                out[starts[short[has]] + 1 + i] = fnv1a_rows(codes[has, i : i + 3], np.full(has.sum(), 3))
+        return out, counts
+
+    def parts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, dimension, signed weight) of every word and trigram of some texts, in their order."""
+        number: dict[str, int] = {}
+        rows = [[number.setdefault(w, len(number)) for w in _not_word.split((t or "").lower()) if w] for t in texts]
+        hashes, counts = self._hashes(list(number))
+        starts = np.cumsum(counts) - counts
+        signs = np.where(hashes > 0, TRIGRAM_WEIGHT, -TRIGRAM_WEIGHT)
+        signs[starts] = np.where(hashes[starts] > 0, 1.0, -1.0)
+        sizes = np.array([len(r) for r in rows], np.int64)
+        words = np.fromiter((w for r in rows for w in r), np.int64, sizes.sum())
+        places = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        times = counts[words] if len(words) else words
+        at = np.repeat(starts[words] - (np.cumsum(times) - times), times) + np.arange(times.sum()) if len(words) else words
+        weight = np.repeat(1 / np.sqrt(places + 1), times)
+        return np.repeat(np.repeat(np.arange(len(texts)), sizes), times), np.abs(hashes[at]) % self.dimensions, signs[at] * weight
+
+    def matrix(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(unit vectors with components rounded to 6 digits, whether a component was touched); zeros for a text without words."""
+        row, dim, value = self.parts(texts)
+        flat, size = row * self.dimensions + dim, len(texts) * self.dimensions
         if self.dtype is np.float64:
-            v = np.bincount(np.concatenate([i for i, _ in parts]), values, self.dimensions)
+            v = np.bincount(flat, value, size)
         else:
-            np.add.at(v, np.concatenate([i for i, _ in parts]), values.astype(self.dtype))
-        v = v.astype(np.float64)
-        n = np.sqrt((v * v).sum())
-        return np.round(v / (n or 1.0), 6)
+            v = np.zeros(size, self.dtype)
+            np.add.at(v, flat, value.astype(self.dtype))
+        v = v.astype(np.float64).reshape(len(texts), -1)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.round(v / np.where(n == 0, 1.0, n), 6), np.bincount(flat, minlength=size).reshape(len(texts), -1) > 0
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The vector of one text."""
+        return self.matrix([text])[0][0]
 
 
 def embed(texts: DataFrame, text: str = "text", out: str = "vector", dtype: type = np.float64) -> DataFrame:
@@ -60,30 +86,57 @@ def embed(texts: DataFrame, text: str = "text", out: str = "vector", dtype: type
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = HashEmbedder(dtype=dtype)
         for s in batches:
-            yield pd.Series([e(t) for t in s])
+            yield pd.Series([v for lo in range(0, len(s), TEXTS) for v in e.matrix(s.iloc[lo : lo + TEXTS].tolist())[0]])
 
     return texts.withColumn(out, run(F.col(text)))
 
 
-def hash_words(c: Column) -> Column:
-    """Array of struct(h, w): hashes and weights of a text's words and trigrams, as an expression."""
-    words = F.transform(embed_tokens(c), lambda x, i: F.struct(x.alias("x"), (1 / F.sqrt(i + 1)).alias("w")))
-
-    def parts(s: Column) -> Column:
-        whole = F.array(F.struct(s["x"].alias("g"), s["w"].alias("w")))
-        return F.concat(whole, F.transform(trigrams(s["x"]), lambda g: F.struct(g.alias("g"), (s["w"] * TRIGRAM_WEIGHT).alias("w"))))
+def embed_remote(texts: DataFrame, client: EmbeddingClient, text: str = "text", out: str = "vector", parallel: int | None = None) -> DataFrame:
+    """``texts`` with ``out``, ``embedded_by`` (``client`` or ``hash``) and ``embed_error``: one call a row, and the hash embedding where it fails.
 
-    return F.flatten(F.transform(words, parts))
+    A blank text gets zeros without a call. An answer is scaled to length one, its components rounded to 6 digits.
+    ``parallel`` sets how many tasks, and so calls, run at a time.
+    """
+    from pyspark.sql import types as T
+
+    more = [T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField("embedded_by", T.StringType()), T.StructField("embed_error", T.StringType())]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = HashEmbedder()
+        for pdf in batches:
+            rows = []
+            for t in pdf[text]:
+                plain = (t or "").strip()
+                made, by, error = None, "hash", None
+                if plain:
+                    try:
+                        v = np.asarray(client.embed(plain), np.float64)
+                        if not v.size or not np.isfinite(v).all():
+                            raise ValueError("no vector in the answer")
+                        made, by = np.round(v / (np.sqrt((v * v).sum()) or 1.0), 6), "client"
+                    except Exception as failed:  # whatever a client raises is the row's error
+                        error = f"{type(failed).__name__}: {failed}"
+                rows.append((e(plain) if made is None else made, by, error))
+            yield pdf.assign(**{f.name: [r[k] for r in rows] for k, f in enumerate(more)})
+
+    dealt = texts.repartition(parallel) if parallel else texts
+    return dealt.mapInPandas(run, T.StructType([*texts.schema.fields, *more]))
 
 
 def embedding_rows(texts: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, dim, val: the embedding's non-zero components in relational form.
-
-    Each string is hashed where it stands, and sums combine before the shuffle by (key, dim).
-    """
-    rows = texts.select(key, F.explode(hash_words(F.col(text))).alias("s")).select(key, F.col("s.w").alias("w"), fnv1a(F.col("s.g")).alias("h"))
-    signed = F.when(F.col("h") > 0, F.col("w")).otherwise(-F.col("w"))
-    sums = rows.groupBy(key, (F.abs("h") % dimensions).cast("int").alias("dim")).agg(F.sum(signed).alias("v"))
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    val = F.round(F.col("v") / F.when(F.col("n") == 0, 1.0).otherwise(F.col("n")), 6) + 0.0
-    return sums.join(norms, key).select(key, "dim", val.alias("val"))
+    """key, dim, val: the components of the embedding that a word or trigram touched. Nothing is shuffled."""
+    kind = texts.schema[key].dataType
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        e = HashEmbedder(dimensions)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                v, touched = e.matrix(part.column("text").to_pylist())
+                row, dim = np.nonzero(touched)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(dim, pa.int32()), pa.array(v[row, dim] + 0.0)], names=["key", "dim", "val"])
+
+    rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"key {kind.simpleString()}, dim int, val double").withColumnRenamed("key", key)

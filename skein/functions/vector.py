@@ -30,6 +30,15 @@ def fnv1a_py(text: str) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def fnv1a_rows(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same hash of the first ``lengths`` code points in each row of a matrix."""
+    h = np.full(len(codes), FNV_OFFSET, np.uint64)
+    for k in range(codes.shape[1]):
+        step = ((h ^ codes[:, k]) * np.uint64(FNV_PRIME)) & np.uint64(0xFFFFFFFF)
+        h = np.where(k < lengths, step, h)
+    return h.astype(np.uint32).view(np.int32).astype(np.int64)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
@@ -71,6 +80,17 @@ def quantize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return norms, codes.astype(np.int8), y - codes / SCALE >= 0
 
 
+def pack_codes(codes: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """Each row's codes, a byte each, and its residual bits, eight in a byte."""
+    return [c.tobytes() + b.tobytes() for c, b in zip(codes.astype(np.int8), np.packbits(bits, axis=1))]
+
+
+def unpack_codes(rows: list[bytes], d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, residual bits) of ``pack_codes`` for rows of ``d`` components."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return raw[:, :d].view(np.int8), np.unpackbits(raw[:, d:], axis=1, count=d).astype(bool)
+
+
 def estimate(queries: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Estimated products, queries by rows, within -1..1 and rounded to 4 digits."""
     y = codes / SCALE + np.where(bits, RESIDUAL, -RESIDUAL)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from skein.functions.text import token_overlap, trim_white
-from skein.sources.clients import ChatClient, ask
+from skein.sources.clients import ChatClient, GenerateClient, ask, generate_with
 
 PREVIEW, DEMO_CHARS = 160, 500
 
@@ -56,13 +56,11 @@ def draft_target(runs: DataFrame) -> DataFrame:
     )
 
 
-def benchmark(prompts: DataFrame, draft: ChatClient, target: ChatClient) -> DataFrame:
-    """Both models asked for every prompt, tokens counted as words over wall-clock time; errors are columns."""
-    out = prompts
-    for name, client in (("draft", draft), ("target", target)):
-        asked = ask(out, client, "", "prompt", f"{name}_text")
-        words = F.size(F.filter(F.split(f"{name}_text", r"\s+"), lambda w: w != ""))
-        out = asked.withColumn(f"{name}_tps", throughput(words, F.col("latency_ms") * 1e6)).withColumnRenamed("error", f"{name}_error").drop("latency_ms")
+def benchmark(prompts: DataFrame, draft: GenerateClient | ChatClient, target: GenerateClient | ChatClient) -> DataFrame:
+    """Both models asked for every prompt at once; tokens a second as the models report them; errors are columns."""
+    out = generate_with(prompts, {"draft": draft, "target": target})
+    for name in ("draft", "target"):
+        out = out.withColumn(f"{name}_tps", throughput(F.col(f"{name}_tokens"), F.col(f"{name}_seconds") * 1e9)).drop(f"{name}_seconds")
     return draft_target(out)
 
 
@@ -109,6 +107,7 @@ def gain(base: Column, compiled: Column) -> Column:
 
 def offline_scores(prompt: Column) -> tuple[Column, Column]:
     """(base, compiled) scores of a prompt's structure without any model: 0.3, and 0.1 each for instruction and format words."""
+    # The words that count as instructions and as a form.
     steps = F.when(prompt.rlike("(?i)istruzioni|step|instructions"), 0.1).otherwise(0.0)
     form = F.when(prompt.rlike("(?i)json|output"), 0.1).otherwise(0.0)
     base = F.round(F.lit(0.3) + steps + form, 2)

@@ -55,8 +55,14 @@ def rerank_order(candidates: DataFrame, score: str = "llm_score") -> DataFrame:
 
 
 def rerank_summary(ranked: DataFrame, score: str = "llm_score") -> DataFrame:
-    """query_id, candidates_scored, candidates_failed, rank_changed."""
-    return ranked.groupBy("query_id").agg(F.count(score).alias("candidates_scored"), (F.count("*") - F.count(score)).alias("candidates_failed"), F.bool_or(F.col("rank_delta") != 0).alias("rank_changed"))
+    """query_id, candidates_scored, candidates_failed, rank_changed, total_latency_ms (of all calls; null if none was timed)."""
+    took = F.sum("latency_ms") if "latency_ms" in ranked.columns else F.lit(None).cast("double")
+    return ranked.groupBy("query_id").agg(
+        F.count(score).alias("candidates_scored"),
+        (F.count("*") - F.count(score)).alias("candidates_failed"),
+        F.bool_or(F.col("rank_delta") != 0).alias("rank_changed"),
+        took.alias("total_latency_ms"),
+    )
 
 
 def _lines(rows: DataFrame, line: Column, order: str, out: str) -> DataFrame:

@@ -9,6 +9,8 @@ prompts: query_id long, prompt string
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +18,24 @@ from skein.functions.text import name_key, prompt_tokens, slugify
 from skein.sources.tables import numbered, settled
 
 LOW_HITS, HIGH_HITS, LOW_FALLBACK, HIGH_FALLBACK, PATHS_SHOWN = 5, 3, 3, 2, 4
+PROMPT_BLOCK = 4096
 LEVELS = {"low_level": (LOW_HITS, LOW_FALLBACK), "high_level": (HIGH_HITS, HIGH_FALLBACK)}
 
 
 def keyword_scores(nodes: DataFrame, prompts: DataFrame) -> DataFrame:
     """Nodes that a prompt's words hit: 2 for each word in name, description or tags, 4 more if in the name.
 
-    A query set against all nodes: prompts are dealt in blocks to every node row-locally, and only hits leave the stage.
+    A query set against all nodes: blocks of at most about PROMPT_BLOCK prompts are broadcast to where the nodes are, and only
+    hits leave the stage.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")), F.concat_ws(" ", "tags")))
     left = nodes.withColumn("_text", text).withColumn("_name", F.lower(F.coalesce("name", F.lit(""))))
     asked = prompts.select("query_id", prompt_tokens(F.col("prompt")).alias("_tokens"))
     hit = lambda t: F.when(F.contains("_text", t), 2).otherwise(0) + F.when(F.contains("_name", t), 4).otherwise(0)
     score = F.aggregate("_tokens", F.lit(0), lambda a, t: a + hit(t))
-    return left.crossJoin(asked).withColumn("score", score).where("score > 0").drop("_text", "_name", "_tokens")
+    n = max(1, -(-prompts.count() // PROMPT_BLOCK))
+    blocks = [left.crossJoin(F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))) for i in range(n)]
+    return reduce(DataFrame.unionByName, blocks).withColumn("score", score).where("score > 0").drop("_text", "_name", "_tokens")
 
 
 def dual_level(nodes: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.embed import embed
+from skein.functions.embed import embed, embed_remote
 from skein.functions.text import PARAGRAPH_CHARS, SENTENCE_CHARS, paragraph_chunks, sentence_chunks, trim_white
 from skein.operators.graph import merge
-from skein.sources.clients import ChatClient, ask
-from skein.sources.tables import settled
+from skein.sources.clients import ChatClient, EmbeddingClient, ask
+from skein.sources.tables import numbered, settled
 
 # The types and levels that extraction may name.
 TYPES = ("function", "class", "module", "concept", "api", "database", "theme")
@@ -31,6 +31,10 @@ def chunks(docs: DataFrame, key: str, text: str, by: str = "sentence", size: int
     return rows.select(key, "chunk_index", F.concat_ws("-chunk-", F.col(key).cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", F.length("text").alias("char_count"))
 
 
+def _list(keys: str | list[str]) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
+
+
 def _is(v: Column, *kinds: str) -> Column:
     """Whether a variant has one of some types by name, decimals with any precision."""
     kind = F.regexp_replace(F.schema_of_variant(v), r"\(.*", "")
@@ -42,8 +46,8 @@ def _text(v: Column, path: str) -> Column:
     return F.when(_is(F.try_variant_get(v, path, "variant"), "STRING"), F.try_variant_get(v, path, "string"))
 
 
-def validate_extraction(raw: DataFrame, key: str = "chunk_index", answer: str = "raw") -> DataFrame:
-    """key, error, entities, relations from JSON answers, each field checked.
+def validate_extraction(raw: DataFrame, keys: str | list[str] = "chunk_index", answer: str = "raw") -> DataFrame:
+    """keys, error, entities, relations from JSON answers, each field checked.
 
     error: the answer is no JSON object. Entities need a name that is text; an unknown type or level becomes concept or
     low_level; a description that is no text becomes empty; tags keep text only. Relations need both ends as
@@ -80,44 +84,53 @@ def validate_extraction(raw: DataFrame, key: str = "chunk_index", answer: str =
     names = F.transform("_e", lambda e: F.lower(e["name"]))
     known = lambda n: F.coalesce(F.array_contains(names, F.lower(n)), F.lit(False))
     rows = rows.withColumn("_r", F.filter(F.transform(listed("relations"), relation), lambda r: known(r["source"]) & known(r["target"])))
-    return rows.select(key, F.when(~fine, "not a JSON object").alias("error"), F.when(fine, F.col("_e")).alias("entities"), F.when(fine, F.col("_r")).alias("relations"))
+    return rows.select(*_list(keys), F.when(~fine, "not a JSON object").alias("error"), F.when(fine, F.col("_e")).alias("entities"), F.when(fine, F.col("_r")).alias("relations"))
+
+
+def _placed(checked: DataFrame, keys: str | list[str], items: str) -> DataFrame:
+    """seq and the fields of one of the lists, numbered in the order of keys and places; keys may be of any type that sorts."""
+    order = [f"_k{i}" for i in range(len(_list(keys)))]
+    named = checked.select(*(F.col(k).alias(o) for k, o in zip(_list(keys), order)), F.posexplode(items).alias("_i", "_x"))
+    return numbered(named.select(*order, "_i", "_x.*"), [*order, "_i"], "seq").drop(*order, "_i")
 
 
-def entity_rows(checked: DataFrame, key: str = "chunk_index") -> DataFrame:
+def entity_rows(checked: DataFrame, keys: str | list[str] = "chunk_index") -> DataFrame:
     """seq, name, type, level, description, tags in the order of chunks and places."""
-    rows = checked.select(F.col(key), F.posexplode("entities").alias("i", "e"))
-    return rows.select((F.col(key).cast("long") * (1 << 20) + F.col("i")).alias("seq"), "e.*")
+    return _placed(checked, keys, "entities").select("seq", "name", "type", "level", "description", "tags")
 
 
-def relation_rows(checked: DataFrame, key: str = "chunk_index") -> DataFrame:
+def relation_rows(checked: DataFrame, keys: str | list[str] = "chunk_index") -> DataFrame:
     """seq, source, target, relation, weight in the order of chunks and places."""
-    rows = checked.select(F.col(key), F.posexplode("relations").alias("i", "r"))
-    return rows.select((F.col(key).cast("long") * (1 << 20) + F.col("i")).alias("seq"), "r.*")
+    return _placed(checked, keys, "relations").select("seq", "source", "target", "relation", "weight")
 
 
 def extract_graph(docs: DataFrame, key: str, text: str, client: ChatClient) -> DataFrame:
-    """Answers for every paragraph chunk, checked: chunk_index (across documents by key), error, entities, relations."""
-    parts = chunks(docs, key, text, "paragraph").withColumn("chunk_index", F.col(key).cast("long") * (1 << 20) + F.col("chunk_index"))
-    asked = ask(parts.select("chunk_index", "text"), client, system=EXTRACTION_PROMPT, user="text", answer="raw", json=True)
-    checked = validate_extraction(asked, "chunk_index").join(asked.select("chunk_index", F.col("error").alias("_failed")), "chunk_index")
+    """Answers for every paragraph chunk, checked: key, chunk_index, error, entities, relations."""
+    keys = [key, "chunk_index"]
+    parts = chunks(docs, key, text, "paragraph").select(*keys, "text")
+    asked = ask(parts, client, system=EXTRACTION_PROMPT, user="text", answer="raw", json=True)
+    failed = F.col("error").alias("_failed")
+    checked = validate_extraction(asked.select(*keys, failed, "raw"), [*keys, "_failed"])
     return checked.withColumn("error", F.coalesce("_failed", "error")).drop("_failed")
 
 
-def ingest_documents(docs: DataFrame, key: str, text: str, nodes: DataFrame, edges: DataFrame, client: ChatClient | None = None, size: int | None = None) -> dict[str, DataFrame]:
-    """chunks (embedded), nodes, edges and a report (one row a document).
+def ingest_documents(docs: DataFrame, key: str, text: str, nodes: DataFrame, edges: DataFrame, client: ChatClient | None = None, size: int | None = None, embedder: EmbeddingClient | None = None) -> dict[str, DataFrame]:
+    """chunks (embedded; ``id`` is the chunk's id), nodes, edges and a report (one row a document).
 
-    The two stages fail on their own: a document whose extraction fails keeps its chunks, adds nothing to the graph and
-    has the error in its report. A blank document has the error ``no text``.
+    Document ids are numbers or text, and the chunks are what ``retrieve`` searches. The two stages fail on their own: a document
+    whose extraction fails keeps its chunks, adds nothing to the graph and has the error in its report. A blank document has
+    the error ``no text``. Without an ``embedder`` the hash embedder makes the vectors.
     """
-    made = settled(embed(chunks(docs, key, text, "sentence", size)), "chunks")
+    parts = chunks(docs, key, text, "sentence", size).withColumn("id", F.col("chunk_id"))
+    made = settled(embed(parts) if embedder is None else embed_remote(parts, embedder), "chunks")
     report = docs.select(key, F.length(text).alias("total_chars"), F.when(trim_white(F.coalesce(F.col(text), F.lit(""))) == "", "no text").alias("error"))
     report = report.join(made.groupBy(key).agg(F.count("*").alias("chunks")), key, "left").fillna(0, ["chunks"])
     if client is None:
         return {"chunks": made, "nodes": nodes, "edges": edges, "report": report}
     checked = settled(extract_graph(docs, key, text, client), "extracted")
-    by_doc = checked.withColumn(key, F.floor(F.col("chunk_index") / (1 << 20)))
-    failed = by_doc.groupBy(key).agg(F.first("error", ignorenulls=True).alias("extraction_error"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relations")).alias("relations"))
+    failed = checked.groupBy(key).agg(F.first("error", ignorenulls=True).alias("extraction_error"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relations")).alias("relations"))
     # One failed chunk leaves the whole document out of the graph.
-    good = by_doc.join(failed.where("extraction_error is null").select(key), key, "left_semi")
-    every, joined, tally = merge(nodes, edges, entity_rows(good), relation_rows(good))
+    good = checked.join(failed.where("extraction_error is null").select(key), key, "left_semi")
+    keys = [key, "chunk_index"]
+    every, joined, tally = merge(nodes, edges, entity_rows(good, keys), relation_rows(good, keys))
     return {"chunks": made, "nodes": every, "edges": joined, "tally": tally, "report": report.join(failed, key, "left")}

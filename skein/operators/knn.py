@@ -2,49 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vector as V
+from skein.functions.embed import embed, embed_remote
+from skein.sources.clients import EmbeddingClient
 
 QUERY_BLOCK = 2048
-CORPUS_BLOCK = 16384
+CORPUS_BLOCK = 8192
+AT_ONCE = 128  # queries whose products stand in memory together
+
 
+def _blocks(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
 
-def _blocks(df: DataFrame, size: int) -> int:
-    return max(1, -(-df.count() // size))
 
+def _best(q_ids: list, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, scores) -> Iterator[tuple]:
+    """(query, ids, columns) of the k best rows of ``v`` for each query: smallest key first, ties to the smaller id."""
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    for lo in range(0, len(q), AT_ONCE):
+        key, columns = scores(q[lo : lo + AT_ONCE], v)
+        for i, query in enumerate(q_ids[lo : lo + AT_ONCE]):
+            few = np.flatnonzero(key[i] <= np.partition(key[i], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
+            top = few[np.lexsort((place[few], key[i][few]))[:k]]
+            yield query, top, [m[i, top] for m in columns]
 
-def _blockwise(corpus: DataFrame, queries: DataFrame, k: int, scores, schema: str, best: list[str], worst_first: bool) -> DataFrame:
-    """Top k for each query from pairs of blocks of bounded size.
 
-    Every query block meets every corpus block once, in a task of its own; k rows a query and block
-    leave it. ``scores(q, v)`` gives (value to sort by ascending, columns to return).
+def _blockwise(corpus: DataFrame, queries: DataFrame, k: int, scores, best: list[str], worst_first: bool, stack=None) -> DataFrame:
+    """Top k for each query: q_id, rank, id and the columns ``best``. ``scores(q, v)`` gives (value to sort by ascending, columns).
+
+    Up to QUERY_BLOCK queries are broadcast, and each task keeps k rows a query of the corpus rows it reads: the corpus is not
+    shuffled. More queries meet the corpus in pairs of blocks of bounded size, each in a task of its own; k rows a query and
+    block leave it. That shuffles the corpus once for each query block, the price of an exact answer.
     """
-    nq, nc = _blocks(queries, QUERY_BLOCK), _blocks(corpus, CORPUS_BLOCK)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.select("q_id", "q", one("q_id", nq).alias("qb"), each(nc).alias("cb"))
-    right = corpus.select("id", "v", each(nq).alias("qb"), one("id", nc).alias("cb"))
-
-    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"q_id": [], "id": [], **{b: [] for b in best}}).astype({"q_id": "int64", "id": "int64"} | dict.fromkeys(best, "float64"))
-        ids, out = c.id.to_numpy(), []
-        key, columns = scores(np.stack(q.q.to_list()), np.stack(c.v.to_list()))
-        for i, query in enumerate(q.q_id):
-            top = np.lexsort((ids, key[i]))[:k]
-            out.append(pd.DataFrame({"q_id": query, "id": ids[top], **{b: m[i, top] for b, m in zip(best, columns)}}))
-        return pd.concat(out)
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(compare, schema)
+    stack = stack or (lambda c: np.stack(c.to_list()))
+    q_kind, kind = (df.schema[c].dataType.simpleString() for df, c in ((queries, "q_id"), (corpus, "id")))
+    schema = f"q_id {q_kind}, id {kind}, " + ", ".join(f"{b} double" for b in best)
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        sizes = [len(ids) for _, ids, _ in found]
+        columns = {b: np.concatenate([c[j] for _, _, c in found]) if found else np.empty(0) for j, b in enumerate(best)}
+        q_ids = pd.Series([q for q, _, _ in found], dtype=object if found else "float64").repeat(sizes) if found else pd.Series([], dtype=object)
+        ids = np.concatenate([i for _, i, _ in found]) if found else np.empty(0, object)
+        return pd.DataFrame({"q_id": q_ids.to_numpy(), "id": ids, **columns})
+
+    asked = queries.select("q_id", "q").limit(QUERY_BLOCK + 1).toPandas()
+    if len(asked) <= QUERY_BLOCK:
+        shared = corpus.sparkSession.sparkContext.broadcast((asked.q_id.tolist(), np.stack(asked.q.to_list()) if len(asked) else np.zeros((0, 1))))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            (q_ids, q), kept = shared.value, {}
+            for pdf in batches:
+                for lo in range(0, len(pdf), CORPUS_BLOCK) if len(q) else ():
+                    part = pdf.iloc[lo : lo + CORPUS_BLOCK]
+                    ids = part.id.to_numpy()
+                    for n, (_, top, columns) in enumerate(_best(q_ids, q, ids, stack(part.v), k, scores)):
+                        kept[n] = _merged(kept.get(n), ids[top], columns, k, -1 if worst_first else 1)
+            yield frame([(q_ids[n], *kept[n]) for n in kept])
+
+        found = corpus.select("id", "v").mapInPandas(scan, schema)
+    else:
+        nq, nc = _blocks(queries.count(), QUERY_BLOCK), _blocks(corpus.count(), CORPUS_BLOCK)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = queries.select("q_id", "q", one("q_id", nq).alias("qb"), each(nc).alias("cb"))
+        right = corpus.select("id", "v", each(nq).alias("qb"), one("id", nc).alias("cb"))
+
+        def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(c):
+                return frame([])
+            ids = c.id.to_numpy()
+            return frame([(query, ids[top], columns) for query, top, columns in _best(q.q_id.tolist(), np.stack(q.q.to_list()), ids, stack(c.v), k, scores)])
+
+        found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(compare, schema)
     first = F.desc(best[-1]) if worst_first else F.col(best[-1])
     order = Window.partitionBy("q_id").orderBy(first, "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "id", *best)
 
 
+def _merged(before: tuple | None, ids: np.ndarray, columns: list[np.ndarray], k: int, sign: int) -> tuple:
+    """The k best of what a task has kept for a query and what one more block gives; the last column decides."""
+    if before is not None:
+        ids, columns = np.concatenate([before[0], ids]), [np.concatenate(pair) for pair in zip(before[1], columns)]
+    top = np.lexsort((np.argsort(np.argsort(ids, kind="stable")), sign * columns[-1]))[:k]
+    return ids[top], [c[top] for c in columns]
+
+
 def _cosines(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     n = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None]
     sim = np.clip(np.round(np.divide(q @ v.T, n, out=np.zeros(n.shape), where=n > 0), 4), -1, 1)
@@ -55,21 +104,43 @@ def _cosines(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """q_id, rank, id, similarity, distance: the k nearest of ``corpus(id, v)`` to ``queries(q_id, q)`` by cosine.
 
-    Distance is 1 - cosine, rounded to 4 digits; ties go to the smaller id. Vectors have one length.
+    Distance is 1 - cosine, rounded to 4 digits; ties go to the smaller id. Vectors have one length; ids are numbers or text.
     """
-    schema = "q_id long, id long, similarity double, distance double"
-    return _blockwise(corpus, queries, k, _cosines, schema, ["similarity", "distance"], False)
+    return _blockwise(corpus, queries, k, _cosines, ["similarity", "distance"], False)
+
+
+def quantized(vectors: DataFrame) -> DataFrame:
+    """id, v: codes and residual bits of ``vectors(id, v)``, in 9/8 bytes a component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                _, codes, bits = V.quantize(np.stack(pdf.v.to_list()))
+                yield pd.DataFrame({"id": pdf.id, "v": V.pack_codes(codes, bits)})
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", "v").mapInPandas(run, f"id {kind}, v binary")
 
 
 def quantized_search(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """q_id, rank, id, score: the k highest estimated products over quantised vectors, queries as given."""
+    """q_id, rank, id, score: the k highest estimated products over quantised vectors, queries as given. Each row is quantised once."""
+    import types
 
-    def scores(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        _, codes, bits = V.quantize(v)
-        s = V.estimate(q, codes, bits)
+    def scores(q: np.ndarray, v) -> tuple[np.ndarray, list[np.ndarray]]:
+        s = V.estimate(q, *V.unpack_codes(v.rows, q.shape[1]))
         return -s, [s]
 
-    return _blockwise(corpus, queries, k, scores, "q_id long, id long, score double", ["score"], True)
+    return _blockwise(quantized(corpus), queries, k, scores, ["score"], True, lambda c: types.SimpleNamespace(rows=c.to_list()))
+
+
+def insert(index: DataFrame, rows: DataFrame, client: EmbeddingClient | None = None) -> DataFrame:
+    """``index(id, text, vector)`` with ``rows(id, seq, text)`` embedded and put in; an id that is there already is replaced.
+
+    Of several rows with one id the last by ``seq`` counts. Without a client the hash embedder makes the vectors.
+    """
+    last = upsert_latest(rows, "id", "seq", "text").select("id", "text")
+    new = embed(last) if client is None else embed_remote(last, client)
+    return index.join(last.select("id"), "id", "left_anti").unionByName(new.select("id", "text", "vector"))
 
 
 def compress(vectors: DataFrame, dimensions: int) -> DataFrame:

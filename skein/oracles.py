@@ -80,6 +80,23 @@ tqq as (select vec_id q_id, list_transform(rot, lambda w: list_dot_product(w, x)
 ts as (select q_id, vec_id, greatest(-1, least(1, round(list_dot_product(rq, est), 4))) + 0.0 score from tqq, b),
 tn as (select *, row_number() over (partition by q_id order by score desc, vec_id)::int rank from ts)"""
 
+_fused = """rows as (select q_id query_id, vec_id, rank, 0 s from kn where rank <= 20 union all select q_id, vec_id, rank, 1 from tn where rank <= 20),
+fused as (select query_id, vec_id, min(s) s, arg_min(rank, s) r, string_agg(case s when 0 then 'graph' else 'vector' end, '+' order by s) sources, sum(1.0::double / (rank + 60)) score from rows group by query_id, vec_id),
+placed as (select *, row_number() over (partition by query_id order by round(score, 12) desc, s, r, vec_id)::int rank from fused)"""
+
+_candidates = "rows as (select q_id query_id, vec_id, 'graph' source, rank original_rank, rank::bigint input_seq from kn where rank <= 6 union all select q_id, vec_id, 'vector', rank, rank + 4294967296 from tn where rank <= 6)"
+
+_reranked = f"""{_candidates},
+sc as (select *, case when vec_id % 7 > 0 then (vec_id % 11)::double end llm_score from rows),
+nr as (select *, row_number() over (partition by query_id order by llm_score desc nulls last, case when llm_score is null then original_rank end nulls first, input_seq)::int new_rank from sc)"""
+
+_prompt_knn = f"""asked as (select query_id, prompt text from prompts), {_embedding('documents', 'doc_id')}, {_embedding('asked', 'query_id')},
+nd as (select k, sqrt(sum(val * val)) n from emb_documents group by k), na as (select k, sqrt(sum(val * val)) n from emb_asked group by k),
+dots as (select b.k query_id, d.k doc_id, sum(b.val * d.val) dt from emb_asked b join emb_documents d using (dim) group by all),
+pairs as (select na.k query_id, nd.k doc_id, coalesce(dt / (na.n * nd.n), 0) s from na cross join nd left join dots on dots.query_id = na.k and dots.doc_id = nd.k),
+dist as (select *, round(greatest(0, 1 - greatest(-1, least(1, round(s, 4)))), 4) distance from pairs),
+near as (select *, greatest(0, least(1, round(1 - distance, 4))) similarity, row_number() over (partition by query_id order by distance, doc_id)::int rank from dist)"""
+
 _turn_scores = """select conv_id, turn, '{kind}' kind, case when trim(text) = '' then 0.0 else greatest(0.0, least(1.0, round(0.3::double + {form} +
   ((case when contains(lower(text), 'the') then 1 else 0 end) + (case when contains(lower(text), 'json') then 1 else 0 end)) * 0.1::double
   + (case when length({t}) > 20 and length({t}) < 4000 then 0.15::double else 0 end) + (case when contains(text, '```') then 0.1::double else 0 end), 3))) end score from conversations"""
@@ -126,22 +143,48 @@ rel as (select l_orderkey::bigint * 10 + l_linenumber seq, lower(p_name) s, lowe
 ends as (select rel.seq, a.id source, b.id target, weight from rel join ids a on a.k = s join ids b on b.k = t),
 firsts as (select *, row_number() over (partition by source, target order by seq, weight) r from ends)
 select source, target, 'supplied_by' relation, weight from firsts f where r = 1 and not exists (select 1 from {_edges} e where e.source = f.source and e.target = f.target and e.relation = 'supplied_by')""",
-    "rrf_fusion": f"""with {_knn}, {_tq},
-rows as (select q_id query_id, vec_id, rank, 0 s from kn where rank <= 20 union all select q_id, vec_id, rank, 1 from tn where rank <= 20),
-fused as (select query_id, vec_id, min(s) s, arg_min(rank, s) r, string_agg(case s when 0 then 'graph' else 'vector' end, '+' order by s) sources, sum(1.0::double / (rank + 60)) score from rows group by query_id, vec_id)
-select query_id, row_number() over (partition by query_id order by round(score, 12) desc, s, r, vec_id)::int rank, vec_id, sources, round(score, 6) rrf_score from fused""",
-    "rerank_order": f"""with {_knn}, {_tq},
-rows as (select q_id query_id, vec_id, 'graph' source, rank original_rank, rank::bigint input_seq from kn where rank <= 6 union all select q_id, vec_id, 'vector', rank, rank + 4294967296 from tn where rank <= 6),
-sc as (select *, case when vec_id % 7 > 0 then (vec_id % 11)::double end llm_score from rows),
-nr as (select *, row_number() over (partition by query_id order by llm_score desc nulls last, case when llm_score is null then original_rank end nulls first, input_seq)::int new_rank from sc)
+    "rrf_fusion": f"with {_knn}, {_tq}, {_fused} select query_id, rank, vec_id, sources, round(score, 6) rrf_score from placed",
+    "rerank_order": f"""with {_knn}, {_tq}, {_reranked}
 select query_id, vec_id, source, original_rank, llm_score, new_rank, original_rank - new_rank rank_delta from nr""",
     "hybrid_context_text": f"""with {_dual},
 a as (select query_id, string_agg('• ' || name || ': ' || description, chr(10) order by rank) l from found where level = 'high_level' group by 1),
 b as (select query_id, string_agg('• ' || name || ' (' || type || '): ' || description || ' [workspace]', chr(10) order by rank) l from found where level = 'low_level' group by 1),
 ps as (select *, row_number() over (partition by query_id order by seq) r from paths),
-p as (select query_id, string_agg('• (' || src || ') --[' || relation || ']--> (' || dst || ')', chr(10) order by r) l from ps where r <= 4 group by 1)
-select query_id, concat_ws(chr(10) || chr(10), concat_ws(chr(10), '[Themes]', a.l), concat_ws(chr(10), '[Entities]', b.l), concat_ws(chr(10), '[Relations]', p.l), concat_ws(chr(10), '[Text chunks]', '• (none)')) context
-from prompts left join a using (query_id) left join b using (query_id) left join p using (query_id)""",
+p as (select query_id, string_agg('• (' || src || ') --[' || relation || ']--> (' || dst || ')', chr(10) order by r) l from ps where r <= 4 group by 1),
+{_prompt_knn},
+c as (select query_id, string_agg('• [sim=' || printf('%.3f', ((round(similarity * 10000)::bigint + 5) // 10)::double / 1000) || '] (' || doc_id || ') ' || text, chr(10) order by rank) l from near join documents using (doc_id) where rank <= 4 group by 1)
+select query_id, concat_ws(chr(10) || chr(10), concat_ws(chr(10), '[Themes]', a.l), concat_ws(chr(10), '[Entities]', b.l), concat_ws(chr(10), '[Relations]', p.l), concat_ws(chr(10), '[Text chunks]', coalesce(c.l, '• (none)'))) context
+from prompts left join a using (query_id) left join b using (query_id) left join p using (query_id) left join c using (query_id)""",
+    "rrf_block": f"""with {_knn}, {_tq}, {_fused}
+select query_id, string_agg('• [rrfScore=' || printf('%.5f', score + 1e-12) || ', sources=' || sources || '] ' || 'v' || vec_id, chr(10) order by rank) block from placed group by 1""",
+    "rerank_block": f"""with {_knn}, {_tq}, {_reranked}
+select query_id, string_agg('• [' || coalesce('score=' || llm_score::int || '/10', 'FAILED') || ', rank ' || new_rank || ' was ' || original_rank || ' ' ||
+  case when original_rank > new_rank then '▲' || (original_rank - new_rank) when original_rank < new_rank then '▼' || (new_rank - original_rank) else '=' end || ', source=' || source || '] v' || vec_id, chr(10) order by new_rank) block from nr group by 1""",
+    "rerank_tally": f"""with {_knn}, {_tq}, {_reranked}
+select query_id, count(llm_score) candidates_scored, count(*) - count(llm_score) candidates_failed, bool_or(original_rank <> new_rank) rank_changed from nr group by 1""",
+    "rerank_calls": f"""with {_knn}, {_tq}, {_candidates},
+rated as (select *, list_sum(list_transform(list_filter(string_split('v' || vec_id, ''), lambda c: c <> ''), lambda c: ascii(c)))::int % 14 n from rows)
+select query_id, vec_id, source, case when n < 13 then least(10, n)::double end llm_score, n = 13 failed from rated""",
+    "rerank_scores": """select p_partkey, case p_partkey % 7 when 0 then 10.0::double when 1 then 0 when 2 then 7 when 3 then null when 4 then null when 5 then 0 else least(10.0::double, p_partkey % 11 + 0.5::double) end score from part""",
+    "hyde_search_text": f"""with prompts as {_prompts} select query_id, prompt, case when contains(prompt, 'blue') or contains(prompt, 'zz') then prompt else upper(prompt) end search_text,
+case when contains(prompt, 'blue') then 'TimeoutError: no answer' when contains(prompt, 'zz') then 'empty passage' end hyde_error from prompts""",
+    "draft_target_rates": rf"""with t as (select conv_id, turn, text, list_filter(string_split_regex(lower({_trim}), '\s+'), lambda w: w <> '') w from conversations),
+p as (select a.conv_id, a.turn, a.text x_text, b.text y_text, a.w x, b.w y, least(len(a.w), len(b.w)) n from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
+r as (select *, case when n = 0 then 0.0 else round(len(list_filter(range(1, n + 1), lambda i: x[i] = y[i]))::double / n, 3) end rate from p)
+select conv_id, turn, printf('%.2fx', (length(x_text) % 50 + 1)::double / 7) speedup, printf('%.1f', rate * 100) || '%' acceptance, md5(substring(x_text, 1, 160)) draft_md5, md5(substring(y_text, 1, 160)) target_md5 from r""",
+    "merge_tally": f"""with nodes as {_nodes}, known as (select distinct lower(trim(name)) k from nodes where type = 'theme'),
+fresh as (select count(distinct lower(trim(name))) n from nodes where type = 'database' and lower(trim(name)) not in (select k from known)),
+every as (select count(*) n from nodes where type = 'database'), themes as (select count(*) n from nodes where type = 'theme'),
+pairs as (select count(*) n from (select distinct lower(p_name), lower(s_name) from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey)),
+old as (select count(*) n from {_edges})
+select fresh.n nodes_added, every.n - fresh.n nodes_merged, pairs.n edges_added, themes.n + fresh.n n_nodes, old.n + pairs.n n_edges from fresh, every, themes, pairs, old""",
+    "ingest_report": rf"""with d as (select doc_id, case when doc_id % 10 > 0 then text else ' ' end text from documents),
+sent as (select doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda z: z <> '') s from d),
+{_packed("sent", 800, "' '")}
+select doc_id, length(text)::int total_chars, case when regexp_replace(text, '^\s+|\s+$', '', 'g') = '' then 'no text' end error, len(c)::bigint chunks from d join o using (doc_id)""",
+    "validate_relations": """with p as (select * from part where p_partkey % 10 > 0)
+select p_partkey chunk_index, upper(p_name) source, 'Second' target, 'relates_to' relation, case when p_partkey % 3 = 1 then 0.25::double else 0.5::double end weight from p
+union all select p_partkey, 'second', p_name, 'r', 1.0::double from p""",
     "tq_compress": f"""with {_rotated} select vec_id, to_base64(unhex(array_to_string(list_transform(sq, lambda v: to_hex(v + 8)), ''))) as data,
 array_to_string(list_transform(range(64), lambda i: if(y[i + 1] - sq[i + 1] / 12::double >= 0, '1', '0')), '') residual_bits, round(nm, 6) norm, '6.4x' ratio from b""",
     "tq_search": f"with {_tq} select q_id, rank, vec_id, score from tn where rank <= 10",

@@ -5,23 +5,25 @@ Only the branches that a mode needs get into the plan: ``keyword`` reads no chun
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.embed import embed
+from skein.functions.embed import embed, embed_remote
 from skein.operators import fusion, graph
 from skein.operators.knn import knn
-from skein.sources.clients import ChatClient, ask, hypothetical_documents, rerank_calls
+from skein.sources.clients import ChatClient, EmbeddingClient, ask, hypothetical_documents, rerank_calls
 from skein.sources.tables import settled
 
 MODES = ("keyword", "vector", "hybrid", "hybrid_rerank", "hybrid_rrf", "vector_hyde", "hybrid_hyde")
 TOP_CHUNKS = 4
 
 
-def retrieve(prompts: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, mode: str = "hybrid", client: ChatClient | None = None, k: int = TOP_CHUNKS, rrf_k: int | None = None) -> dict[str, DataFrame]:
+def retrieve(prompts: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, mode: str = "hybrid", client: ChatClient | None = None, k: int = TOP_CHUNKS, rrf_k: int | None = None, embedder: EmbeddingClient | None = None) -> dict[str, DataFrame]:
     """matches, paths, vector, context (and fused or reranked) for ``prompts(query_id, prompt)``.
 
-    ``chunks(id long, text, vector)``; an unknown mode acts as ``hybrid``. Modes with a model need a client; where it fails the
+    ``chunks(id, text, vector)`` with numbers or text as ids, as ``ingest_documents`` makes them; an unknown mode acts as ``hybrid``. Modes with a model need a client; where it fails the
     plain prompt is searched, and candidates without a score rank last.
     """
     mode = mode if mode in MODES else "hybrid"
@@ -39,11 +41,13 @@ def retrieve(prompts: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: Dat
         if mode.endswith("hyde"):
             asked = settled(hypothetical_documents(prompts, client), "hyde")
             out["hyde"] = asked
-        queries = embed(asked, "search_text", "q").select(F.col("query_id").alias("q_id"), "q")
+        vectors = embed(asked, "search_text", "q") if embedder is None else embed_remote(asked, embedder, "search_text", "q")
+        queries = vectors.select(F.col("query_id").alias("q_id"), "q")
         near = knn(chunks.select("id", F.col("vector").alias("v")), settled(queries, "queries"), k)
         out["vector"] = settled(near.withColumnRenamed("q_id", "query_id").join(chunks.select("id", "text"), "id").select("query_id", "rank", "id", "text", "similarity", "distance"), "near")
     else:
-        out["vector"] = prompts.sparkSession.createDataFrame([], "query_id long, rank int, id long, text string, similarity double, distance double")
+        kind = chunks.schema["id"].dataType.simpleString()
+        out["vector"] = prompts.sparkSession.createDataFrame([], f"query_id long, rank int, id {kind}, text string, similarity double, distance double")
     context = fusion.hybrid_context(prompts, out["matches"], out["paths"], out["vector"])
     low = out["matches"].where("level = 'low_level'").select("query_id", "id", F.concat_ws(": ", "name", "description").alias("text"), "rank")
     near = out["vector"].withColumn("id", F.col("id").cast("string"))
@@ -68,3 +72,15 @@ def answer(prompts: DataFrame, context: DataFrame, client: ChatClient) -> DataFr
     rows = rows.withColumn("_user", F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "prompt"))
     asked = ask(rows, client, "Answer from the context.", "_user", "synthesis")
     return asked.select("query_id", "prompt", "context", "synthesis", F.col("error").alias("synthesis_error"), F.col("synthesis").isNotNull().alias("llm_used"))
+
+
+def answer_requests(requests: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, client: ChatClient, embedder: EmbeddingClient | None = None) -> DataFrame:
+    """``answer`` and mode for ``requests(query_id, prompt, mode)``, as ``read_requests`` gives them; an unknown mode acts as hybrid."""
+    mode = F.when(F.col("mode").isin(*MODES), F.col("mode")).otherwise("hybrid")
+    asked = settled(requests.select("query_id", "prompt", mode.alias("mode")), "requests")
+    made = []
+    for (name,) in sorted(asked.select("mode").distinct().collect()) or [("hybrid",)]:  # at most seven
+        some = asked.where(F.col("mode") == name).select("query_id", "prompt")
+        context = retrieve(some, nodes, edges, chunks, name, client, embedder=embedder)["context"]
+        made.append(answer(some, context, client).withColumn("mode", F.lit(name)))
+    return reduce(DataFrame.unionByName, made)

@@ -9,6 +9,7 @@ from skein.functions import text as T
 from skein.functions import vector as V
 from skein.functions.embed import embed, embedding_rows
 from skein.operators import evaluate, fusion, graph, ingest, knn
+from skein.sources import clients
 from skein.sources.tables import read_table
 
 DIMENSIONS = 64  # of the embeddings table
@@ -139,13 +140,15 @@ def merge_nodes(spark, sf):
     return new.select("seq", "id", "name", "file_location")
 
 
-def merge_edges(spark, sf):
-    every = nodes(spark, sf)
+def _relations(spark, sf) -> DataFrame:
     li = read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq"), "l_partkey", "l_suppkey", F.col("l_discount").cast("double").alias("weight"))
     part = read_table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("source"))
     supp = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit(" "), "s_name").alias("target"))
-    relations = li.join(part, "l_partkey").join(supp, "l_suppkey").select("seq", "source", "target", F.lit("supplied_by").alias("relation"), "weight")
-    return graph.merge_edges(every, edges(spark, sf), relations).select("source", "target", "relation", "weight")
+    return li.join(part, "l_partkey").join(supp, "l_suppkey").select("seq", "source", "target", F.lit("supplied_by").alias("relation"), "weight")
+
+
+def merge_edges(spark, sf):
+    return graph.merge_edges(nodes(spark, sf), edges(spark, sf), _relations(spark, sf)).select("source", "target", "relation", "weight")
 
 
 def _lists(spark, sf, k) -> tuple[DataFrame, DataFrame]:
@@ -160,17 +163,81 @@ def rrf_fusion(spark, sf):
 
 
 def rerank_order(spark, sf):
-    a, b = _lists(spark, sf, 6)
-    score = F.when(F.col("id") % 7 > 0, (F.col("id") % 11).cast("double"))
-    ranked = fusion.rerank_order(fusion.rerank_candidates(a, b).withColumn("llm_score", score))
-    return ranked.select("query_id", F.col("id").alias("vec_id"), "source", "original_rank", "llm_score", "new_rank", "rank_delta")
+    return _reranked(spark, sf).select("query_id", F.col("id").alias("vec_id"), "source", "original_rank", "llm_score", "new_rank", "rank_delta")
 
 
 def hybrid_context_text(spark, sf):
     p = prompts(spark)
     found = graph.dual_level(nodes(spark, sf), p)
-    none = spark.createDataFrame([], "query_id long, rank int, id long, text string, similarity double")
-    return fusion.hybrid_context(p, found, graph.relational_paths(edges(spark, sf), found), none)
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = embed(p.withColumnRenamed("prompt", "text"), out="q").select(F.col("query_id").alias("q_id"), "q")
+    near = knn.knn(embed(docs, out="v"), asked, 4).withColumnRenamed("q_id", "query_id").join(docs, "id")
+    return fusion.hybrid_context(p, found, graph.relational_paths(edges(spark, sf), found), near)
+
+
+def rrf_block(spark, sf):
+    return fusion.rrf_context(fusion.reciprocal_rank_fusion(*_lists(spark, sf, 20)))
+
+
+def _reranked(spark, sf):
+    score = F.when(F.col("id") % 7 > 0, (F.col("id") % 11).cast("double"))
+    return fusion.rerank_order(fusion.rerank_candidates(*_lists(spark, sf, 6)).withColumn("llm_score", score))
+
+
+def rerank_block(spark, sf):
+    return fusion.rerank_context(_reranked(spark, sf))
+
+
+def rerank_tally(spark, sf):
+    return fusion.rerank_summary(_reranked(spark, sf)).drop("total_latency_ms")
+
+
+def rerank_calls(spark, sf):
+    """A model stands in that rates a passage by its characters, out of range or without JSON at times."""
+    candidates = fusion.rerank_candidates(*_lists(spark, sf, 6))
+    asked = candidates.select("query_id").distinct().select("query_id", F.concat(F.lit("question "), "query_id").alias("prompt"))
+
+    def rate(system: str, user: str) -> str:
+        n = sum(map(ord, user.split("Passage: ")[1])) % 14
+        return "no rating" if n == 13 else f'{{"score": {n}}}'
+
+    return clients.rerank_calls(candidates, asked, clients.CannedChat(rate)).select("query_id", F.col("id").alias("vec_id"), "source", "llm_score", F.col("rerank_error").isNotNull().alias("failed"))
+
+
+def rerank_scores(spark, sf):
+    raw = """case p_partkey % 7 when 0 then '{"score": 12}' when 1 then '{"score": -1}' when 2 then '{"score": "7"}' when 3 then 'none'
+      when 4 then '{}' when 5 then '{"score": null}' else concat('{"score": ', p_partkey % 11, '.5}') end"""
+    return read_table(spark, sf, "part").selectExpr("p_partkey", f"{raw} as raw").select("p_partkey", fusion.rerank_score(F.col("raw")).alias("score"))
+
+
+def hyde_search_text(spark, sf):
+    """A model stands in that writes the prompt in capitals, nothing for one and fails for another."""
+
+    def write(system: str, user: str) -> str:
+        if "blue" in user:
+            raise TimeoutError("no answer")
+        return " " if "zz" in user else f" {user.upper()} "
+
+    return clients.hypothetical_documents(prompts(spark), clients.CannedChat(write))
+
+
+def draft_target_rates(spark, sf):
+    a = _turns(spark, sf).select("conv_id", "turn", F.col("text").alias("draft_text"), (F.length("text") % 50 + 1).cast("double").alias("draft_tps"))
+    b = _turns(spark, sf).select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target_text"), F.lit(7.0).alias("target_tps"))
+    made = evaluate.draft_target(a.join(b, ["conv_id", "turn"]))
+    return made.select("conv_id", "turn", "speedup", "acceptance", F.md5("draft_preview").alias("draft_md5"), F.md5("target_preview").alias("target_md5"))
+
+
+def merge_tally(spark, sf):
+    """One row: what a merge adds and what the graph holds then."""
+    every = nodes(spark, sf)
+    after, joined, tally = graph.merge(every.where("type = 'theme'"), edges(spark, sf), every.where("type = 'database'"), _relations(spark, sf))
+    return tally.crossJoin(after.agg(F.count("*").alias("n_nodes"))).crossJoin(joined.agg(F.count("*").alias("n_edges")))
+
+
+def ingest_report(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("text")).otherwise(" ").alias("text"))
+    return ingest.ingest_documents(docs, "doc_id", "text", nodes(spark, sf), edges(spark, sf))["report"]
 
 
 def tq_compress(spark, sf):
@@ -193,6 +260,16 @@ def validate_extraction(spark, sf):
     return rows.select("chunk_index", "error", "e.name", "e.type", "e.level", "e.description", F.array_join("e.tags", ",").alias("tags"))
 
 
+RELATIONS_SQL = """concat('{"entities":[{"name":"', p_name, '"},{"name":" second "}],"relations":[{"source":"', upper(p_name), '","target":"Second","relation":" ","weight":',
+  case p_partkey % 3 when 0 then '2' when 1 then '0.25' else '"x"' end, '},{"source":"', p_name, '","target":"missing"},{"source":"second","target":"', p_name, '","relation":" r ","weight":1},{"target":"second"}',
+  case p_partkey % 10 when 0 then ']' else ']}' end)"""
+
+
+def validate_relations(spark, sf):
+    raw = read_table(spark, sf, "part").selectExpr("p_partkey as chunk_index", f"{RELATIONS_SQL} as raw")
+    return ingest.validate_extraction(raw).select(F.col("chunk_index").cast("long").alias("chunk_index"), F.explode("relations").alias("r")).select("chunk_index", "r.*")
+
+
 def _turns(spark, sf) -> DataFrame:
     return read_table(spark, sf, "conversations")
 
@@ -233,7 +310,8 @@ QUERIES = {
     for f in (
         cosine_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, fnv_hash_words, hash_embedding,
         text_knn, keyword_scores, dual_level_topk, relational_paths, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
-        hybrid_context_text, tq_compress, tq_search, validate_extraction, token_overlap, adherence_score, offline_prompt_score,
+        hybrid_context_text, rrf_block, rerank_block, rerank_tally, rerank_calls, rerank_scores, hyde_search_text, draft_target_rates, merge_tally,
+        ingest_report, tq_compress, tq_search, validate_extraction, validate_relations, token_overlap, adherence_score, offline_prompt_score,
         compiled_prompt, status_counts,
     )
 }

@@ -22,6 +22,23 @@ class ChatClient(Protocol):
     def chat(self, system: str, user: str, json: bool = False) -> str: ...
 
 
+class EmbeddingClient(Protocol):
+    def embed(self, text: str) -> list[float]: ...
+
+
+@dataclass
+class Generation:
+    """What a model wrote, with the tokens and seconds that it reports (0 if it reports none)."""
+
+    text: str
+    tokens: int = 0
+    seconds: float = 0.0
+
+
+class GenerateClient(Protocol):
+    def generate(self, prompt: str) -> Generation: ...
+
+
 def _post(url: str, body: dict, timeout: float) -> dict:
     request = urllib.request.Request(url, jsonlib.dumps(body).encode(), {"Content-Type": "application/json"})
     with urllib.request.urlopen(request, timeout=timeout) as answer:
@@ -66,6 +83,74 @@ class CompatibleChat:
         return text
 
 
+@dataclass
+class NativeEmbed:
+    """Embeddings over ``/api/embeddings``."""
+
+    host: str
+    model: str
+    timeout: float = 2.5
+
+    def embed(self, text: str) -> list[float]:
+        got = _post(f"{self.host}/api/embeddings", {"model": self.model, "prompt": text}, self.timeout).get("embedding")
+        if not isinstance(got, list) or not got:
+            raise RuntimeError("the model gave no vector")
+        return got
+
+
+@dataclass
+class NativeGenerate:
+    """Text over ``/api/generate``; tokens and time are the model's own count and evaluation time."""
+
+    host: str
+    model: str
+    timeout: float = 60
+    most_tokens: int = 96
+
+    def generate(self, prompt: str) -> Generation:
+        body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"num_predict": self.most_tokens}}
+        got = _post(f"{self.host}/api/generate", body, self.timeout)
+        return Generation(got.get("response") or "", got.get("eval_count") or 0, (got.get("eval_duration") or 0) / 1e9)
+
+
+@dataclass
+class CompatibleGenerate:
+    """Text over ``/v1/chat/completions``; tokens as reported, time by the clock."""
+
+    host: str
+    model: str
+    timeout: float = 60
+    most_tokens: int = 96
+
+    def generate(self, prompt: str) -> Generation:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": self.most_tokens, "stream": False}
+        began = time.monotonic()
+        got = _post(f"{self.host}/v1/chat/completions", body, self.timeout)
+        seconds = time.monotonic() - began
+        text = ((got.get("choices") or [{}])[0].get("message") or {}).get("content") or ""
+        return Generation(text, (got.get("usage") or {}).get("completion_tokens") or 0, seconds)
+
+
+@dataclass
+class CannedEmbed:
+    """Vectors from a function of the text; for tests and replays."""
+
+    answer: Callable[[str], list[float]]
+
+    def embed(self, text: str) -> list[float]:
+        return self.answer(text)
+
+
+@dataclass
+class CannedGenerate:
+    """Generations from a function of the prompt; for tests and replays."""
+
+    answer: Callable[[str], Generation]
+
+    def generate(self, prompt: str) -> Generation:
+        return self.answer(prompt)
+
+
 @dataclass
 class CannedChat:
     """Answers from a function of (system, user); for tests and replays."""
@@ -103,6 +188,47 @@ def ask(rows: DataFrame, client: ChatClient, system: str, user: str, answer: str
     return dealt.mapInPandas(run, schema)
 
 
+def _generation(client: GenerateClient | ChatClient, prompt: str) -> tuple[Generation | None, str | None, float]:
+    """(what it wrote, its error, milliseconds); a chat client's tokens are words and its time is the clock's."""
+    began = time.monotonic()
+    try:
+        if hasattr(client, "generate"):
+            made = client.generate(prompt)
+        else:
+            text = client.chat("", prompt)
+            made = Generation(text, len(text.split()), time.monotonic() - began)
+        return made, None, (time.monotonic() - began) * 1000
+    except Exception as e:  # whatever a client raises is the row's error
+        return None, f"{type(e).__name__}: {e}", (time.monotonic() - began) * 1000
+
+
+def generate_with(rows: DataFrame, clients: dict[str, GenerateClient | ChatClient], prompt: str = "prompt", parallel: int | None = None) -> DataFrame:
+    """``rows`` with <name>_text, _tokens, _seconds, _latency_ms and _error for each client; a row's clients are asked at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import types as T
+
+    kinds = {"text": T.StringType(), "tokens": T.LongType(), "seconds": T.DoubleType(), "latency_ms": T.DoubleType(), "error": T.StringType()}
+    added = [T.StructField(f"{name}_{c}", k) for name in clients for c, k in kinds.items()]
+    names = [f.name for f in added]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(len(clients)) as pool:
+            for pdf in batches:
+                made: dict[str, list] = {n: [] for n in names}
+                for text in pdf[prompt]:
+                    jobs = {name: pool.submit(_generation, c, "" if text is None else text) for name, c in clients.items()}
+                    for name, job in jobs.items():
+                        got, error, took = job.result()
+                        values = (got.text, got.tokens, got.seconds, took, None) if got else (None, 0, 0.0, took, error)
+                        for column, value in zip(kinds, values):
+                            made[f"{name}_{column}"].append(value)
+                yield pdf.assign(**made)
+
+    dealt = rows.repartition(parallel) if parallel else rows
+    return dealt.mapInPandas(run, T.StructType([*rows.schema.fields, *added]))
+
+
 HYDE_PROMPT = "Answer the question in one short passage of two to four sentences, in the plain style of a reference text. Give the passage only."
 
 

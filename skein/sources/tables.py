@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the folder that all executors share (``spark.checkpoint.dir``), and read again."""
+    """``df`` written to the folder that all executors share (``spark.checkpoint.dir``), and read again.
+
+    Only where that setting is missing on one machine (master ``local``, as in tests) a temporary folder stands in.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/skein-{tag}-{uuid.uuid4().hex}"

@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -8,13 +9,16 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import vector as V
-from skein.functions.embed import HashEmbedder, embed, embedding_rows
+from skein.functions.embed import HashEmbedder, embed, embed_remote, embedding_rows
 from skein.operators import evaluate, fusion, graph, ingest, knn
-from skein.plans.retrieval import MODES, answer, retrieve
-from skein.sources.clients import CannedChat, ask, hypothetical_documents, rerank_calls
+from skein.plans.retrieval import MODES, answer, answer_requests, retrieve
+from skein.sources.clients import CannedChat, CannedEmbed, CannedGenerate, Generation, ask, hypothetical_documents, rerank_calls
+from skein.sources.requests import read_requests, write_answers
 from skein.sources.tables import numbered
 
+T_WORDS = re.compile("[^a-z0-9_]+")
 QUESTION = "How does the HNSW vector index perform approximate nearest neighbor search and how does it relate to quantization?"
+# Fixed test values: the question and chunk texts whose vectors and similarities are known.
 CHUNKS = [
     "Speculative decoding uses a smaller draft model to predict future tokens validated in parallel by the target LLM.",
     "HNSW Hierarchical Navigable Small World graphs enable logarithmic time approximate nearest neighbor search.",
@@ -206,7 +210,9 @@ def test_rerank(spark):
     d = spark.createDataFrame(rows, "query_id long, id string, source string, original_rank int, input_seq long, llm_score double")
     ranked = fusion.rerank_order(d)
     assert [r.id for r in ranked.orderBy("new_rank").collect()] == ["a", "c", "d", "b"]
-    assert tuple(fusion.rerank_summary(ranked).first())[1:] == (2, 2, True)
+    assert tuple(fusion.rerank_summary(ranked).first())[1:] == (2, 2, True, None)
+    timed = fusion.rerank_summary(ranked.withColumn("latency_ms", F.lit(2.5))).first()
+    assert timed.total_latency_ms == 10.0
     raw = ['{"score": 12}', '{"score": -1}', '{"score": null}', '{"score": "7"}', "{}", "no", '{"score": ""}', '{"score": true}', '{"score": 3.25}']
     got = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").select("i", fusion.rerank_score(F.col("raw")).alias("s")).orderBy("i").collect()
     assert [r.s for r in got] == [10.0, 0.0, 0.0, 7.0, None, None, 0.0, 1.0, 3.25]
@@ -332,3 +338,99 @@ def test_rerank_calls_keep_failures(spark):
     p = spark.createDataFrame([(1, "q")], "query_id long, prompt string")
     got = {r.id: r for r in rerank_calls(c, p, CannedChat(lambda s, u: '{"score": 3}' if "x" in u.split("Passage")[1] else "no")).collect()}
     assert got["a"].llm_score == 3.0 and got["b"].llm_score is None and got["b"].rerank_error
+
+
+def test_remote_embedding_falls_back(spark):
+    d = spark.createDataFrame([(1, " ok "), (2, "down"), (3, " "), (4, None), (5, "empty")], "id long, text string")
+
+    def reply(text):
+        if text == "down":
+            raise TimeoutError("late")
+        return [] if text == "empty" else [3.0, 4.0]
+
+    got = {r.id: r for r in embed_remote(d, CannedEmbed(reply)).collect()}
+    assert got[1].vector == [0.6, 0.8] and got[1].embedded_by == "client" and got[1].embed_error is None
+    assert got[2].vector == HashEmbedder()("down").tolist() and got[2].embedded_by == "hash" and "TimeoutError" in got[2].embed_error
+    assert got[3].vector == [0.0] * 384 and got[3].embed_error is None and not any(got[4].vector)
+    assert got[5].embedded_by == "hash" and "no vector" in got[5].embed_error
+
+
+def test_reported_tokens_and_time(spark):
+    d = spark.createDataFrame([(1, "p"), (2, "bad")], "id long, prompt string")
+
+    def draft(prompt):
+        if prompt == "bad":
+            raise ConnectionError("down")
+        return Generation("a b c", 90, 1.5)
+
+    got = {r.id: r for r in evaluate.benchmark(d, CannedGenerate(draft), CannedGenerate(lambda p: Generation("a x c", 40, 2.0))).collect()}
+    assert (got[1].draft_tps, got[1].target_tps, got[1].speedup, got[1].draft_tokens) == (60.0, 20.0, "3.00x", 90)
+    assert got[2].draft_error.startswith("ConnectionError") and got[2].draft_tps == 0.0 and got[2].speedup == "0.00x"
+
+
+def test_insert(spark):
+    first = embed(spark.createDataFrame([("a", "one"), ("b", "two")], "id string, text string"))
+    rows = spark.createDataFrame([("b", 1, "old"), ("b", 2, "new"), ("c", 1, "three")], "id string, seq int, text string")
+    got = {r.id: r for r in knn.insert(first, rows).collect()}
+    assert {i: r.text for i, r in got.items()} == {"a": "one", "b": "new", "c": "three"}
+    assert got["b"].vector == HashEmbedder()("new").tolist()
+
+
+def test_prompts_in_blocks(spark, monkeypatch):
+    nodes, _ = small_graph(spark)
+    p = spark.createDataFrame([(i, t) for i, t in enumerate(["search index", "storage", "zz", "code", "rows and search"])], "query_id long, prompt string")
+    want = sorted(map(str, graph.keyword_scores(nodes, p).collect()))
+    monkeypatch.setattr(graph, "PROMPT_BLOCK", 2)
+    assert sorted(map(str, graph.keyword_scores(nodes, p).collect())) == want and want
+
+
+@pytest.mark.parametrize("ids", [[2**45 + 1, 2**45 + 2, 2**45 + 3], ["doc-b", "doc-a", "x/y"]])
+def test_ingested_documents_can_be_retrieved(spark, ids):
+    """Ids beyond 2 ** 40 and text ids, from documents to an answer."""
+    kind = "string" if isinstance(ids[0], str) else "long"
+    d = spark.createDataFrame([(ids[0], CHUNKS[0]), (ids[1], CHUNKS[1]), (ids[2], "Gamma uses Delta.\n\n" + "Delta calls Alpha. " * 120)], f"doc_id {kind}, text string")
+
+    def reply(system, user):
+        names = [w for w in ("HNSW", "Gamma", "Delta", "Alpha") if w in user]
+        relations = [{"source": a, "target": b, "relation": "uses"} for a, b in zip(names, names[1:])]
+        return json.dumps({"entities": [{"name": n} for n in names], "relations": relations})
+
+    out = ingest.ingest_documents(d, "doc_id", "text", spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE), CannedChat(reply), embedder=CannedEmbed(lambda t: HashEmbedder()(t).tolist()))
+    assert sorted(r.name for r in out["nodes"].collect()) == ["Alpha", "Delta", "Gamma", "HNSW"]
+    assert out["report"].where("extraction_error is null").count() == 3 and out["tally"].first().nodes_added == 4
+    p = spark.createDataFrame([(1, QUESTION)], "query_id long, prompt string")
+    got = retrieve(p, out["nodes"], out["edges"], out["chunks"], "hybrid")
+    first = got["vector"].where("rank = 1").first()
+    assert first.id == f"{ids[1]}-chunk-0" and first.similarity == 0.234
+    assert f"({ids[1]}-chunk-0)" in got["context"].first().context
+
+
+def test_requests_and_answers_as_json(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"prompt": "Search the index", "mode": "keyword"}\n{"prompt": "Search it"}\n{"mode": "vector"}\n[1]\n')
+    asked = read_requests(spark, str(tmp_path / "in"))
+    assert sorted((r.prompt, r.mode) for r in asked.collect()) == [("", "hybrid"), ("", "vector"), ("Search it", "hybrid"), ("Search the index", "keyword")]
+    nodes, edges = small_graph(spark)
+    chunks = embed(spark.createDataFrame(list(enumerate(CHUNKS)), "id long, text string"))
+    answers = answer_requests(asked, nodes, edges, chunks, CannedChat(lambda s, u: "so"))
+    write_answers(answers, str(tmp_path / "out"))
+    rows = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(rows) == 4 and all(r["success"] and r["llmUsed"] and r["synthesis"] == "so" and r["synthesisError"] is None for r in rows)
+    assert sorted(r["mode"] for r in rows) == ["hybrid", "hybrid", "keyword", "vector"]
+
+
+@given(st.lists(st.text(alphabet="ab1_ -ZÉ", max_size=90), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_texts_embedded_together(texts):
+    e = HashEmbedder()
+    v, touched = e.matrix(texts + ["x" * 70 + " y"])
+    for row, hit, t in zip(v, touched, texts):
+        want = np.zeros(384)
+        words = [w for w in T_WORDS.split(t.lower()) if w]
+        for i, w in enumerate(words):
+            for k, g in enumerate([w, *(w[j : j + 3] for j in range(len(w) - 2))]):
+                h = V.fnv1a_py(g)
+                want[abs(h) % 384] += (1 if h > 0 else -1) * (0.45 if k else 1.0) / np.sqrt(i + 1)
+                assert hit[abs(h) % 384]
+        n = np.sqrt(want @ want) or 1.0
+        assert np.allclose(row, want / n, atol=1.1e-6)
