@@ -1,19 +1,19 @@
 """SentencePiece encoding and decoding by a lattice of pieces.
 
 A text becomes a blank mark, then itself with blanks as marks, cut into words before each mark that
-follows another character (no piece crosses such a place). A word's lattice has an edge for each
-of its substrings that is a piece; the best path has the largest sum of piece scores (ties: the
-longest last piece, as in the library). Characters without a piece are edges of their own below all scores
-and become byte pieces.
-
-All words go through Spark. The documents are taken in blocks of ``BLOCK_CHARS`` characters, in the order of their
-partition. A block asks for each of its distinct words once (the words of one part of a hash in one row, in order of their
-first occurrence); the parts are dealt, equal words become one row, its bounded-length substrings are exploded and
-equi-joined to the piece table, edges are grouped by word, and a higher-order ``aggregate`` folds Viterbi over them. The ids go
-back to the blocks that asked, by place instead of by word. They meet the block's texts as numbers of words there, and each
-text is put together from its words' ids. What is decoded from them is compared with the text by a 128-bit digest.
-
-Only words of more than ``WORD_CHARS`` characters (junk without a blank; their trellis would be copied once a character in
+follows another character (no piece crosses such a place), and words into units between any two characters that stand side
+by side in no piece. A unit's lattice has an edge for each of its substrings that is a piece; the best path has the largest
+sum of piece scores (ties: the longest last piece, as in the library). Characters without a piece are edges of their own
+below all scores and become byte pieces. A text's best path is that of its units.
+
+All units go through Spark. The documents are taken in blocks of ``BLOCK_CHARS`` characters, in the order of their
+partition. A block asks for each of its distinct units once (those of one part of a hash in one row, in order of their
+first occurrence); the parts are dealt, equal units become one row, its bounded-length substrings are exploded and
+equi-joined to the piece table, edges are grouped by unit, and a higher-order ``aggregate`` folds Viterbi over them. The ids go
+back to the blocks that asked, by place instead of by text. They meet the block's texts as numbers of units there, and each
+text is put together from its units' ids. What is decoded from them is compared with the text by a 128-bit digest.
+
+Only units of more than ``UNIT_CHARS`` characters (junk without a blank; their trellis would be copied once a character in
 Spark) are folded by the task that holds their document, by the same lattice.
 
 Documents must come from files or a written table: both sides of a block read them in the same order. If they do not,
@@ -47,12 +47,13 @@ from pyspark.sql import functions as F
 from skein.llm.common import id_text, read_table, slices
 
 MARK = "▁"
-WORD_CHARS = 64  # longer words are folded where their document is
+UNIT_CHARS = 64  # longer units are folded where their document is
 BLOCK_CHARS = 16_000_000  # texts of a block; its distinct words are held by one task
-PART_CHARS = 1_000_000  # texts for each part of the words
-SALT_BITS = 42  # a word's row lists its places in the blocks of 1,024 partitions; more blocks, more rows
+PART_CHARS = 2_000_000  # texts for each part of the units
+SALT_BITS = 42  # a unit's row lists its places in the blocks of 1,024 partitions; more blocks, more rows
 HEAD = 3  # characters that bound the length of the pieces which begin with them
 SHORT = 1 << 15  # ids of two bytes
+CODES = 1 << 22  # ids, and code points below zero, that a node's number has room for
 UNKNOWN_PENALTY = 10.0
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 
@@ -87,9 +88,35 @@ class PieceTable:
         byte_zero = next((i for i in range(n) if m.is_byte(i)), -1)
         if byte_zero < 0:
             raise ValueError("the model has no byte pieces")
+        if n > CODES // 2:
+            raise ValueError("the model has too many pieces")
         low = min(s for _, s in scores.values())
         return cls(scores, byte_zero, [m.id_to_piece(i) for i in range(n)], max(map(len, scores)), low - UNKNOWN_PENALTY)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("raw", "index", "crossed")}
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(units, number of units of each word): words cut between characters that no piece holds side by side.
+
+        No edge of a word's lattice crosses such a place, so the best path is that of its units, one after the other.
+        """
+        if not hasattr(self, "crossed"):
+            pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+            chars = sorted({c for pair in pairs for c in pair})
+            index, crossed = np.zeros(0x110000, np.int16), np.zeros((len(chars) + 1, len(chars) + 1), bool)
+            index[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+            for a, b in pairs:
+                crossed[index[ord(a)], index[ord(b)]] = True
+            self.index, self.crossed = index, crossed
+        if not words:
+            return [], np.empty(0, np.int64)
+        codes = np.frombuffer(" ".join(map(marked, words)).encode("utf-32-le", "replace"), np.uint32)
+        blank, at = codes == 32, self.index[codes]
+        cuts = np.flatnonzero(~self.crossed[at[:-1], at[1:]] & ~blank[:-1] & ~blank[1:]) + 1
+        units = np.insert(codes, cuts, 32).astype("<u4").tobytes().decode("utf-32-le").split(" ")
+        return units, 1 + np.bincount(np.cumsum(blank)[cuts], minlength=len(words))
+
     def encode_word(self, word: str) -> bytes:
         """Little-endian uint32 ids of a word's best path: the lattice and its fold in one task."""
         get, longest, n = self.scores.get, self.longest, len(word)
@@ -178,41 +205,47 @@ class _Numbers(dict):
         return n
 
 
-def _part(word: str, n: int) -> int:
-    """The part of a word; n for one that is too long for Spark."""
-    return n if len(word) > WORD_CHARS else zlib.crc32(word.encode("utf-8", "replace")) % n
+def _part(unit: str, n: int) -> int:
+    """The part of a unit; n for one that is too long for Spark."""
+    return n if len(unit) > UNIT_CHARS else zlib.crc32(unit.encode("utf-8", "replace")) % n
 
 
-class _Words:
-    """The distinct words of a block by part, in order of their first occurrence, and the texts as numbers of words.
+class _Units:
+    """The distinct units of a block by part, in order of their first occurrence, and the texts as numbers of units.
 
-    Numbers count the words of part 0, then those of part 1 and so on, then those that are too long for Spark.
+    Numbers count the units of part 0, then those of part 1 and so on, then those that are too long for Spark.
     """
 
-    def __init__(self, n: int, held: list):
-        at, rows, self.sizes, self.texts = _Numbers(), [], [], []
+    def __init__(self, table: PieceTable, n: int, held: list):
+        at, rows, sizes, self.texts = _Numbers(), [], [], []
         for part in slices(held):
             for t in part.column("text").to_pylist():
                 words = split_words(t or "")
                 rows.append(array("i", map(at.__getitem__, words)))
-                self.sizes.append(len(words))
+                sizes.append(len(words))
                 self.texts.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")))
-        parts, of, place = [0] * (n + 1), [], []
-        self.long = []
-        for w in at:
-            p = _part(w, n)
+        units, counts = table.cut(list(at))
+        del at
+        number = _Numbers()
+        codes = np.fromiter(map(number.__getitem__, units), np.int32, len(units))
+        self.parts: list[list[str]] = [[] for _ in range(n + 1)]
+        of, place = [], []
+        for u in number:
+            mine = self.parts[p := _part(u, n)]
             of.append(p)
-            place.append(parts[p])
-            parts[p] += 1
-            if p == n:
-                self.long.append(w)
-        starts = np.cumsum([0, *parts])
-        numbers = (starts[of] + place if of else np.empty(0, np.int64)).astype(np.int32)
-        self.flat = numbers[np.frombuffer(b"".join(rows), np.int32)]
-
-
-def _asked(n: int, chars: int, batches: Iterator) -> Iterator:
-    """part, block, words (blank-separated, in order of their first occurrence) for each block and part."""
+            place.append(len(mine))
+            mine.append(u)
+        starts = np.cumsum([0, *map(len, self.parts)])
+        codes = (starts[of] + place)[codes].astype(np.int32) if of else codes
+        words = np.frombuffer(b"".join(rows), np.int32)
+        times = counts[words]
+        ends = np.cumsum(times)
+        self.flat = codes[np.repeat((np.cumsum(counts) - counts)[words] - (ends - times), times) + np.arange(times.sum())]
+        self.sizes = np.diff(np.concatenate([[0], ends])[np.cumsum([0, *sizes])])
+
+
+def _asked(shared: Broadcast, n: int, chars: int, batches: Iterator) -> Iterator:
+    """part, block, units (blank-separated, in order of their first occurrence) for each block and part."""
     import pyarrow as pa
 
     for block, held in _blocks(chars, batches):
@@ -221,44 +254,43 @@ def _asked(n: int, chars: int, batches: Iterator) -> Iterator:
             for t in part.column("text").to_pylist():
                 words.update(dict.fromkeys(split_words(t or "")))
         parts: list[list[str]] = [[] for _ in range(n + 1)]
-        for w in words:
-            parts[_part(w, n)].append(w)
+        for u in dict.fromkeys(shared.value.cut(list(words))[0]):
+            parts[_part(u, n)].append(u)
         rows = [(p, " ".join(some)) for p, some in enumerate(parts[:n]) if some]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([w for _, w in rows], pa.string())], names=["part", "block", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([u for _, u in rows], pa.string())], names=["part", "block", "units"])
 
 
-def _packed(n: int, chars: int, batches: Iterator) -> Iterator:
-    """One row for each block: its ids, the number of words and the digest of each text, the words' numbers, long words.
+def _packed(shared: Broadcast, n: int, chars: int, batches: Iterator) -> Iterator:
+    """One row for each block: its ids, the number of units and the digest of each text, the units' numbers, long units.
 
     Of the numbers, all lowest bytes come first, then all second bytes and so on: they compress better apart.
     """
     import pyarrow as pa
 
     for block, held in _blocks(chars, batches):
-        words = _Words(n, held)
-        numbers = np.ascontiguousarray(words.flat.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+        units = _Units(shared.value, n, held)
+        numbers = np.ascontiguousarray(units.flat.astype("<i4").view(np.uint8).reshape(-1, 4).T)
         ids = pa.concat_arrays([h.column("doc_id") for h in held])
         row = [
             pa.array([block], pa.int64()),
             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-            pa.array([np.array(words.sizes, "<i4").tobytes()], pa.binary()),
-            pa.array([b"".join(words.texts)], pa.binary()),
+            pa.array([units.sizes.astype("<i4").tobytes()], pa.binary()),
+            pa.array([b"".join(units.texts)], pa.binary()),
             pa.array([zstandard.compress(numbers.tobytes())], pa.binary()),
-            pa.array([words.long], pa.list_(pa.string())),
+            pa.array([units.parts[n]], pa.list_(pa.string())),
         ]
         yield pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "sizes", "texts", "numbers", "long"])
 
 
 def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
-    """part, payload, ids for ``words(id, part, word, payload)``: the relational lattice.
+    """part, payload, ids for ``words(id, part, word, payload)``, words with their marks: the relational lattice.
 
     An id below zero stands for minus a code point without a piece. The payload travels on one edge of its word.
     """
     spark = words.sparkSession
     rows = [(p, i, float(s)) for p, (i, s) in table.scores.items()]
     pieces = F.broadcast(spark.createDataFrame(rows, "piece string, piece_id int, score double"))  # as large as the model's table
-    w = F.when(F.contains("word", F.lit(MARK)), F.col("word")).otherwise(F.concat(F.lit(MARK), "word"))
-    whole = words.select("id", "part", w.alias("w"), "payload")
+    whole = words.select("id", "part", F.col("word").alias("w"), "payload")
     starts = whole.select("id", "part", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"), "payload")
     starts = starts.withColumn("payload", F.when(F.col("i") == 1, F.col("payload"))).withColumn("head", F.substring("w", F.col("i"), F.lit(HEAD)))
     # No substring is longer than the longest piece with its first characters.
@@ -272,30 +304,22 @@ def best_paths(words: DataFrame, table: PieceTable) -> DataFrame:
     spans = starts.select("id", "part", "w", "i", F.explode(sizes).alias("l"), "payload")
     spans = spans.select("id", "part", "i", "l", F.expr("substring(w, i, l)").alias("piece"), F.when(F.col("l") == 1, F.col("payload")).alias("payload"))
     edges = spans.join(pieces, "piece", "left").where("piece_id is not null or l = 1")
-    edge = F.struct(
-        (F.col("i") + F.col("l")).alias("to"),
-        F.col("i").alias("of"),
-        F.coalesce("score", F.lit(table.unknown)).alias("score"),
-        F.coalesce("piece_id", -F.ascii("piece")).alias("id"),
-    )
+    code = F.col("i") * float(CODES) + F.coalesce("piece_id", -F.ascii("piece")) + float(CODES // 2)
+    edge = F.struct((F.col("i") + F.col("l")).alias("to"), F.col("i").alias("of"), F.coalesce("score", F.lit(table.unknown)).alias("score"), code.alias("code"))
     # Rows of a word are still in one task, dealt by part: grouping them needs no further shuffle.
     lattice = edges.groupBy("id", "part").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("payload", ignorenulls=True).alias("payload"))
-    # Viterbi over the edges by their end: ``t`` holds the nodes behind, ``b`` the best way to the one at hand, and every node has an
-    # edge, that of its last character. Ties keep the earlier start.
-    node = "named_struct('s', 0D, 'of', 0, 'id', 0)"
-    cost = "if(e.of > size(a.t), a.b.s, element_at(a.t, e.of).s) + e.score"
+    # Viterbi over the edges by their end. Node k has two entries: its best score at 2k - 1, and at 2k where it comes from and by
+    # which id, as one number. Every node has an edge, that of its last character. Ties keep the earlier start.
+    cost = "element_at(t, 2 * e.of - 1) + e.score"
     viterbi = f"""
-      aggregate(edges, named_struct('t', slice(array({node}), 1, 0), 'b', {node}),
-        (a, e) -> if(e.to > size(a.t) + 1,
-          named_struct('t', concat(a.t, array(a.b)), 'b', named_struct('s', {cost}, 'of', e.of, 'id', e.id)),
-          if({cost} > a.b.s, named_struct('t', a.t, 'b', named_struct('s', {cost}, 'of', e.of, 'id', e.id)), a)),
-        a -> concat(a.t, array(a.b)))
+      aggregate(edges, array(0D, 0D), (t, e) -> if(2 * e.to > size(t), concat(t, array({cost}, e.code)),
+        if({cost} > element_at(t, -2), concat(slice(t, 1, size(t) - 2), array({cost}, e.code)), t)))
     """
-    path = """
-      aggregate(sequence(size(trellis), 2, -1),
-        named_struct('at', size(trellis), 'ids', cast(array() as array<int>)),
-        (p, k) -> if(k = p.at, named_struct('at', element_at(trellis, k).of, 'ids', concat(array(element_at(trellis, k).id), p.ids)), p),
-        p -> p.ids)
+    path = f"""
+      aggregate(sequence(size(trellis), 4, -2), array(size(trellis)),
+        (p, k) -> if(k = element_at(p, 1),
+          concat(array(2 * cast(cast(element_at(trellis, k) as long) div {CODES} as int), cast(element_at(trellis, k) % {CODES} as int) - {CODES // 2}), slice(p, 2, size(p))), p),
+        p -> slice(p, 2, size(p)))
     """
     return lattice.select("part", "payload", F.expr(viterbi).alias("trellis")).select("part", "payload", F.expr(path).alias("ids"))
 
@@ -307,10 +331,11 @@ def parts_for(docs: DataFrame) -> int:
     return max(n, min(chars // PART_CHARS, 16 * n))
 
 
-def word_ids(docs: DataFrame, table: PieceTable, n: int, chars: int = BLOCK_CHARS) -> DataFrame:
-    """block, part, sizes, ids: the encoded words that each block of ``docs(text)`` asked for, in the order of its words."""
-    asked = docs.select("text").mapInArrow(partial(_asked, n, chars), "part int, block long, words string").repartitionById(n, "part")
-    places = asked.select("part", "block", F.posexplode(F.split("words", " ")).alias("pos", "word"))
+def unit_ids(docs: DataFrame, shared: Broadcast, n: int, chars: int = BLOCK_CHARS) -> DataFrame:
+    """block, part, sizes, ids: the encoded units that each block of ``docs(text)`` asked for, in the order of its units."""
+    table = shared.value
+    asked = docs.select("text").mapInArrow(partial(_asked, shared, n, chars), "part int, block long, units string").repartitionById(n, "part")
+    places = asked.select("part", "block", F.posexplode(F.split("units", " ")).alias("pos", "word"))
     salt = F.shiftright("block", SALT_BITS)
     words = places.groupBy("word", "part", salt.alias("salt")).agg(F.collect_list(F.struct("block", "pos")).alias("payload"))
     found = best_paths(words.withColumn("id", F.monotonically_increasing_id()), table)
@@ -325,9 +350,9 @@ def word_ids(docs: DataFrame, table: PieceTable, n: int, chars: int = BLOCK_CHAR
 
 
 def _answered(table: PieceTable, answers, long: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words one after the other, ids of each word) in the order of a block's numbers."""
+    """(ids of all units one after the other, ids of each unit) in the order of a block's numbers."""
     rows = sorted(zip(answers.column("part").to_pylist(), answers.column("sizes"), answers.column("ids")), key=lambda r: r[0])
-    extra = [np.frombuffer(table.encode_word(marked(w)), "<i4") for w in long]
+    extra = [np.frombuffer(table.encode_word(u), "<i4") for u in long]
     sizes = np.concatenate([*(r[1].values.to_numpy() for r in rows), np.array([len(x) for x in extra], np.int64)]).astype(np.int64)
     flat = np.concatenate([*(r[2].values.to_numpy() for r in rows), *extra, np.empty(0, np.int32)]).astype(np.int32)
     odd = np.flatnonzero(flat < 0)  # code points without a piece become bytes
@@ -348,7 +373,7 @@ def _answered(table: PieceTable, answers, long: list[str]) -> tuple[np.ndarray,
 
 
 def _encoded(shared: Broadcast, check: bool, packed, answers):
-    """One block: its texts from the ids of its words, with numpy gathers over slices of them."""
+    """One block: its texts from the ids of its units, with numpy gathers over slices of them."""
     import pyarrow as pa
 
     table, row = shared.value, {c: packed.column(c)[0] for c in packed.column_names}
@@ -358,9 +383,9 @@ def _encoded(shared: Broadcast, check: bool, packed, answers):
     raw = zstandard.decompress(row["numbers"].as_py())
     numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
     if (np.bincount(numbers, minlength=len(sizes)) == 0).any() or (len(numbers) and numbers.max() >= len(sizes)):
-        raise RuntimeError("a block's texts and its words came from different rows; write the documents to a table first")
-    # No character's bytes are in two words: a text's decoding is that of its words.
-    words = [table.decode_bytes(flat[a:b]) for a, b in zip(begin.tolist(), ends.tolist())] if check else []
+        raise RuntimeError("a block's texts and its units came from different rows; write the documents to a table first")
+    # No character's bytes are in two units: a text's decoding is that of its units.
+    units = [table.decode_bytes(flat[a:b]) for a, b in zip(begin.tolist(), ends.tolist())] if check else []
     counts, digests, doc_ids, made, at = np.frombuffer(row["sizes"].as_py(), "<i4"), row["texts"].as_py(), row["doc_ids"].values, [], 0
     for lo in range(0, len(counts), 256):
         some = counts[lo : lo + 256]
@@ -373,7 +398,7 @@ def _encoded(shared: Broadcast, check: bool, packed, answers):
         bounds = stops[cuts]
         same = [None] * len(some)
         if check:
-            said = list(map(words.__getitem__, mine.tolist()))
+            said = list(map(units.__getitem__, mine.tolist()))
             texts = (table.text(b"".join(said[a:b])) for a, b in zip(cuts.tolist(), cuts[1:].tolist()))
             same = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) == digests[16 * k : 16 * k + 16] for k, t in enumerate(texts, lo)]
         ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))
@@ -386,8 +411,8 @@ def encode(docs: DataFrame, path: str | None = None, check: bool = True, chars:
     spark, table, rows = docs.sparkSession, PieceTable.load(path or model_path()), id_text(docs)
     shared = spark.sparkContext.broadcast(table)  # as large as the model's table
     n = parts_for(rows)
-    packed = rows.mapInArrow(partial(_packed, n, chars), "block long, doc_ids array<long>, sizes binary, texts binary, numbers binary, long array<string>")
-    both = packed.groupBy("block").cogroup(word_ids(rows, table, n, chars).groupBy("block"))
+    packed = rows.mapInArrow(partial(_packed, shared, n, chars), "block long, doc_ids array<long>, sizes binary, texts binary, numbers binary, long array<string>")
+    both = packed.groupBy("block").cogroup(unit_ids(rows, shared, n, chars).groupBy("block"))
     return both.applyInArrow(lambda left, right: _encoded(shared, check, left, right), SCHEMA)
 
 

@@ -78,12 +78,25 @@ def test_spark_fold_equals_the_tasks_fold(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     words = d.select(q.F.explode(q.F.split("text", " ")).alias("word")).where("length(word) between 1 and 64").distinct()
     odd = [("é中🙂x",), ("\n",), ("a\nb",), ("ñ",), ("▁▁▁",), ("▁▁a",), ("thering" * 9,)]
-    words = words.union(spark.createDataFrame(odd, "word string")).select(q.F.monotonically_increasing_id().alias("id"), q.F.lit(0).alias("part"), "word", q.F.col("word").alias("payload"))
+    words = words.union(spark.createDataFrame(odd, "word string"))
+    words = words.select(q.F.monotonically_increasing_id().alias("id"), q.F.lit(0).alias("part"), q.F.concat(q.F.lit(q.MARK), "word").alias("word"), q.F.col("word").alias("payload"))
     got = q.best_paths(words, TABLE).collect()
     assert len(got) == words.count() > 5000
     for r in got:
         flat = [j for i in r.ids for j in ((i,) if i >= 0 else TABLE.byte_ids(chr(-i)))]
-        assert flat == ids(TABLE.encode_word(q.marked(r.payload))), r.payload
+        assert flat == ids(TABLE.encode_word(q.MARK + r.payload)), r.payload
+
+
+@given(st.lists(st.text(alphabet="thering▁éß中🙂\n.,A(", min_size=1, max_size=12), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_units_have_the_path_of_their_word(words):
+    words = [w for t in words for w in q.split_words(t)]
+    units, counts = TABLE.cut(words)
+    assert len(counts) == len(words) and counts.sum() == len(units)
+    at = np.cumsum([0, *counts])
+    for w, a, b in zip(words, at, at[1:]):
+        assert "".join(units[a:b]) == q.marked(w)
+        assert sum((ids(TABLE.encode_word(u)) for u in units[a:b]), []) == ids(TABLE.encode_word(q.marked(w)))
 
 
 def test_no_word_is_missed_by_small_blocks(spark, sf):
@@ -97,7 +110,7 @@ def test_no_word_is_missed_by_small_blocks(spark, sf):
 
 def test_grouping_by_word_needs_no_shuffle(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    plan = q.word_ids(d, TABLE, 4)._jdf.queryExecution().executedPlan().toString()
+    plan = q.unit_ids(d, spark.sparkContext.broadcast(TABLE), 4)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) == 1
 
 
