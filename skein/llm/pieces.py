@@ -32,6 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -111,7 +112,9 @@ class PieceTable:
             self.index, self.crossed = index, crossed
         if not words:
             return [], np.empty(0, np.int64)
-        codes = np.frombuffer(" ".join(map(marked, words)).encode("utf-32-le", "replace"), np.uint32)
+        joined = " ".join(words)
+        joined = " ".join(map(marked, words)) if MARK in joined else MARK + joined.replace(" ", " " + MARK)
+        codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         blank, at = codes == 32, self.index[codes]
         cuts = np.flatnonzero(~self.crossed[at[:-1], at[1:]] & ~blank[:-1] & ~blank[1:]) + 1
         units = np.insert(codes, cuts, 32).astype("<u4").tobytes().decode("utf-32-le").split(" ")
@@ -205,9 +208,10 @@ class _Numbers(dict):
         return n
 
 
-def _part(unit: str, n: int) -> int:
-    """The part of a unit; n for one that is too long for Spark."""
-    return n if len(unit) > UNIT_CHARS else zlib.crc32(unit.encode("utf-8", "replace")) % n
+def _parts(units: list[str], n: int) -> list[int]:
+    """The part of each unit; n for one that is too long for Spark."""
+    crc = zlib.crc32
+    return [n if len(u) > UNIT_CHARS else crc(u.encode("utf-8", "replace")) % n for u in units]
 
 
 class _Units:
@@ -219,25 +223,26 @@ class _Units:
     def __init__(self, table: PieceTable, n: int, held: list):
         at, rows, sizes, self.texts = _Numbers(), [], [], []
         for part in slices(held):
+            mine: list[int] = []
             for t in part.column("text").to_pylist():
-                words = split_words(t or "")
-                rows.append(array("i", map(at.__getitem__, words)))
-                sizes.append(len(words))
+                mine += map(at.__getitem__, split_words(t or ""))
+                sizes.append(len(mine))
                 self.texts.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")))
+            rows.append(np.array(mine, np.int32))
+            sizes[-part.num_rows :] = np.diff([0, *sizes[-part.num_rows :]]).tolist()
         units, counts = table.cut(list(at))
         del at
         number = _Numbers()
         codes = np.fromiter(map(number.__getitem__, units), np.int32, len(units))
         self.parts: list[list[str]] = [[] for _ in range(n + 1)]
-        of, place = [], []
-        for u in number:
-            mine = self.parts[p := _part(u, n)]
-            of.append(p)
+        of, place = _parts(list(number), n), []
+        for u, p in zip(number, of):
+            mine = self.parts[p]
             place.append(len(mine))
             mine.append(u)
         starts = np.cumsum([0, *map(len, self.parts)])
         codes = (starts[of] + place)[codes].astype(np.int32) if of else codes
-        words = np.frombuffer(b"".join(rows), np.int32)
+        words = np.concatenate(rows)
         times = counts[words]
         ends = np.cumsum(times)
         self.flat = codes[np.repeat((np.cumsum(counts) - counts)[words] - (ends - times), times) + np.arange(times.sum())]
@@ -252,10 +257,11 @@ def _asked(shared: Broadcast, n: int, chars: int, batches: Iterator) -> Iterator
         words: dict[str, None] = {}
         for part in slices(held):
             for t in part.column("text").to_pylist():
-                words.update(dict.fromkeys(split_words(t or "")))
+                deque(map(words.setdefault, split_words(t or "")), 0)
         parts: list[list[str]] = [[] for _ in range(n + 1)]
-        for u in dict.fromkeys(shared.value.cut(list(words))[0]):
-            parts[_part(u, n)].append(u)
+        units = list(dict.fromkeys(shared.value.cut(list(words))[0]))
+        for u, p in zip(units, _parts(units, n)):
+            parts[p].append(u)
         rows = [(p, " ".join(some)) for p, some in enumerate(parts[:n]) if some]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([u for _, u in rows], pa.string())], names=["part", "block", "units"])
 
