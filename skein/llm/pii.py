@@ -1,8 +1,8 @@
 """Personal data: base patterns, and more spans from a conditional random field over word shapes.
 
 The field labels the tokens of a line (letters, digits or one other character) as outside, or as the
-beginning or inside of an email, ip, card or phone. It is trained on a small labelled table that
-``labelled_lines`` writes from a few templates, so it finds forms that the patterns do not: phones without a
+beginning or inside of an email, ip, card or phone. It is trained on a small labelled table (by default the one that
+``labelled_lines`` writes by rule), so it finds forms that the patterns do not: phones without a
 plus sign, cards with other separators, emails with ``at`` and ``dot`` written out, bracketed or spaced
 addresses. A span that it adds must have the number of digits (cards: also the check digit) or parts of its kind and overlap no base
 span.
@@ -20,14 +20,13 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import id_text, read_table
+from skein.llm.common import id_text, read_table, slices
 from skein.llm.crf import Crf, train, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -88,7 +87,7 @@ _dot = re.compile(r"\b[dD][oO][tT]\b")
 # A written-out address, to which a span found is trimmed: at sign with blanks, bracketed at, or at with dot.
 _name, _host = r"[\w%+-]+(?:(?:\.|\s+dot\s+)[\w%+-]+)*", r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
 _written = re.compile(rf"(?i){_name}(?:(?:\s?@\s?|\s*[\[(]\s*at\s*[\])]\s*)[\w-]+(?:{_host}[\w-]+)+|\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+)")
-WORDS = frozenset("at dot com org net example mail phone tel call card ip address email number reach telefon handy appel correo".split())
+WORDS = frozenset("at dot com org net example mail phone tel call card ip address email number reach telefon handy appel correo mobile telefono teléfono portable write contact visa karte tarjeta paid host server from".split())
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
@@ -117,61 +116,107 @@ def features(toks: list[tuple[str, int, int]]) -> list[list[str]]:
     return out
 
 
-def labelled_lines(seed: int = 7, n: int = 300) -> list[list[tuple[str, str | None]]]:
-    """The small labelled table: lines as (text, kind or None) parts, written by rule from a fixed seed."""
+def labelled_lines(seed: int = 7, n: int = 600) -> list[list[tuple[str, str | None]]]:
+    """A small labelled table written by rule from a fixed seed: lines as (text, kind or None) parts."""
     rng = random.Random(seed)
-    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randint(2, 9)))
+    pick = rng.choice
+    digits = lambda k: "".join(pick("0123456789") for _ in range(k))
+    word = lambda: "".join(pick("abcdefghiklmnoprstuv") for _ in range(rng.randint(2, 9)))
+    cues = {"phone": "phone tel call number mobile handy telefon telefono portable".split(), "email": "mail email write contact correo".split(), "card": "card visa karte tarjeta paid".split(), "ip": "ip host server address from".split()}
 
     def words() -> str:
         made = [word() for _ in range(rng.randint(0, 5))]
         if made and rng.random() < 0.4:
             made[0] = made[0].title()
-        return " ".join(made) + rng.choice(["", "", "", ",", ".", ":"])
+        return " ".join(made) + pick(["", "", "", ",", ".", ":"])
 
-    def card(sep: str) -> str:
-        body = rng.choice("3456") + digits(14)
+    def card() -> str:
+        body = pick("3456") + digits(14)
         full = next(body + c for c in "0123456789" if luhn(body + c))
-        return sep.join(full[i : i + 4] for i in range(0, 16, 4))
+        return pick(["", " ", "-", ".", "  ", "/"]).join(full[i : i + 4] for i in range(0, 16, 4))
 
     def email() -> str:
-        name = rng.choice([word(), f"{word()}.{digits(2)}", f"{word()}_{word()}"])
-        host = rng.choice([f"{word()}.com", f"mail{digits(1)}.example.com", f"{word()}.org"])
-        form = rng.choice(["{n}@{h}", "{n} at {d}", "{n} [at] {d}", "{n}(at){h}", "{n} @ {h}", "{n} (at) {d}"])
-        return form.format(n=name, h=host, d=host.replace(".", rng.choice([" dot ", " [dot] ", " (dot) "])))
+        name = pick([[word()], [word(), digits(2)], [word(), word()], [word()[0], word()]])
+        host = [pick([word(), f"mail{digits(1)}", f"{word()}-{word()}"]), pick(["com", "org", "net", "de", "es", "fr", "io", "co"])]
+        if rng.random() < 0.2:
+            host.insert(0, word())
+        plain, spoken = lambda x: ".".join(x), lambda x: pick([" dot ", " [dot] ", " (dot) "]).join(x)
+        form = rng.randrange(6)
+        if form == 0:
+            return f"{plain(name)}@{plain(host)}"
+        if form == 1:
+            return f"{plain(name)} @ {plain(host)}"
+        if form == 2:
+            return f"{pick([plain, '_'.join, spoken])(name)} at {' dot '.join(host)}"
+        if form == 3:
+            return f"{plain(name)}(at){plain(host)}"
+        return f"{pick([plain, '_'.join])(name)} {pick(['[at]', '(at)'])} {pick([plain, spoken, spoken])(host)}"
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"{a} {b} {c}", f"00{digits(2)} {a} {b}{digits(3)}", f"0{digits(2)}/{b}{c}"])
+        sep = pick([" ", " ", "-", "."])
+        sizes = pick([(3, 3, 3), (2, 2, 2, 2), (4, 4, 4), (3, 4, 4), (3, 3, 2, 2), (4, 3, 4), (2, 3, 2, 2), (4, 7), (3, 8)])
+        grouped = sep.join(["0" + digits(sizes[0] - 1), *map(digits, sizes[1:])] if rng.random() < 0.6 else map(digits, sizes))
+        pairs = "0" + digits(1) + "".join(sep + digits(2) for _ in range(4))
+        area = "0" + digits(rng.randint(2, 3))
+        slash = area + pick(["/", " / ", "-"]) + pick([digits(7), f"{digits(3)} {digits(2)} {digits(2)}", f"{digits(4)} {digits(4)}"])
+        return pick([f"({a}) {b}-{c}", f"({a}) {b} {c}", f"({area}) {digits(4)} {digits(4)}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"{a} {b} {c}", f"00{digits(2)} {a} {b}{digits(3)}", grouped, grouped, pairs, slash, slash])
 
     def ip() -> str:
-        return rng.choice([".", " . ", "[.]"]).join(str(rng.randint(0, 255)) for _ in range(4))
+        return pick([".", " . ", "[.]"]).join(str(rng.randint(0, 255)) for _ in range(4))
 
     def other() -> str:
         a = digits(1)
-        return rng.choice([f"20{digits(2)}-0{a}-1{a}", f"1{a}:3{a}", f"{a}.{digits(1)}.{digits(1)}", f"{digits(2)} %", f"${digits(3)}.{digits(2)}", f"19{digits(2)}", digits(rng.randint(1, 12)), f"{digits(3)},{digits(3)}", f"{word()}{digits(3)}", f"at {word()}", f"{digits(2)}/{digits(2)}/20{digits(2)}", f"v{a}.{a}.{digits(2)}", f"{digits(1)}-{digits(1)}", f"{digits(3)}-{digits(2)}", f"at {digits(2)}", f"{word()} at {word()} {word()}", f"{digits(4)} {word()}", "".join(rng.choice("0123456789abcdef") for _ in range(20))])
-
-    make = {"email": email, "ip": ip, "card": lambda: card(rng.choice(["", " ", "-", ".", "  "])), "phone": phone}
+        thousands = lambda k: f"{rng.randint(1, 999)}" + "".join(f" {pick(['000', '500', digits(3)])}" for _ in range(k))
+        return pick([
+            f"20{digits(2)}-0{a}-1{a}", f"1{a}:3{a}", f"{a}.{digits(1)}.{digits(1)}", f"{digits(2)} %", f"${digits(3)}.{digits(2)}", f"19{digits(2)}", digits(rng.randint(1, 12)), f"{digits(3)},{digits(3)}",
+            f"{word()}{digits(3)}", f"at {word()}", f"{digits(2)}/{digits(2)}/20{digits(2)}", f"v{a}.{a}.{digits(2)}", f"{digits(1)}-{digits(1)}", f"{digits(3)}-{digits(2)}", f"at {digits(2)}", f"{word()} at {word()} {word()}",
+            f"{digits(4)} {word()}", "".join(pick("0123456789abcdef") for _ in range(20)), thousands(1), thousands(1), thousands(2), f"from {thousands(1)} to {thousands(2)}", f"97{a}-{a}-{digits(2)}-{digits(6)}-{a}", f"{a}-{digits(3)}-{digits(5)}-{a}",
+            f"20{digits(6)}-{digits(4)}-{digits(4)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(2)}", f"{digits(2)}-{digits(2)}, {digits(2)}-{digits(2)}, {digits(2)}-{digits(2)}", f"{digits(2)}.{a}, {a}.{digits(2)} and {digits(2)}.{digits(2)}",
+            f"0{a}.0{a}.20{digits(2)}", f"dot at {word()}", f"the dot on {word()}", f"{word()} at {word()} (at {word()})", f"1{a}{a}0x{digits(3)}0", f"19{digits(2)} to 19{digits(2)} {word()} {thousands(2)}",
+        ])
+
+    make = {"email": email, "ip": ip, "card": card, "phone": phone}
     lines = []
     for _ in range(n):
         line: list[tuple[str, str | None]] = [(words() + " ", None)]
         for _ in range(rng.randint(0, 2)):
-            kind = rng.choice(["email", "ip", "card", "phone", None, None])
-            line += [(make[kind]() if kind else other(), kind), (rng.choice([" ", " ", ", ", ". "]) + words() + " ", None)]
+            kind = pick(["email", "ip", "card", "phone", "phone", None, None, None, None])
+            if kind and rng.random() < 0.4:
+                cue = pick(cues[kind])
+                line.append((pick([cue, cue.title()]) + pick([" ", ": ", " no. ", " is ", " at "]), None))
+            line += [(make[kind]() if kind else other(), kind), (pick([" ", " ", ", ", ". ", " or "]) + words() + " ", None)]
         lines.append(line)
     return lines
 
 
-@lru_cache(maxsize=1)
-def trained() -> Crf:
-    """The field fitted on the labelled table; the same on every machine."""
-    feats, golds = [], []
-    for line in labelled_lines():
+#: The columns of a labelled table: spans end before ``end``, in code points.
+LABELLED = "line_id long, text string, spans array<struct<kind: string, start: int, end: int>>"
+MOST_LINES = 2000
+
+
+def labelled_table(spark: SparkSession) -> DataFrame:
+    """``labelled_lines`` as a table. Lines of one's own in the same columns do as well."""
+    rows = []
+    for i, line in enumerate(labelled_lines()):
         text, spans = "", []
         for part, kind in line:
             if kind:
                 spans.append((kind, len(text), len(text) + len(part)))
             text += part
+        rows.append((i, text, spans))
+    return spark.createDataFrame(rows, LABELLED)
+
+
+def fit_field(labelled: DataFrame, most_lines: int = MOST_LINES) -> Crf:
+    """The field fitted on a labelled table: its first ``most_lines`` lines by line_id; null texts and unknown kinds are left out."""
+    rows = labelled.where("text is not null").select("line_id", "text", "spans").orderBy("line_id", "text").limit(most_lines).collect()
+    return _fit([(r.text, [(s["kind"], s["start"], s["end"]) for s in r.spans or [] if s["kind"] in KINDS]) for r in rows])
+
+
+def _fit(lines: list[tuple[str, list[tuple[str, int, int]]]]) -> Crf:
+    feats, golds = [], []
+    for text, spans in lines:
         toks = tokens(text)
         if not toks:
             continue
@@ -304,22 +349,24 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _scan(model: Broadcast, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(model: Broadcast, batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
     finder = Finder(model.value)
-    for pdf in batches:
-        for lo in range(0, len(pdf), 512):
-            rows = pdf.iloc[lo : lo + 512]
-            got = finder(rows.text.fillna("").tolist())
-            made = {f"n_{k}": [sum(s[0] == k for s in base) for base, _ in got] for k in KINDS}
-            sha = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got]
-            yield pd.DataFrame({"doc_id": rows.doc_id.array, **made, "base_sha256": sha, "spans": [joined(every) for _, every in got]})
+    for rows in slices(batches):
+        got = finder([t or "" for t in rows.column("text").to_pylist()])
+        made = [rows.column("doc_id"), *(pa.array([sum(s[0] == k for s in base) for base, _ in got], pa.int64()) for k in KINDS)]
+        made.append(pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got]))
+        made += [pa.array([joined(every) for _, every in got]), pa.array([len(every) for _, every in got], pa.int64())]
+        yield pa.RecordBatch.from_arrays(made, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for docs(doc_id, text)."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    model = docs.sparkSession.sparkContext.broadcast(trained())  # a few thousand weights
-    return id_text(docs).mapInPandas(partial(_scan, model), schema)
+def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (added ones, too) for docs(doc_id, text)."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(fit_field(labelled_table(spark) if labelled is None else labelled))  # a few thousand weights
+    return id_text(docs).mapInArrow(partial(_scan, model), schema)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
@@ -346,7 +393,7 @@ def redaction_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [c if c in ("text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names)
 
-    model = spark.sparkContext.broadcast(trained())
+    model = spark.sparkContext.broadcast(fit_field(labelled_table(spark)))
 
     def run(batches):
         finder = Finder(model.value)

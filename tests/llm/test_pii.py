@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,16 @@ from skein.llm.crf import Crf, train, viterbi
 from tests.llm.fixtures import docs, table
 
 
+@lru_cache(maxsize=1)
+def finder():
+    """The field fitted on the default labelled table, without Spark."""
+    rows = []
+    for line in q.labelled_lines():
+        ends = list(itertools.accumulate(len(part) for part, _ in line))
+        rows.append(("".join(part for part, _ in line), [(kind, e - len(part), e) for (part, kind), e in zip(line, ends) if kind]))
+    return q.Finder(q._fit(rows))
+
+
 def brute_base(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -54,29 +65,96 @@ FOUND = {
     "call (743) 555-3824 now": "phone:5:19",
     "see john [at] mail.org for it": "email:4:22",
     "pay with 4111.1111.1111.1111 or not": "card:9:28",
+    "ring 030 / 2345 6789 soon": "phone:5:20",
     "on 2024-01-15 at 10:30 we met 1999 people v1.2.3": "",
     "he was at home in 1998, at 3 am": "",
 }
 
 
 def test_the_field_adds_what_patterns_miss():
-    f = q.Finder(q.trained())
+    f = finder()
     for text, want in FOUND.items():
         base, every = f([text])[0]
         assert not base and q.joined(every) == want
 
 
-def test_held_out_lines():
-    f, right, wanted, made = q.Finder(q.trained()), 0, 0, 0
-    for line in q.labelled_lines(seed=99, n=200):
-        text, gold = "", set()
-        for part, kind in line:
-            if kind:
-                gold.add((kind, len(text), len(text) + len(part)))
-            text += part
-        got = set(f([text])[0][1])
-        right, wanted, made = right + len(gold & got), wanted + len(gold), made + len(got)
-    assert right / wanted > 0.75 and right / made > 0.85
+# Written by hand, not by the templates: (line, spans that the field should add). Base patterns find none of those spans.
+LINES = [
+    ("Please ring our front desk at (415) 867 2290 before noon.", [("phone", "(415) 867 2290")]),
+    ("Her cell is 646-555-0148, her office 212-555-0199.", [("phone", "646-555-0148"), ("phone", "212-555-0199")]),
+    ("Sie erreichen das Büro unter 030 / 2345 6789.", [("phone", "030 / 2345 6789")]),
+    ("Telefon 0511-123 45 67, Fax folgt.", [("phone", "0511-123 45 67")]),
+    ("Llame al 912 345 678 para pedir cita.", [("phone", "912 345 678")]),
+    ("Mon portable: 06 12 34 56 78, merci.", [("phone", "06 12 34 56 78")]),
+    ("Call me: 1 (800) 555-3535 ext 4", [("phone", "1 (800) 555-3535")]),
+    ("handy 0171.445.6789", [("phone", "0171.445.6789")]),
+    ("My number's 7435553824, text me", [("phone", "7435553824")]),
+    ("write to maria dot lopez at correo dot es today", [("email", "maria dot lopez at correo dot es")]),
+    ("contact: jsmith [at] acme [dot] co", [("email", "jsmith [at] acme [dot] co")]),
+    ("billing(at)shop24.com answers within a day", [("email", "billing(at)shop24.com")]),
+    ("send it to anna_k @ mail.example.org please", [("email", "anna_k @ mail.example.org")]),
+    ("Mail an k.weber (at) uni-bonn (dot) de", [("email", "k.weber (at) uni-bonn (dot) de")]),
+    ("reach bob at example dot com or at home", [("email", "bob at example dot com")]),
+    ("card 4111.1111.1111.1111 was declined", [("card", "4111.1111.1111.1111")]),
+    ("paid with 5500  0000  0000  0004 on Monday", [("card", "5500  0000  0000  0004")]),
+    ("Kartennummer 4012/8888/8888/1881 liegt vor", [("card", "4012/8888/8888/1881")]),
+    ("server 10[.]0[.]12[.]7 stopped answering", [("ip", "10[.]0[.]12[.]7")]),
+    ("traffic came from 192 . 168 . 4 . 20 all night", [("ip", "192 . 168 . 4 . 20")]),
+    ("blocked 203[.]0[.]113[.]9 and left", [("ip", "203[.]0[.]113[.]9")]),
+    ("In 1998 the town had 12 500 people and 3 schools.", []),
+    ("Version 2.10.4 fixes 17 bugs; see pages 12-19.", []),
+    ("The meeting is at 10:30 at the office on 2024-03-15.", []),
+    ("Order no. 4481-22 costs $129.99, 20 % off.", []),
+    ("He was born on 03/04/1987 at 7 pm in room 12.", []),
+    ("ISBN 978-3-16-148410-0 is out of print.", []),
+    ("Population: 8,336,817 (2019), 302.6 sq mi.", []),
+    ("We looked at the dot on the map and at last saw it.", []),
+    ("Chapter 3.1.4.1 lists 5 tables and 16 figures.", []),
+    ("From 1914 to 1918 some 65 000 000 men served.", []),
+    ("Meet at noon (at the gate) with 2 friends.", []),
+    ("Commit 9f86d081884c7d659a2feaa0c55ad015 broke it.", []),
+    ("Temperatures were -12.5, 3.25, 18.75 and 20.5 degrees.", []),
+    ("Lot 20240315-0099-1234 expires in 24 months.", []),
+    ("Invoice total 1 234 567,89 due in 30 days", []),
+    ("at 12 noon, 300 people at 4 sites", []),
+
+    ("The plumber answers on 0151 2345 6789 after six.", [("phone", "0151 2345 6789")]),
+    ("Phone (020) 7946 0958 or write.", [("phone", "(020) 7946 0958")]),
+    ("Teléfono: 93 412 77 80, de lunes a viernes", [("phone", "93 412 77 80")]),
+    ("Appelez le 01.42.68.53.00 pour réserver", [("phone", "01.42.68.53.00")]),
+    ("tel 089-636-48018", [("phone", "089-636-48018")]),
+    ("ask for Lee, 305 555 0142.", [("phone", "305 555 0142")]),
+    ("mail me: sara.klein at posteo dot de", [("email", "sara.klein at posteo dot de")]),
+    ("tom_b [at] kernel [dot] org maintains it", [("email", "tom_b [at] kernel [dot] org")]),
+    ("editor (at) dailynews (dot) com", [("email", "editor (at) dailynews (dot) com")]),
+    ("jobs(at)fabrik.io", [("email", "jobs(at)fabrik.io")]),
+    ("Correo: info @ tienda.es", [("email", "info @ tienda.es")]),
+    ("charged to 3782-822463-10005 yesterday .", []),  # a base card
+    ("visa 4242.4242.4242.4242, exp 04/27", [("card", "4242.4242.4242.4242")]),
+    ("Karte 5105  1051  0510  5100 gesperrt", [("card", "5105  1051  0510  5100")]),
+    ("host 172[.]16[.]254[.]1 is down", [("ip", "172[.]16[.]254[.]1")]),
+    ("ping 8 . 8 . 4 . 4 works", [("ip", "8 . 8 . 4 . 4")]),
+    ("Between 2001 and 2015 output rose from 340 000 to 1 250 000 tons.", []),
+    ("Seats 14-22, rows 3.5 and 4.5, price 12.50.", []),
+    ("Track 1Z999AA10123456784 left at 08:15 on 04.05.2023", []),
+    ("Look at the second dot at the end of line 40.", []),
+    ("The ratio is 16:9 at 1920x1080, 60 fps, 24.5 GB.", []),
+    ("§ 12 Abs. 3 Satz 2 gilt ab 01.01.2024", []),
+    ("ISBN 3-540-62304-4, 412 pages, 1998", []),
+    ("score 21-19, 18-21, 22-20 at home", []),
+    ("serial 0049-7781-2231-90 of batch 7", []),
+]
+
+
+def test_hand_written_lines():
+    """Precision and recall of what the field adds."""
+    f, right, wanted, made = finder(), 0, 0, 0
+    for text, spans in LINES:
+        gold = {(k, text.index(s), text.index(s) + len(s)) for k, s in spans}
+        base, every = f([text])[0]
+        added = set(every) - set(base)
+        right, wanted, made = right + len(gold & added), wanted + len(gold), made + len(added)
+    assert wanted == 37 and right / wanted > 0.75 and right / made > 0.95, (right, wanted, made)
 
 
 ODD = [None, "", "x" * 200000 + "@", "1" * 100000, "1 " * 60000, "a.b@c.d.e +1 (743) 555-3824 10.0.0.1 é🙂 4111 1111 1111 1111", "same +49 30 1234567", "same +49 30 1234567", *FOUND]
@@ -88,13 +166,16 @@ def check(rows, texts):
         base = brute_base(t)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == b[0] for b in base) for k in q.KINDS]
         assert r.base_sha256 == hashlib.sha256(q.joined(base).encode()).hexdigest()
-        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+        every = [s for s in r.spans.split(",") if s]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(every) and r.n_spans == len(every)
 
 
 def test_awkward_rows(spark, tmp_path):
     rows = q.op8_pii(spark, table(spark, tmp_path, "documents", docs(spark, ODD))).collect()
     assert len(rows) == len(ODD)
-    check([r for r in rows if r.doc_id not in (2, 3)], ODD)
+    check([r for r in rows if r.doc_id != 2], ODD)  # the pattern of the brute force takes minutes on row 2, which has no domain
+    long = next(r for r in rows if r.doc_id == 2)
+    assert (long.n_email, long.n_spans, long.base_sha256) == (0, 0, hashlib.sha256(b"").hexdigest())
     assert q.op8_pii(spark, table(spark, tmp_path, "documents", docs(spark, []))).count() == 0
 
 
@@ -115,7 +196,7 @@ def test_stage(spark, tmp_path, sf):
 
 
 def test_spans_across_the_parts_of_a_long_line(monkeypatch):
-    find = q.Finder(q.trained())
+    find = finder()
     cut = 0
     for shift in range(9):  # a cut at each place of the repeated words
         line = "go " * shift + "".join(f"call 030 555 {1000 + k} or 12 big boxes, " for k in range(700))
@@ -128,3 +209,17 @@ def test_spans_across_the_parts_of_a_long_line(monkeypatch):
             cut += find.more([line]) != want
         assert len(q.tokens(line)) > 4096 and len(want[0]) > 100 and got == want
     assert cut  # without the overlap a span is lost
+
+
+def test_labelled_table_of_ones_own(spark):
+    """The field is fitted on the table that is given; nulls and unknown kinds are left out."""
+    default = q.labelled_table(spark)
+    rows = [(r.line_id, r.text, [tuple(s) for s in r.spans]) for r in default.collect()]
+    assert len(rows) == 600 and all(t[a:b].strip() for _, t, spans in rows for _, a, b in spans)
+    form = lambda i: f"<{i}55_123_45{i % 10}>"
+    few = [(i, f"ring {form(i)} now", [("phone", 5, 5 + len(form(i)))]) for i in range(40)]
+    extra = [(998, None, None), (999, "odd kind", [("planet", 0, 3)]), (1000, "none", None)]
+    crf = q.fit_field(spark.createDataFrame(few + extra, q.LABELLED))
+    assert q.joined(q.Finder(crf)(["ring <3755_123_459> now"])[0][1]).startswith("phone:")
+    docs_ = docs(spark, ["ring <3755_123_459> now"])
+    assert q.scan(docs_, spark.createDataFrame(few + extra, q.LABELLED)).first().n_spans == 1

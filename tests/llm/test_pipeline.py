@@ -8,6 +8,7 @@ from skein.llm.common import read_table
 from tests.llm.fixtures import docs, table
 from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_pieces import encoded
+from tests.llm.test_pii import finder
 
 
 def brute(spark, sf):
@@ -21,7 +22,7 @@ def brute(spark, sf):
     b = pd.read_parquet(f"{sf}/benchmark.parquet")
     match = decontaminate.Matcher(list(zip(b.item_id, b.text)))
     d = d[[not match(t) for t in d.text]]
-    find = pii.Finder(pii.trained())
+    find = finder()
     out = {}
     for i, t in zip(d.doc_id, d.text):
         out[i] = encoded(pii.redact(t, find([t])[0][1]))
