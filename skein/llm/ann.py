@@ -13,9 +13,9 @@ Bounds: the codebooks are fitted on at most ``sample_rows`` distinct vectors, th
 hash; every vector is indexed. Codebooks have about 2 * n ** 0.25 centroids (32 to 1,024), so a cell holds
 about the root of n; one count for each cell is broadcast.
 
-Equal vectors are one index entry that carries their k + 1 smallest ids: no answer needs more. Cells
-with many vectors or queries are cut into blocks, and each pair of blocks is compared on its own; only
-its k best a query leave it.
+Equal vectors are one index entry that carries their k + 1 smallest ids: no answer needs more. A query travels once to
+each row of cells (one left code) that it visits, with the right codes it wants there. Rows of cells with many vectors or
+queries are cut into blocks, and each pair of blocks is compared on its own; only its k best a query leave it.
 
 Cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part, neither as queries nor as candidates; rows that repeat an id and its vector
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import read_table, written
+from skein.llm.common import discard, read_table, written
 
 K = 10
 SHARE = 0.6
@@ -112,12 +112,13 @@ class Index:
             for pdf in batches:
                 if len(pdf):
                     v = np.stack(pdf.v.to_list())
-                    yield pdf.assign(cell=nearest(v[:, :half], left) * len(right) + nearest(v[:, half:], right))
+                    yield pdf.assign(left=nearest(v[:, :half], left), right=nearest(v[:, half:], right))
 
         self.books = books
-        self.entries = written(entries.mapInPandas(code, "v array<double>, ids array<long>, cell int"), "cells")
+        self.entries = written(entries.mapInPandas(code, "v array<double>, ids array<long>, left int, right int"), "cells")
+        discard(entries)
         # One count for each of at most centroids ** 2 cells.
-        self.counts = {r.cell: r.n for r in self.entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        self.counts = {(r.left, r.right): r.n for r in self.entries.groupBy("left", "right").agg(F.count("*").alias("n")).collect()}
 
     def search(self, queries: DataFrame, k: int = K, share: float = SHARE) -> DataFrame:
         """query_id, rank, vec_id, score for ``queries(vec_id, v)``."""
@@ -132,43 +133,50 @@ class Index:
                 v = np.stack(pdf.v.to_list())
                 d_left, d_right = distances(v[:, :half], left), distances(v[:, half:], right)
                 for i, (query, vector) in enumerate(zip(pdf.vec_id, pdf.v)):
-                    cells, got = [], 0
+                    rows, got = {}, 0
                     for a, b in multi_sequence(d_left[i], d_right[i]):
-                        cell = a * len(right) + b
-                        if n := sizes.get(cell, 0):
-                            cells.append(cell)
+                        if n := sizes.get((a, b), 0):
+                            rows.setdefault(a, []).append(b)
                             got += n
                             if got >= candidates:
                                 break
-                    yield pd.DataFrame({"query_id": query, "q": [vector] * len(cells), "cell": np.array(cells, np.int32)})
+                    yield pd.DataFrame({"query_id": query, "q": [vector] * len(rows), "left": np.array(list(rows), np.int32), "rights": list(rows.values())})
 
-        asked = written(queries.mapInPandas(visit, "query_id long, q array<double>, cell int"), "visits")
-        loads = self.entries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        asks = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ask_parts"))
-        # One row for each cell: at most centroids ** 2.
-        plan = F.broadcast(loads.join(asks, "cell"))
+        # A query goes to each row of cells (one left code) that it visits once, with the right codes it wants there.
+        asked = written(queries.mapInPandas(visit, "query_id long, q array<double>, left int, rights array<int>"), "visits")
+        loads = self.entries.groupBy("left").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        asks = asked.groupBy("left").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ask_parts"))
+        plan = F.broadcast(loads.join(asks, "left"))  # one row for each left code
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        stored = self.entries.join(plan, "cell").select("cell", one("v", "parts").alias("part"), every("ask_parts").alias("ask_part"), "v", "ids")
-        wanted = asked.join(plan, "cell").select("cell", every("parts").alias("part"), one("query_id", "ask_parts").alias("ask_part"), "query_id", "q")
+        stored = self.entries.join(plan, "left").select("left", one("v", "parts").alias("part"), every("ask_parts").alias("ask_part"), "right", "v", "ids")
+        wanted = asked.join(plan, "left").select("left", every("parts").alias("part"), one("query_id", "ask_parts").alias("ask_part"), "query_id", "q", "rights")
 
         def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            if not len(asked) or not len(held):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-            v, sizes = np.stack(held.v.to_list()), held.ids.map(len).to_numpy()
-            ids, at = np.concatenate(held.ids.to_list()), np.repeat(np.arange(len(held)), sizes)
-            out = []
-            for query, q in zip(asked.query_id, asked.q):
-                d = np.sqrt(((v - q) ** 2).sum(axis=1))
-                close = np.isin(at, np.flatnonzero(d <= np.partition(d, k)[k])) if len(d) > k + 1 else np.ones(len(at), bool)
-                near, who = d[at[close]], ids[close]
-                other = who != query
-                near, who = near[other], who[other]
-                best = np.lexsort((who, near))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": who[best], "score": near[best]}))
-            return pd.concat(out)
-
-        keys = ["cell", "part", "ask_part"]
+            out = {"query_id": [], "vec_id": [], "score": []}
+            if len(asked) and len(held):
+                held = held.sort_values("right", kind="stable")
+                v, codes, ids = np.stack(held.v.to_list()), held.right.to_numpy(), held.ids.to_list()
+                sizes = np.array([len(x) for x in ids])
+                flat, first = np.concatenate(ids), np.cumsum(sizes) - sizes
+                for query, q, rights in zip(asked.query_id, asked.q, asked.rights):
+                    rows = np.flatnonzero(np.isin(codes, rights))
+                    d = np.sqrt(((v[rows] - q) ** 2).sum(axis=1))
+                    if len(d) > k + 1:
+                        close = d <= np.partition(d, k)[k]
+                        rows, d = rows[close], d[close]
+                    times = sizes[rows]
+                    at = np.repeat(first[rows] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    near, who = np.repeat(d, times), flat[at]
+                    other = who != query
+                    near, who = near[other], who[other]
+                    best = np.lexsort((who, near))[:k]
+                    out["query_id"].append(np.full(len(best), query))
+                    out["vec_id"].append(who[best])
+                    out["score"].append(near[best])
+            return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+        keys = ["left", "part", "ask_part"]
         found = wanted.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

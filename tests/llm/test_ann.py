@@ -69,3 +69,18 @@ def test_few_or_no_rows(spark, tmp_path):
     assert [(r.query_id, r["rank"], r.vec_id) for r in q.op4_nearest_neighbours(spark, sf).collect()] == [(0, 1, 1)]
     sf = table(spark, tmp_path, "embeddings", frame(spark, []))
     assert q.op4_nearest_neighbours(spark, sf).count() == 0
+
+
+def test_clustered_vectors_need_a_small_share(spark):
+    """Recall at several shares: with clusters a fifth of the cells is enough."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16)) * 4
+    x = np.float32(centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)))
+    rows = q.usable(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
+    index, asked = q.Index(rows, 11), rows.where("vec_id % 100 = 0")
+    want = {i: set(np.argsort(((x - x[i]).astype(float) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for i in range(0, 6000, 100)}
+    recall = {}
+    for share in (0.02, 0.2):
+        got = index.search(asked, share=share).toPandas().groupby("query_id").vec_id.apply(set)
+        recall[share] = np.mean([len(got[i] & w) / 10 for i, w in want.items()])
+    assert recall[0.2] >= 0.95 and recall[0.02] > 0.5, recall
