@@ -207,5 +207,6 @@ def remove_repeats(docs: DataFrame, places: int = PLACES) -> DataFrame:
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
-    """What is left of every document without strings of 400 bytes that occur twice."""
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is left of every document without strings of 400 bytes that occur twice, and whether it held one (``repeated``)."""
+    out = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"))
