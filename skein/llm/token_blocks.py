@@ -34,7 +34,8 @@ from skein.llm.common import id_text, shared_dir
 MAGIC = b"SKPFOR1\0"
 BLOCK = 1024
 SEGMENT_IDS = 1 << 17
-CACHE_WORDS = 400_000
+CACHE_WORDS = 400_000  # words of at most CACHE_CHARS characters that each of a worker's two caches holds: about 60 MB
+CACHE_CHARS = 48
 
 
 def pack_block(values: np.ndarray, percentile: float = 0.95) -> bytes:
@@ -141,7 +142,7 @@ class WordEncoder:
             text = space + part
             shown = "\u0120" + part if space and part.isascii() and part != "\n" else text.encode().decode("latin-1").translate(self.alphabet)
             got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(cache) < CACHE_WORDS:
+            if len(cache) < CACHE_WORDS and len(part) <= CACHE_CHARS:
                 cache[part] = got
         return got
 
@@ -156,7 +157,7 @@ class WordEncoder:
         else:
             got = self._whole(space + word)
         cache = self.after_space if space else self.bare
-        if len(cache) < CACHE_WORDS:
+        if len(cache) < CACHE_WORDS and len(word) <= CACHE_CHARS:
             cache[word] = got
         return got
 
@@ -222,11 +223,12 @@ def write_token_blocks(docs: DataFrame, path: str, out: str, end_id: int = 0, pe
     """Encode ``docs(doc_id, text)`` in ascending ``doc_id`` order and write its segments under ``out``.
 
     Rows are dealt by ranges of ``doc_id`` and sorted in each, so that parts, segments and documents
-    follow the order of ``doc_id`` (null ids first, equal ids by text). A null text counts as empty;
+    follow the order of ``doc_id`` (null ids first, equal ids by a hash of their text, then by text). A null text counts as empty;
     every document gets ``end_id`` appended. Each task keeps one segment and one batch in memory.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = id_text(docs).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    keyed = id_text(docs).withColumn("hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     schema = "part int, segment int, local_start long, n_ids long, doc_ids array<long>, data binary"
     ordered.mapInPandas(_segments(path, end_id, percentile), schema).write.option("compression", "none").parquet(out)
 
