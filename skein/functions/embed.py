@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.text import NO_TOKEN
 from skein.functions.vector import DIMENSIONS, TRIGRAM_WEIGHT, fnv1a_py, fnv1a_rows
 from skein.sources.clients import EmbeddingClient
 
-_not_word = re.compile("[^a-z0-9_]+")
+_not_word = re.compile(NO_TOKEN)
 LONG = 64  # longer words are hashed one by one
 TEXTS = 128  # texts whose words are hashed together
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # The white space that trimming removes.
 WHITE = r"[\t\n\x0B\f\r    -     　﻿]"
+# What ends a sentence, and what stands between the words that are embedded.
+SENTENCE_END = r"""(?<=[.!?])\s+(?=[A-Z0-9"'(])"""
+NO_TOKEN = "[^a-z0-9_]+"
+# The usual sizes of chunks and slugs.
 SENTENCE_CHARS = 800
 PARAGRAPH_CHARS = 1400
 SLUG_CHARS = 48
@@ -35,7 +39,7 @@ def prompt_tokens(c: Column) -> Column:
 
 def embed_tokens(c: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and underscore."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(c), NO_TOKEN), lambda w: w != "")
 
 
 def trigrams(word: Column) -> Column:
@@ -47,7 +51,7 @@ def trigrams(word: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Cut after . ! ? and white space before a capital, a digit or an opening quote or bracket."""
     text = trim_white(F.regexp_replace(c, "\r\n", "\n"))
-    parts = F.split(text, r"""(?<=[.!?])\s+(?=[A-Z0-9"'(])""")
+    parts = F.split(text, SENTENCE_END)
     return F.filter(F.transform(parts, trim_white), lambda s: s != "")
 
 

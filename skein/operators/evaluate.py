@@ -80,7 +80,7 @@ def adherence(signature: Column, output: Column) -> Column:
 
 def _fields(fields: Column) -> Column:
     lines = F.transform(fields, lambda f: F.concat(F.lit("  - "), f["field"], F.lit(" ("), f["type"], F.lit("): "), F.coalesce(f["desc"], F.lit(""))))
-    return F.when(F.coalesce(F.size(fields), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise(F.lit("  - (none specified)"))
+    return F.when(F.coalesce(F.size(fields), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise(F.lit("  - (no fields)"))
 
 
 def compiled_prompt(signature: Column, prompt: Column, demo: Column) -> Column:

@@ -283,7 +283,7 @@ def test_compile_signature(spark):
     got = {r.id: r for r in evaluate.compile_signature(d, CannedChat(reply)).collect()}
     assert got[1].live and got[1].base_score == 0.45 and got[1].compiled_score == 0.7 and got[1].gain == "+55.6%"
     assert not got[2].live and got[2].base_score == 0.3
-    assert "(none specified)" in got[1].compiled_prompt
+    assert "(no fields)" in got[1].compiled_prompt
     assert not evaluate.compile_signature(d).where("live").count()
 
 
