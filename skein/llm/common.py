@@ -45,11 +45,25 @@ def counted_join(rows: DataFrame, counts: DataFrame, keys: list[str], how: str =
     return cold.unionByName(rows.join(hot, keys, "left_semi" if how == "left_semi" else "inner"))
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: Python workers live on from task to task and would hold on to it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches cut into slices of a few rows, so that a task holds the Python objects of one slice only."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+        del batch
+        tidy()
 
 
 @contextmanager

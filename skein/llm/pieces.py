@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, read_table, slices
+from skein.llm.common import id_text, read_table, slices, tidy
 
 MARK = "▁"
 UNIT_CHARS = 64  # longer units are folded where their document is
@@ -409,6 +409,7 @@ def _encoded(shared: Broadcast, check: bool, packed, answers):
             same = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) == digests[16 * k : 16 * k + 16] for k, t in enumerate(texts, lo)]
         ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))
         made.append(pa.RecordBatch.from_arrays([doc_ids.slice(lo, 256), pa.array(np.diff(bounds)), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]))
+    tidy()
     return pa.Table.from_batches(made)
 
 
@@ -439,5 +440,5 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id, n_tokens, ids, round_trip of every document that is left."""
-    return encode(docs.select("doc_id", "text"))
+    """Last pipeline stage: doc_id, n_tokens, ids, round_trip of every document that is left. Its workers have done other stages: half blocks."""
+    return encode(docs.select("doc_id", "text"), chars=BLOCK_CHARS // 2)
