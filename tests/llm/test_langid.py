@@ -1,3 +1,6 @@
+import random
+import zlib
+
 import numpy as np
 import pandas as pd
 
@@ -46,3 +49,52 @@ def test_held_out_accuracy(spark, sf):
     truth = pd.read_parquet(f"{sf}/documents.parquet")[["doc_id", "lang"]]
     got = q.op7_language_id(spark, sf).toPandas().merge(truth, on="doc_id")
     assert (got.lang_pred == got.lang)[got.held_out].mean() > 0.96
+
+
+def brute(texts, langs, ids):
+    """Predictions one n-gram at a time: (language, score) of each text."""
+    letters = {}
+
+    def vector(ch):
+        if ch not in letters:
+            letters[ch] = q.letter_vector(ord(ch)).astype(float)
+        return letters[ch]
+
+    def bundle(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        line, v = " " + " ".join(words) + " ", np.zeros(q.DIMENSIONS)
+        for i in range(len(line) - 2) if words else ():
+            v += np.roll(vector(line[i]), 2) * np.roll(vector(line[i + 1]), 1) * vector(line[i + 2])
+        return v
+
+    made = [bundle(t) for t in texts]
+    profiles = {}
+    for i, lang, v in zip(ids, langs, made):
+        if i is not None and lang and v.any() and zlib.crc32(str(i).encode()) % 5:
+            profiles[lang] = profiles.get(lang, 0) + v / np.linalg.norm(v)
+    out = []
+    for v in made:
+        cos = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in profiles.items()} if v.any() else {}
+        best = min(cos, key=lambda k: (-round(cos[k], 6), k)) if cos else "und"
+        out.append((best, max(0.0, min(1.0, cos[best])) if cos else 0.0))
+    return out
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    speech = {"en": "the and of house ring song".split(), "fr": "le et de maison être ça".split(), "de": "der und ein Straße groß".split()}
+    texts, langs = [], []
+    for i in range(90):
+        lang = rng.choice(sorted(speech))
+        texts.append(rng.choice([None, "", "12 %", *[" ".join(rng.choices(speech[lang], k=rng.randint(1, 30))) + rng.choice([".", " 7x!", "\n", "  "]) for _ in range(12)]]))
+        langs.append(rng.choice([None, lang, lang, lang, lang]))
+    ids = [*range(88), None, 5]
+    sf = table(spark, tmp_path, "documents", spark.createDataFrame(list(zip(ids, texts, langs)), "doc_id long, text string, lang string").coalesce(1))
+    got = q.op7_language_id(spark, sf).collect()
+    want = brute(texts, langs, ids)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], round(x[2], 4))
+    mine = sorted(((r.doc_id, r.lang_pred, r.score) for r in got), key=key)
+    theirs = sorted(((i, p, s) for i, (p, s) in zip(ids, want)), key=key)
+    assert [x[:2] for x in mine] == [x[:2] for x in theirs]
+    assert np.allclose([x[2] for x in mine], [x[2] for x in theirs], atol=2e-4)
+    assert {r.doc_id for r in got if r.held_out} == {i for i in ids if i is not None and zlib.crc32(str(i).encode()) % 5 == 0}

@@ -91,3 +91,48 @@ def test_long_words_take_linear_time():
 @settings(max_examples=300, deadline=None)
 def test_outer_punctuation_goes(word):
     assert q._bare(word) == re.sub(r"^[\W_]+|[\W_]+$", "", word)
+
+
+def brute_features(text):
+    """Names of the features that a text has, from their description."""
+    found, shapes = set(), {}
+    words = (text or "").split()
+    for w in words:
+        found.add("w " + re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()))
+        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", w)))[:12]
+        shape = ("A" if len(w) > 3 and w.isupper() else "") + shape
+        shapes[shape] = shapes.get(shape, 0) + 1
+    for shape, n in shapes.items():
+        found |= {f"s {shape} {k}" for k in range(7) if n / len(words) > 2.0 ** -(k + 1)}
+    return found
+
+
+def test_query_equals_a_plain_fit(spark, tmp_path):
+    """The query against another minimiser of the same objective, over named features in a dense matrix."""
+    texts, rows = toy(90)
+    rng = np.random.default_rng(2)
+    texts = [t + " " + " ".join(rng.choice(["alpha", "Beta!", "7-x", "gamma,", "delta"], 3)) for t in texts]
+    sf = table(spark, tmp_path, "documents", docs(spark, texts))
+    table(spark, tmp_path, "labels", spark.createDataFrame(rows, LABELS))
+    got = q.op3_quality_classifier(spark, sf).toPandas().sort_values("doc_id")
+    grades = np.array([0 if tox else 1 if not quality else 2 for _, quality, tox in rows])
+    sets = [brute_features(t) for t in texts]
+    names = sorted(f for f in set().union(*sets) if sum(f in s for s in sets) >= q.MIN_DOCS)
+    x = np.array([[f in s for f in names] for s in sets], float)
+    x /= np.sqrt(x.mean(axis=0) + 0.01)
+    w, th = np.zeros(x.shape[1]), np.array([-0.7, 0.7])
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    step = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + 1)
+    for _ in range(60_000):  # plain steps, so many more than the accelerated ones
+        cum = np.column_stack([np.zeros(len(x)), sig(th[None] - (x @ w)[:, None]), np.ones(len(x))])
+        slope, at = cum * (1 - cum), np.arange(len(x))
+        p = cum[at, grades + 1] - cum[at, grades]
+        hi, lo = slope[at, grades + 1] / p, slope[at, grades] / p
+        gth = np.array([((grades == k + 1) * lo - (grades == k) * hi).mean() for k in range(2)])
+        w = w - step * x.T @ ((hi - lo) / len(x))
+        w = np.sign(w) * np.maximum(np.abs(w) - step * q.L1, 0)
+        th = th - step * gth
+    tail = 1 - sig(th[1] - x @ w)
+    grade = 2 - sig(th[0] - x @ w) - sig(th[1] - x @ w)
+    assert np.abs(got.tail_probability.to_numpy() - tail).max() < 0.02 and np.abs(got.expected_grade.to_numpy() - grade).max() < 0.03
+    assert (got.keep.to_numpy() == (tail >= q.KEEP_TAIL)).all()
