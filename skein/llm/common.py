@@ -104,7 +104,10 @@ def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _cleaned_shuffles(spark):
         df.repartition(n, column).write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # resolved: files and buckets are known from here on
+    spark.sql(f"DROP TABLE {name}")  # the entry in the catalogue only, the files stay
+    return table
 
 
 def id_text(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

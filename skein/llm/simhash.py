@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import counted_join, id_text, read_table, slices, written
+from skein.llm.common import counted_join, discard, id_text, read_table, slices, written
 from skein.llm.components import components
 from skein.llm.near_copies import first_rows
 
@@ -191,7 +191,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "root")
     least = classes.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
     group = classes.join(roots, "fp", "left").join(least, "root", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
-    return counted_join(marked, written(group, "groups"), ["fp"]).select("doc_id", "fp", "component_id")
+    groups = written(group, "groups")
+    discard(classes)
+    return counted_join(marked, groups, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

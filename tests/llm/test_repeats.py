@@ -100,3 +100,14 @@ def test_general_outputs(spark, sf):
     for r in q.remove_repeats(d).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+
+
+def test_the_catalogue_is_left_as_it_was(spark, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    sf = table(spark, tmp_path, "documents", docs(spark, ["x" * 900, "x" * 900, None]))
+    out = q.op1_repeats(spark, sf)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted(r.n_removed for r in out.collect()) == [0, 900, 900]
+    kept, starts = q.repeated_windows(docs(spark, ["x" * 900]))
+    plan = kept.join(starts.hint("shuffle_hash"), "rid")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(rid") == 1  # the bucketed side stays where it is
