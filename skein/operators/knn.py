@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions import vector as V
 from skein.functions.embed import embed, embed_remote
 from skein.sources.clients import EmbeddingClient
+from skein.sources.tables import settled
 
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
@@ -34,6 +35,15 @@ def _best(q_ids: list, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, sc
             yield query, top, [m[i, top] for m in columns]
 
 
+def _frame(found: list[tuple], best: list[str]) -> pd.DataFrame:
+    """(query, ids, columns) as rows q_id, id and the columns."""
+    if not found:
+        return pd.DataFrame({"q_id": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), **{b: np.empty(0) for b in best}})
+    q_ids = pd.Series([q for q, _, _ in found]).repeat([len(ids) for _, ids, _ in found])
+    columns = {b: np.concatenate([c[j] for _, _, c in found]) for j, b in enumerate(best)}
+    return pd.DataFrame({"q_id": q_ids.to_numpy(), "id": np.concatenate([i for _, i, _ in found]), **columns})
+
+
 def _blockwise(corpus: DataFrame, queries: DataFrame, k: int, scores, best: list[str], worst_first: bool, stack=None) -> DataFrame:
     """Top k for each query: q_id, rank, id and the columns ``best``. ``scores(q, v)`` gives (value to sort by ascending, columns).
 
@@ -45,13 +55,6 @@ def _blockwise(corpus: DataFrame, queries: DataFrame, k: int, scores, best: list
     q_kind, kind = (df.schema[c].dataType.simpleString() for df, c in ((queries, "q_id"), (corpus, "id")))
     schema = f"q_id {q_kind}, id {kind}, " + ", ".join(f"{b} double" for b in best)
 
-    def frame(found: list[tuple]) -> pd.DataFrame:
-        sizes = [len(ids) for _, ids, _ in found]
-        columns = {b: np.concatenate([c[j] for _, _, c in found]) if found else np.empty(0) for j, b in enumerate(best)}
-        q_ids = pd.Series([q for q, _, _ in found], dtype=object if found else "float64").repeat(sizes) if found else pd.Series([], dtype=object)
-        ids = np.concatenate([i for _, i, _ in found]) if found else np.empty(0, object)
-        return pd.DataFrame({"q_id": q_ids.to_numpy(), "id": ids, **columns})
-
     asked = queries.select("q_id", "q").limit(QUERY_BLOCK + 1).toPandas()
     if len(asked) <= QUERY_BLOCK:
         shared = corpus.sparkSession.sparkContext.broadcast((asked.q_id.tolist(), np.stack(asked.q.to_list()) if len(asked) else np.zeros((0, 1))))
@@ -64,7 +67,7 @@ def _blockwise(corpus: DataFrame, queries: DataFrame, k: int, scores, best: list
                     ids = part.id.to_numpy()
                     for n, (_, top, columns) in enumerate(_best(q_ids, q, ids, stack(part.v), k, scores)):
                         kept[n] = _merged(kept.get(n), ids[top], columns, k, -1 if worst_first else 1)
-            yield frame([(q_ids[n], *kept[n]) for n in kept])
+            yield _frame([(q_ids[n], *kept[n]) for n in kept], best)
 
         found = corpus.select("id", "v").mapInPandas(scan, schema)
     else:
@@ -76,9 +79,10 @@ def _blockwise(corpus: DataFrame, queries: DataFrame, k: int, scores, best: list
 
         def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(c):
-                return frame([])
+                return _frame([], best)
             ids = c.id.to_numpy()
-            return frame([(query, ids[top], columns) for query, top, columns in _best(q.q_id.tolist(), np.stack(q.q.to_list()), ids, stack(c.v), k, scores)])
+            found = _best(q.q_id.tolist(), np.stack(q.q.to_list()), ids, stack(c.v), k, scores)
+            return _frame([(query, ids[top], columns) for query, top, columns in found], best)
 
         found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(compare, schema)
     first = F.desc(best[-1]) if worst_first else F.col(best[-1])
@@ -109,6 +113,82 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return _blockwise(corpus, queries, k, _cosines, ["similarity", "distance"], False)
 
 
+def _centres(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres of the directions in ``x``, at most ``cells``; the same for the same rows."""
+    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    centres = x[np.random.default_rng(0).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        at = np.concatenate([(x[i : i + CORPUS_BLOCK] @ centres.T).argmax(1) for i in range(0, len(x), CORPUS_BLOCK)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def approximate_knn(corpus: DataFrame, queries: DataFrame, k: int = 5, probes: int = 8, sample_rows: int = 20_000) -> DataFrame:
+    """The same columns as ``knn``, over part of the corpus: for many queries against a large corpus.
+
+    The corpus is dealt into about the root of its size of cells by direction (at most 4,096), each query looks into its ``probes``
+    nearest cells, and into more until they hold k rows. So work and shuffle are about probes / cells of the exact plan's. The centres
+    are fitted on at most ``sample_rows`` rows, those with the smallest hash; every row is in a cell, and large cells are cut into blocks.
+    Distances are exact, recall depends on ``probes``: all cells give the exact answer.
+    """
+    spark = corpus.sparkSession
+    sample = corpus.select("v").orderBy(F.xxhash64("v")).limit(sample_rows).toPandas()
+    if not len(sample):
+        return knn(corpus, queries, k)
+    cells = int(min(4096, max(1, corpus.count() ** 0.5)))
+    centres = spark.sparkContext.broadcast(_centres(np.stack(sample.v.to_list()), cells))
+    kind, q_kind = corpus.schema["id"].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=(np.stack(pdf.v.to_list()) @ centres.value.T).argmax(1).astype(np.int32))
+
+    dealt = settled(corpus.select("id", "v").mapInPandas(deal, f"id {kind}, v array<double>, cell int"), "cells")
+    counts = {r.cell: r.n for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most 4,096
+    held = spark.sparkContext.broadcast(counts)
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for q in pdf.q:
+                taken, seen = [], 0
+                for cell in np.argsort(-(centres.value @ np.asarray(q)), kind="stable").tolist():
+                    if len(taken) >= probes and seen >= k:
+                        break
+                    if n := held.value.get(cell, 0):
+                        taken.append(cell)
+                        seen += n
+                rows.append(taken)
+            yield pdf.assign(cells=rows)
+
+    plan = F.broadcast(spark.createDataFrame([(c, -(-n // CORPUS_BLOCK)) for c, n in counts.items()], "cell int, parts int"))
+    asked = queries.select("q_id", "q").mapInPandas(probe, f"q_id {q_kind}, q array<double>, cells array<int>")
+    asked = asked.select("q_id", "q", F.explode("cells").alias("cell")).join(plan, "cell")
+    # Queries of one cell are cut into blocks as well; each pair of blocks is a group of its own.
+    load = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("ask_parts")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = asked.join(load, "cell").select("cell", every("parts").alias("part"), one("q_id", "ask_parts").alias("ask_part"), "q_id", "q")
+    right = dealt.join(plan, "cell").join(load, "cell").select("cell", one("id", "parts").alias("part"), every("ask_parts").alias("ask_part"), "id", "v")
+    best = ["similarity", "distance"]
+
+    def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return _frame([], best)
+        ids = c.id.to_numpy()
+        found = _best(q.q_id.tolist(), np.stack(q.q.to_list()), ids, np.stack(c.v.to_list()), k, _cosines)
+        return _frame([(query, ids[top], columns) for query, top, columns in found], best)
+
+    keys = ["cell", "part", "ask_part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, f"q_id {q_kind}, id {kind}, similarity double, distance double")
+    order = Window.partitionBy("q_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "rank", "id", *best)
+
+
 def quantized(vectors: DataFrame) -> DataFrame:
     """id, v: codes and residual bits of ``vectors(id, v)``, in 9/8 bytes a component."""
 

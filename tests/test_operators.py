@@ -434,3 +434,21 @@ def test_texts_embedded_together(texts):
                 assert hit[abs(h) % 384]
         n = np.sqrt(want @ want) or 1.0
         assert np.allclose(row, want / n, atol=1.1e-6)
+
+
+def test_approximate_knn(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 12))[rng.integers(0, 30, 2500)] + 0.3 * rng.normal(size=(2500, 12))
+    c = spark.createDataFrame([(f"d{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    q = c.where("substring(id, 5, 1) = '0'").select(F.col("id").alias("q_id"), F.col("v").alias("q"))
+    exact = {(r.q_id, r["rank"]): (r.id, r.distance) for r in knn.knn(c, q, 5).collect()}
+    near = knn.approximate_knn(c, q, 5).collect()
+    want = {}
+    for (query, _), (i, _) in exact.items():
+        want.setdefault(query, set()).add(i)
+    assert len(near) == len(exact) and np.mean([r.id in want[r.q_id] for r in near]) >= 0.9
+    monkeypatch.setattr(knn, "CORPUS_BLOCK", 40)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 30)
+    every = {(r.q_id, r["rank"]): (r.id, r.distance) for r in knn.approximate_knn(c, q, 5, probes=10**6).collect()}
+    assert every == exact
+    assert knn.approximate_knn(c.limit(0), q, 5).count() == 0
