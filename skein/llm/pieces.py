@@ -440,5 +440,5 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id, n_tokens, ids, round_trip of every document that is left. Its workers have done other stages: half blocks."""
-    return encode(docs.select("doc_id", "text"), chars=BLOCK_CHARS // 2)
+    """Last pipeline stage: doc_id, n_tokens, ids, round_trip of every document that is left. Its workers have done other stages: small blocks."""
+    return encode(docs.select("doc_id", "text"), chars=BLOCK_CHARS // 4)
