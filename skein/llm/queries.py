@@ -2,15 +2,18 @@
 
 import corpus_pipeline
 from skein.llm.ann import op4_nearest_neighbours
+from skein.llm.bpe import op11_byte_bpe
 from skein.llm.decontaminate import op5_decontamination
 from skein.llm.langid import op7_language_id
 from skein.llm.pieces import op2_sentencepiece
 from skein.llm.pii import op8_pii
+from skein.llm.prefix_trie import op13_prefix_trie
 from skein.llm.quality import op3_quality_classifier
 from skein.llm.repeats import op1_repeats
 from skein.llm.secrets import op10_secrets
 from skein.llm.simhash import op9_simhash
 from skein.llm.token_blocks import op6_token_blocks
+from skein.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_repeats": op1_repeats,
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
