@@ -8,7 +8,10 @@ addresses. A span that it adds must have the number of digits (cards: also the c
 span.
 
 Only stretches around digits, at signs, opening brackets and the word ``dot`` are labelled, each within its line:
-no form of the four kinds lacks them all.
+no form of the four kinds lacks them all. A stretch that ends inside a word takes in the rest of it, up to 400 characters in all to the left
+and 4,000 to the right: longer words, junk, are seen in part by the field, never by the base patterns.
+
+Superscripts, circled numbers and fractions are not digits; decimal digits of any script are.
 
 Cases: a null text counts as empty, with the hash of an empty string and no span; repeated rows each
 get their row; positions are code points, ends exclusive.
@@ -96,7 +99,7 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
 
 
 def _shape(tok: str) -> str:
-    if tok.isdigit():
+    if tok.isdecimal():
         return "d" * min(len(tok), 7)
     if tok.isalpha():
         return "w:" + low if (low := tok.lower()) in WORDS else ("A" if tok[0].isupper() else "a") + ("+" if len(tok) > 3 else "")
@@ -111,7 +114,7 @@ def features(toks: list[tuple[str, int, int]]) -> list[list[str]]:
         p2, p, s, n, n2 = shapes[i : i + 5]
         gap = "j" if i and toks[i - 1][2] == a else "s"
         after = "j" if i + 1 < len(toks) and toks[i + 1][1] == toks[i][2] else "s"
-        small = "le255" if tok.isdigit() and len(tok) < 4 and int(tok) < 256 else "no"
+        small = "le255" if tok.isdecimal() and len(tok) < 4 and int(tok) < 256 else "no"
         out.append([f"0{s}", f"-{p}", f"+{n}", f"-0{p}{gap}{s}", f"0+{s}{after}{n}", f"-+{p}{gap}{after}{n}", f"--{p2}{p}{s}", f"++{s}{n}{n2}", f"8{small}{gap}{after}"])
     return out
 

@@ -186,6 +186,19 @@ def test_query_on_test_table(spark, sf):
     check(q.op8_pii(spark, sf).collect(), dict(zip(pdf.doc_id, pdf.text)))
 
 
+# Superscripts, circled numbers, fractions, Roman and Arabic digits beside personal data.
+NOT_DIGITS = "An area of 10² metres, 10⁶ rows, 1²3, ① 5 ½ Ⅷ ٣٤ call ٠١٢ 555-123-4567² or [²] mail a@b.org³ 10.0.0.1² ²10.0.0.²"
+
+
+def test_numbers_that_are_no_digits(spark):
+    find = finder()
+    for text in [NOT_DIGITS, *NOT_DIGITS.split(), "²", "٣", "(²)", "1²@²", "² dot ²"]:
+        base, every = find([text])[0]
+        assert base == q.base_spans(text) and set(base) <= set(every)
+    got = q.scan(docs(spark, [NOT_DIGITS, "plain"])).orderBy("doc_id").collect()
+    assert (got[0].n_email, got[0].n_ip, got[1].n_spans) == (1, 1, 0)
+
+
 def test_stage(spark, tmp_path, sf):
     d = docs(spark, ["mail a.b@c.de now", None, "clean"])
     out = q.redaction_stage(spark, d, sf)
