@@ -10,7 +10,8 @@ Texts and items are lower-cased, and runs of white space become one blank. The b
 
 The automaton is built from the benchmark table, whose size is checked: about ``batch_items`` items and
 ``batch_chars`` characters are matched in one pass over the documents, in as many passes as it takes. Each
-row takes what it holds from pass to pass, so their number changes no result.
+row takes what it holds from pass to pass, so their number changes no result. After every ``TOGETHER`` passes rows are written: so many
+workers, automata and broadcasts live at once, however large the benchmark is.
 
 Cases: null or empty texts and items match nothing; items with equal texts each get their row; equal
 item_ids stay apart by text and the smallest distance counts; items without an id match like any other
@@ -26,10 +27,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import id_text, read_table, slices
+from skein.llm.common import discard, id_text, read_table, slices, written
 
 ERROR_RATE = 0.05
 BATCH_ITEMS = 20_000
+TOGETHER = 4  # passes in one stage
 BATCH_CHARS = 1_000_000  # of the items of one pass: its automaton takes about 50 bytes for each
 
 
@@ -130,14 +132,31 @@ class Matcher:
         return found
 
 
-def _passes(benchmark: DataFrame, batch_items: int, batch_chars: int) -> list[Broadcast]:
-    """The items in parts of about ``batch_items`` items and ``batch_chars`` characters, each broadcast on its own."""
+def _passes(benchmark: DataFrame, batch_items: int, batch_chars: int) -> Iterator[list[Broadcast]]:
+    """The items in parts of about ``batch_items`` items and ``batch_chars`` characters, each broadcast on its own, TOGETHER at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"]).distinct()
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     n = max(1, -(-size.n // batch_items), -(-size.chars // batch_chars))
-    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() for i in range(n))
-    return [spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part), key=_by_id)) for part in parts]
+    part = lambda i: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+    for lo in range(0, n, TOGETHER):
+        yield [spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part(i)), key=_by_id)) for i in range(lo, min(n, lo + TOGETHER))]
+
+
+def _passed(rows: DataFrame, groups: Iterator[list[Broadcast]], run) -> DataFrame:
+    """``rows`` after every pass: ``run(rows, items)`` adds one to the plan, which ends in a written table after each group but the last."""
+    before, done = None, []
+    for group in groups:
+        if before is not None:
+            table = written(rows, "passes")
+            discard(*done)
+            for items in before:
+                items.destroy()
+            rows, done = table, [table]
+        for items in group:
+            rows = run(rows, items)
+        before = group
+    return rows
 
 
 def _by_id(row: tuple) -> tuple:
@@ -145,8 +164,8 @@ def _by_id(row: tuple) -> tuple:
     return (row[0] is None, row[0] or 0, *row[1:])
 
 
-def _pass(items: Broadcast, error_rate: float, last: bool, batches: Iterator) -> Iterator:
-    """Add what one pass finds to each row's list; the smaller distance of an id counts. The last pass lets the texts go."""
+def _pass(items: Broadcast, error_rate: float, batches: Iterator) -> Iterator:
+    """Add what one pass finds to each row's list; the smaller distance of an id counts."""
     import pyarrow as pa
 
     matcher = Matcher(items.value, error_rate)
@@ -162,8 +181,6 @@ def _pass(items: Broadcast, error_rate: float, last: bool, batches: Iterator) ->
             ends.append(len(ids))
         matches = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(distances, pa.int32())], names=["item_id", "distance"])
         columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "found": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), matches)}
-        if last:
-            del columns["text"]
         yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -174,10 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     """
     found = "found array<struct<item_id: long, distance: int>>"
     rows = id_text(docs).withColumn("found", F.expr("cast(array() as array<struct<item_id: long, distance: int>>)"))
-    passes = _passes(benchmark, batch_items, batch_chars)
-    for i, items in enumerate(passes):
-        last = i == len(passes) - 1
-        rows = rows.mapInArrow(partial(_pass, items, error_rate, last), f"doc_id long, {found}" if last else f"doc_id long, text string, {found}")
+    run = lambda df, items: df.mapInArrow(partial(_pass, items, error_rate), f"doc_id long, text string, {found}")
+    rows = _passed(rows, _passes(benchmark, batch_items, batch_chars), run)
     return rows.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.item_id", "m.distance")
 
 
@@ -195,12 +210,14 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names)
-    for items in _passes(read_table(spark, sf_dir, "benchmark"), BATCH_ITEMS, BATCH_CHARS):
 
-        def run(batches, items=items):
+    def one(df: DataFrame, items: Broadcast) -> DataFrame:
+        def run(batches):
             matcher = Matcher(items.value)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not matcher(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
-        plain = plain.mapInArrow(run, plain.schema)
-    return plain.toDF(*docs.columns)
+        return df.mapInArrow(run, plain.schema)
+
+    passes = _passes(read_table(spark, sf_dir, "benchmark"), BATCH_ITEMS, BATCH_CHARS)
+    return _passed(plain, passes, one).toDF(*docs.columns)

@@ -119,3 +119,14 @@ def test_the_number_of_passes_changes_nothing(spark):
         got = sorted(map(str, (tuple(r) for r in q.contaminated(d, b, **size).collect())))
         want = got if want is None else want
         assert got == want and len(got) > 10
+
+
+def test_plans_hold_few_passes(spark):
+    """Forty passes: no plan holds more than TOGETHER of them, so no task needs more workers."""
+    items = [f"item number {k} of the benchmark with a few words" for k in range(40)]
+    texts = [f"before {t} after" for t in items] + ["clean"]
+    made = q.contaminated(docs(spark, texts), items_df(spark, list(enumerate(items))), batch_items=1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("MapInArrow") <= q.TOGETHER
+    got = {tuple(r)[:2] for r in made.where("distance = 0").collect()}
+    assert got == {(k, k) for k in range(40)}
