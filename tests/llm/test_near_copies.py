@@ -1,4 +1,5 @@
 import random
+import types
 
 import pandas as pd
 import pytest
@@ -53,6 +54,33 @@ def test_stage_equals_brute_force_on_near_copies(spark, sf, monkeypatch, large,
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_hot_shingles_are_dealt_by_run(spark, sf, monkeypatch):
+    """A line that all rows hold: no part gets all rows of its shingles, and the groups stay exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    line = "this license line stands in every one of the documents"
+    rows = [f"{line} w{i} x{i} y{i} z{i} v{i}" for i in range(5000)]
+    keys = np.sort(near_copies.shingles(line)[1])
+    batches = [pa.RecordBatch.from_pydict({"row": pa.array(range(lo, lo + 500), pa.int64()), "text": rows[lo : lo + 500]}) for lo in range(0, 5000, 500)]
+    counted = {}
+    for out in near_copies._repeated(5, iter(batches)):
+        for key, n in zip(*(c.to_pylist() for c in out.columns)):
+            counted[key] = counted.get(key, 0) + n
+    assert all(counted[k] == 5000 for k in keys.tolist())
+    hot = types.SimpleNamespace(value=(keys, np.full(len(keys), 5000, np.int64)))
+    held = {}
+    for out in near_copies._packed(5, 4, hot, iter(batches)):
+        for part, packed in zip(out.column("part").to_pylist(), out.column("keys").to_pylist()):
+            held.setdefault(part, []).append(np.isin(np.frombuffer(packed, np.int64), keys).sum())
+    assert sum(sum(v) for p, v in held.items() if p < 4) == 0 and {p for p in held if p >= 4} == {4, 5, 6, 7}
+    monkeypatch.setattr(near_copies, "CHUNK", 0)
+    monkeypatch.setattr(near_copies, "HOT", 10**9)
+    texts = [f"{line} {' '.join(f'w{i}x{k}' for k in range(i % 9))} tail{i % 3}" for i in range(300)]
+    got = q.dedup_stage(spark, docs(spark, texts), sf)
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(list(range(300)), texts)
+
+
 def test_stage_equals_brute_force_on_test_table(spark, sf):
     pdf = pd.read_parquet(f"{sf}/documents.parquet")
     got = q.dedup_stage(spark, read_table(spark, sf, "documents"), sf)
