@@ -29,7 +29,7 @@ def is_json(texts: pd.Series) -> pd.Series:
         try:
             json.loads(t or "", parse_constant=bad)
             return True
-        except ValueError:
+        except (ValueError, RecursionError):
             return False
 
     return texts.map(test)

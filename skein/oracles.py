@@ -132,6 +132,20 @@ select q_id, rank, doc_id, greatest(0, least(1, round(1 - round(greatest(0, 1 -
     "keyword_scores": f"with {_scored} select query_id, id, score from scored where score > 0",
     "dual_level_topk": f"with {_dual} select query_id, level, rank, id, score, is_fallback from found",
     "relational_paths": f"with {_dual} select query_id, src, dst, relation from paths",
+    "mentions": r"""with nodes as (select conv_id seq, 'title-' || conv_id id, regexp_extract(text, '^(\S+ \S+)', 1) as name from conversations where turn = 0
+  union all select conv_id + 1000000000, 'word-' || conv_id, regexp_extract(text, '^(\S+)', 1) from conversations where turn = 1),
+split as (select seq, id, regexp_extract_all(lower(name), '[\p{L}\p{N}_#]+') w from nodes),
+names as (select array_to_string(w, ' ') as key, arg_min(id, seq) node_id, len(any_value(w)) n from split where len(w) > 0 group by 1),
+parts as (select conv_id || '-' || turn chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_#]+|[^\p{L}\p{N}_#]+') p from conversations),
+rows as (select chunk_id, unnest(p) part, generate_subscripts(p, 1) k from parts),
+placed as (select *, sum(length(part)) over (partition by chunk_id order by k)::bigint as stop from rows),
+words as (select chunk_id, part, stop - length(part) as start, stop, row_number() over (partition by chunk_id order by k) k from placed where regexp_full_match(part, '[\p{L}\p{N}_#]+')),
+runs as (select a.chunk_id, a.start, a.stop, a.part as key, 1 n from words a union all
+  select a.chunk_id, a.start, b.stop, a.part || ' ' || b.part, 2 from words a join words b on a.chunk_id = b.chunk_id and b.k = a.k + 1 union all
+  select a.chunk_id, a.start, c.stop, a.part || ' ' || b.part || ' ' || c.part, 3 from words a join words b on a.chunk_id = b.chunk_id and b.k = a.k + 1 join words c on a.chunk_id = c.chunk_id and c.k = a.k + 2),
+found as (select chunk_id, node_id, start, stop from runs join names using (key, n))
+select chunk_id, node_id, start start_char, stop end_char from found f where not exists
+  (select 1 from found g where g.chunk_id = f.chunk_id and g.start <= f.start and g.stop >= f.stop and g.stop - g.start > f.stop - f.start)""",
     "slugify_names": """with n as (select 'part' kind, p_partkey::bigint as key, p_name as name from part union all select 'supplier', s_suppkey, s_name from supplier union all select 'customer', c_custkey, c_name from customer)
 select kind, key, substring(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) slug from n""",
     "merge_nodes": f"""with nodes as {_nodes}, known as (select lower(trim(name)) k from nodes where type = 'theme'),

@@ -126,7 +126,22 @@ def dual_level_topk(spark, sf):
 
 def relational_paths(spark, sf):
     found = graph.dual_level(nodes(spark, sf), prompts(spark))
-    return graph.relational_paths(edges(spark, sf), found).select("query_id", F.col("from").alias("src"), F.col("to").alias("dst"), "relation")
+    return graph.relational_paths(graph.lay_out_edges(edges(spark, sf)), found).select("query_id", F.col("from").alias("src"), F.col("to").alias("dst"), "relation")
+
+
+def _titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes named by the first two words of a turn: names that conversations do mention."""
+    first = F.regexp_extract("text", r"^(\S+ \S+)", 1)
+    rows = _turns(spark, sf).where("turn = 0").select(F.col("conv_id").alias("seq"), F.concat(F.lit("title-"), "conv_id").alias("id"), first.alias("name"))
+    return rows.unionByName(_turns(spark, sf).where("turn = 1").select((F.col("conv_id") + 10**9).alias("seq"), F.concat(F.lit("word-"), "conv_id").alias("id"), F.regexp_extract("text", r"^(\S+)", 1).alias("name")))
+
+
+def _spoken(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), "text")
+
+
+def mentions(spark, sf):
+    return graph.mentions(_spoken(spark, sf), _titles(spark, sf)).withColumnsRenamed({"start": "start_char", "end": "end_char"})
 
 
 def slugify_names(spark, sf):
@@ -309,7 +324,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cosine_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, fnv_hash_words, hash_embedding,
-        text_knn, keyword_scores, dual_level_topk, relational_paths, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
+        text_knn, keyword_scores, dual_level_topk, relational_paths, mentions, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
         hybrid_context_text, rrf_block, rerank_block, rerank_tally, rerank_calls, rerank_scores, hyde_search_text, draft_target_rates, merge_tally,
         ingest_report, tq_compress, tq_search, validate_extraction, validate_relations, token_overlap, adherence_score, offline_prompt_score,
         compiled_prompt, status_counts,

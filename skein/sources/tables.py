@@ -15,23 +15,45 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the folder that all executors share (``spark.checkpoint.dir``), and read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
     Only where that setting is missing on one machine (master ``local``, as in tests) a temporary folder stands in.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/skein-{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/skein-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, tag: str, buckets: int | None = None, name: str | None = None) -> DataFrame:
+    """``df`` laid out by ``column`` in buckets: an equi-join or an aggregate on it deals only the other side.
+
+    With a ``name`` the table stays in the catalogue, and rows inserted into it keep the layout; without one only its files stay.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = name or f"skein_{tag}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, column).write.bucketBy(buckets, column)
+    (writer.mode("overwrite") if name else writer.option("path", f"{shared_folder(spark)}/{made}")).saveAsTable(made)
+    table = spark.table(made)
+    table.schema  # resolved: files and buckets are known from here on
+    if not name:
+        spark.sql(f"DROP TABLE {made}")
+    return table
+
+
 def numbered(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:
     """``df`` with its place (from 0) in the given order, without sorting in one task.
 

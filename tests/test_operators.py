@@ -376,12 +376,82 @@ def test_insert(spark):
     assert got["b"].vector == HashEmbedder()("new").tolist()
 
 
-def test_prompts_in_blocks(spark, monkeypatch):
-    nodes, _ = small_graph(spark)
-    p = spark.createDataFrame([(i, t) for i, t in enumerate(["search index", "storage", "zz", "code", "rows and search"])], "query_id long, prompt string")
-    want = sorted(map(str, graph.keyword_scores(nodes, p).collect()))
-    monkeypatch.setattr(graph, "PROMPT_BLOCK", 2)
-    assert sorted(map(str, graph.keyword_scores(nodes, p).collect())) == want and want
+def test_keyword_scores_equal_brute_force(spark):
+    """Every word of every prompt in every node; with an index kept in the catalogue as without."""
+    import random
+
+    rng = random.Random(4)
+    words = ["search", "index", "sea", "arc", "aaa", "aaaa", "über", "x😀y", "c++", "the", "then", "rows", "ro", "q?a"]
+    rows = [(i, f"n{i}", rng.choice([None, " ".join(rng.choices(words, k=2))]), "t", rng.choice(["low_level", "high_level"]), rng.choice([None, "", "-".join(rng.choices(words, k=9)).upper()]), None, rng.choice([None, ["The tag", None], []])) for i in range(150)]
+    nodes = spark.createDataFrame(rows, "seq long, id string, name string, type string, level string, description string, file_location string, tags array<string>")
+    asked = [(i, " ".join(rng.choices([*words, "aa", "zzz", "SEARCH", "the"], k=rng.randint(0, 6)))) for i in range(40)] + [(40, None), (41, "")]
+    p = spark.createDataFrame(asked, "query_id long, prompt string")
+    want = set()
+    for q, prompt in asked:
+        for seq, _, name, _, _, description, _, tags in rows:
+            text, low = " ".join([name or "", description or "", " ".join(t for t in tags or [] if t)]).lower(), (name or "").lower()
+            score = sum(2 * (t in text) + 4 * (t in low) for t in (prompt or "").lower().split() if len(t) > 2)
+            want |= {(q, seq, score)} if score else set()
+    assert len(want) > 500
+    for index in (None, graph.trigram_index(nodes)):
+        made = graph.keyword_scores(nodes, p, index)
+        assert {(r.query_id, r.seq, r.score) for r in made.collect()} == want
+        plan = made._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert graph.keyword_scores(nodes, p.limit(0)).count() == graph.keyword_scores(nodes.limit(0), p).count() == 0
+
+
+def test_edges_stay_where_they_lie(spark, tmp_path):
+    """Paths deal no edges, also after an insert; the inserted ones are found."""
+    edges = spark.createDataFrame([(i, f"n{i % 40}", f"n{i * 7 % 40}", "r", 1.0) for i in range(400)], "seq long, source string, target string, relation string, weight double")
+    more = spark.createDataFrame([(1000, "n1", "new", "r", 1.0)], edges.schema)
+    picked = spark.createDataFrame([(1, "n1"), (1, "n2"), (2, "n3"), (2, "n3")], "query_id long, id string")
+    want = lambda df: sorted(map(str, graph.relational_paths(df, picked).collect()))
+    pair = graph.lay_out_edges(edges, "test_edges")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for step in range(3):
+            laid = (pair, graph.lay_out_edges(edges))[step] if step < 2 else graph.insert_edges("test_edges", more)
+            plain = edges if step < 2 else edges.unionByName(more)
+            for table, end in zip(laid, ("source", "target")):
+                joined = table.join(picked.withColumnRenamed("id", end), end)
+                plan = joined._jdf.queryExecution().executedPlan().toString()
+                assert plan.count("Exchange") == 1 and "Bucketed: true" in plan, plan
+            assert want(laid) == want(plain)
+        assert any("new" in row for row in want(graph.lay_out_edges(edges.unionByName(more))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for end in ("source", "target"):
+            spark.sql(f"DROP TABLE IF EXISTS test_edges_by_{end}")
+
+
+def test_mentions_let_both_lists_share_ids(spark):
+    nodes = spark.createDataFrame([(1, "a", "Vector Index"), (2, "b", "index"), (3, "c", "vector  index"), (4, "d", None), (5, "e", "--"), (6, "f", "Äpfel"), (7, "g", "a b c d")], "seq long, id string, name string")
+    chunks = spark.createDataFrame([("x", "The vector-INDEX, an index. äpfel!"), ("y", "a b c d e"), ("z", None), ("w", "")], "chunk_id string, text string")
+    found = graph.mentions(chunks, nodes)
+    assert sorted(map(tuple, found.collect())) == [("x", "a", 4, 16), ("x", "b", 21, 26), ("x", "f", 28, 33), ("y", "g", 0, 7)]
+    assert graph.mentions(chunks, nodes.limit(0)).count() == graph.mentions(chunks.limit(0), nodes).count() == 0
+    low = spark.createDataFrame([(1, "a", "Vector Index", 1), (1, "q", "other", 2)], "query_id long, id string, text string, rank int")
+    near = spark.createDataFrame([(1, "x", "The vector", 1), (1, "y", "a b c d e", 2), (1, "w", "", 3)], low.schema)
+    mapped = graph.as_nodes(near, found)
+    assert sorted((r.id, r["rank"]) for r in mapped.collect()) == [("a", 1), ("b", 2), ("f", 3), ("g", 4), ("w", 5)]
+    first = fusion.reciprocal_rank_fusion(low, mapped).orderBy("rank").first()
+    assert (first.id, first.sources) == ("a", "graph+vector") and abs(first.rrf_score - 2 / 61) < 1e-12
+    assert all("+" not in r.sources for r in fusion.reciprocal_rank_fusion(low, near).collect())
+
+
+def test_long_texts_are_trimmed_and_cut_in_one_go(spark):
+    import time
+
+    blanks = "A b." + " " * 1_000_000 + "c. D."
+    began = time.perf_counter()
+    assert one(spark, F.length(T.trim_white(F.col("t"))), t=" " + blanks + "\n") == len(blanks)
+    assert one(spark, F.size(T.sentence_chunks(F.col("t"), 800)), t="é😀" * 500_000) == 1250
+    assert time.perf_counter() - began < 20
+    assert one(spark, T.sentence_chunks(F.col("t"), 3), t="é😀" * 4) == ["é😀é", "😀é😀", "é😀"]
+    deep = spark.createDataFrame([("[" * 100_000,), ("[1]",)], "t string").select(evaluate.is_json("t").alias("x")).collect()
+    assert [r.x for r in deep] == [False, True]
 
 
 @pytest.mark.parametrize("ids", [[2**45 + 1, 2**45 + 2, 2**45 + 3], ["doc-b", "doc-a", "x/y"]])
