@@ -9,7 +9,8 @@ prompts: query_id long, prompt string
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import name_key, prompt_tokens, slugify, text_trigrams
@@ -200,12 +201,28 @@ def append_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.unionByName(new, allowMissingColumns=True)
 
 
+def _observed(metric: Observation) -> int | None:
+    """The number of rows observed; null if Spark found the plan to be empty and took the observation out with it."""
+    try:
+        return metric.get["n"]
+    except Py4JJavaError:
+        return None
+
+
 def merge(nodes: DataFrame, edges: DataFrame, entities: DataFrame, relations: DataFrame, label: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all nodes, all edges, tally nodes_added, nodes_merged, edges_added)."""
-    new, tally = merge_nodes(nodes, entities, label)
-    every = append_nodes(nodes, settled(new, "nodes"))
-    added = settled(merge_edges(every, edges, relations), "new-edges")
-    return every, append_edges(edges, added), tally.crossJoin(added.agg(F.count("*").alias("edges_added")))
+    """(all nodes, all edges, tally nodes_added, nodes_merged, edges_added).
+
+    The tally is observed while the new rows are written: nothing is counted by running a plan again.
+    """
+    count = F.count(F.lit(1)).alias("n")
+    came, fresh, linked = Observation(), Observation(), Observation()
+    new = settled(merge_nodes(nodes, entities.observe(came, count), label)[0].observe(fresh, count), "nodes")
+    every = append_nodes(nodes, new)
+    added = settled(merge_edges(every, edges, relations).observe(linked, count), "new-edges")
+    made, edges_made, seen = _observed(fresh) or 0, _observed(linked) or 0, _observed(came)
+    seen = entities.count() if seen is None else seen  # all were merged, so Spark let go of the plan that saw them
+    tally = nodes.sparkSession.createDataFrame([(made, seen - made, edges_made)], "nodes_added long, nodes_merged long, edges_added long")
+    return every, append_edges(edges, added), tally
 
 
 def status(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import tables
 from skein.functions import text as T
 from skein.functions import vector as V
 from skein.functions.embed import embed, embedding_rows
@@ -100,6 +101,19 @@ def chunk_paragraphs(spark, sf):
     return _chunk_rows(ingest.chunks(docs, "doc_id", "text", "paragraph"))
 
 
+def sql_sentence_chunks(spark, sf):
+    """The chunks of ``chunk_sentences``, asked for in SQL."""
+    tables.register(spark)
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return spark.sql("select d.doc_id, c.chunk_index, c.char_count, md5(c.text) as text_md5 from {docs} d, lateral sentence_chunks(d.text, 800) c", docs=docs)
+
+
+def sql_paragraph_chunks(spark, sf):
+    tables.register(spark)
+    docs = read_table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return spark.sql("select d.doc_id, c.chunk_index, c.char_count, md5(c.text) as text_md5 from {docs} d, lateral paragraph_chunks(d.text) c", docs=docs)
+
+
 def fnv_hash_words(spark, sf):
     words = read_table(spark, sf, "documents").select(F.explode(T.embed_tokens(F.col("text"))).alias("word")).distinct()
     h = words.select("word", V.fnv1a(F.col("word")).alias("h"))
@@ -323,7 +337,7 @@ def status_counts(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, fnv_hash_words, hash_embedding,
+        cosine_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, sql_sentence_chunks, sql_paragraph_chunks, fnv_hash_words, hash_embedding,
         text_knn, keyword_scores, dual_level_topk, relational_paths, mentions, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
         hybrid_context_text, rrf_block, rerank_block, rerank_tally, rerank_calls, rerank_scores, hyde_search_text, draft_target_rates, merge_tally,
         ingest_report, tq_compress, tq_search, validate_extraction, validate_relations, token_overlap, adherence_score, offline_prompt_score,

@@ -441,6 +441,41 @@ def test_mentions_let_both_lists_share_ids(spark):
     assert all("+" not in r.sources for r in fusion.reciprocal_rank_fusion(low, near).collect())
 
 
+def test_table_functions_equal_the_columns(spark):
+    from skein.functions import tables
+
+    tables.register(spark)
+    texts = ["Aa bb. Cc dd. Ee ff gg hh. " + "X" * 45 + ". Zz.", None, "", " \n ", "a\r\n\r\nb\n \n" + "é😀" * 30, "\ufeffOne.  (Two) three!\x0b'Four' five? six. 7", "word " * 50, "x\n\n\n\ny\n\n z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for name, column in (("sentence_chunks", T.sentence_chunks), ("paragraph_chunks", T.paragraph_chunks)):
+        for size in (1, 7, 20, 800):
+            got = spark.sql(f"select d.id, c.* from {{df}} d, lateral {name}(d.text, {size}) c", df=df).collect()
+            want = df.select("id", F.posexplode(column(F.col("text"), size)).alias("i", "t")).collect()
+            assert sorted((r.id, r.chunk_index, r.text, r.char_count) for r in got) == sorted((r.id, r.i, r.t, len(r.t)) for r in want), (name, size)
+        for bad in ("0", "'x'", "d.id"):
+            with pytest.raises(Exception, match="chunk|constant"):
+                spark.sql(f"select c.* from {{df}} d, lateral {name}(d.text, {bad}) c", df=df).collect()
+
+
+def test_merge_counts_while_it_writes(spark):
+    """The tally is right, and each entity passes once."""
+    nodes, edges = small_graph(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [(i, f" Name {i % 7} ", "t", "low_level", "d", ["x"]) for i in range(50)]
+    entities = spark.createDataFrame(rows, "seq long, name string, type string, level string, description string, tags array<string>")
+    relations = spark.createDataFrame([(1, "name 1", "NAME 2", "r", 1.0), (2, "name 1", "name 2", "r", 0.5), (3, "name 1", "nobody", "r", 1.0)], "seq long, source string, target string, relation string, weight double")
+    every, joined, tally = graph.merge(nodes, edges, entities.mapInPandas(through, entities.schema), relations)
+    assert tuple(tally.first()) == (7, 43, 1) and seen.value == 50
+    assert every.count() == nodes.count() + 7 and joined.count() == edges.count() + 1
+    assert tuple(graph.merge(nodes, edges, entities.limit(0), relations.limit(0))[2].first()) == (0, 0, 0)
+
+
 def test_long_texts_are_trimmed_and_cut_in_one_go(spark):
     import time
 
