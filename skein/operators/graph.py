@@ -18,6 +18,7 @@ from skein.sources.tables import bucketed, numbered, settled
 
 LOW_HITS, HIGH_HITS, LOW_FALLBACK, HIGH_FALLBACK, PATHS_SHOWN = 5, 3, 3, 2, 4
 WORD, GAP = r"[\p{L}\p{N}_#]+", r"[^\p{L}\p{N}_#]+"
+PARTS = 32  # of the nodes that hold one trigram
 LEVELS = {"low_level": (LOW_HITS, LOW_FALLBACK), "high_level": (HIGH_HITS, HIGH_FALLBACK)}
 
 
@@ -27,12 +28,13 @@ def node_text() -> Column:
 
 
 def trigram_index(nodes: DataFrame, name: str | None = None) -> DataFrame:
-    """trigram, seq: the inverted table of all three-character strings in the nodes' texts, in buckets by trigram.
+    """trigram, part, seq: the inverted table of all three-character strings in the nodes' texts, in buckets by trigram and part.
 
-    It serves any number of prompts; with a ``name`` it stays in the catalogue.
+    It serves any number of prompts; with a ``name`` it stays in the catalogue. A trigram's nodes are spread over PARTS parts, so that
+    one that all nodes hold fills no bucket alone.
     """
-    rows = nodes.select(F.explode(text_trigrams(node_text())).alias("trigram"), "seq")
-    return bucketed(rows, "trigram", "trigrams", name=name)
+    rows = nodes.select(F.explode(text_trigrams(node_text())).alias("trigram"), F.pmod(F.xxhash64("seq"), F.lit(PARTS)).cast("int").alias("part"), "seq")
+    return bucketed(rows, ["trigram", "part"], "trigrams", name=name)
 
 
 def _term_hits(nodes: DataFrame, prompts: DataFrame, index: DataFrame | None) -> DataFrame:
@@ -44,9 +46,11 @@ def _term_hits(nodes: DataFrame, prompts: DataFrame, index: DataFrame | None) ->
     index = trigram_index(nodes) if index is None else index
     terms = prompts.select("query_id", F.explode(prompt_tokens(F.col("prompt"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct().select("term", F.explode(text_trigrams(F.col("term"))).alias("trigram"))
-    held = index.join(wanted.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count("*").alias("n"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    both = ["trigram", "part"]
+    held = index.join(wanted.select("trigram").distinct().select("trigram", parts), both, "left_semi").groupBy("trigram").agg(F.count("*").alias("n"))
     rarest = wanted.join(held, "trigram", "left").groupBy("term").agg(F.min_by("trigram", F.struct("n", "trigram")).alias("trigram"), F.bool_or(F.col("n").isNull()).alias("nowhere"))
-    found = index.join(rarest.where("not nowhere").select("term", "trigram"), "trigram").select("seq", "term")
+    found = index.join(rarest.where("not nowhere").select("term", "trigram", parts), both).select("seq", "term")
     texts = nodes.select("seq", "level", node_text().alias("_text"), F.lower(F.coalesce("name", F.lit(""))).alias("_name"))
     hits = texts.join(found, "seq").where(F.contains("_text", "term")).select("seq", "level", "term", F.when(F.contains("_name", "term"), 6).otherwise(2).alias("points"))
     return hits.join(terms, "term").groupBy("query_id", "seq", "level").agg(F.sum(F.col("points") * F.col("times")).cast("int").alias("score"))

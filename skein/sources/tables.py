@@ -37,15 +37,16 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, tag: str, buckets: int | None = None, name: str | None = None) -> DataFrame:
-    """``df`` laid out by ``column`` in buckets: an equi-join or an aggregate on it deals only the other side.
+def bucketed(df: DataFrame, columns: str | list[str], tag: str, buckets: int | None = None, name: str | None = None) -> DataFrame:
+    """``df`` laid out by ``columns`` in buckets: an equi-join on them deals only the other side.
 
     With a ``name`` the table stays in the catalogue, and rows inserted into it keep the layout; without one only its files stay.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = name or f"skein_{tag}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, column).write.bucketBy(buckets, column)
+    keys = [columns] if isinstance(columns, str) else columns
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
     (writer.mode("overwrite") if name else writer.option("path", f"{shared_folder(spark)}/{made}")).saveAsTable(made)
     table = spark.table(made)
     table.schema  # resolved: files and buckets are known from here on
