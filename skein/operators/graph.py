@@ -27,25 +27,31 @@ def node_text() -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")), F.concat_ws(" ", "tags")))
 
 
+def _trigrams(nodes: DataFrame) -> DataFrame:
+    part = F.pmod(F.xxhash64("seq"), F.lit(PARTS)).cast("int").alias("part")
+    return nodes.select(F.explode(text_trigrams(node_text())).alias("trigram"), part, "seq")
+
+
 def trigram_index(nodes: DataFrame, name: str | None = None) -> DataFrame:
     """trigram, part, seq: the inverted table of all three-character strings in the nodes' texts, in buckets by trigram and part.
 
     It serves any number of prompts; with a ``name`` it stays in the catalogue. A trigram's nodes are spread over PARTS parts, so that
     one that all nodes hold fills no bucket alone.
     """
-    rows = nodes.select(F.explode(text_trigrams(node_text())).alias("trigram"), F.pmod(F.xxhash64("seq"), F.lit(PARTS)).cast("int").alias("part"), "seq")
-    return bucketed(rows, ["trigram", "part"], "trigrams", name=name)
+    return bucketed(_trigrams(nodes), ["trigram", "part"], "trigrams", name=name)
 
 
 def _term_hits(nodes: DataFrame, prompts: DataFrame, index: DataFrame | None) -> DataFrame:
     """query_id, seq, level, score of the nodes that a prompt's words hit.
 
     Each distinct word of all prompts looks up the nodes that hold its rarest trigram (none, if one of its trigrams is nowhere), and only
-    those are read for the word. Prompts and nodes meet in equi-joins; the nodes are scanned once for the index and once for the words.
+    those are read for the word. Prompts and nodes meet in equi-joins; the nodes are scanned once for the words, and once more for
+    the trigrams of the prompts' words where there is no index.
     """
-    index = trigram_index(nodes) if index is None else index
     terms = prompts.select("query_id", F.explode(prompt_tokens(F.col("prompt"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct().select("term", F.explode(text_trigrams(F.col("term"))).alias("trigram"))
+    if index is None:
+        index = settled(_trigrams(nodes).join(wanted.select("trigram").distinct(), "trigram", "left_semi"), "trigrams")
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
     both = ["trigram", "part"]
     held = index.join(wanted.select("trigram").distinct().select("trigram", parts), both, "left_semi").groupBy("trigram").agg(F.count("*").alias("n"))
@@ -59,7 +65,7 @@ def _term_hits(nodes: DataFrame, prompts: DataFrame, index: DataFrame | None) ->
 def keyword_scores(nodes: DataFrame, prompts: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Nodes that a prompt's words hit: 2 for each word in name, description or tags, 4 more if in the name.
 
-    ``index`` is the nodes' ``trigram_index``, made here if it is not given.
+    ``index`` is the nodes' ``trigram_index``; without it only the trigrams that the prompts ask for are taken from the nodes.
     """
     return nodes.join(_term_hits(nodes, prompts, index).drop("level"), "seq")
 

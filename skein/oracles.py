@@ -223,3 +223,4 @@ select conv_id, turn, md5(p) prompt_md5, length(p)::int n_chars from p""",
     "status_counts": f"select (select count(*) from {_nodes}) nodes, (select count(*) from {_edges}) edges, (select count(*) from embeddings) chunks",
 }
 ORACLES["sql_sentence_chunks"], ORACLES["sql_paragraph_chunks"] = ORACLES["chunk_sentences"], ORACLES["chunk_paragraphs"]
+ORACLES["laid_out_paths"] = ORACLES["relational_paths"]

@@ -140,6 +140,13 @@ def dual_level_topk(spark, sf):
 
 def relational_paths(spark, sf):
     found = graph.dual_level(nodes(spark, sf), prompts(spark))
+    return graph.relational_paths(edges(spark, sf), found).select("query_id", F.col("from").alias("src"), F.col("to").alias("dst"), "relation")
+
+
+def laid_out_paths(spark, sf):
+    """The same paths with the graph laid out first: nodes by trigram, edges by either end."""
+    every, p = nodes(spark, sf), prompts(spark)
+    found = graph.dual_level(every, p, graph.trigram_index(every))
     return graph.relational_paths(graph.lay_out_edges(edges(spark, sf)), found).select("query_id", F.col("from").alias("src"), F.col("to").alias("dst"), "relation")
 
 
@@ -338,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cosine_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, sql_sentence_chunks, sql_paragraph_chunks, fnv_hash_words, hash_embedding,
-        text_knn, keyword_scores, dual_level_topk, relational_paths, mentions, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
+        text_knn, keyword_scores, dual_level_topk, relational_paths, laid_out_paths, mentions, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
         hybrid_context_text, rrf_block, rerank_block, rerank_tally, rerank_calls, rerank_scores, hyde_search_text, draft_target_rates, merge_tally,
         ingest_report, tq_compress, tq_search, validate_extraction, validate_relations, token_overlap, adherence_score, offline_prompt_score,
         compiled_prompt, status_counts,
