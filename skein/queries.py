@@ -9,7 +9,7 @@ from skein.functions import tables
 from skein.functions import text as T
 from skein.functions import vector as V
 from skein.functions.embed import embed, embedding_rows
-from skein.operators import evaluate, fusion, graph, ingest, knn
+from skein.operators import evaluate, fusion, graph, ingest, knn, proximity
 from skein.sources import clients
 from skein.sources.tables import read_table
 
@@ -75,6 +75,17 @@ def cosine_knn(spark, sf):
     return knn.knn(*_vectors(spark, sf), k=5).withColumnRenamed("id", "vec_id")
 
 
+def proximity_links(spark, sf):
+    """The lists of a proximity graph over all vectors; approximate, so without SQL."""
+    return proximity.build(_vectors(spark, sf)[0]).edges().withColumnsRenamed({"node": "vec_id", "neighbour": "neighbour_id"})
+
+
+def proximity_knn(spark, sf):
+    """The queries of ``cosine_knn`` asked of a proximity graph; approximate, so without SQL."""
+    v, q = _vectors(spark, sf)
+    return proximity.search(proximity.build(v), q, k=5, ef=128, width=64).withColumnRenamed("id", "vec_id")
+
+
 def l2_normalize(spark, sf):
     v, _ = _vectors(spark, sf)
     return v.select(F.col("id").alias("vec_id"), F.posexplode(V.l2_normalize(F.col("v"))).alias("pos", "val")).withColumn("val", F.col("val") + 0.0)
@@ -344,7 +355,7 @@ def status_counts(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, sql_sentence_chunks, sql_paragraph_chunks, fnv_hash_words, hash_embedding,
+        cosine_knn, proximity_links, proximity_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, sql_sentence_chunks, sql_paragraph_chunks, fnv_hash_words, hash_embedding,
         text_knn, keyword_scores, dual_level_topk, relational_paths, laid_out_paths, mentions, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
         hybrid_context_text, rrf_block, rerank_block, rerank_tally, rerank_calls, rerank_scores, hyde_search_text, draft_target_rates, merge_tally,
         ingest_report, tq_compress, tq_search, validate_extraction, validate_relations, token_overlap, adherence_score, offline_prompt_score,
