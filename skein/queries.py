@@ -355,10 +355,13 @@ def status_counts(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cosine_knn, proximity_links, proximity_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, sql_sentence_chunks, sql_paragraph_chunks, fnv_hash_words, hash_embedding,
+        cosine_knn, l2_normalize, index_stats_layers, upsert_latest, chunk_sentences, chunk_paragraphs, sql_sentence_chunks, sql_paragraph_chunks, fnv_hash_words, hash_embedding,
         text_knn, keyword_scores, dual_level_topk, relational_paths, laid_out_paths, mentions, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
         hybrid_context_text, rrf_block, rerank_block, rerank_tally, rerank_calls, rerank_scores, hyde_search_text, draft_target_rates, merge_tally,
         ingest_report, tq_compress, tq_search, validate_extraction, validate_relations, token_overlap, adherence_score, offline_prompt_score,
         compiled_prompt, status_counts,
     )
 }
+
+#: Queries whose answer is approximate, so no SQL gives the same rows; tests hold them against exact search.
+APPROXIMATE = {f.__name__: f for f in (proximity_links, proximity_knn)}
