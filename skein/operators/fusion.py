@@ -10,17 +10,21 @@ from skein.operators.graph import PATHS_SHOWN
 RRF_K = 60
 
 
-def reciprocal_rank_fusion(graph: DataFrame, vector: DataFrame, k: int | None = RRF_K) -> DataFrame:
+def reciprocal_rank_fusion(graph: DataFrame, vector: DataFrame, k: int | None = RRF_K, own: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, text, sources, rrf_score from ``graph`` and ``vector`` (query_id, id, text, rank).
 
     The score is the sum of 1 / (k + rank); of texts with one id the graph's stays; ties: the graph's order, then the vector list's.
+    ``own(query_id, rrf_k)`` holds queries with a k of their own.
     """
     k = k or RRF_K
     rows = graph.select("query_id", "id", "text", "rank", F.lit(0).alias("s")).unionByName(vector.select("query_id", "id", "text", "rank", F.lit(1).alias("s")))
+    each = F.lit(k)
+    if own is not None:
+        rows, each = rows.join(own.select("query_id", "rrf_k"), "query_id", "left"), F.coalesce(F.nullif("rrf_k", F.lit(0)), F.lit(k))
     fused = rows.groupBy("query_id", "id").agg(
         F.min(F.struct("s", "rank", "text")).alias("first"),
         F.sort_array(F.collect_set("s")).alias("found"),  # one entry a list
-        F.sum(1.0 / (F.col("rank") + k)).alias("rrf_score"),
+        F.sum(1.0 / (F.col("rank") + each)).alias("rrf_score"),
     )
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "first.s", "first.rank", "id")
     names = F.array_join(F.transform("found", lambda s: F.when(s == 0, "graph").otherwise("vector")), "+")

@@ -53,7 +53,7 @@ def retrieve(prompts: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: Dat
     near = out["vector"].withColumn("id", F.col("id").cast("string"))
     block = None
     if mode == "hybrid_rrf":
-        out["fused"] = fusion.reciprocal_rank_fusion(low, near, rrf_k)
+        out["fused"] = fusion.reciprocal_rank_fusion(low, near, rrf_k, prompts if "rrf_k" in prompts.columns else None)
         block = fusion.rrf_context(out["fused"])
     elif mode == "hybrid_rerank":
         scored = rerank_calls(fusion.rerank_candidates(low, near), prompts, client)
@@ -75,12 +75,13 @@ def answer(prompts: DataFrame, context: DataFrame, client: ChatClient) -> DataFr
 
 
 def answer_requests(requests: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, client: ChatClient, embedder: EmbeddingClient | None = None) -> DataFrame:
-    """``answer`` and mode for ``requests(query_id, prompt, mode)``, as ``read_requests`` gives them; an unknown mode acts as hybrid."""
+    """``answer`` and mode for ``requests(query_id, prompt, mode)``, and rrf_k if it is there, as ``read_requests`` gives them; an unknown mode acts as hybrid."""
     mode = F.when(F.col("mode").isin(*MODES), F.col("mode")).otherwise("hybrid")
-    asked = settled(requests.select("query_id", "prompt", mode.alias("mode")), "requests")
+    own = ["rrf_k"] if "rrf_k" in requests.columns else []
+    asked = settled(requests.select("query_id", "prompt", mode.alias("mode"), *own), "requests")
     made = []
     for (name,) in sorted(asked.select("mode").distinct().collect()) or [("hybrid",)]:  # at most seven
-        some = asked.where(F.col("mode") == name).select("query_id", "prompt")
+        some = asked.where(F.col("mode") == name).select("query_id", "prompt", *own)
         context = retrieve(some, nodes, edges, chunks, name, client, embedder=embedder)["context"]
         made.append(answer(some, context, client).withColumn("mode", F.lit(name)))
     return reduce(DataFrame.unionByName, made)
