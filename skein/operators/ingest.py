@@ -128,7 +128,7 @@ def ingest_documents(docs: DataFrame, key: str, text: str, nodes: DataFrame, edg
     if client is None:
         return {"chunks": made, "nodes": nodes, "edges": edges, "report": report}
     checked = settled(extract_graph(docs, key, text, client), "extracted")
-    failed = checked.groupBy(key).agg(F.first("error", ignorenulls=True).alias("extraction_error"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relations")).alias("relations"))
+    failed = checked.groupBy(key).agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk_index"))).alias("extraction_error"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relations")).alias("relations"))
     # One failed chunk leaves the whole document out of the graph.
     good = checked.join(failed.where("extraction_error is null").select(key), key, "left_semi")
     keys = [key, "chunk_index"]

@@ -104,6 +104,14 @@ _trim = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 _base = "round(0.3::double + (case when regexp_matches(text, '(?i)istruzioni|step|instructions') then 0.1::double else 0 end) + (case when regexp_matches(text, '(?i)json|output') then 0.1::double else 0 end), 2)"
 
+_blocks = f"""{_dual},
+a as (select query_id, string_agg('• ' || name || ': ' || description, chr(10) order by rank) l from found where level = 'high_level' group by 1),
+b as (select query_id, string_agg('• ' || name || ' (' || type || '): ' || description || ' [workspace]', chr(10) order by rank) l from found where level = 'low_level' group by 1),
+ps as (select *, row_number() over (partition by query_id order by seq) r from paths),
+p as (select query_id, string_agg('• (' || src || ') --[' || relation || ']--> (' || dst || ')', chr(10) order by r) l from ps where r <= 4 group by 1),
+{_prompt_knn},
+c as (select query_id, string_agg('• [sim=' || printf('%.3f', ((round(similarity * 10000)::bigint + 5) // 10)::double / 1000) || '] (' || doc_id || ') ' || text, chr(10) order by rank) l from near join documents using (doc_id) where rank <= 4 group by 1)"""
+
 ORACLES = {
     "cosine_knn": f"with {_knn} select q_id, rank, vec_id, greatest(0, least(1, round(1 - distance, 4))) similarity, distance from kn where rank <= 5",
     "l2_normalize": """with e as (select vec_id, embedding::double[] v from embeddings), n as (select *, sqrt(list_dot_product(v, v)) n from e)
@@ -160,13 +168,7 @@ select source, target, 'supplied_by' relation, weight from firsts f where r = 1
     "rrf_fusion": f"with {_knn}, {_tq}, {_fused} select query_id, rank, vec_id, sources, round(score, 6) rrf_score from placed",
     "rerank_order": f"""with {_knn}, {_tq}, {_reranked}
 select query_id, vec_id, source, original_rank, llm_score, new_rank, original_rank - new_rank rank_delta from nr""",
-    "hybrid_context_text": f"""with {_dual},
-a as (select query_id, string_agg('• ' || name || ': ' || description, chr(10) order by rank) l from found where level = 'high_level' group by 1),
-b as (select query_id, string_agg('• ' || name || ' (' || type || '): ' || description || ' [workspace]', chr(10) order by rank) l from found where level = 'low_level' group by 1),
-ps as (select *, row_number() over (partition by query_id order by seq) r from paths),
-p as (select query_id, string_agg('• (' || src || ') --[' || relation || ']--> (' || dst || ')', chr(10) order by r) l from ps where r <= 4 group by 1),
-{_prompt_knn},
-c as (select query_id, string_agg('• [sim=' || printf('%.3f', ((round(similarity * 10000)::bigint + 5) // 10)::double / 1000) || '] (' || doc_id || ') ' || text, chr(10) order by rank) l from near join documents using (doc_id) where rank <= 4 group by 1)
+    "hybrid_context_text": f"""with {_blocks}
 select query_id, concat_ws(chr(10) || chr(10), concat_ws(chr(10), '[Themes]', a.l), concat_ws(chr(10), '[Entities]', b.l), concat_ws(chr(10), '[Relations]', p.l), concat_ws(chr(10), '[Text chunks]', coalesce(c.l, '• (none)'))) context
 from prompts left join a using (query_id) left join b using (query_id) left join p using (query_id) left join c using (query_id)""",
     "rrf_block": f"""with {_knn}, {_tq}, {_fused}
@@ -180,8 +182,16 @@ select query_id, count(llm_score) candidates_scored, count(*) - count(llm_score)
 rated as (select *, list_sum(list_transform(list_filter(string_split('v' || vec_id, ''), lambda c: c <> ''), lambda c: ascii(c)))::int % 14 n from rows)
 select query_id, vec_id, source, case when n < 13 then least(10, n)::double end llm_score, n = 13 failed from rated""",
     "rerank_scores": """select p_partkey, case p_partkey % 7 when 0 then 10.0::double when 1 then 0 when 2 then 7 when 3 then null when 4 then null when 5 then 0 else least(10.0::double, p_partkey % 11 + 0.5::double) end score from part""",
-    "hyde_search_text": f"""with prompts as {_prompts} select query_id, prompt, case when contains(prompt, 'blue') or contains(prompt, 'zz') then prompt else upper(prompt) end search_text,
-case when contains(prompt, 'blue') then 'TimeoutError: no answer' when contains(prompt, 'zz') then 'empty passage' end hyde_error from prompts""",
+    "hyde_search_text": """select conv_id * 100000 + turn query_id, md5(case when length(text) % 5 < 2 then text else length(text) || ' characters' end) search_md5,
+case length(text) % 5 when 0 then 'TimeoutError: no answer' when 1 then 'empty passage' end hyde_error from conversations""",
+    "ledger_answers": """select conv_id, turn, case when length(text) % 7 > 0 then length(text) || ' characters' end answer, case when length(text) % 7 = 0 then 'TimeoutError: no answer' end error
+from (select conv_id, turn, coalesce(text, '') text from conversations)""",
+    "exchanged_requests": """select conv_id, turn::bigint turn, case when role = 'user' then 'hybrid' else 'keyword' end as mode, case when turn % 3 = 0 then 60 else turn % 3 * 10 end::double rrf_k,
+md5(text) prompt_md5 from conversations""",
+    "compile_gain": f"""with s as ({_turn_scores.format(kind="json", form=f"(case when json_valid({_trim}) then 0.3::double when contains(text, '{{') and contains(text, '}}') then 0.1::double else 0 end)", t=_trim)}),
+o as (select conv_id, turn, length(text) n, {_base} b from conversations),
+g as (select conv_id, turn, n % 3 > 0 live, case when n % 3 > 0 then score else b end base_score, case when n % 3 = 0 then round(b + 0.2::double, 2) when n % 2 = 0 then 0.95::double else score end compiled_score from s join o using (conv_id, turn))
+select *, case when base_score > 0 then case when compiled_score >= base_score then '+' else '' end || printf('%.1f', (compiled_score - base_score) / base_score * 100) else '+0.0' end || '%' gain from g""",
     "draft_target_rates": rf"""with t as (select conv_id, turn, text, list_filter(string_split_regex(lower({_trim}), '\s+'), lambda w: w <> '') w from conversations),
 p as (select a.conv_id, a.turn, a.text x_text, b.text y_text, a.w x, b.w y, least(len(a.w), len(b.w)) n from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
 r as (select *, case when n = 0 then 0.0 else round(len(list_filter(range(1, n + 1), lambda i: x[i] = y[i]))::double / n, 3) end rate from p)
@@ -224,3 +234,22 @@ select conv_id, turn, md5(p) prompt_md5, length(p)::int n_chars from p""",
 }
 ORACLES["sql_sentence_chunks"], ORACLES["sql_paragraph_chunks"] = ORACLES["chunk_sentences"], ORACLES["chunk_paragraphs"]
 ORACLES["laid_out_paths"] = ORACLES["relational_paths"]
+
+ORACLES["extract_graph"] = f"""with c as ({ORACLES["chunk_paragraphs"]})
+select doc_id, chunk_index, case char_count % 5 when 0 then 'TimeoutError: no answer' when 1 then 'not a JSON object' end error,
+case when char_count % 5 > 1 then 'Entity ' || char_count end first_name, case when char_count % 5 > 1 then 2 end::int n_entities,
+case when char_count % 5 > 1 then case char_count % 4 when 0 then 0.0 when 1 then 1.0 else 0.5 end end::double weight from c"""
+_modes = "(values (0, 'keyword'), (1, 'vector'), (2, 'hybrid'), (3, 'hybrid_rerank'), (4, 'hybrid_rrf'), (5, 'vector_hyde'), (6, 'hybrid_hyde')) m(m, mode)"
+ORACLES["answered_requests"] = f"""with {_blocks},
+lists as (select query_id, 'graph' source, name || ': ' || description as text, rank from found where level = 'low_level'
+  union all select query_id, 'vector', text, rank from near join documents using (doc_id) where rank <= 4),
+rated as (select *, length(text) % 11 score, 1.0::double / (case when query_id % 2 = 1 then 10 else 60 end + rank) rrf from lists),
+ranked as (select *, row_number() over (partition by query_id order by score desc, source, rank) now from rated),
+rb as (select query_id, string_agg('• [rrfScore=' || printf('%.5f', rrf + 1e-12) || ', sources=' || source || '] ' || text, chr(10) order by round(rrf, 12) desc, source, rank) l from rated group by 1),
+kb as (select query_id, string_agg('• [score=' || score || '/10, rank ' || now || ' was ' || rank || ' ' || case when rank > now then '▲' || (rank - now) when rank < now then '▼' || (now - rank) else '=' end
+  || ', source=' || source || '] ' || text, chr(10) order by now) l from ranked group by 1),
+made as (select query_id + 10 * m query_id, mode, prompt, concat_ws(chr(10) || chr(10), case mode when 'hybrid_rrf' then rb.l when 'hybrid_rerank' then kb.l end,
+  concat_ws(chr(10), '[Themes]', case when mode not like 'vector%' then a.l end), concat_ws(chr(10), '[Entities]', case when mode not like 'vector%' then b.l end),
+  concat_ws(chr(10), '[Relations]', case when mode not like 'vector%' then p.l end), concat_ws(chr(10), '[Text chunks]', coalesce(case when mode <> 'keyword' then c.l end, '• (none)'))) context
+  from prompts cross join {_modes} left join a using (query_id) left join b using (query_id) left join p using (query_id) left join c using (query_id) left join rb using (query_id) left join kb using (query_id))
+select query_id::bigint query_id, mode, md5(context) context_md5, (length(context) + length(prompt) + 21)::varchar synthesis, null::varchar synthesis_error, true llm_used from made"""

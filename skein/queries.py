@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from skein.functions import text as T
 from skein.functions import vector as V
 from skein.functions.embed import embed, embedding_rows
 from skein.operators import evaluate, fusion, graph, ingest, knn, proximity
-from skein.sources import clients
-from skein.sources.tables import read_table
+from skein.plans import retrieval
+from skein.sources import clients, exchange, ledger, requests
+from skein.sources.tables import read_table, settled, shared_folder
 
 DIMENSIONS = 64  # of the embeddings table
 PROMPTS = [
@@ -258,14 +261,91 @@ def rerank_scores(spark, sf):
 
 
 def hyde_search_text(spark, sf):
-    """A model stands in that writes the prompt in capitals, nothing for one and fails for another."""
+    """A model stands in that writes a turn in capitals, nothing for some and fails for others; by length, so that letters need no rule."""
 
     def write(system: str, user: str) -> str:
-        if "blue" in user:
+        if len(user) % 5 == 0:
+            raise TimeoutError("no answer")
+        return " " if len(user) % 5 == 1 else f" {len(user)} characters "
+
+    asked = _turns(spark, sf).select((F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"), F.col("text").alias("prompt"))
+    return clients.hypothetical_documents(asked, clients.CannedChat(write)).select("query_id", F.md5("search_text").alias("search_md5"), "hyde_error")
+
+
+def ledger_answers(spark, sf):
+    """Every turn asked of a model through a ledger: equal texts are one call. The model stands in and fails for some lengths."""
+
+    def count(system: str, user: str) -> str:
+        if len(user) % 7 == 0:
+            raise TimeoutError("no answer")
+        return f"{len(user)} characters"
+
+    calls = ledger.Ledger(spark, f"{shared_folder(spark)}/skein-ledger-{uuid.uuid4().hex}", every=1024)
+    made = ledger.ask_once(_turns(spark, sf).select("conv_id", "turn", "text"), calls, clients.CannedChat(count), "Count", "text")
+    return made.select("conv_id", "turn", "answer", "error")
+
+
+def exchanged_requests(spark, sf):
+    """Every turn as a request: written and read back as JSON lines, false fields with their defaults."""
+    exchange.register(spark)
+    folder = f"{shared_folder(spark)}/skein-exchange-{uuid.uuid4().hex}"
+    mode = F.when(F.col("role") == "user", F.lit("")).otherwise("keyword")
+    _turns(spark, sf).select("conv_id", "turn", F.col("text").alias("prompt"), mode.alias("mode"), (F.col("turn") % 3 * 10).alias("rrfK")).write.format("exchange").mode("append").save(folder)
+    back = spark.read.format("exchange").schema("conv_id long, turn long, line string").load(folder)
+    return requests.with_defaults(back).select("conv_id", "turn", "mode", "rrf_k", F.md5("prompt").alias("prompt_md5"))
+
+
+def extract_graph(spark, sf):
+    """Every paragraph chunk asked for entities; the model stands in, answers by the chunk's length, fails or gives no JSON at times."""
+
+    def extract(system: str, user: str) -> str:
+        n = len(user)
+        if n % 5 == 0:
+            raise TimeoutError("no answer")
+        if n % 5 == 1:
+            return "no JSON"
+        return f'{{"entities": [{{"name": " Entity {n} ", "type": "api"}}, {{"name": "Other"}}], "relations": [{{"source": "other", "target": "OTHER", "weight": {n % 4}}}]}}'
+
+    docs = read_table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    got = ingest.extract_graph(docs, "doc_id", "text", clients.CannedChat(extract))
+    return got.select("doc_id", "chunk_index", "error", F.col("entities")[0]["name"].alias("first_name"), F.size("entities").alias("n_entities"), F.get("relations", F.lit(0))["weight"].alias("weight"))
+
+
+def compile_gain(spark, sf):
+    """Signatures compiled with a model that echoes a prompt, fails for some, and answers compiled prompts in their form."""
+
+    def say(system: str, user: str) -> str:
+        if not user.startswith("[Signature:"):
+            if len(user) % 3 == 0:
+                raise TimeoutError("no answer")
+            return user
+        if len(user.rsplit("\n\n[Input]\n", 1)[1].rsplit("\n\n", 1)[0]) % 2:
             raise TimeoutError("no answer")
-        return " " if "zz" in user else f" {user.upper()} "
+        return '{"the": 1, "Json": 2}'
+
+    rows = _turns(spark, sf).select("conv_id", "turn", _signature("json").alias("signature"), F.col("text").alias("prompt"))
+    return evaluate.compile_signature(rows, clients.CannedChat(say)).select("conv_id", "turn", "live", "base_score", "compiled_score", "gain")
+
+
+def answered_requests(spark, sf):
+    """Every prompt in every mode through the whole query plan, half of them with a k of their own.
+
+    A model stands in: it writes a prompt in capitals for the passage (which has the prompt's own vector), rates by length, and answers with
+    a length.
+    """
+
+    def say(system: str, user: str) -> str:
+        if system == clients.HYDE_PROMPT:
+            return user.upper()
+        if system == clients.RERANK_PROMPT:
+            return f'{{"score": {len(user.split("Passage: ", 1)[1]) % 11}}}'
+        return str(len(user))
 
-    return clients.hypothetical_documents(prompts(spark), clients.CannedChat(write))
+    docs = settled(embed(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")), "chunks")
+    rows = [(i + 10 * m, text, mode, 10.0 if i % 2 else 0.0) for m, mode in enumerate(retrieval.MODES) for i, text in PROMPTS]
+    asked = spark.createDataFrame(rows, "query_id long, prompt string, mode string, rrf_k double")
+    made = retrieval.answer_requests(asked, nodes(spark, sf), edges(spark, sf), docs, clients.CannedChat(say))
+    return made.select("query_id", "mode", F.md5("context").alias("context_md5"), "synthesis", "synthesis_error", "llm_used")
 
 
 def draft_target_rates(spark, sf):
@@ -359,7 +439,7 @@ QUERIES = {
         text_knn, keyword_scores, dual_level_topk, relational_paths, laid_out_paths, mentions, slugify_names, merge_nodes, merge_edges, rrf_fusion, rerank_order,
         hybrid_context_text, rrf_block, rerank_block, rerank_tally, rerank_calls, rerank_scores, hyde_search_text, draft_target_rates, merge_tally,
         ingest_report, tq_compress, tq_search, validate_extraction, validate_relations, token_overlap, adherence_score, offline_prompt_score,
-        compiled_prompt, status_counts,
+        compiled_prompt, status_counts, ledger_answers, exchanged_requests, extract_graph, compile_gain, answered_requests,
     )
 }
 
