@@ -31,8 +31,10 @@ N = 3
 SEED = 20240501
 ROWS = 128
 CHARS = 400_000
+SLICE = 8192
 
-@lru_cache(maxsize=4096)
+
+@lru_cache(maxsize=1 << 16)  # more than an alphabet of Han letters in use
 def letter_vector(code: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     """The random +1/-1 vector of a code point."""
     bits = np.random.default_rng([SEED, code]).integers(0, 2, dimensions, dtype=np.int8)
@@ -109,9 +111,14 @@ def bundles(texts: list[str], table: GramTable | None = None) -> np.ndarray:
     if not len(keys):
         return out
     rows = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-    counts = np.bincount(rows * len(keys) + at, minlength=len(texts) * len(keys)).reshape(len(texts), -1).astype(np.float32)
-    for lo in range(0, len(keys), 8192):
-        out += counts[:, lo : lo + 8192] @ table(keys[lo : lo + 8192])
+    # Each (n-gram, text) that occurs, by n-gram; only a slice of the table texts x n-grams is ever dense.
+    pairs, n = np.unique(at * len(texts) + rows, return_counts=True)
+    gram, text = np.divmod(pairs, len(texts))
+    for lo in range(0, len(keys), SLICE):
+        some = slice(*np.searchsorted(gram, [lo, lo + SLICE]))
+        counts = np.zeros((len(texts), min(SLICE, len(keys) - lo)), np.float32)
+        counts[text[some], gram[some] - lo] = n[some]
+        out += counts @ table(keys[lo : lo + SLICE])
     return out
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -26,6 +27,21 @@ def test_bundle_is_the_sum_of_its_grams():
     assert not q.bundles(["", "12 !"]).any()
 
 
+def test_many_letters_take_little_memory():
+    """128 texts of random Han letters, nearly all trigrams distinct: the sums are right and no table of texts x trigrams is made."""
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) for _ in range(128)]
+    small = [t[:40] for t in texts[:5]]
+    table = q.GramTable()
+    alone = np.stack([q.bundles([t], q.GramTable(rows=10))[0] for t in small])
+    assert np.allclose(q.bundles(small, q.GramTable(rows=10)), alone)
+    tracemalloc.start()
+    q.bundles(texts, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20, peak
+
+
 def test_awkward_rows(spark, tmp_path):
     texts = ["the cat and the dog"] * 20 + ["le chat et le chien"] * 20 + [None, "", "123 ?!", "the " * 40000, "中文 字"]
     d = docs(spark, texts).withColumn("lang", q.F.expr("case when doc_id < 20 then 'en' when doc_id < 40 then 'fr' end"))
