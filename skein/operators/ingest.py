@@ -35,15 +35,15 @@ def _list(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _is(v: Column, *kinds: str) -> Column:
-    """Whether a variant has one of some types by name, decimals with any precision."""
-    kind = F.regexp_replace(F.schema_of_variant(v), r"\(.*", "")
-    return kind.isin(*kinds)
-
-
 def _text(v: Column, path: str) -> Column:
     """A string field, null if it is anything else."""
-    return F.when(_is(F.try_variant_get(v, path, "variant"), "STRING"), F.try_variant_get(v, path, "string"))
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def _number(v: Column, path: str) -> Column:
+    """A number field of any type, null if it is anything else."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, path, "double"))
 
 
 def validate_extraction(raw: DataFrame, keys: str | list[str] = "chunk_index", answer: str = "raw") -> DataFrame:
@@ -54,44 +54,64 @@ def validate_extraction(raw: DataFrame, keys: str | list[str] = "chunk_index", a
     text among the names of the same answer, compared in lower case; a blank relation becomes relates_to; a weight outside
     0..1 or of another type becomes 0.5.
     """
-    v = F.try_parse_json(F.col(answer))
-    rows = raw.withColumn("_v", v)
-    fine = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT") | F.schema_of_variant("_v").startswith("ARRAY"), F.lit(False))
-    listed = lambda f: F.coalesce(F.try_variant_get("_v", f"$.{f}", "array<variant>"), F.array().cast("array<variant>"))
-    one_of = lambda x, path, known, other: F.when(_text(x, path).isin(*known), _text(x, path)).otherwise(other)
+    # A small file is one partition, and checking an answer costs far more than sending it.
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = raw.repartition(parts).withColumn("_v", F.try_parse_json(F.col(answer)))
+    kind = F.schema_of_variant("_v")
+    rows = rows.withColumn("_fine", F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False)))
+    listed = lambda v, f: F.coalesce(F.try_variant_get(v, f"$.{f}", "array<variant>"), F.array().cast("array<variant>"))
+    one_of = lambda x, known, other: F.when(x.isin(*known), x).otherwise(other)
+
+    # Fields are taken out first, so that each is looked up once however often its rule names it.
+    def entity_fields(e: Column) -> Column:
+        texts = [trim_white(_text(e, "$.name")).alias("name"), *(_text(e, f"$.{f}").alias(f) for f in ("type", "level", "description"))]
+        return F.struct(*texts, F.filter(F.transform(listed(e, "tags"), lambda t: _text(t, "$")), lambda t: t.isNotNull()).alias("tags"))
 
     def entity(e: Column) -> Column:
-        tags = F.coalesce(F.try_variant_get(e, "$.tags", "array<variant>"), F.array().cast("array<variant>"))
         return F.struct(
-            trim_white(_text(e, "$.name")).alias("name"),
-            one_of(e, "$.type", TYPES, "concept").alias("type"),
-            one_of(e, "$.level", LEVELS, "low_level").alias("level"),
-            F.coalesce(_text(e, "$.description"), F.lit("")).alias("description"),
-            F.transform(F.filter(tags, lambda t: F.coalesce(_is(t, "STRING"), F.lit(False))), lambda t: F.try_variant_get(t, "$", "string")).alias("tags"),
+            e["name"].alias("name"),
+            one_of(e["type"], TYPES, "concept").alias("type"),
+            one_of(e["level"], LEVELS, "low_level").alias("level"),
+            F.coalesce(e["description"], F.lit("")).alias("description"),
+            e["tags"].alias("tags"),
         )
 
+    def relation_fields(r: Column) -> Column:
+        named = trim_white(F.coalesce(_text(r, "$.relation"), F.lit(""))).alias("relation")
+        return F.struct(_text(r, "$.source").alias("source"), _text(r, "$.target").alias("target"), named, _number(r, "$.weight").alias("weight"))
+
     def relation(r: Column) -> Column:
-        w = F.when(_is(F.try_variant_get(r, "$.weight", "variant"), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(r, "$.weight", "double"))
-        named = trim_white(F.coalesce(_text(r, "$.relation"), F.lit("")))
         return F.struct(
-            _text(r, "$.source").alias("source"),
-            _text(r, "$.target").alias("target"),
-            F.when(named == "", "relates_to").otherwise(named).alias("relation"),
-            F.when(w.between(0, 1), w).otherwise(0.5).alias("weight"),
+            r["source"].alias("source"),
+            r["target"].alias("target"),
+            F.when(r["relation"] == "", "relates_to").otherwise(r["relation"]).alias("relation"),
+            F.when(r["weight"].between(0, 1), r["weight"]).otherwise(0.5).alias("weight"),
         )
 
-    rows = rows.withColumn("_e", F.filter(F.transform(listed("entities"), entity), lambda e: F.coalesce(e["name"] != "", F.lit(False))))
-    names = F.transform("_e", lambda e: F.lower(e["name"]))
-    known = lambda n: F.coalesce(F.array_contains(names, F.lower(n)), F.lit(False))
-    rows = rows.withColumn("_r", F.filter(F.transform(listed("relations"), relation), lambda r: known(r["source"]) & known(r["target"])))
+    found = F.filter(F.transform(listed(F.col("_v"), "entities"), entity_fields), lambda e: F.coalesce(e["name"] != "", F.lit(False)))
+    rows = rows.withColumn("_e", F.transform(found, entity))
+    rows = rows.withColumn("_names", F.transform("_e", lambda e: F.lower(e["name"])))
+    known = lambda n: F.coalesce(F.array_contains("_names", F.lower(n)), F.lit(False))
+    kept = F.filter(F.transform(listed(F.col("_v"), "relations"), relation_fields), lambda r: known(r["source"]) & known(r["target"]))
+    rows = rows.withColumn("_r", F.transform(kept, relation))
+    fine = F.col("_fine")
     return rows.select(*_list(keys), F.when(~fine, "not a JSON object").alias("error"), F.when(fine, F.col("_e")).alias("entities"), F.when(fine, F.col("_r")).alias("relations"))
 
 
+def listed_rows(checked: DataFrame, keys: str | list[str], items: str) -> DataFrame:
+    """keys, place, item: one row for each entry of one of the lists.
+
+    An outer explode and a filter on the entries: from a plain one Spark infers a filter on the list, pushes it down to the
+    scan with the whole validation in it, and so validates every answer twice, the second time with no step shared.
+    """
+    return checked.select(*_list(keys), F.posexplode_outer(items).alias("place", "item")).where("item is not null")
+
+
 def _placed(checked: DataFrame, keys: str | list[str], items: str) -> DataFrame:
     """seq and the fields of one of the lists, numbered in the order of keys and places; keys may be of any type that sorts."""
     order = [f"_k{i}" for i in range(len(_list(keys)))]
-    named = checked.select(*(F.col(k).alias(o) for k, o in zip(_list(keys), order)), F.posexplode(items).alias("_i", "_x"))
-    return numbered(named.select(*order, "_i", "_x.*"), [*order, "_i"], "seq").drop(*order, "_i")
+    named = listed_rows(checked.select(*(F.col(k).alias(o) for k, o in zip(_list(keys), order)), items), order, items)
+    return numbered(named.select(*order, F.col("place").alias("_i"), "item.*"), [*order, "_i"], "seq").drop(*order, "_i")
 
 
 def entity_rows(checked: DataFrame, keys: str | list[str] = "chunk_index") -> DataFrame:

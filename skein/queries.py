@@ -394,7 +394,8 @@ RELATIONS_SQL = """concat('{"entities":[{"name":"', p_name, '"},{"name":" second
 
 def validate_relations(spark, sf):
     raw = read_table(spark, sf, "part").selectExpr("p_partkey as chunk_index", f"{RELATIONS_SQL} as raw")
-    return ingest.validate_extraction(raw).select(F.col("chunk_index").cast("long").alias("chunk_index"), F.explode("relations").alias("r")).select("chunk_index", "r.*")
+    rows = ingest.listed_rows(ingest.validate_extraction(raw), "chunk_index", "relations")
+    return rows.select(F.col("chunk_index").cast("long").alias("chunk_index"), "item.*")
 
 
 def _turns(spark, sf) -> DataFrame:

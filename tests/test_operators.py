@@ -557,3 +557,13 @@ def test_approximate_knn(spark, monkeypatch):
     every = {(r.q_id, r["rank"]): (r.id, r.distance) for r in knn.approximate_knn(c, q, 5, probes=10**6).collect()}
     assert every == exact
     assert knn.approximate_knn(c.limit(0), q, 5).count() == 0
+
+
+def test_answers_are_checked_once_and_in_many_tasks(spark, sf):
+    """A small file is one partition; neither the checks nor a filter made of them may stay in its one task."""
+    from skein.queries import QUERIES
+
+    plan = QUERIES["validate_relations"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "parse" in plan.lower()
+    assert "parse_json" not in plan[plan.index("Repartition") :].lower() and "parseJson" not in plan[plan.index("Repartition") :]
+    assert "size(" not in plan
