@@ -17,6 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.batches import slices
+
+ROWS = 256  # whose answers stand in memory together
+
 
 class ChatClient(Protocol):
     def chat(self, system: str, user: str, json: bool = False) -> str: ...
@@ -167,10 +171,18 @@ def ask(rows: DataFrame, client: ChatClient, system: str, user: str, answer: str
     ``parallel`` sets how many tasks, and so calls, run at a time. A call that fails gives a null answer and its message.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    from pyspark.sql import types as T
+
+    names = rows.columns
+    added = [T.StructField(answer, T.StringType()), T.StructField("error", T.StringType()), T.StructField("latency_ms", T.DoubleType())]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in slices(batches, ROWS):
             got, failed, took = [], [], []
-            for text in pdf[user]:
+            # Only the texts asked become Python objects; the other columns pass as they came.
+            for text in part.column(names.index(user)).to_pylist():
                 began = time.monotonic()
                 try:
                     got.append(client.chat(system, "" if text is None else text, json))
@@ -179,13 +191,11 @@ def ask(rows: DataFrame, client: ChatClient, system: str, user: str, answer: str
                     got.append(None)
                     failed.append(f"{type(e).__name__}: {e}")
                 took.append((time.monotonic() - began) * 1000)
-            yield pdf.assign(**{answer: got, "error": failed, "latency_ms": took})
-
-    from pyspark.sql import types as T
+            made = [pa.array(got, pa.string()), pa.array(failed, pa.string()), pa.array(took, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*names, *(f.name for f in added)])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType()), T.StructField("error", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
     dealt = rows.repartition(parallel) if parallel else rows
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
 
 def _generation(client: GenerateClient | ChatClient, prompt: str) -> tuple[Generation | None, str | None, float]:

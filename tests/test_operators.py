@@ -567,3 +567,13 @@ def test_answers_are_checked_once_and_in_many_tasks(spark, sf):
     assert "Repartition" in plan and "parse" in plan.lower()
     assert "parse_json" not in plan[plan.index("Repartition") :].lower() and "parseJson" not in plan[plan.index("Repartition") :]
     assert "size(" not in plan
+
+
+def test_asking_sees_only_the_texts_and_a_few_rows_at_a_time(spark):
+    from skein.sources import clients
+
+    rows = spark.range(1000).selectExpr("id", "concat('t', id) as text", "named_struct('a', id, 'b', array(id)) as other").repartition(1)
+    plan = ask(rows, CannedChat(lambda s, u: u.upper()), "", "text")
+    assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString() and clients.ROWS < 1000
+    got = {r.id: (r.answer, r.other.a, r.other.b) for r in plan.collect()}
+    assert got == {i: (f"T{i}", i, [i]) for i in range(1000)}
