@@ -12,11 +12,25 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import NO_TOKEN
 from skein.functions.vector import DIMENSIONS, TRIGRAM_WEIGHT, fnv1a_py, fnv1a_rows
+from skein.sources.batches import slices
 from skein.sources.clients import EmbeddingClient
 
 _not_word = re.compile(NO_TOKEN)
 LONG = 64  # longer words are hashed one by one
 TEXTS = 128  # texts whose words are hashed together
+CHARS = 200_000  # and about their characters: a task holds some 100 bytes of numbers for each
+
+
+def runs(texts: list[str | None]) -> Iterator[slice]:
+    """Stretches of at most TEXTS texts with at most CHARS characters, one text at least."""
+    lo = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if i > lo and (i - lo >= TEXTS or chars > CHARS):
+            yield slice(lo, i)
+            lo, chars = i, len(t or "")
+    if lo < len(texts):
+        yield slice(lo, len(texts))
 
 
 class HashEmbedder:
@@ -83,13 +97,24 @@ class HashEmbedder:
 def embed(texts: DataFrame, text: str = "text", out: str = "vector", dtype: type = np.float64) -> DataFrame:
     """``texts`` with the embedding of a text column added."""
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    from pyspark.sql import types as T
+
+    names = texts.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         e = HashEmbedder(dtype=dtype)
-        for s in batches:
-            yield pd.Series([v for lo in range(0, len(s), TEXTS) for v in e.matrix(s.iloc[lo : lo + TEXTS].tolist())[0]])
+        for part in slices(batches, TEXTS):
+            # Only the text becomes Python objects; the other columns pass as they came.
+            column = part.column(names.index(text))
+            for at in runs(column.to_pylist()):
+                few = part.slice(at.start, at.stop - at.start)
+                v = e.matrix(column.slice(at.start, at.stop - at.start).to_pylist())[0]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([*few.columns, flat], names=[*names, out])
 
-    return texts.withColumn(out, run(F.col(text)))
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def embed_remote(texts: DataFrame, client: EmbeddingClient, text: str = "text", out: str = "vector", parallel: int | None = None) -> DataFrame:
@@ -132,9 +157,9 @@ def embedding_rows(texts: DataFrame, key: str, text: str = "text", dimensions: i
         import pyarrow as pa
 
         e = HashEmbedder(dimensions)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(lo, TEXTS)
+        for few in slices(batches, TEXTS):
+            for at in runs(few.column("text").to_pylist()):
+                part = few.slice(at.start, at.stop - at.start)
                 v, touched = e.matrix(part.column("text").to_pylist())
                 row, dim = np.nonzero(touched)
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(dim, pa.int32()), pa.array(v[row, dim] + 0.0)], names=["key", "dim", "val"])

@@ -8,9 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skein.functions import vector as V
 from skein.functions.embed import embed, embed_remote
+from skein.sources.batches import slices
 from skein.sources.clients import EmbeddingClient
 from skein.sources.tables import settled
 
@@ -59,17 +62,21 @@ def _blockwise(corpus: DataFrame, queries: DataFrame, k: int, scores, best: list
     if len(asked) <= QUERY_BLOCK:
         shared = corpus.sparkSession.sparkContext.broadcast((asked.q_id.tolist(), np.stack(asked.q.to_list()) if len(asked) else np.zeros((0, 1))))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
             (q_ids, q), kept = shared.value, {}
-            for pdf in batches:
-                for lo in range(0, len(pdf), CORPUS_BLOCK) if len(q) else ():
-                    part = pdf.iloc[lo : lo + CORPUS_BLOCK]
-                    ids = part.id.to_numpy()
-                    for n, (_, top, columns) in enumerate(_best(q_ids, q, ids, stack(part.v), k, scores)):
+            # Few queries need no large blocks to keep numpy busy.
+            for part in slices(batches, CORPUS_BLOCK if len(q) > AT_ONCE else CORPUS_BLOCK // 8):
+                if len(q):
+                    ids, v = part.column(0).to_pandas().to_numpy(), stack(part.column(1).to_pandas())
+                    for n, (_, top, columns) in enumerate(_best(q_ids, q, ids, v, k, scores)):
                         kept[n] = _merged(kept.get(n), ids[top], columns, k, -1 if worst_first else 1)
-            yield _frame([(q_ids[n], *kept[n]) for n in kept], best)
+            made = _frame([(q_ids[n], *kept[n]) for n in kept], best)
+            yield pa.RecordBatch.from_pandas(made, schema=made_schema, preserve_index=False)
 
-        found = corpus.select("id", "v").mapInPandas(scan, schema)
+        made_schema = to_arrow_schema(T.StructType([T.StructField("q_id", queries.schema["q_id"].dataType), T.StructField("id", corpus.schema["id"].dataType), *(T.StructField(b, T.DoubleType()) for b in best)]))
+        found = corpus.select("id", "v").mapInArrow(scan, schema)
     else:
         nq, nc = _blocks(queries.count(), QUERY_BLOCK), _blocks(corpus.count(), CORPUS_BLOCK)
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -569,6 +569,17 @@ def test_answers_are_checked_once_and_in_many_tasks(spark, sf):
     assert "size(" not in plan
 
 
+def test_memory_of_a_worker_does_not_follow_batch_or_text_size():
+    """Long texts are embedded a few at a time, with the vectors of one text at a time."""
+    from skein.functions.embed import CHARS, TEXTS, runs
+
+    texts = ["a b" * (CHARS // 2), None, "x", *["word " * 2000] * 60, *["y"] * 300]
+    parts = list(runs(texts))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(len(texts)))
+    assert all(p.stop - p.start == 1 or (p.stop - p.start <= TEXTS and sum(len(t or "") for t in texts[p]) <= CHARS) for p in parts)
+    assert list(runs([])) == []
+
+
 def test_asking_sees_only_the_texts_and_a_few_rows_at_a_time(spark):
     from skein.sources import clients
 
