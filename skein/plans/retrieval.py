@@ -20,31 +20,48 @@ MODES = ("keyword", "vector", "hybrid", "hybrid_rerank", "hybrid_rrf", "vector_h
 TOP_CHUNKS = 4
 
 
-def retrieve(prompts: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, mode: str = "hybrid", client: ChatClient | None = None, k: int = TOP_CHUNKS, rrf_k: int | None = None, embedder: EmbeddingClient | None = None) -> dict[str, DataFrame]:
+def _graph(prompts: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """matches and paths of any number of prompts."""
+    matches = settled(graph.dual_level(nodes, prompts), "matches")
+    return {"matches": matches, "paths": graph.relational_paths(edges, matches)}
+
+
+def _hyde(prompts: DataFrame, client: ChatClient) -> DataFrame:
+    return settled(hypothetical_documents(prompts, client), "hyde")
+
+
+def _near(asked: DataFrame, chunks: DataFrame, k: int, embedder: EmbeddingClient | None) -> DataFrame:
+    """The chunks nearest to ``asked(query_id, search_text)``, for any number of prompts."""
+    vectors = embed(asked, "search_text", "q") if embedder is None else embed_remote(asked, embedder, "search_text", "q")
+    queries = vectors.select(F.col("query_id").alias("q_id"), "q")
+    near = knn(chunks.select("id", F.col("vector").alias("v")), settled(queries, "queries"), k)
+    return settled(near.withColumnRenamed("q_id", "query_id").join(chunks.select("id", "text"), "id").select("query_id", "rank", "id", "text", "similarity", "distance"), "near")
+
+
+def retrieve(prompts: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, mode: str = "hybrid", client: ChatClient | None = None, k: int = TOP_CHUNKS, rrf_k: int | None = None, embedder: EmbeddingClient | None = None, found: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """matches, paths, vector, context (and fused or reranked) for ``prompts(query_id, prompt)``.
 
     ``chunks(id, text, vector)`` with numbers or text as ids, as ``ingest_documents`` makes them; an unknown mode acts as ``hybrid``. Modes with a model need a client; where it fails the
-    plain prompt is searched, and candidates without a score rank last.
+    plain prompt is searched, and candidates without a score rank last. ``found`` holds matches, paths and vector of these prompts and
+    others, where they have been looked up together.
     """
     mode = mode if mode in MODES else "hybrid"
     out: dict[str, DataFrame] = {}
     empty_matches = nodes.limit(0).withColumns({"query_id": F.lit(0).cast("long"), "rank": F.lit(0), "score": F.lit(0), "is_fallback": F.lit(False)})
+    own = lambda name: found[name].join(prompts.select("query_id").distinct(), "query_id", "left_semi")
     if not mode.startswith("vector"):
-        out["matches"] = settled(graph.dual_level(nodes, prompts), "matches")
-        out["paths"] = graph.relational_paths(edges, out["matches"])
+        out |= _graph(prompts, nodes, edges) if found is None else {"matches": own("matches"), "paths": own("paths")}
     else:
         spark = prompts.sparkSession
         out["matches"] = spark.createDataFrame([], empty_matches.schema)
         out["paths"] = spark.createDataFrame([], "query_id long, seq long, from string, to string, relation string")
-    if mode != "keyword":
+    if mode != "keyword" and found is not None:
+        out["vector"] = own("vector")
+    elif mode != "keyword":
         asked = prompts.select("query_id", "prompt", F.col("prompt").alias("search_text"))
         if mode.endswith("hyde"):
-            asked = settled(hypothetical_documents(prompts, client), "hyde")
-            out["hyde"] = asked
-        vectors = embed(asked, "search_text", "q") if embedder is None else embed_remote(asked, embedder, "search_text", "q")
-        queries = vectors.select(F.col("query_id").alias("q_id"), "q")
-        near = knn(chunks.select("id", F.col("vector").alias("v")), settled(queries, "queries"), k)
-        out["vector"] = settled(near.withColumnRenamed("q_id", "query_id").join(chunks.select("id", "text"), "id").select("query_id", "rank", "id", "text", "similarity", "distance"), "near")
+            asked = out["hyde"] = _hyde(prompts, client)
+        out["vector"] = _near(asked, chunks, k, embedder)
     else:
         kind = chunks.schema["id"].dataType.simpleString()
         out["vector"] = prompts.sparkSession.createDataFrame([], f"query_id long, rank int, id {kind}, text string, similarity double, distance double")
@@ -78,10 +95,26 @@ def answer_requests(requests: DataFrame, nodes: DataFrame, edges: DataFrame, chu
     """``answer`` and mode for ``requests(query_id, prompt, mode)``, and rrf_k if it is there, as ``read_requests`` gives them; an unknown mode acts as hybrid."""
     mode = F.when(F.col("mode").isin(*MODES), F.col("mode")).otherwise("hybrid")
     own = ["rrf_k"] if "rrf_k" in requests.columns else []
-    asked = settled(requests.select("query_id", "prompt", mode.alias("mode"), *own), "requests")
+    # Requests are known by their row from here on: two modes may have one id with two prompts.
+    asked = settled(requests.select(F.monotonically_increasing_id().alias("row"), "query_id", "prompt", mode.alias("mode"), *own), "requests")
+    rows = asked.select(F.col("row").alias("query_id"), "prompt", "mode", *own)
+    modes = [name for (name,) in sorted(asked.select("mode").distinct().collect())] or ["hybrid"]  # at most seven
+    # Graph and chunks are read once for all requests, not once a mode.
+    found: dict[str, DataFrame] = {}
+    if any(not name.startswith("vector") for name in modes):
+        found = _graph(rows.where(~F.col("mode").startswith("vector")).select("query_id", "prompt"), nodes, edges)
+        found["paths"] = settled(found["paths"], "paths")
+    if any(name != "keyword" for name in modes):
+        hyde = F.col("mode").endswith("hyde")
+        texts = rows.where((F.col("mode") != "keyword") & ~hyde).select("query_id", F.col("prompt").alias("search_text"))
+        if any(name.endswith("hyde") for name in modes):
+            texts = texts.unionByName(_hyde(rows.where(hyde).select("query_id", "prompt"), client).select("query_id", "search_text"))
+        found["vector"] = _near(texts, chunks, TOP_CHUNKS, embedder)
     made = []
-    for (name,) in sorted(asked.select("mode").distinct().collect()) or [("hybrid",)]:  # at most seven
-        some = asked.where(F.col("mode") == name).select("query_id", "prompt", *own)
-        context = retrieve(some, nodes, edges, chunks, name, client, embedder=embedder)["context"]
-        made.append(answer(some, context, client).withColumn("mode", F.lit(name)))
-    return reduce(DataFrame.unionByName, made)
+    for name in modes:
+        some = rows.where(F.col("mode") == name).select("query_id", "prompt", *own)
+        context = retrieve(some, nodes, edges, chunks, name, client, found=found)["context"]
+        made.append(answer(some, context, client).withColumnRenamed("query_id", "row").withColumn("mode", F.lit(name)))
+    ids = asked.select("row", "query_id")
+    out = reduce(DataFrame.unionByName, made).join(ids, "row")
+    return out.select("query_id", *(c for c in out.columns if c not in ("row", "query_id")))

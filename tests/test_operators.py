@@ -588,3 +588,24 @@ def test_asking_sees_only_the_texts_and_a_few_rows_at_a_time(spark):
     assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString() and clients.ROWS < 1000
     got = {r.id: (r.answer, r.other.a, r.other.b) for r in plan.collect()}
     assert got == {i: (f"T{i}", i, [i]) for i in range(1000)}
+
+
+def test_requests_of_all_modes_read_graph_and_chunks_once(spark, monkeypatch):
+    """And two modes may have one id with two prompts."""
+    from skein.plans import retrieval
+
+    calls = []
+    for name in ("knn",):
+        monkeypatch.setattr(retrieval, name, lambda *a, f=getattr(retrieval, name), **b: calls.append("knn") or f(*a, **b))
+    for name in ("dual_level", "relational_paths"):
+        monkeypatch.setattr(retrieval.graph, name, lambda *a, f=getattr(graph, name), n=name, **b: calls.append(n) or f(*a, **b))
+    nodes = spark.createDataFrame([(0, "n0", "red bolt", "api", "low_level", "d", None, []), (1, "n1", "blue ring", "api", "low_level", "d", None, [])], "seq long, id string, name string, type string, level string, description string, file_location string, tags array<string>")
+    edges = spark.createDataFrame([(0, "n0", "n1", "near", 1.0)], "seq long, source string, target string, relation string, weight double")
+    chunks = embed(spark.createDataFrame([(1, "red bolt text"), (2, "blue ring text")], "id long, text string"))
+    rows = [(7, "red bolt", "keyword"), (7, "blue ring", "hybrid"), (8, "red bolt", "hybrid_rrf"), (9, "blue", "vector_hyde")]
+    made = answer_requests(spark.createDataFrame(rows, "query_id long, prompt string, mode string"), nodes, edges, chunks, CannedChat(lambda s, u: "blue ring"))
+    got = {(r.query_id, r.mode): r.context for r in made.collect()}
+    assert sorted(calls) == ["dual_level", "knn", "relational_paths"]
+    assert set(got) == {(i, m) for i, _, m in rows}
+    assert "• red bolt" in got[7, "keyword"] and "blue ring (" not in got[7, "keyword"]
+    assert "• blue ring (" in got[7, "hybrid"] and "red bolt (" not in got[7, "hybrid"]
