@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import near_copies
 from skein.llm.common import counted_join, discard, id_text, read_table, slices, written
 from skein.llm.components import components
-from skein.llm.near_copies import first_rows
 
 SHINGLE = 3
 SEED = 42
@@ -60,8 +60,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         stops = (ends - 1)[shingle - 1 :].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, stops)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
     total, n = np.zeros(64, np.int64), len(hashes)
-    raw = np.array(hashes, ">u8").view("u1")
+    raw = hashes.astype(">u8").view("u1")
     for lo in range(0, len(raw), 8 * 8192):
         total += np.unpackbits(raw[lo : lo + 8 * 8192].reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
@@ -202,13 +207,45 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marks(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in slices(batches):
+        found = [near_copies.hashed(t) for t in batch.column("text").to_pylist()]
+        nodes, sizes = pa.array([d for d, _ in found], pa.int64()), pa.array([len(np.unique(h)) for _, h in found], pa.int64())
+        fps = pa.array([_signed(majority(h)) for _, h in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), nodes, sizes, fps], names=["row", "doc_id", "node", "n", "fp"])
+
+
+def marks(rows: DataFrame) -> DataFrame:
+    """row, doc_id, node, n, fp for rows(row, doc_id, text): ``near_copies``' node and size of its set, and the fingerprint of its shingles."""
+    return rows.select("row", "doc_id", "text").mapInArrow(_marks, "row long, doc_id long, node long, n long, fp long")
+
+
+def alike(marked: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes that connect what SimHash links in marked(node, fp): the first node of each fingerprint with its others and those of linked ones."""
+    nodes = written(marked.groupBy("node").agg(F.min("fp").alias("fp")), "fingerprints")
+    classes = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "classes")
+    within = counted_join(nodes, classes, ["fp"]).where("node <> first").select("first", "node")
+    end = lambda fp, node: classes.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    across = links(classes.select("fp")).join(end("a", "first"), "a").join(end("b", "node"), "b").select("first", "node")
+    pairs = within.unionByName(across).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
+    pairs = written(pairs, "alike")
+    discard(nodes, classes)
+    return pairs
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (``near_copies``: 5-word shingles, similarity 0.8) one row.
+    """Pipeline stage: of each group of near copies (5-word shingles, similarity 0.8) one row.
 
+    SimHash links, found by pigeonring keys over fingerprints of those shingles, are verified first; ``near_copies`` then finds, among what
+    they leave apart, the pairs whose fingerprints lie further from each other.
     The row with the smallest doc_id stays, null ids last; of repeated rows one. Groups do not depend on ids.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    kept = first_rows(plain.select("row", F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    return plain.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
+    rows = plain.select("row", F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    marked = written(marks(rows), "nodes")
+    kept = near_copies.first_rows(rows, marked, alike(marked))
+    return near_copies.chosen(plain, kept).select(*names).toDF(*docs.columns)

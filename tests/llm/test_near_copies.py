@@ -98,3 +98,51 @@ def test_one_row_of_repeated_rows_and_null_ids(spark, sf, shift):
     assert sorted(got) == [(5, "second text of one id"), (5, long), (9, "a b")]
     only = q.dedup_stage(spark, docs(spark, ["x y", "x y", None], [None, None, None]), sf).collect()
     assert sorted(str(r.text) for r in only) == ["None", "x y"]
+
+
+def test_simhash_links_come_first_and_the_join_gives_the_rest(spark, sf, monkeypatch):
+    """The stage takes verified SimHash links of 5-word shingles, and no other pair is compared where they connect all."""
+    rng = random.Random(8)
+    texts = []
+    for base in range(6):
+        words = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        texts += [" ".join(words + [f"end{k}"] * (k > 0)) for k in range(4)]  # one shingle of about 400 more: few bits differ
+        texts.append(" ".join(mutated(rng, words, 6)))  # near, but bits far apart
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").withColumn("doc_id", q.F.col("row"))
+    marked = q.marks(rows).persist()
+    prints = {r.row: r.fp for r in marked.collect()}
+    assert all(q._signed(q.fingerprint(t, 5)) == prints[i] for i, t in enumerate(texts))
+    node = {r.row: r.node for r in marked.collect()}
+    want = brute_groups_from_edges(len(texts), [(i, j) for i in prints for j in range(i) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= q.BITS])
+    at = {n: i for i, n in node.items()}
+    pairs = [(at[r.a], at[r.b]) for r in q.alike(marked).collect()]
+    assert pairs and brute_groups_from_edges(len(texts), pairs) == want
+    seen = {}
+    inner = near_copies._verified
+
+    def verified(pairs, sets):
+        seen.setdefault("rounds", []).append({(r.a, r.b) for r in pairs.collect()})
+        return inner(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "_verified", verified)
+    got = q.dedup_stage(spark, docs(spark, texts), sf)
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(list(range(len(texts))), texts)
+    first, *later = seen["rounds"]
+    assert brute_groups_from_edges(len(texts), [(at[a], at[b]) for a, b in first]) == want
+    assert not any(want[at[a]] == want[at[b]] for pairs in later for a, b in pairs)
+
+
+def test_rows_that_cannot_have_a_partner_are_not_dealt_whole(spark):
+    """The counting pass keeps every row of a pair at the threshold and drops rows that share too little, hot shingles among them."""
+    rng = random.Random(9)
+    words = [[f"a{rng.getrandbits(40)}" for _ in range(60)] for _ in range(40)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:-1] + ["x"]) for w in words[:10]] + [" ".join(w[:20]) + f" b{i} c{i} d{i} e{i} " + " ".join(w[24:]) for i, w in enumerate(words[10:15])]
+    rows = spark.createDataFrame([(i + 1000, t) for i, t in enumerate(texts)], "row long, text string").withColumn("doc_id", q.F.col("row"))
+    marked = q.marks(rows)
+    total = marked.agg({"n": "sum"}).first()[0]
+    for common in ([], near_copies.shingles(texts[0])[1]):
+        hot = spark.sparkContext.broadcast((common, [2] * len(common)))
+        got = {r.row - 1000 for r in near_copies._possible(rows.select("row", "text"), marked, total, hot, 5).collect()}
+        assert got == {*range(15), *range(40, 55)}
+    few = spark.createDataFrame([(1003,), (1024,), (1053,)], "row long")
+    assert sorted(r.row for r in near_copies.chosen(rows, few).collect()) == [1003, 1024, 1053]
