@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import bucketed, counted_join, discard, id_text, read_table, written
+from skein.llm.passages import WORDS, shared_windows
 
 LENGTH = 400
 GRAM = 16  # bytes of a rolling hash
@@ -186,27 +187,36 @@ def repeated_windows(docs: DataFrame, places: int = PLACES) -> tuple[DataFrame,
 
 
 def remove_repeats(docs: DataFrame, places: int = PLACES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans for docs(doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans for docs(doc_id, text).
+
+    ``n_shared`` counts the runs of over 50 words that other rows hold too, and ``shared_words`` their words; they decide nothing
+    of what is removed.
+    """
     kept, starts = repeated_windows(docs, places)
-    by_doc = written(starts.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
+    marked = [df.select("rid", F.struct("lo", "hi", F.lit(kind).alias("shared")).alias("x")) for df, kind in ((starts, False), (shared_windows(kept), True))]
+    by_doc = written(marked[0].unionByName(marked[1]).groupBy("rid").agg(F.collect_list("x").alias("starts")), "starts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, data, starts in zip(pdf.doc_id, pdf.data, pdf.starts):
-                runs = removed_runs([] if starts is None else [(r["lo"], r["hi"]) for r in starts])
+                found = [[(r["lo"], r["hi"]) for r in (() if starts is None else starts) if r["shared"] == kind] for kind in (False, True)]
+                runs, passages = removed_runs(found[0]), removed_runs(found[1], WORDS)
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 left = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
                 spans = ",".join(f"{a}:{b}" for a, b in runs)
-                rows.append((doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left, spans))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                rows.append((doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left, spans, len(passages), sum(b - a for a, b in passages)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "n_shared", "shared_words"])
             yield out.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans string, n_shared long, shared_words long"
     return kept.join(by_doc.hint("shuffle_hash"), "rid", "left").select("doc_id", "data", "starts").mapInPandas(run, schema)
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
-    """What is left of every document without strings of 400 bytes that occur twice, and whether it held one (``repeated``)."""
+    """What is left of every document without strings of 400 bytes that occur twice, and whether it held one (``repeated``).
+
+    ``n_shared`` and ``shared_words``: its passages of over 50 words that other documents hold too, which may have fewer bytes.
+    """
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), "n_shared", "shared_words")

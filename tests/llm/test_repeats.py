@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pandas as pd
 import pytest
 
+from skein.llm import passages
 from skein.llm import repeats as q
 from tests.llm.fixtures import docs, table
 
@@ -111,3 +113,49 @@ def test_the_catalogue_is_left_as_it_was(spark, tmp_path):
     kept, starts = q.repeated_windows(docs(spark, ["x" * 900]))
     plan = kept.join(starts.hint("shuffle_hash"), "rid")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(rid") == 1  # the bucketed side stays where it is
+
+
+def brute_passages(texts, n=51):
+    """(runs, words) of words that a run of ``n`` words covers which another text holds too."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    held = Counter(w for s in split for w in {tuple(s[i : i + n]) for i in range(len(s) - n + 1)})
+    out = []
+    for s in split:
+        on = [False] * len(s)
+        for i in range(len(s) - n + 1):
+            if held[tuple(s[i : i + n])] > 1:
+                on[i : i + n] = [True] * n
+        out.append((sum(x and (not i or not on[i - 1]) for i, x in enumerate(on)), sum(on)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shared_passages_equal_brute_force(spark, tmp_path, seed, monkeypatch):
+    """Passages of over 50 words are found in any spacing and however few bytes they have; what one text alone repeats is not shared."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    short = [prose(n) for n in (49, 50, 51, 52, 60, 83)]
+    respaced = lambda x: "".join(rng.choice([" ", "  ", "\n", "\t \r\n"]) if c == " " else c for c in x)
+    alone = [prose(70), "x " * 300]
+    texts = made(seed) + [prose(60) + " " + x + " " + prose(60) for x in alone for _ in range(1)] + [alone[0] + "\n" + alone[0] + " " + prose(9)]
+    texts += [respaced(" ".join([prose(rng.randint(0, 40)), rng.choice(short), prose(rng.randint(0, 40)), rng.choice(short)])) for _ in range(40)]
+    texts += ["\u00a0".join(["q"] * 60) + " " + short[4], "b " * 51, " c" * 50, "c " * 50, " \n ", "d " * 120, prose(51)]
+    want = brute_passages(texts)
+    monkeypatch.setattr(passages, "SLICE", 700)
+    got = q.op1_repeats(spark, table(spark, tmp_path, "documents", docs(spark, texts).repartition(4))).orderBy("doc_id").collect()
+    assert [(r.n_shared, r.shared_words) for r in got] == want
+    assert any(r.shared_words and not r.repeated for r in got) and any(r.repeated and not r.shared_words for r in got)
+
+
+def test_word_triggers_depend_on_the_window_alone(monkeypatch):
+    rng = random.Random(8)
+    words = [rng.choice(["a", "b", "cd", "efghijklm", "nopqrstuvwxyzabcdefgh"]) for _ in range(400)]
+    text, starts, firsts = passages.words([" ".join(words).encode()])
+    assert firsts.tolist() == [0, 400] and text == (" ".join(words) + " ").encode()
+    whole = passages.word_triggers(text, starts)
+    for x in range(0, 350, 7):
+        part, at, _ = passages.words([" ".join(words[x : x + 51]).encode()])
+        assert passages.word_triggers(part, at)[0] + x == whole[x]
+    monkeypatch.setattr(passages, "PART", 100)
+    assert (passages.word_triggers(text, starts) == whole).all()
