@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 HOT = 20_000  # a key is hot if it has over one in HOT of all rows, so there are fewer than HOT hot keys
 
 
-def counted_join(rows: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+def counted_join(rows: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner", total: int | None = None, hint: str | None = None) -> DataFrame:
     """``rows`` joined ("left", "inner" or "left_semi") with ``counts``, a written table of keys that occur ``n`` times in them.
 
-    Rows of hot keys meet a broadcast of fewer than HOT keys where they are; only the others are dealt by their key.
+    Rows of hot keys meet a broadcast of fewer than HOT keys where they are; only the others are dealt by their key, with a join ``hint`` if given.
     """
     total = rows.count() if total is None else total
     hot = F.broadcast(counts.where(F.col("n") > total / HOT))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(counts, keys, how)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(counts.hint(hint) if hint else counts, keys, how)
     return cold.unionByName(rows.join(hot, keys, "left_semi" if how == "left_semi" else "inner"))
 
 

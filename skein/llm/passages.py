@@ -15,14 +15,16 @@ Keys that very many rows hold are a few rows of a count and meet their rows by a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import counted_join, discard, written
+from skein.llm.common import discard, written
+from skein.llm.recurring import PACKED, REGIONS, opened, opened_slices, packed, parts_for, recurring_places, recurring_ranges, region_rows, settled, slices_of, standing, text_slices, to_open, wide
 
 WORDS = 51
 GRAM = 16  # bytes of a word's hash, at most 9 words
@@ -69,83 +71,81 @@ def word_triggers(text: bytes, starts: np.ndarray, places: int = PLACES) -> np.n
     return (h & low).astype(np.int64)
 
 
-def word_regions(datas: list[bytes]) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(number of the text, first window, last window, hash of the context, hash of the region) of all regions; windows by word."""
+def word_regions(datas: list[bytes]) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, where they begin, each text's first one; and first window, last window and trigger, by number of word, of all regions."""
     text, starts, firsts = words(datas)
     of = np.repeat(np.arange(len(datas)), np.diff(firsts))
     at = np.flatnonzero(of[: len(of) - WORDS + 1] == of[WORDS - 1 :]) if len(of) >= WORDS else np.empty(0, np.int64)
-    if not len(at):
-        return
-    trigger = word_triggers(text, starts)[at]
+    trigger = word_triggers(text, starts)[at] if len(at) else at
     cut = np.flatnonzero((trigger[1:] != trigger[:-1]) | (at[1:] != at[:-1] + 1)) + 1
-    lo, hi = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
-    mid, base, view = trigger[np.concatenate([[0], cut])], firsts[of[lo]], memoryview(text)
-    spans = (starts[mid], starts[mid + CONTEXT] - 1, starts[lo], starts[hi + WORDS] - 1)
-    for d, x, y, a, b, s, e in zip(*(c.tolist() for c in (of[lo], lo - base, hi - base, *spans))):
-        yield d, x, y, xxhash.xxh3_64_intdigest(view[a:b]), xxhash.xxh3_128_digest(view[s:e])
+    first = np.concatenate([[0], cut])[: len(at)]
+    return memoryview(text), starts, firsts, at[first], at[np.append(cut - 1, len(at) - 1)[: len(at)]], trigger[first]
 
 
-def _cut(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows in slices of about SLICE bytes."""
-    part = (pdf.data.map(len).cumsum() // SLICE).to_numpy()
-    for rows in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
-        yield pdf.iloc[rows]
-
-
-def _wide(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
+def _hashes(view: memoryview, starts: np.ndarray, trigger: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the contexts; used to prune only."""
+    return np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[trigger].tolist(), (starts[trigger + CONTEXT] - 1).tolist())], np.uint64)
 
-def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for part in _cut(pdf) if len(pdf) else ():
-            rows = list(word_regions(part.data.to_list()))
-            if rows:
-                of, lo, hi, h, digests = zip(*rows)
-                f1, f2 = _wide(list(digests))
-                yield pd.DataFrame({"rid": part.rid.to_numpy()[list(of)], "lo": lo, "hi": hi, "h": np.array(h, np.uint64).view(np.int64), "f1": f1, "f2": f2})
 
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for rid, data, todo in zip(pdf.rid, pdf.data, pdf.todo):
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in slices of about SLICE bytes."""
+    return slices_of([batch], lambda b: b.column("size").to_numpy().astype(np.int64), SLICE)
+
+
+def _contexts(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        base, keys, owner, at = 0, [], [], []
+        for part in _cut(batch):
+            view, starts, firsts, lo, _, trigger = word_regions(part.column("data").to_pylist())
+            of = np.searchsorted(firsts, lo, side="right") - 1
+            keys.append(_hashes(view, starts, trigger))
+            owner.append(of + base)
+            at.append(np.arange(len(of)) - np.searchsorted(of, of))
+            base += part.num_rows
+        keys = np.concatenate(keys).reshape(-1, 1)
+        yield packed(parts, batch.column("rid").to_numpy(), keys, np.concatenate(owner), np.concatenate(at), np.zeros(len(keys), bool), True)
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _cut(batch):
+            view, starts, firsts, lo, hi, trigger = word_regions(part.column("data").to_pylist())
+            again = [np.frombuffer(p, "<u4").astype(np.int64) for p in part.column("places").to_pylist()]
+            keep = np.concatenate([a + n for a, n in zip(again, np.searchsorted(lo, firsts[:-1]).tolist())])
+            lo, hi, trigger = lo[keep], hi[keep], trigger[keep]
+            of = np.repeat(np.arange(part.num_rows), list(map(len, again)))
+            digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts[lo].tolist(), (starts[hi + WORDS] - 1).tolist())]
+            yield region_rows(part.column("rid").to_numpy()[of], lo - firsts[of], hi - firsts[of], _hashes(view, starts, trigger), digests)
+
+
+def _windows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in opened_slices(batches):
+        owner, x, asked = opened(batch)
+        digests, ends = [], np.searchsorted(owner, np.arange(batch.num_rows), side="right")
+        for data, at in zip(batch.column("data").to_pylist(), np.split(x, ends[:-1])):
             text, starts, _ = words([data])
             view = memoryview(text)
-            n = [r["hi"] + 1 - r["lo"] for r in todo]
-            x = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in todo])
-            w1, w2 = _wide([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts[x].tolist(), (starts[x + WORDS] - 1).tolist())])
-            asked = np.repeat([r["asked"] for r in todo], n)
-            yield pd.DataFrame({"rid": np.where(asked, rid, -1), "x": x, "asked": asked, "w1": w1, "w2": w2})
-
-
-def _shared(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """The keys that rows of more than one document hold, how many rows, and ``more``."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("rid").alias("_a"), F.max("rid").alias("_b"), *more)
-    return counts.where("_a < _b").drop("_a", "_b")
+            digests += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts[at].tolist(), (starts[at + WORDS] - 1).tolist())]
+        yield packed(parts, batch.column("rid").to_numpy(), wide(digests), owner, x, ~asked, True)
 
 
 def shared_windows(kept: DataFrame) -> DataFrame:
     """(rid, lo, hi): the windows, by number of word, that another row of ``kept(rid, data)`` holds too. No rid is negative."""
-    schema = "rid long, lo int, hi int, h long, f1 long, f2 long"
-    enough = kept.select("rid", "data").where(F.length("data") >= 2 * WORDS - 1)
-    found = written(enough.mapInPandas(_regions, schema), "word_regions")
-    often = written(_shared(found, ["h"]), "often")
-    parts = written(counted_join(found, often, ["h"], "left_semi"), "regions")
-    discard(found, often)
-    classes = written(_shared(parts, ["f1", "f2"], F.min(F.struct("rid", "lo")).alias("one")), "named")
-    first = (F.col("one.rid") == F.col("rid")) & (F.col("one.lo") == F.col("lo"))
-    done = counted_join(parts, classes, ["f1", "f2"], "left").select("rid", "lo", "hi", "h", F.col("n").isNotNull().alias("again"), first.alias("first"))
-    done = written(done, "classes")
+    enough = kept.select("rid", "data", "size").where(F.col("size") >= 2 * WORDS - 1)
+    parts = parts_for(kept, kept.agg(F.sum(F.col("size") / PLACES)).first()[0])
+    survivors = written(recurring_places(enough.mapInArrow(partial(_contexts, parts), PACKED), parts, 1, True), "survivors")
+    parts = written(enough.join(survivors.hint("shuffle_hash"), "rid").mapInArrow(_regions, REGIONS), "regions")
+    discard(survivors)
+    classes = parts.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.max("rid").alias("other"), *standing()).where("one < other")
+    classes = written(classes.drop("other"), "named")
+    done = written(settled(parts, classes), "classes")
     discard(parts, classes)
     asked = done.where("not again")
     ones = done.where("again and first").join(asked.select("h").distinct(), "h", "left_semi")
-    todo = asked.select("rid", "lo", "hi", F.lit(True).alias("asked")).unionByName(ones.select("rid", "lo", "hi", F.lit(False).alias("asked")))
-    todo = written(todo.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "asked")).alias("todo")), "open")
-    schema = "rid long, x int, asked boolean, w1 long, w2 long"
-    windows = written(kept.select("rid", "data").join(todo.hint("shuffle_hash"), "rid").mapInPandas(_windows, schema), "windows")
-    twice = written(_shared(windows, ["w1", "w2"]), "twice")
-    single = counted_join(windows.where("asked"), twice, ["w1", "w2"], "left_semi").select("rid", F.col("x").alias("lo"), F.col("x").alias("hi"))
+    todo = written(to_open(asked, ones), "open")
+    parts = parts_for(kept, todo.agg(F.sum("n")).first()[0])
+    windows = kept.select("rid", "data").join(todo.hint("shuffle_hash"), "rid").mapInArrow(partial(_windows, parts), PACKED)
+    single = recurring_ranges(windows, parts, 2, True)
     starts = written(done.where("again").select("rid", "lo", "hi").unionByName(single), "shared")
-    discard(done, todo, windows, twice)
+    discard(done, todo)
     return starts

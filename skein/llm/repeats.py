@@ -33,19 +33,21 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bucketed, counted_join, discard, id_text, read_table, written
+from skein.llm.common import bucketed, discard, id_text, read_table, written
 from skein.llm.passages import WORDS, shared_windows
+from skein.llm.recurring import PACKED, REGIONS, opened, opened_slices, packed, parts_for, recurring_places, recurring_ranges, region_rows, settled, slices_of, standing, text_slices, to_open, wide
 
 LENGTH = 400
 GRAM = 16  # bytes of a rolling hash
 PLACES = 64  # places of which the least hash is a trigger
 CONTEXT = 96
 CHUNK = 1 << 24
+TOGETHER = 1 << 18  # bytes of texts whose triggers are found at once
 
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -82,74 +84,86 @@ def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, at[first]
 
 
-def context_hashes(data: bytes, at: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the contexts that lie wholly in the text, from the first on; used to prune only."""
-    view, n = memoryview(data), len(data) - CONTEXT
-    return np.array([xxhash.xxh3_64_intdigest(view[s : s + CONTEXT]) for s in at.tolist() if s <= n], np.uint64).view(np.int64)
+def regions(datas: list[bytes], places: int = PLACES) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one; where each begins, and the end; and text, first window, last window and trigger of all regions with whole contexts.
 
-
-def regions(data: bytes, survivors: set[int], places: int = PLACES) -> list[tuple[int, int, int]]:
-    """(first window, last window, context hash) of the regions, cut to the windows that may repeat."""
+    Windows and triggers count from the first text's begin.
+    """
+    data, offs = b"".join(datas), np.cumsum([0, *map(len, datas)])
     at = triggers(data, places)
+    for lo, hi in zip(np.maximum(offs[:-1], offs[1:] - (GRAM + places - 2)).tolist(), offs[1:].tolist()):
+        at[lo:hi] = -1  # these would reach into the next text
     first, trigger = runs(at)
-    hashes = context_hashes(data, trigger).tolist()
-    # From a window's start on, regions that begin up to here have their places and contexts inside it.
-    reach = LENGTH - places - CONTEXT
-    out, bad, last = [], len(data) + LENGTH, len(data) - LENGTH
-    ends = [*(first[1:] - 1).tolist(), len(at) - 1][: len(hashes)]
-    for lo, hi, h in zip(first[: len(hashes)].tolist()[::-1], ends[::-1], hashes[::-1]):
-        if h not in survivors:
-            bad = lo
-        elif lo <= (hi := min(hi, last, bad - reach - 1)):
-            out.append((lo, hi, h))
-    return out[::-1]
-
+    last, real = np.append(first[1:], len(at))[: len(first)] - 1, trigger >= 0
+    first, last, trigger = first[real], last[real], trigger[real]
+    of = np.searchsorted(offs, first, side="right") - 1
+    whole = trigger + CONTEXT <= offs[of + 1]
+    return memoryview(data), offs, of[whole], first[whole], last[whole], trigger[whole]
 
-def _wide(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return both[:, 0], both[:, 1]
 
-
-def _contexts(places: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        got = [context_hashes(d, runs(triggers(d, places))[1]) for d in pdf.data]
-        yield pd.DataFrame({"rid": np.repeat(pdf.rid.to_numpy(), [len(g) for g in got]), "h": np.concatenate(got) if got else []}).astype("int64")
+def cut_regions(keep: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """Last windows of regions, cut to the windows that may repeat if only the contexts of ``keep`` do; ``ends``: of their texts."""
+    # From a window's start on, regions that begin up to here have their places and contexts inside it. The next text's begin only too late.
+    reach = LENGTH - places - CONTEXT
+    bad = np.minimum.accumulate(np.where(keep, np.iinfo(np.int64).max, lo)[::-1])[::-1]
+    return np.minimum(np.minimum(hi, ends - LENGTH), bad - reach - 1)
+
+
+def _hashes(view: memoryview, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the contexts; used to prune only."""
+    return np.array([xxhash.xxh3_64_intdigest(view[s : s + CONTEXT]) for s in at.tolist()], np.uint64)
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in slices of about TOGETHER bytes."""
+    return slices_of([batch], lambda b: b.column("size").to_numpy().astype(np.int64), TOGETHER)
+
+
+def _contexts(places: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        base, keys, owner, at = 0, [], [], []
+        for part in _cut(batch):
+            view, _, of, _, _, trigger = regions(part.column("data").to_pylist(), places)
+            keys.append(_hashes(view, trigger))
+            owner.append(of + base)
+            at.append(np.arange(len(of)) - np.searchsorted(of, of))
+            base += part.num_rows
+        keys = np.concatenate(keys).reshape(-1, 1)
+        yield packed(parts, batch.column("rid").to_numpy(), keys, np.concatenate(owner), np.concatenate(at), np.zeros(len(keys), bool), False)
+
+
+def _regions(places: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        for part in _cut(batch):
+            view, offs, of, lo, hi, trigger = regions(part.column("data").to_pylist(), places)
+            begins = np.searchsorted(of, np.arange(part.num_rows)).tolist()
+            keep = np.zeros(len(of), bool)
+            keep[np.concatenate([np.frombuffer(p, "<u4").astype(np.int64) + n for p, n in zip(part.column("places").to_pylist(), begins)])] = True
+            hi = cut_regions(keep, offs[of + 1], lo, hi, places)
+            keep &= lo <= hi
+            of, lo, hi, trigger = of[keep], lo[keep], hi[keep], trigger[keep]
+            digests = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())]
+            yield region_rows(part.column("rid").to_numpy()[of], lo - offs[of], hi - offs[of], _hashes(view, trigger), digests)
+
+
+def _windows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in opened_slices(batches):
+        owner, x, asked = opened(batch)
+        digests, ends = [], np.searchsorted(owner, np.arange(batch.num_rows), side="right")
+        for data, at in zip(batch.column("data").to_pylist(), np.split(x, ends[:-1])):
+            view = memoryview(data)
+            digests += [xxhash.xxh3_128_digest(view[a : a + LENGTH]) for a in at.tolist()]
+        yield packed(parts, batch.column("rid").to_numpy(), wide(digests), owner, x, ~asked, False)
 
 
-def _regions(places: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows, digests = [], []
-        for rid, data, hs in zip(pdf.rid, pdf.data, pdf.hs):
-            view = memoryview(data)
-            for lo, hi, h in regions(data, set(hs), places):
-                rows.append((rid, lo, hi, h))
-                digests.append(xxhash.xxh3_128_digest(view[lo : hi + LENGTH]))
-        out = pd.DataFrame(rows, columns=["rid", "lo", "hi", "h"])
-        out["f1"], out["f2"] = _wide(digests)
-        yield out
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for rid, data, todo in zip(pdf.rid, pdf.data, pdf.todo):
-            view, places, asked, digests = memoryview(data), [], [], []
-            for r in todo:
-                places.append(np.arange(r["lo"], r["hi"] + 1))
-                asked.append(np.full(r["hi"] + 1 - r["lo"], r["asked"]))
-                digests += [xxhash.xxh3_128_digest(view[x : x + LENGTH]) for x in range(r["lo"], r["hi"] + 1)]
-            w1, w2 = _wide(digests)
-            yield pd.DataFrame({"rid": rid, "x": np.concatenate(places), "asked": np.concatenate(asked), "w1": w1, "w2": w2})
-
-
-def removed_runs(starts: list[tuple[int, int]], length: int = LENGTH) -> list[list[int]]:
-    """Maximal runs of bytes covered by windows that start at lo..hi (inclusive)."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(starts):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + length)
-        else:
-            out.append([lo, hi + length])
-    return out
+def removed_runs(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (owner, begin, end), in order, of what each owner's windows that start at lo..hi (inclusive) cover."""
+    base = owner.astype(np.int64) << 33
+    order = np.argsort(base + lo, kind="stable")
+    begin, end = (base + lo)[order], np.maximum.accumulate((base + hi + length)[order])
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])[: len(begin)])
+    last = np.append(first[1:], len(end))[: len(first)] - 1
+    return begin[first] >> 33, begin[first] & (1 << 33) - 1, end[last] & (1 << 33) - 1
 
 
 def repeated_windows(docs: DataFrame, places: int = PLACES) -> tuple[DataFrame, DataFrame]:
@@ -157,60 +171,63 @@ def repeated_windows(docs: DataFrame, places: int = PLACES) -> tuple[DataFrame,
 
     rid numbers the rows; it is fixed when that table is written.
     """
-    text = F.coalesce("text", F.lit(""))
-    numbered = id_text(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.cast("binary").alias("data"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    numbered = id_text(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("data"), F.length(text).alias("size"))
     kept = bucketed(numbered, "rid", "documents")
-    long_enough = kept.select("rid", "data").where(F.length("data") >= LENGTH)
-    found = written(long_enough.mapInPandas(partial(_contexts, places), "rid long, h long"), "contexts")
-    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    survivors = written(counted_join(found, often, ["h"], "left_semi").groupBy("rid").agg(F.collect_set("h").alias("hs")), "survivors")
-    discard(found, often)
-    schema = "rid long, lo int, hi int, h long, f1 long, f2 long"
-    parts = written(long_enough.join(survivors.hint("shuffle_hash"), "rid").mapInPandas(partial(_regions, places), schema), "regions")
-    classes = parts.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo")).alias("one")).where("n > 1")
-    classes = written(classes, "named")
-    first = (F.col("one.rid") == F.col("rid")) & (F.col("one.lo") == F.col("lo"))
-    done = written(counted_join(parts, classes, ["f1", "f2"], "left").select("rid", "lo", "hi", "h", F.col("n").isNotNull().alias("again"), first.alias("first")), "classes")
+    long_enough = kept.select("rid", "data", "size").where(F.col("size") >= LENGTH)
+    parts = parts_for(docs, kept.agg(F.sum(F.col("size") / max(places // 2, 1))).first()[0])
+    found = recurring_places(long_enough.mapInArrow(partial(_contexts, places, parts), PACKED), parts, 1, False)
+    survivors = written(found, "survivors")
+    parts = written(long_enough.join(survivors.hint("shuffle_hash"), "rid").mapInArrow(partial(_regions, places), REGIONS), "regions")
+    classes = written(parts.groupBy("f1", "f2").agg(F.count("*").alias("n"), *standing()).where("n > 1"), "named")
+    done = written(settled(parts, classes), "classes")
     discard(survivors, parts, classes)
     asked = done.where("not again")
     ones = done.where("again and first").join(asked.select("h").distinct(), "h", "left_semi")
-    pick = lambda df, flag: df.select("rid", "lo", "hi", F.lit(flag).alias("asked"))
-    todo = pick(asked, True).unionByName(pick(ones, False))
-    todo = written(todo.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "asked")).alias("todo")), "open")
-    schema = "rid long, x int, asked boolean, w1 long, w2 long"
-    windows = written(kept.select("rid", "data").join(todo.hint("shuffle_hash"), "rid").mapInPandas(_windows, schema), "windows")
-    twice = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    single = counted_join(windows.where("asked"), twice, ["w1", "w2"], "left_semi").select("rid", F.col("x").alias("lo"), F.col("x").alias("hi"))
+    todo = written(to_open(asked, ones), "open")
+    parts = parts_for(docs, todo.agg(F.sum("n")).first()[0])
+    windows = kept.select("rid", "data").join(todo.hint("shuffle_hash"), "rid").mapInArrow(partial(_windows, parts), PACKED)
+    single = recurring_ranges(windows, parts, 2, False)
     starts = written(done.where("again").select("rid", "lo", "hi").unionByName(single), "repeats")
-    discard(done, todo, windows, twice)
+    discard(done, todo)
     return kept, starts
 
 
-def remove_repeats(docs: DataFrame, places: int = PLACES) -> DataFrame:
+def remove_repeats(docs: DataFrame, places: int = PLACES, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans for docs(doc_id, text).
 
     ``n_shared`` counts the runs of over 50 words that other rows hold too, and ``shared_words`` their words; they decide nothing
-    of what is removed.
+    of what is removed. Without ``texts`` kept and spans are null.
     """
     kept, starts = repeated_windows(docs, places)
-    marked = [df.select("rid", F.struct("lo", "hi", F.lit(kind).alias("shared")).alias("x")) for df, kind in ((starts, False), (shared_windows(kept), True))]
+    # One number a run of windows: where it begins, how many follow (times two), whether it is of words.
+    number = F.shiftleft(F.col("lo").cast("long"), 32) + F.shiftleft((F.col("hi") - F.col("lo")).cast("long"), 1)
+    marked = [df.select("rid", (number + kind).alias("x")) for df, kind in ((starts, 0), (shared_windows(kept), 1))]
     by_doc = written(marked[0].unionByName(marked[1]).groupBy("rid").agg(F.collect_list("x").alias("starts")), "starts")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, data, starts in zip(pdf.doc_id, pdf.data, pdf.starts):
-                found = [[(r["lo"], r["hi"]) for r in (() if starts is None else starts) if r["shared"] == kind] for kind in (False, True)]
-                runs, passages = removed_runs(found[0]), removed_runs(found[1], WORDS)
-                edges = [0, *(x for r in runs for x in r), len(data)]
-                left = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
-                spans = ",".join(f"{a}:{b}" for a, b in runs)
-                rows.append((doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left, spans, len(passages), sum(b - a for a, b in passages)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "n_shared", "shared_words"])
-            yield out.astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            lists = batch.column("starts")
+            n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            x, owner, all_docs = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), np.arange(len(n))
+            lo, shared = x >> 32, (x & 1).astype(bool)
+            hi = lo + ((x & 0xFFFFFFFF) >> 1)
+            of, begin, end = removed_runs(owner[~shared], lo[~shared], hi[~shared])
+            held, first, last = removed_runs(owner[shared], lo[shared], hi[shared], WORDS)
+            at = np.searchsorted(of, all_docs).tolist() + [len(of)]
+            begin, end, rows = begin.tolist(), end.tolist(), []
+            for data, i, j in zip(batch.column("data").to_pylist(), at[:-1], at[1:]):
+                gone = list(zip(begin[i:j], end[i:j]))
+                left = b"".join([data[a:b] for a, b in zip([0, *end[i:j]], [*begin[i:j], len(data)])])
+                spans = (left, ",".join(f"{a}:{b}" for a, b in gone)) if texts else (None, None)
+                rows.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), *spans))
+            counts = np.bincount(held, minlength=len(n)), np.bincount(held, last - first, len(n)).astype(np.int64)
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.string()]
+            columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "n_shared", "shared_words"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans string, n_shared long, shared_words long"
-    return kept.join(by_doc.hint("shuffle_hash"), "rid", "left").select("doc_id", "data", "starts").mapInPandas(run, schema)
+    return kept.join(by_doc.hint("shuffle_hash"), "rid", "left").select("doc_id", "data", "size", "starts").mapInArrow(run, schema)
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
@@ -218,5 +235,5 @@ def op1_repeats(spark, sf_dir: str) -> DataFrame:
 
     ``n_shared`` and ``shared_words``: its passages of over 50 words that other documents hold too, which may have fewer bytes.
     """
-    out = remove_repeats(read_table(spark, sf_dir, "documents"))
+    out = remove_repeats(read_table(spark, sf_dir, "documents"), texts=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), "n_shared", "shared_words")

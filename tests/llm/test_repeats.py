@@ -3,10 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from skein.llm import passages
+from skein.llm import passages, recurring
 from skein.llm import repeats as q
 from tests.llm.fixtures import docs, table
 
@@ -159,3 +160,52 @@ def test_word_triggers_depend_on_the_window_alone(monkeypatch):
         assert passages.word_triggers(part, at)[0] + x == whole[x]
     monkeypatch.setattr(passages, "PART", 100)
     assert (passages.word_triggers(text, starts) == whole).all()
+
+
+def test_hashes_travel_packed(spark, monkeypatch):
+    """Contexts and windows are no rows of their own: no table on the way has more than a row a region."""
+    rng, rows = random.Random(9), {}
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    base = prose(400).split(" ")
+    texts = [" ".join(base[:k] + [prose(1)] + base[k + 1 :]) for k in range(20, 380, 8)]
+
+    def counting(df, tag, write=q.written):
+        out = write(df, tag)
+        rows[tag] = max(rows.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(q, "written", counting)
+    monkeypatch.setattr(passages, "written", counting)
+    got = q.remove_repeats(docs(spark, texts).repartition(3)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts)
+    assert [(r.n_shared, r.shared_words) for r in got] == brute_passages(texts)
+    regions = sum(len(q.runs(q.triggers(t.encode()))[0]) for t in texts)
+    assert rows["open"] and max(rows.values()) <= regions, (regions, rows)
+
+
+@pytest.mark.parametrize("width, apart", [(1, False), (2, False), (1, True), (2, True)])
+def test_recurring_hashes_equal_a_count(width, apart):
+    """Slices, parts and answers give what a count of all entries gives, and a hash reaches its part once a slice that settles it."""
+    rng = random.Random(width)
+    entries = [(d, x, rng.choice([0, 1, rng.randrange(60), rng.randrange(4000)]), rng.random() < 0.2) for d in range(30) for x in range(rng.randint(0, 40))]
+    held = {}
+    for d, x, k, known in entries:
+        held.setdefault(k, []).append("known" if known else d if apart else (d, x))
+    want = sorted((d, x) for d, x, k, known in entries if not known and ("known" in held[k] or len(set(held[k])) > 1))
+    key = lambda k: [k // 7, k % 7] if width == 2 else [k]
+    rows = []
+    for lo in range(0, 30, 6):
+        mine = [e for e in entries if lo <= e[0] < lo + 6]
+        columns = [np.array([e[i] for e in mine]) for i in range(2)]
+        keys = np.array([key(e[2]) for e in mine], np.uint64)
+        out = recurring.packed(4, np.arange(lo, lo + 6) + 100, keys, columns[0] - lo, columns[1], np.array([e[3] for e in mine]), apart)
+        rows.append(out.to_pandas())
+        told = b"".join(rows[-1].known)
+        told = [told[i : i + 8 * width] for i in range(0, len(told), 8 * width)]
+        assert len(told) == len(set(told))
+    rows = pd.concat(rows)
+    answers = pd.concat([recurring._answer(4, width, apart, g) for _, g in rows.groupby("part")])
+    got = pd.concat([recurring._ranges(g) for _, g in answers.groupby("sid")])
+    assert sorted((r - 100, x) for r, a, b in got.itertuples(index=False) for x in range(a, b + 1)) == want
+    got = pd.concat([recurring._places(g) for _, g in answers.groupby("sid")])
+    assert sorted((r - 100, x) for r, p in got.itertuples(index=False) for x in np.frombuffer(p, "<u4").tolist()) == want
