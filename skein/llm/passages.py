@@ -9,7 +9,7 @@ Its trigger is the word with the least hash of ``GRAM`` bytes among its first ``
 * The other regions are opened: their windows are counted by a 128-bit hash, together with those of one representative of each shared
   region of the same context, which stands for a document of its own (rid -1), as another document than the asked one holds it.
 
-Keys that very many rows hold are a few rows of a count and meet their rows by a bounded broadcast.
+Contexts and windows are counted in packed rows (``recurring``). Regions that very many rows hold are a few rows of a count and meet their rows by a bounded broadcast.
 """
 
 from __future__ import annotations

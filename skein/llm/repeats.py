@@ -18,8 +18,8 @@ else in the corpus is removed. Prefix-free parsing makes this a job on phrases,
 * Combination. The other regions are opened: each window's class is counted, together with those of one
   representative of every repeated region that follows the same context. A repeated window has its like among them.
 
-Every step is a join or a count on hashes that combine before they shuffle; a phrase that millions of
-documents share is one row of the count. Nothing is gathered beyond the regions of one document.
+Contexts and windows are counted in packed rows (``recurring``); regions are joins and counts that combine before they shuffle. A phrase that millions of
+documents share is one row of the count. Nothing is gathered beyond a slice of documents or a part of the hashes.
 
 Cases: null and empty texts have no window; matches never cross documents; repeated rows are documents of
 their own, so all their windows repeat; null and repeated doc_ids each keep their row; texts shorter
